@@ -1,0 +1,131 @@
+"""URL filter: allow/block rules first, then logistic regression on hashed n-grams.
+
+``judge_urls`` splits each url into host and path, applies the longest rule
+that fits, and leaves the rest to a logistic regression over hashed character
+n-grams of host and path.  The model is trained here, on the driver, from a
+small labelled url table that is built from the stems below.
+
+Edge cases: a null url, or one without ``://``, has empty host and path and is
+judged by the model (which allows it); repeated rows are judged alike; an
+empty table gives an empty result; other columns are carried along, and
+columns named ``host``, ``path``, ``rule`` or ``verdict`` are replaced.
+"""
+
+from __future__ import annotations
+
+from functools import lru_cache
+from zlib import crc32
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+RULES = ("allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/")
+
+#: Hashed feature space and n-gram lengths of the model.
+DIMS, SIZES = 1 << 14, (3, 4, 5)
+
+# Host stems of unwanted and of ordinary sites for the labelled table.
+BLOCK_STEMS = "casino poker bets betting jackpot slots pills pharma viagra cheap-meds adult xxx porn escort camgirls spam linkfarm content-farm ads adserver tracker ad-track clickbait popunder warez torrent-crack keygen malware phishing payday-loan free-money get-rich replica-watches".split()
+ALLOW_STEMS = "news daily times journal library museum university college school science research health-info recipes garden travel weather sports city county parks history books poetry music film theatre code docs wiki forum photo archive blog the there then that thin thon tion able".split()
+_BLOCK_TAILS = ("", "-win", "-x", "-online", "-farm", "-best")
+_ALLOW_TAILS = ("", "er", "re", "ed", "-today", "-online")
+_PREFIXES, _ENDS = ("", "www.", "m.", "blog."), ("com", "net", "org")
+_PATHS = ("/en/12", "/fr/830", "/de/4711/", "/es/95.html", "", "/")
+
+
+def labelled_urls() -> list[tuple[str, str, int]]:
+    """The training table: (host, path, 1 if unwanted), built from the stems."""
+    rows = []
+    for label, stems, tails in ((1, BLOCK_STEMS, _BLOCK_TAILS), (0, ALLOW_STEMS, _ALLOW_TAILS)):
+        for i, stem in enumerate(stems):
+            for j, tail in enumerate(tails):
+                front = "free-" if label and (i + j) % 3 == 0 else ""
+                host = f"{_PREFIXES[(i + j) % 4]}{front}{stem}{tail}.example.{_ENDS[(i + 2 * j) % 3]}"
+                rows.append((host, _PATHS[(i * 5 + j) % 6], label))
+    return rows + [("", "", 0)] * 20
+
+
+def features(host: str, path: str) -> np.ndarray:
+    """Distinct hashed n-gram slots of host and path, each in its own name space."""
+    found = set()
+    for mark, text in (("h", f"^{host}$"), ("p", f"^{path}$")):
+        raw = text.encode()
+        for n in SIZES:
+            found.update(crc32(raw[i : i + n], ord(mark)) % DIMS for i in range(len(raw) - n + 1))
+    return np.fromiter(found, np.int64, len(found))
+
+
+@lru_cache(maxsize=1)
+def weights() -> np.ndarray:
+    """Logistic regression by full-batch gradient steps; the last weight is the bias."""
+    rows = labelled_urls()
+    sets = [features(h, p) for h, p, _ in rows]
+    y = np.array([label for *_, label in rows], float)
+    at, flat = np.repeat(np.arange(len(rows)), [len(s) for s in sets]), np.concatenate(sets)
+    scale = 1 / np.sqrt([max(1, len(s)) for s in sets])
+    w, bias = np.zeros(DIMS), 0.0
+    for _ in range(300):
+        z = np.bincount(at, w[flat], len(rows)) * scale + bias
+        g = 1 / (1 + np.exp(-z)) - y
+        w -= 2.0 * (np.bincount(flat, (g * scale)[at], DIMS) / len(rows) * 10 + 1e-4 * w)
+        bias -= 2.0 * g.mean()
+    return np.append(w, bias)
+
+
+def url_score(host: str, path: str, w: np.ndarray) -> float:
+    slots = features(host, path)
+    return float(1 / (1 + np.exp(-(w[slots].sum() / np.sqrt(max(1, len(slots))) + w[-1]))))
+
+
+def _scorer():
+    w = weights()
+
+    def score(hosts: pd.Series, paths: pd.Series) -> pd.Series:
+        memo: dict[str, float] = {}
+        out = []
+        for h, p in zip(hosts, paths):
+            if (got := memo.get(key := f"{h} {p}")) is None:
+                got = memo[key] = url_score(h, p, w)
+            out.append(got)
+        return pd.Series(out, dtype=float)
+
+    return F.pandas_udf(score, DoubleType())
+
+
+def split_url(url: Column) -> tuple[Column, Column]:
+    """Host (A-Z lower-cased) and path; both empty without ``://`` or for null."""
+    pattern = r"(?s)^.*?://([^/?#]*)([^?#]*)"
+    part = lambda k: F.coalesce(F.regexp_extract(url, pattern, k), F.lit(""))
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.translate(part(1), upper, upper.lower()), part(2)
+
+
+def rule_column(host: Column, path: Column, rules: tuple[str, ...]) -> Column:
+    """The longest rule that fits, as ``action rule``; null if none does.
+
+    One ``CASE`` over the rules, longest first: fit for some hundreds of rules.
+    """
+    out = None
+    for text in sorted(rules, key=lambda r: (-len(r.split(" ", 1)[1]), r)):
+        at = text.split(" ", 1)[1]
+        name, slash, rest = at.partition("/")
+        fits = ((host == name) | host.endswith(f".{name}")) & path.startswith(slash + rest)
+        out = F.when(fits, F.lit(text)) if out is None else out.when(fits, F.lit(text))
+    return F.lit(None).cast("string") if out is None else out
+
+
+def judge_urls(pages: DataFrame, rules: tuple[str, ...] = RULES, threshold: float = 0.5) -> DataFrame:
+    """Add ``host``, ``path``, ``rule``, ``score`` (chance of unwanted) and ``verdict``."""
+    host, path = split_url(F.col("url"))
+    df = pages.drop("host", "path", "rule", "score", "verdict").withColumn("host", host).withColumn("path", path)
+    df = df.withColumn("_r", rule_column(F.col("host"), F.col("path"), rules))
+    df = df.withColumn("score", _scorer()(F.col("host"), F.col("path")))
+    return df.select(
+        *[c for c in df.columns if c not in ("_r", "score")],
+        F.substring_index("_r", " ", -1).alias("rule"),
+        "score",
+        F.coalesce(F.substring_index("_r", " ", 1), F.when(F.col("score") >= threshold, "block").otherwise("allow")).alias("verdict"),
+    )
