@@ -25,26 +25,29 @@ from pyspark.sql.types import DoubleType
 RULES = ("allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/")
 
 #: Hashed feature space and n-gram lengths of the model.
-DIMS, SIZES = 1 << 14, (3, 4, 5)
+DIMS, SIZES = 1 << 16, (3, 4, 5)
 
 # Host stems of unwanted and of ordinary sites for the labelled table.
-BLOCK_STEMS = "casino poker bets betting jackpot slots pills pharma viagra cheap-meds adult xxx porn escort camgirls spam linkfarm content-farm ads adserver tracker ad-track clickbait popunder warez torrent-crack keygen malware phishing payday-loan free-money get-rich replica-watches".split()
+BLOCK_STEMS = "casino poker bets free-bets betting jackpot slots pills pharma viagra cheap meds cheap-pills adult xxx porn escort camgirls spam linkfarm content-farm ads ads-track adserver tracker clickbait popunder warez torrent-crack keygen malware phishing payday-loan get-rich replica-watches".split()
 ALLOW_STEMS = "news daily times journal library museum university college school science research health-info recipes garden travel weather sports city county parks history books poetry music film theatre code docs wiki forum photo archive blog the there then that thin thon tion able".split()
-_BLOCK_TAILS = ("", "-win", "-x", "-online", "-farm", "-best")
-_ALLOW_TAILS = ("", "er", "re", "ed", "-today", "-online")
-_PREFIXES, _ENDS = ("", "www.", "m.", "blog."), ("com", "net", "org")
-_PATHS = ("/en/12", "/fr/830", "/de/4711/", "/es/95.html", "", "/")
+BLOCK_TAILS = ("", "-win", "-x", "-online", "-farm", "24")
+SYLLABLES = "th er on in an re st nd ing ion ent the tion ou le de es en al ar ti ha sh wh ble ea or ed".split()
+PREFIXES, ENDS = ("", "www.", "m.", "blog."), ("com", "net", "org")
+PATHS = ("/en/12", "/fr/830", "/de/4711/", "/es/95.html", "", "/")
 
 
 def labelled_urls() -> list[tuple[str, str, int]]:
-    """The training table: (host, path, 1 if unwanted), built from the stems."""
+    """The training table: (host, path, 1 if unwanted), built from the lists above.
+
+    Prefix, end and path are dealt to both labels alike, so only the names tell
+    them apart; ordinary names are the stems and all pairs of syllables.
+    """
+    names = [(f"{front}{stem}{tail}", 1) for stem in BLOCK_STEMS for tail in BLOCK_TAILS for front in ("", "free-")]
+    names += [(stem, 0) for stem in ALLOW_STEMS] + [(f"{a}{b}", 0) for a in SYLLABLES for b in SYLLABLES]
     rows = []
-    for label, stems, tails in ((1, BLOCK_STEMS, _BLOCK_TAILS), (0, ALLOW_STEMS, _ALLOW_TAILS)):
-        for i, stem in enumerate(stems):
-            for j, tail in enumerate(tails):
-                front = "free-" if label and (i + j) % 3 == 0 else ""
-                host = f"{_PREFIXES[(i + j) % 4]}{front}{stem}{tail}.example.{_ENDS[(i + 2 * j) % 3]}"
-                rows.append((host, _PATHS[(i * 5 + j) % 6], label))
+    for i, (name, label) in enumerate(names):
+        for end in ENDS:
+            rows.append((f"{PREFIXES[crc32(name.encode()) % 4]}{name}.example.{end}", PATHS[i % 6], label))
     return rows + [("", "", 0)] * 20
 
 
@@ -67,7 +70,7 @@ def weights() -> np.ndarray:
     at, flat = np.repeat(np.arange(len(rows)), [len(s) for s in sets]), np.concatenate(sets)
     scale = 1 / np.sqrt([max(1, len(s)) for s in sets])
     w, bias = np.zeros(DIMS), 0.0
-    for _ in range(300):
+    for _ in range(150):
         z = np.bincount(at, w[flat], len(rows)) * scale + bias
         g = 1 / (1 + np.exp(-z)) - y
         w -= 2.0 * (np.bincount(flat, (g * scale)[at], DIMS) / len(rows) * 10 + 1e-4 * w)
