@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, hamming_search, mixing, url_filter, warc
+from . import embedding_dedup, hamming_search, mixing, simhash, url_filter, warc
 from .common import table
 
 
@@ -32,12 +32,18 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document at 4 bits of 64."""
+    found = simhash.simhash_components(table(spark, sf_dir, "documents"), distance=4, shingle=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every vector at cosine 0.98 within its label."""
     return embedding_dedup.link_embeddings(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op5_warc, op6_url_filter, op7_hamming_top_k, op8_source_mix, op10_embedding_dedup)}
+QUERIES = {f.__name__: f for f in (op5_warc, op6_url_filter, op7_hamming_top_k, op8_source_mix, op9_simhash_dedup, op10_embedding_dedup)}
 
 ORACLES = {
     "op7_hamming_top_k": """
