@@ -23,6 +23,7 @@ or digest does not fit are returned with ``intact`` false.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -98,7 +99,7 @@ def with_roles(pages: DataFrame) -> DataFrame:
 
 
 def write_warc(pages: DataFrame, path: str, segment_chars: int = 16_384, chunk_chars: int = 4_096, records_per_file: int = 4_000) -> None:
-    """Write ``pages`` (page_id, url, html) as uncompressed WARC files under ``path``."""
+    """Write ``pages`` (page_id, url, html) as gzipped WARC files under ``path``."""
     ship(pages.sparkSession)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +116,7 @@ def write_warc(pages: DataFrame, path: str, segment_chars: int = 16_384, chunk_c
             yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.string())})
 
     rows = with_roles(pages).mapInArrow(build, "value string")
-    rows.write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path)
+    rows.write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
 
 
 _RECORD_SCHEMA = "kind string, record_id string, origin_id string, refers_to string, digest string, segment int, total long, body binary"
@@ -150,7 +151,8 @@ def read_records(spark, path: str) -> DataFrame:
         for b in batches:
             for blob in b.column("content"):
                 rows, held = [], 0
-                for r in parse_warc(blob.as_py()):
+                data = blob.as_py()
+                for r in parse_warc(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
                     rows.append(r)
                     held += len(r[-1])
                     if held > 8_000_000:
