@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, hamming_search, mixing, simhash, url_filter, warc
+from . import embedding_dedup, hamming_search, mixing, packing, simhash, url_filter, warc
 from .common import table
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its sequence and place."""
+    return packing.pack(table(spark, sf_dir, "documents"), capacity=2_048)
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as WARC records and read back."""
     return warc.archive_pages(table(spark, sf_dir, "pages"))
@@ -43,7 +48,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.link_embeddings(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op5_warc, op6_url_filter, op7_hamming_top_k, op8_source_mix, op9_simhash_dedup, op10_embedding_dedup)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op5_warc, op6_url_filter, op7_hamming_top_k, op8_source_mix, op9_simhash_dedup, op10_embedding_dedup)}
 
 ORACLES = {
     "op7_hamming_top_k": """
