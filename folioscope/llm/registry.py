@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, hamming_search, mixing, packing, simhash, url_filter, warc
+from . import embedding_dedup, hamming_search, mixing, packing, simhash, substring_dedup, url_filter, warc
 from .common import table
 
 
@@ -14,6 +14,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), capacity=2_048)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without words that 35-word repeats cover."""
+    found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=35, digest=True)
+    return found.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as WARC records and read back."""
     return warc.archive_pages(table(spark, sf_dir, "pages"))
@@ -48,9 +54,28 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.link_embeddings(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op5_warc, op6_url_filter, op7_hamming_top_k, op8_source_mix, op9_simhash_dedup, op10_embedding_dedup)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_substring_dedup, op5_warc, op6_url_filter, op7_hamming_top_k, op8_source_mix, op9_simhash_dedup, op10_embedding_dedup)}
 
 ORACLES = {
+    "op3_substring_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), win AS (
+            SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS s
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)
+        ), hit AS (
+            SELECT doc_id, i FROM win SEMI JOIN (SELECT s FROM win GROUP BY s HAVING count(*) > 1) USING (s)
+        ), covered AS (
+            SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM hit
+        ), words AS (
+            SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d
+        ), kept AS (
+            SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS t FROM words ANTI JOIN covered USING (doc_id, p) GROUP BY doc_id
+        )
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+               sha256(coalesce(t, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)
+    """,
     "op7_hamming_top_k": """
         WITH bits AS (
             SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS b FROM embeddings
