@@ -68,7 +68,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def running_offsets(df: DataFrame, group: str, order: list[Column], amount: Column, name: str, rows_per_bucket: int = 2_000) -> DataFrame:
+def running_offsets(df: DataFrame, group: str, order: list[Column], amount: Column, name: str, rows_per_bucket: int = 500) -> DataFrame:
     """Add ``name``: the sum of ``amount`` over earlier rows of the same group.
 
     The order is by ``order[0]``, which must be a long spread evenly over its
