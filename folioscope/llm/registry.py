@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, hamming_search, mixing, packing, simhash, substring_dedup, url_filter, warc
+from . import embedding_dedup, hamming_search, mixing, packing, simhash, substring_dedup, toxicity, url_filter, warc
 from .common import table
 
 
@@ -20,6 +20,12 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document."""
+    found = toxicity.score_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as WARC records and read back."""
     return warc.archive_pages(table(spark, sf_dir, "pages"))
@@ -54,7 +60,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.link_embeddings(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_substring_dedup, op5_warc, op6_url_filter, op7_hamming_top_k, op8_source_mix, op9_simhash_dedup, op10_embedding_dedup)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_substring_dedup, op4_toxicity, op5_warc, op6_url_filter, op7_hamming_top_k, op8_source_mix, op9_simhash_dedup, op10_embedding_dedup)}
 
 ORACLES = {
     "op3_substring_dedup": r"""
