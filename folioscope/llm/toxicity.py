@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import ship
 
@@ -284,7 +285,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 8_000, th
             s = pa.array([score(t) for t in b.column(text).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns, s], [*names, "score"])
 
-    schema = docs.schema.add("score", "double")
+    schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
     out = docs.mapInArrow(run, schema)
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     return out.withColumn("held_out", F.coalesce(held, F.lit(False))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
