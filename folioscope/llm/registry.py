@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, hamming_search, mixing, packing, simhash, substring_dedup, toxicity, url_filter, warc
+from . import embedding_dedup, hamming_search, html_extract, mixing, packing, simhash, substring_dedup, toxicity, url_filter, warc
 from .common import table
 
 
@@ -14,6 +14,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), capacity=2_048)
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    found = html_extract.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", "n_chars")
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without words that 35-word repeats cover."""
     found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=35, digest=True)
@@ -60,7 +66,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.link_embeddings(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_substring_dedup, op4_toxicity, op5_warc, op6_url_filter, op7_hamming_top_k, op8_source_mix, op9_simhash_dedup, op10_embedding_dedup)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_html_text, op3_substring_dedup, op4_toxicity, op5_warc, op6_url_filter, op7_hamming_top_k, op8_source_mix, op9_simhash_dedup, op10_embedding_dedup)}
 
 ORACLES = {
     "op3_substring_dedup": r"""
