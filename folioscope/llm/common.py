@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 from pathlib import Path
@@ -43,17 +44,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, deleted when the application ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
 
-    def drop() -> None:
-        with contextlib.suppress(Exception):
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
-    atexit.register(drop)
-    return path
+def release(*done: DataFrame) -> None:
+    """Free the disk of materialised tables that nothing reads any more.
+
+    Also lets the driver notice that the shuffles behind them are unreachable:
+    Spark deletes shuffle files only once the driver has collected its garbage.
+    """
+    for df in done:
+        if path := getattr(df, "_written_at", None):
+            _delete(df.sparkSession, path)
+    gc.collect()
+    done[0].sparkSession._jvm.System.gc()
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -65,7 +79,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
 
 
 def running_offsets(df: DataFrame, group: str, order: list[Column], amount: Column, name: str, rows_per_bucket: int = 500) -> DataFrame:

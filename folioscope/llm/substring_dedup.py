@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ship
+from .common import materialize, release, ship
 
 SHINGLE = 8
 _U = np.uint64
@@ -267,36 +267,50 @@ def repeated_windows(docs: DataFrame, window: int = 35, group_rows: int = 1_000_
     keyed = docs.select(*_keys(docs), F.coalesce("text", F.lit("")).alias("text"))
     zones = materialize(keyed.mapInArrow(_find_zones(window), "d long, th int, at int, k long, s long"), "zones")
     often = zones.groupBy("k").agg(F.count(F.lit(1)).alias("_t")).filter("_t > 1").select(F.col("k").alias("_k"))
-    zones = materialize(zones.join(often, zones["k"] == often["_k"]).drop("_k"), "shared-zones")
-    alike = zones.groupBy("k", "s").agg(F.count(F.lit(1)).alias("_n"), F.min("d").alias("_d"))
+    shared = materialize(zones.join(often, zones["k"] == often["_k"]).drop("_k"), "shared-zones")
+    release(zones)
+    alike = shared.groupBy("k", "s").agg(F.count(F.lit(1)).alias("_n"), F.min("d").alias("_d"))
     forks = alike.groupBy("k").agg(F.count(F.lit(1)).alias("_c")).select(F.col("k").alias("_k"), "_c")
     alike = alike.join(forks, alike["k"] == forks["_k"]).filter("_n > 1 OR _c > 1").select(F.col("k").alias("_k"), F.col("s").alias("_s"), "_n", "_c", "_d")
-    known = zones.join(alike, (zones["k"] == alike["_k"]) & (zones["s"] == alike["_s"]))
+    known = shared.join(alike, (shared["k"] == alike["_k"]) & (shared["s"] == alike["_s"]))
     # A zone that occurs twice is repeated as a whole; one of its documents
     # stands for it where the minimiser also occurs with other words.
     known = known.select("d", "th", "at", (F.col("_n") > 1).alias("full"), ((F.col("_c") > 1) & ((F.col("_n") == 1) | (F.col("d") == F.col("_d")))).alias("send"))
     known = materialize(known, "known-zones")
+    release(shared)
     send = known.filter("send").groupBy("d", "th").agg(F.collect_list("at").alias("zones")).withColumnsRenamed({"d": "_d", "th": "_th"})
     asked = keyed.join(send, (keyed["d"] == send["_d"]) & (keyed["th"] == send["_th"])).select("d", "th", "text", "zones")
-    schema = "d long, th int, at int, p8 int, p16 int, p32 int, h long"
-    suffixes = materialize(asked.mapInArrow(_send_suffixes(window), schema), "suffixes")
+    suffixes = materialize(asked.mapInArrow(_send_suffixes(window), "d long, th int, at int, p8 int, p16 int, p32 int, h long"), "suffixes")
+    release(suffixes.limit(0))
     total = suffixes.count()
-    # Variable-length prefixes: a crowded one (at most total / group_rows of
-    # them exist at a level) is lengthened.
-    keys = ["p8", "p16", "p32", "h"]
-    group = F.xxhash64(F.lit(8), "p8")
-    if total > group_rows:
-        for depth in (1, 2, 3):
-            prefix = keys[:depth]
-            crowded = suffixes.groupBy(*prefix).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > group_rows).select(*[F.col(c).alias(f"_{c}") for c in prefix], F.lit(True).alias(f"_crowded{depth}"))
-            on = [F.col(c) == F.col(f"_{c}") for c in prefix]
-            suffixes = suffixes.join(crowded, on, "left").drop(*[f"_{c}" for c in prefix])
-            group = F.when(F.coalesce(f"_crowded{depth}", F.lit(False)), F.xxhash64(F.lit(depth), *keys[: depth + 1])).otherwise(group)
-    buckets = max(1, total * 4 // group_rows)
-    dealt = suffixes.select("d", "th", "at", *keys, F.pmod(group, F.lit(buckets)).alias("group"))
+    dealt = suffixes.withColumn("group", F.pmod(_prefix_group(suffixes, total, group_rows), F.lit(max(1, total * 8 // group_rows))))
     deep = dealt.groupBy("group").applyInArrow(_subtree, "d long, th int, at int")
     rows = known.filter("full").select("d", "th", F.col("at").alias("zone"), F.lit(None).cast("int").alias("place")).unionByName(deep.select("d", "th", F.lit(None).cast("int").alias("zone"), F.col("at").alias("place")))
-    return rows.groupBy("d", "th").agg(F.collect_list("zone").alias("zones"), F.collect_list("place").alias("places"))
+    found = materialize(rows.groupBy("d", "th").agg(F.collect_list("zone").alias("zones"), F.collect_list("place").alias("places")), "repeats")
+    release(known, suffixes)
+    return found
+
+
+def _prefix_group(suffixes: DataFrame, total: int, group_rows: int) -> Column:
+    """Hash of each suffix's variable-length prefix.
+
+    A prefix of 8 words that more than ``group_rows`` suffixes share is
+    lengthened to 16, then 32, then all words.  At each length there are fewer
+    than total / group_rows crowded prefixes: a list of that size at most goes
+    to the driver and into the plan.
+    """
+    keys = ["p8", "p16", "p32", "h"]
+    group, held = F.xxhash64(F.lit(0), "p8"), suffixes
+    for depth in (1, 2, 3):
+        if total <= group_rows:
+            break
+        crowded = [r["x"] for r in held.groupBy(F.xxhash64(F.lit(depth), *keys[:depth]).alias("x")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > group_rows).select("x").collect()]
+        if not crowded:
+            break
+        inside = F.xxhash64(F.lit(depth), *keys[:depth]).isin(crowded)
+        group = F.when(inside, F.xxhash64(F.lit(depth), *keys[: depth + 1])).otherwise(group)
+        held = held.filter(inside)
+    return group
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, digest: bool = False, carry: list[str] | None = None) -> DataFrame:
@@ -306,7 +320,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, digest: bool = False, carr
     one space, or with ``digest`` the SHA-256 of it.  ``carry`` names further
     columns to keep beside doc_id.
     """
-    found = materialize(repeated_windows(docs, window), "repeats").withColumnsRenamed({"d": "_d", "th": "_th"})
+    found = repeated_windows(docs, window).withColumnsRenamed({"d": "_d", "th": "_th"})
     names = ["doc_id", *[c for c in carry or [] if c not in ("doc_id", "text")]]
     keyed = docs.select(*_keys(docs), F.struct(*names).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     joined = keyed.join(found, (keyed["d"] == found["_d"]) & (keyed["th"] == found["_th"]), "left").select("row", "text", "zones", "places")
