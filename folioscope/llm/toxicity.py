@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import ship
+from .common import materialize, ship
 
 SYMBOLS = 28  # boundary, a-z, other letters
 
@@ -162,52 +162,87 @@ def word_features(word: str) -> list[str]:
     return [f"={word}", *(f"^{word[:n]}" for n in range(3, min(8, len(word) - 1) + 1))]
 
 
-def fit(samples: Iterator[tuple[list[str], int]], least: int = 4, most: int = 4_000) -> tuple[dict[str, int], np.ndarray]:
-    """Feature numbers, and weights with the bias last, from (words, label) rows.
+def choose(pos: dict[str, int], neg: dict[str, int], n1: int, n0: int, most: int = 4_000) -> list[str]:
+    """The features that speak most for label 1, by log-likelihood ratio.
 
-    Features of at least ``least`` toxic rows are ranked by their log-likelihood
-    ratio; the best ``most`` enter a logistic regression with an L2 penalty.
+    pos, neg: rows with the feature, of n1 and n0 rows of either label.
     """
-    rows = [(set().union(*map(word_features, words)) if words else set(), y) for words, y in samples]
-    n1 = sum(y for _, y in rows)
-    n0 = len(rows) - n1
-    if not n1 or not n0:
-        return {}, np.array([math.log((n1 + 1e-9) / (n0 + 1e-9))])
-    pos: Counter = Counter()
-    for feats, y in rows:
-        if y:
-            pos.update(feats)
-    able = {f for f, n in pos.items() if n >= least}
-    neg: Counter = Counter()
-    for feats, y in rows:
-        if not y:
-            neg.update(feats & able)
 
     def gain(f: str) -> float:
-        a, b = pos[f], neg[f]
+        a, b = pos[f], neg.get(f, 0)
         if a / n1 <= b / n0:
             return 0.0
         part = lambda k, n, p: k * math.log(k / (n * p)) if k else 0.0
-        p = (a + b) / len(rows)
+        p = (a + b) / (n1 + n0)
         return part(a, n1, p) + part(n1 - a, n1, 1 - p) + part(b, n0, p) + part(n0 - b, n0, 1 - p)
 
-    gains = {f: gain(f) for f in able}
-    chosen = sorted((f for f in able if gains[f] > 6), key=lambda f: (-gains[f], f))[:most]
-    number = {f: i for i, f in enumerate(chosen)}
-    y = np.array([y for _, y in rows], float)
-    sets = [[number[f] for f in feats if f in number] for feats, _ in rows]
-    at = np.repeat(np.arange(len(rows)), [len(s) for s in sets])
-    flat = np.array([i for s in sets for i in sorted(s)], np.int64)
-    w, bias = np.zeros(len(chosen)), math.log(n1 / n0)
-    m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
-    for step in range(1, 1_001):  # Adam on the full sample
-        z = np.bincount(at, w[flat], len(rows)) + bias
+    gains = {f: g for f in pos if (g := gain(f)) > 6}
+    return sorted(gains, key=lambda f: (-gains[f], f))[:most]
+
+
+def regress(sets: list[np.ndarray], labels: np.ndarray, n_features: int) -> np.ndarray:
+    """Weights of an L2-penalised logistic regression, bias last (Adam, full batches)."""
+    n, y = len(sets), labels.astype(float)
+    at = np.repeat(np.arange(n), [len(s) for s in sets])
+    flat = np.concatenate([np.zeros(0, np.int64), *sets]).astype(np.int64)
+    w, bias = np.zeros(n_features), math.log((y.sum() + 1e-9) / (n - y.sum() + 1e-9))
+    m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
+    for step in range(1, 1_001):
+        z = np.bincount(at, w[flat], n) + bias
         g = 1 / (1 + np.exp(-z)) - y
-        grad = np.append(np.bincount(flat, g[at], len(chosen)) / len(rows) + 2e-5 * w, g.mean())
+        grad = np.append(np.bincount(flat, g[at], n_features) / n + 2e-5 * w, g.mean())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, bias = w - move[:-1], bias - move[-1]
-    return number, np.append(w, bias)
+    return np.append(w, bias)
+
+
+def _features_of(words: str) -> set[str]:
+    return {f for w in words.split("\n") if w for f in word_features(w)}
+
+
+def _count(able: set[str] | None):
+    """Rows with each feature (of ``able`` if given), counted by batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n: Counter = Counter()
+            for words in b.column(0).to_pylist():
+                found = _features_of(words)
+                n.update(found if able is None else found & able)
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["f", "n"])
+
+    return run
+
+
+def fit(sample: DataFrame, least: int = 4, most: int = 4_000) -> tuple[dict[str, int], np.ndarray]:
+    """Feature numbers, and weights with the bias last, from rows (y, words).
+
+    Features of at least ``least`` toxic rows are ranked; the best ``most``
+    enter the regression.  The driver gets counts of the former and, of each
+    row of the (bounded) sample, the numbers of the latter.
+    """
+    sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
+    if not n1 or not n0:
+        return {}, np.array([math.log((n1 + 1e-9) / (n0 + 1e-9)) if n1 or n0 else -60.0])
+
+    def counts(label: int, able: set[str] | None, floor: int) -> dict[str, int]:
+        rows = sample.filter(F.col("y") == label).select("words").mapInArrow(_count(able), "f string, n long")
+        got = rows.groupBy("f").agg(F.sum("n").alias("n")).filter(F.col("n") >= floor).toPandas()
+        return dict(zip(got["f"], got["n"].tolist()))
+
+    pos = counts(1, None, least)
+    chosen = choose(pos, counts(0, set(pos), 1), n1, n0, most)
+    number = {f: i for i, f in enumerate(chosen)}
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [sorted(number[f] for f in _features_of(w) if f in number) for w in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int32()))], ["d", "y", "feats"])
+
+    rows = sample.select("d", "y", "words").mapInArrow(numbers, "d long, y int, feats array<int>").toPandas().sort_values("d", kind="stable")
+    return number, regress([np.asarray(x, np.int64) for x in rows["feats"]], rows["y"].to_numpy(), len(chosen))
 
 
 class _Seen(dict):
@@ -267,8 +302,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 8_000) -> Model:
 
     # The sample has at most ``fit_rows`` rows of two numbers.
     texts = docs.select(F.col("doc_id").cast("long").alias("_d"), "text").join(F.broadcast(sample), "_d").select("_d", "text", "_y")
-    rows = texts.mapInArrow(words, "d long, y int, words string").orderBy("d", "words").limit(2 * fit_rows).toPandas()
-    number, weights = fit((w.split("\n") if w else [], int(y)) for w, y in zip(rows["words"], rows["y"]))
+    number, weights = fit(materialize(texts.mapInArrow(words, "d long, y int, words string"), "labelled-words"))
     return Model(characters, number, weights)
 
 
