@@ -1,6 +1,809 @@
-"""Registered queries of the engine's own operators, with their DuckDB counterparts."""
+"""Registered queries of the engine's own operators, with their DuckDB counterparts.
+
+Where the driver's tables can feed an operator they do, whole; ``documents``
+are single pages and chunks (chunk_id = page = doc_id), ``benchmark`` texts are
+questions, and ``embeddings`` are paired with documents and questions by id (a
+synthetic pairing: it tests the computation, not relevance).
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import fixtures as fx
+from .functions import lexicons as lex
+from .functions import routing, text
+from .operators import chunking, embedding, evaluation, evidence, memory, ocr, retrieval, visual
+from .sources import pages as src
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# ------------------------------------------------------------------ SQL pieces
+# RE2 escapes go into DuckDB literals as they are.
+
+L = r"[\p{L}\p{N}_]"
+
+
+def s_strip(x: str) -> str:
+    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+
+def s_clean_ingest(x: str) -> str:
+    x = rf"regexp_replace(coalesce({x}, ''), '\r\n|\r', chr(10), 'g')"
+    x = rf"regexp_replace({x}, '({L})-\n({L})', '\1\2', 'g')"
+    return s_strip(rf"regexp_replace(regexp_replace({x}, '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')")
+
+
+def s_clean_chunk(x: str) -> str:
+    x = rf"regexp_replace(regexp_replace(coalesce({x}, ''), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')"
+    x = rf"regexp_replace({x}, '({L}+)-\n({L}+)', '\1\2', 'g')"
+    return s_strip(rf"regexp_replace({x}, '\r\n|\r', chr(10), 'g')")
+
+
+def s_words(x: str) -> str:
+    return rf"list_filter(regexp_split_to_array(coalesce({x}, ''), '\s+'), lambda w: w <> '')"
+
+
+def s_sentences(x: str) -> str:
+    x = rf"regexp_replace({s_clean_chunk(x)}, '(\d)\.(\d)', '\1<DOT>\2', 'g')"
+    for a, b in (("e", "g"), ("i", "e")):
+        x = rf"regexp_replace({x}, '(?i)\b({a})\.({b})\.', '\1<DOT>\2<DOT>', 'g')"
+    x = rf"regexp_replace({x}, '(?i)\b(etc|Dr|Mr|Mrs|Ms|Fig|Eq|approx|vs)\.', '\1<DOT>', 'g')"
+    x = rf"string_split(regexp_replace({x}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
+    return f"list_filter(list_transform({x}, lambda s: {s_strip(chr(39).join(['replace(s, ', '<DOT>', ', ', '.', ')']))}), lambda s: s <> '')"
+
+
+def s_packs(x: str, merge: bool = True) -> str:
+    """The greedy folds as reductions over one-element lists."""
+
+    def fold(items: str, joins: str) -> str:
+        join = "list_concat(a[1:len(a) - 1], [{'text': a[len(a)].text || ' ' || b[1].text, 'n': a[len(a)].n + b[1].n}])"
+        return f"(CASE WHEN len({items}) = 0 THEN [] ELSE list_reduce({items}, lambda a, b: CASE WHEN {joins} THEN {join} ELSE list_concat(a, b) END) END)"
+
+    items = f"list_transform({x}, lambda u: [{{'text': u, 'n': len({s_words('u')})}}])"
+    packed = fold(items, "a[len(a)].n + b[1].n <= 90")
+    return fold(f"list_transform({packed}, lambda p: [p])", "b[1].n < 40 AND a[len(a)].n + b[1].n <= 140") if merge else packed
+
+
+def s_tokens(x: str) -> str:
+    return f"regexp_extract_all(lower(coalesce({x}, '')), '{text.TOKEN}')"
+
+
+def s_any(x: str, phrases: tuple[str, ...]) -> str:
+    return f"list_bool_or(list_transform({fx.literal(list(phrases))}, lambda p: contains({x}, p)))"
+
+
+def s_script(x: str) -> dict[str, str]:
+    bare = rf"regexp_replace(coalesce({x}, ''), '\s+', '', 'g')"
+    kinds = {"latin": "A-Za-z", "hindi": "ऀ-ॿ", "kannada": "ಀ-೿", "digits": "0-9"}
+    out = {k: f"length(regexp_replace({bare}, '[^{v}]', '', 'g'))" for k, v in kinds.items()}
+    return out | {"other": f"length(regexp_replace({bare}, '[{''.join(kinds.values())}]', '', 'g'))"}
+
+
+TEXTS = fx.TEXTS.sql(["id", "text"])
+SCRIPTS = fx.SCRIPTS.sql(["id", "text", "confidence", "language"])
+QUESTIONS = fx.QUESTIONS.sql(["q_id", "question"])
+ELEMENT_COLUMNS = ["source", "page", "text", "ocr_used", "ocr_confidence", "ocr_quality", "page_image", "images", "tables", "has_visual_content"]
+ELEMENTS = fx.ELEMENTS.sql(ELEMENT_COLUMNS)
+ALL_TEXTS = f"(SELECT doc_id AS id, text FROM documents UNION ALL SELECT -id, text FROM {TEXTS})"
+ALL_QUESTIONS = f"(SELECT item_id AS q_id, text AS question FROM benchmark UNION ALL SELECT -q_id, question FROM {QUESTIONS})"
+
+
+def all_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and the literal edge cases (negative ids)."""
+    own = fx.TEXTS.spark(spark).select((-F.col("id")).alias("id"), "text")
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text").unionByName(own)
+
+
+def all_questions(spark: SparkSession, d: str) -> DataFrame:
+    own = fx.QUESTIONS.spark(spark).select((-F.col("q_id")).alias("q_id"), "question")
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("q_id"), F.col("text").alias("question")).unionByName(own)
+
+
+# ------------------------------------------------------------------ text
+
+
+@query(f"SELECT id, {s_clean_ingest('text')} AS cleaned FROM {ALL_TEXTS}")
+def clean_ingest(spark, d):
+    return all_texts(spark, d).select("id", text.clean_ingest(F.col("text")).alias("cleaned"))
+
+
+@query(f"SELECT id, {s_clean_chunk('text')} AS cleaned FROM {ALL_TEXTS}")
+def clean_chunk(spark, d):
+    return all_texts(spark, d).select("id", text.clean_chunk(F.col("text")).alias("cleaned"))
+
+
+@query(rf"SELECT id, {s_strip(r"regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')")} AS cleaned FROM {ALL_TEXTS}")
+def normalize_ws(spark, d):
+    return all_texts(spark, d).select("id", text.normalize_ws(F.col("text")).alias("cleaned"))
+
+
+@query(rf"SELECT id, {s_strip(r"regexp_replace(coalesce(translate(lower(text), '_\', '  '), ''), '\s+', ' ', 'g')")} AS cleaned FROM {ALL_TEXTS}")
+def normalize_eval(spark, d):
+    return all_texts(spark, d).select("id", text.normalize_eval(F.col("text")).alias("cleaned"))
+
+
+@query(f"SELECT id, CAST(i - 1 AS INTEGER) AS sentence, s[i] AS text FROM (SELECT id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT id, {s_sentences('text')} AS s FROM {ALL_TEXTS}))")
+def sentences(spark, d):
+    return all_texts(spark, d).select("id", F.posexplode(text.sentences(F.col("text"))).alias("sentence", "text"))
+
+
+@query(f"SELECT id, CAST(len({s_words('text')}) AS INTEGER) AS n_words FROM {ALL_TEXTS}")
+def word_counts(spark, d):
+    return all_texts(spark, d).select("id", text.word_count(F.col("text")).alias("n_words"))
+
+
+@query(f"SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({s_tokens('text')}) AS term FROM {ALL_TEXTS}) GROUP BY id, term")
+def tokens(spark, d):
+    return retrieval.postings(all_texts(spark, d).withColumnRenamed("id", "chunk_id")).withColumnRenamed("chunk_id", "id")
+
+
+SCRIPT_INPUT = f"(SELECT id, text, confidence, language FROM {SCRIPTS} UNION ALL SELECT -1 - doc_id, text, (doc_id % 101) / 100.0, 'latin' FROM documents)"
+
+
+def script_input(spark, d):
+    own = table(spark, d, "documents").select((-1 - F.col("doc_id")).alias("id"), "text", ((F.col("doc_id") % 101) / 100.0).alias("confidence"), F.lit("latin").alias("language"))
+    return fx.SCRIPTS.spark(spark).unionByName(own)
+
+
+@query(f"SELECT id, {', '.join(f'CAST({v} AS INTEGER) AS n_{k}' for k, v in s_script('text').items())} FROM {SCRIPT_INPUT}")
+def script_counts(spark, d):
+    return script_input(spark, d).select("id", *[c.cast("int").alias(f"n_{k}") for k, c in text.script_counts(F.col("text")).items()])
+
+
+_S = s_script("text")
+_TOP = f"greatest({_S['latin']}, {_S['hindi']}, {_S['kannada']})"
+
+
+@query(
+    f"SELECT id, CASE WHEN {_TOP} = 0 THEN CASE WHEN {_S['digits']} > 0 THEN 'latin' ELSE 'unknown' END WHEN {_S['latin']} = {_TOP} THEN 'latin' WHEN {_S['hindi']} = {_TOP} THEN 'hindi' ELSE 'kannada' END AS script FROM {SCRIPT_INPUT}"
+)
+def dominant_script(spark, d):
+    return script_input(spark, d).select("id", text.dominant_script(F.col("text")).alias("script"))
+
+
+_OWN = f"CASE language WHEN 'hindi' THEN {_S['hindi']} WHEN 'kannada' THEN {_S['kannada']} ELSE {_S['latin']} + {_S['digits']} END"
+_ALL = "(" + " + ".join(_S.values()) + ")"
+_PURITY = f"(CASE WHEN {_ALL} = 0 THEN 0.0 ELSE CAST({_OWN} AS DOUBLE) / {_ALL} END)"
+
+
+@query(f"SELECT id, CAST({_OWN} AS INTEGER) AS n_own, round({_PURITY}, 6) AS purity FROM {SCRIPT_INPUT}")
+def script_purity(spark, d):
+    t, lang = F.col("text"), F.col("language")
+    return script_input(spark, d).select("id", text.script_characters(t, lang).cast("int").alias("n_own"), F.round(text.script_purity(t, lang), 6).alias("purity"))
+
+
+@query("SELECT doc_id, coalesce(nullif(lang, ''), nullif(text, ''), '') AS first_text FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN NULL ELSE lang END AS lang, text FROM documents)")
+def text_coalesce(spark, d):
+    lang = F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, None).otherwise(F.col("lang"))
+    return table(spark, d, "documents").select("doc_id", text.first_text(lang, F.col("text")).alias("first_text"))
+
+
+# ------------------------------------------------------------------ OCR quality and selection
+
+_T = s_strip("coalesce(text, '')")
+_W = s_words(_T)
+_USEFUL = rf"length(regexp_replace({_T}, '[^\p{{L}}\p{{N}}\s.,;:!?()\-/%₹$€£]', '', 'g'))"
+_SHARE = f"(len(list_distinct({_W})) / CAST(len({_W}) AS DOUBLE))"
+
+
+@query(
+    f"""SELECT id, CASE WHEN length({_T}) = 0 THEN 0.0e0 ELSE round((confidence * 0.40e0 + {_USEFUL} / CAST(length({_T}) AS DOUBLE) * 0.20e0 + least(len({_W}) / 80.0e0, 1.0e0) * 0.15e0 + least(length({_T}) / 500.0e0, 1.0e0) * 0.25e0)
+    * CASE WHEN length({_T}) < 20 THEN 0.10e0 WHEN length({_T}) < 50 THEN 0.45e0 WHEN length({_T}) < 100 THEN 0.75e0 ELSE 1.0e0 END
+    * CASE WHEN len({_W}) < 10 THEN 1.0e0 WHEN {_SHARE} < 0.20e0 THEN 0.45e0 WHEN {_SHARE} < 0.35e0 THEN 0.70e0 ELSE 1.0e0 END, 4) END AS quality FROM {SCRIPT_INPUT}"""
+)
+def text_quality(spark, d):
+    return ocr.score_pages(script_input(spark, d).withColumn("confidence", F.col("confidence") * 100)).select("id", "quality")
+
+
+_LT = s_strip(r"regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')")
+_BUCKET = f"CASE WHEN {_PURITY} < 0.20 THEN 0.0 WHEN {_PURITY} < 0.40 THEN 0.20 WHEN {_PURITY} < 0.60 THEN 0.50 WHEN {_PURITY} < 0.80 THEN 0.80 ELSE 1.0 END"
+_LINE_QUALITY = f"CASE WHEN {_ALL} = 0 THEN 0.0 ELSE confidence * 0.40 + ({_ALL} - {_S['other']}) / CAST({_ALL} AS DOUBLE) * 0.30 + least(length({_LT}) / 40.0, 1.0) * 0.10 + ({_BUCKET}) * 0.20 END"
+_VALID = f"({_T} <> '' AND coalesce(confidence, 0) >= 0.20 AND CASE WHEN language IN ('hindi', 'kannada') THEN ({_OWN}) >= 2 AND {_PURITY} >= 0.30 WHEN language = 'latin' THEN ({_OWN}) >= 1 AND {_PURITY} >= 0.20 ELSE true END)"
+
+
+@query(f"SELECT id, round({_LINE_QUALITY}, 6) AS quality FROM {SCRIPT_INPUT}")
+def line_quality(spark, d):
+    return ocr.score_lines(script_input(spark, d)).select("id", F.round("quality", 6).alias("quality"))
+
+
+@query(f"SELECT id, {_VALID} AS valid FROM {SCRIPT_INPUT}")
+def valid_candidates(spark, d):
+    return ocr.score_lines(script_input(spark, d)).select("id", "valid")
+
+
+_GRID = "(SELECT unnest(['original', 'autocontrast', 'contrast', 'sharpen', 'threshold']) AS variant)"
+
+
+@query(f"SELECT doc_id AS page, variant, psm FROM documents, {_GRID}, (SELECT unnest([3, 6, 11]) AS psm)")
+def ocr_grid(spark, d):
+    return ocr.ocr_grid(spark, table(spark, d, "documents").select(F.col("doc_id").alias("page"))).select("page", "variant", "psm")
+
+
+_CANDIDATES = fx.CANDIDATES.sql(["key", "ord", "text", "confidence", "quality"])
+
+
+@query(f"SELECT key, text, confidence, quality, ord FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY length(text) >= 50 DESC, quality DESC, ord) AS r FROM {_CANDIDATES} WHERE text <> '') WHERE r = 1")
+def ocr_best(spark, d):
+    return ocr.best_candidate(fx.CANDIDATES.spark(spark))
+
+
+_GATE = "(SELECT doc_id AS page, CASE WHEN doc_id % 4 = 0 THEN left(text, 30) ELSE text END AS text, CASE WHEN doc_id % 8 = 0 THEN '' ELSE 'seen ' || lang END AS ocr_text FROM documents)"
+_USE = f"(length({_T}) < 40 AND coalesce(ocr_text, '') <> '')"
+
+
+@query(f"SELECT page, {_USE} AS ocr_used, CASE WHEN {_USE} THEN ocr_text ELSE coalesce(text, '') END AS text FROM {_GATE}")
+def ocr_gate(spark, d):
+    docs = table(spark, d, "documents")
+    short = F.when(F.col("doc_id") % 4 == 0, F.left("text", F.lit(30))).otherwise(F.col("text"))
+    seen = F.when(F.col("doc_id") % 8 == 0, "").otherwise(F.concat(F.lit("seen "), "lang"))
+    return ocr.ocr_gate(docs.select(F.col("doc_id").alias("page"), short.alias("text"), seen.alias("ocr_text"))).select("page", "ocr_used", "text")
+
+
+_LINES = fx.LINES.sql(["line_id", "ord", "engine", "language", "text", "confidence"])
+_LINE_BEST = f"(SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY line_id) AS n, row_number() OVER (PARTITION BY line_id ORDER BY q DESC, ord) AS r FROM (SELECT *, {_LINE_QUALITY} AS q FROM {_LINES} WHERE {_VALID})) WHERE r = 1)"
+
+
+@query(f"SELECT line_id, CASE WHEN q < 0.42 THEN 'uncertain' ELSE engine END AS engine, CASE WHEN q < 0.42 THEN '' ELSE text END AS text, confidence, round(q, 6) AS quality, n AS n_candidates FROM {_LINE_BEST}")
+def line_select(spark, d):
+    return ocr.select_lines(fx.LINES.spark(spark)).select("line_id", "engine", "text", "confidence", F.round("quality", 6).alias("quality"), "n_candidates")
+
+
+@query(
+    f"""SELECT line_id % 2 AS page, count(*) AS n_lines, count(*) FILTER (q >= 0.42) AS n_accepted, count(*) FILTER (q < 0.42) AS n_uncertain, count(*) FILTER (q >= 0.42 AND engine = 'tesseract') AS n_tesseract,
+    round(coalesce(avg(confidence) FILTER (q >= 0.42), 0), 6) AS mean_confidence, round(coalesce(avg(q) FILTER (q >= 0.42), 0), 6) AS mean_quality FROM {_LINE_BEST} GROUP BY 1"""
+)
+def ocr_page_stats(spark, d):
+    stats = ocr.page_stats(ocr.select_lines(fx.LINES.spark(spark)).withColumn("page", F.col("line_id") % 2))
+    return stats.withColumn("mean_confidence", F.round("mean_confidence", 6)).withColumn("mean_quality", F.round("mean_quality", 6))
+
+
+_BOXES = f"(SELECT page, CAST(i - 1 AS INTEGER) AS id, boxes[i].x1 AS x1, boxes[i].y1 AS y1, boxes[i].x2 AS x2, boxes[i].y2 AS y2 FROM (SELECT page, boxes, unnest(range(1, len(boxes) + 1)) AS i FROM {fx.BOXES.sql(['page', 'boxes'])}))"
+
+
+@query(f"SELECT * FROM {_BOXES} WHERE x2 - x1 >= 8 AND y2 - y1 >= 5")
+def clean_boxes(spark, d):
+    return ocr.clean_boxes(fx.BOXES.spark(spark))
+
+
+@query("SELECT * FROM (VALUES (CAST(1 AS BIGINT), 0, 0, 0, 90, 12, '0,1'), (1, 1, 5, 30, 70, 40, '3'), (1, 2, 400, 31, 450, 41, '4'), (2, 0, 1, 1, 9, 6, '0')) AS t(page, line, x1, y1, x2, y2, ids)")
+def line_boxes(spark, d):
+    return ocr.line_boxes(ocr.group_lines(ocr.clean_boxes(fx.BOXES.spark(spark))))
+
+
+@query("SELECT CAST(1 AS BIGINT) AS key, 'Hello world' AS text, CAST(88.25 AS DOUBLE) AS confidence")
+def tsv_parse(spark, d):
+    return ocr.parse_tsv(fx.TSV.spark(spark))
+
+
+# ------------------------------------------------------------------ pages and chunks
+
+
+@query(
+    f"""SELECT source, page, {s_clean_ingest('text')} AS text, CAST(len(images) AS INTEGER) AS image_count, CAST(len(list_filter(tables, lambda t: len(t.rows) > 0)) AS INTEGER) AS table_count, {s_clean_ingest('text')} <> '' AS has_text,
+    page_image IS NOT NULL OR len(images) > 0 OR len(list_filter(tables, lambda t: len(t.rows) > 0)) > 0 AS has_visual_content FROM (SELECT * FROM {ELEMENTS} UNION ALL BY NAME SELECT source, CAST(doc_id AS INTEGER) AS page, text, [] AS images, [] AS tables FROM documents)"""
+)
+def page_elements(spark, d):
+    own = src.pages_from_documents(table(spark, d, "documents"))
+    every = fx.ELEMENTS.spark(spark).withColumn("images", F.transform("images", lambda x: F.struct(F.lit(0).alias("image_index"), x["path"].alias("path"), x["width"].alias("width"), x["height"].alias("height"), x["extension"].alias("extension"))))
+    every = every.withColumn("tables", F.transform("tables", lambda t: F.struct(F.lit(0).alias("table_index"), t["rows"].alias("rows")))).unionByName(own, allowMissingColumns=True)
+    return src.page_elements(every).select("source", "page", "text", "image_count", "table_count", "has_text", "has_visual_content")
+
+
+@query("SELECT doc_id, regexp_replace('My file (' || source || ').v2', '[^A-Za-z0-9_.\\-]', '_', 'g') || '_page_' || doc_id || '.png' AS page_file, regexp_replace('My file (' || source || ').v2', '[^A-Za-z0-9_.\\-]', '_', 'g') || '_page_' || doc_id || '_image_1.jpg' AS image_file FROM documents")
+def image_names(spark, d):
+    docs = table(spark, d, "documents")
+    refs = docs.select("doc_id", F.concat(F.lit("My file ("), "source", F.lit(").v2.pdf")).alias("source"), F.col("doc_id").alias("page"), F.lit(1).alias("image_index"), F.lit("jpg").alias("extension"))
+    return src.image_names(refs).select("doc_id", "page_file", "image_file")
+
+
+@query(f"SELECT id FROM {ALL_TEXTS} WHERE {s_strip('coalesce(text, chr(32))')} <> ''")
+def nonblank_pages(spark, d):
+    return src.nonblank_pages(all_texts(spark, d)).select("id")
+
+
+@query("SELECT source, string_agg(chr(10) || '--- Page ' || doc_id || ' ---' || chr(10) || coalesce(text, ''), chr(10) ORDER BY doc_id) AS text FROM documents GROUP BY source")
+def doc_concat(spark, d):
+    return src.document_text(src.pages_from_documents(table(spark, d, "documents")))
+
+
+@query(
+    f"SELECT id, chunk, text FROM (SELECT id, CAST(a / 800 AS INTEGER) AS chunk, {s_strip('substring(text, a + 1, 1000)')} AS text FROM (SELECT id, text, CAST(unnest(range(0, length(text), 800)) AS BIGINT) AS a FROM {ALL_TEXTS} WHERE length(text) > 0)) WHERE text <> ''".replace("a / 800", "a // 800")
+)
+def fixed_chunks(spark, d):
+    return chunking.fixed_chunks(all_texts(spark, d)).select("id", "chunk", "text")
+
+
+def _chunk_sql(merge: bool) -> str:
+    return f"SELECT id, CAST(i - 1 AS INTEGER) AS chunk, p[i].text AS text, CAST(p[i].n AS INTEGER) AS n_words FROM (SELECT id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT id, {s_packs('s', merge)} AS p FROM (SELECT id, {s_sentences('text')} AS s FROM {ALL_TEXTS}) WHERE len(s) > 0))"
+
+
+@query(_chunk_sql(False))
+def sentence_chunks(spark, d):
+    return chunking.sentence_chunks(all_texts(spark, d), merge=False).select("id", "chunk", "text", "n_words")
+
+
+@query(_chunk_sql(True))
+def merged_chunks(spark, d):
+    return chunking.sentence_chunks(all_texts(spark, d)).select("id", "chunk", "text", "n_words")
+
+
+def s_table(rows: str) -> str:
+    cells = f"array_to_string(list_transform({rows}[i], lambda c: {s_clean_chunk('c')}), ' | ')"
+    return f"array_to_string(list_filter(list_transform(range(1, len({rows}) + 1), lambda i: CASE WHEN len({rows}[i]) > 0 AND {s_strip(cells)} <> '' THEN 'Row ' || i || ': ' || {cells} END), lambda x: x IS NOT NULL), chr(10))"
+
+
+def s_tables(tables: str) -> str:
+    one = s_table(f"{tables}[k].rows")
+    return f"array_to_string(list_filter(list_transform(range(1, len({tables}) + 1), lambda k: CASE WHEN {s_strip(one)} <> '' THEN 'TABLE ' || k || chr(10) || {one} END), lambda x: x IS NOT NULL), chr(10) || chr(10))"
+
+
+def s_images(images: str) -> str:
+    size = f"CASE WHEN {images}[k].width <> 0 AND {images}[k].height <> 0 THEN ', dimensions ' || {images}[k].width || 'x' || {images}[k].height ELSE '' END"
+    return f"array_to_string(list_transform(range(1, len({images}) + 1), lambda k: 'Embedded image ' || k || ' (' || coalesce({images}[k].extension, 'unknown') || ')' || {size}), chr(10))"
+
+
+@query(f"SELECT source, page, {s_tables('tables')} AS text FROM {ELEMENTS}")
+def table_text(spark, d):
+    return fx.ELEMENTS.spark(spark).select("source", "page", chunking.tables_text(F.col("tables")).alias("text"))
+
+
+@query(f"SELECT source, page, {s_images('images')} AS text FROM {ELEMENTS}")
+def image_text(spark, d):
+    return fx.ELEMENTS.spark(spark).select("source", "page", chunking.images_text(F.col("images")).alias("text"))
+
+
+_PAGE_INPUT = f"(SELECT * FROM {ELEMENTS} UNION ALL BY NAME SELECT source, CAST(doc_id AS INTEGER) AS page, text, false AS ocr_used, [] AS images, [] AS tables, false AS has_visual_content FROM documents)"
+PAGE_CHUNKS = f"""(WITH p AS (SELECT *, {s_clean_chunk('text')} AS t, {s_sentences('text')} AS s FROM {_PAGE_INPUT}), items AS (
+    SELECT source, page, ocr_used, i AS seq, 'text' AS content_type, 'body' AS region, k[i].text AS text, has_visual_content FROM (SELECT *, unnest(range(1, len(k) + 1)) AS i FROM (SELECT *, {s_packs('s')} AS k FROM p WHERE len(s) > 0))
+    UNION ALL SELECT source, page, ocr_used, 1000001, 'table', 'table', {s_tables('tables')}, true FROM p WHERE {s_tables('tables')} <> ''
+    UNION ALL SELECT source, page, ocr_used, 1000002, 'image', 'image', 'Visual content on page ' || page || '.' || chr(10) || {s_images('images')}, true FROM p WHERE {s_images('images')} <> ''
+    UNION ALL SELECT source, page, ocr_used, 1000003, 'visual_page', 'visual_page', 'Visual page ' || page || '.', true FROM p WHERE page_image IS NOT NULL AND t = '')
+    SELECT row_number() OVER (ORDER BY source, page, seq) - 1 AS chunk_id, source, page, content_type, region, text, coalesce(ocr_used, false) AS ocr_used, has_visual_content FROM items)"""
+
+
+def _page_chunks(spark, d):
+    own = src.pages_from_documents(table(spark, d, "documents")).withColumn("ocr_used", F.lit(False)).withColumn("has_visual_content", F.lit(False)).withColumn("images", F.array().cast("array<struct<path:string,width:int,height:int,extension:string>>")).withColumn("tables", F.array().cast("array<struct<rows:array<array<string>>>>"))
+    return chunking.page_chunks(fx.ELEMENTS.spark(spark).unionByName(own, allowMissingColumns=True))
+
+
+@query(f"SELECT chunk_id, source, page, content_type, region, text, ocr_used, has_visual_content FROM {PAGE_CHUNKS}")
+def page_chunks(spark, d):
+    return _page_chunks(spark, d).drop("section")
+
+
+_BLOCKS = fx.BLOCKS.sql(["source", "page", "region", "text"])
+
+
+@query(
+    f"""SELECT source, page, region, CAST(i - 1 AS INTEGER) AS chunk, p[i] AS text FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM (
+    SELECT source, coalesce(page, 0) AS page, coalesce(region, 'body') AS region, CASE WHEN region = 'header' THEN [{s_clean_chunk('text')}] ELSE list_transform({s_packs('s')}, lambda q: q.text) END AS p
+    FROM (SELECT *, {s_sentences('text')} AS s FROM {_BLOCKS}) WHERE {s_clean_chunk('text')} <> ''))"""
+)
+def legacy_chunks(spark, d):
+    return chunking.legacy_chunks(fx.BLOCKS.spark(spark))
+
+
+def _stats_sql(by: str, value: str) -> str:
+    return f"SELECT '{by}' AS by, CAST({value} AS VARCHAR) AS value, count(*) AS n, count(*) FILTER (ocr_used) AS n_ocr, count(*) FILTER (has_visual_content) AS n_visual FROM c GROUP BY {value}"
+
+
+@query(f"WITH c AS (SELECT *, 'all' AS everything FROM {PAGE_CHUNKS}) " + " UNION ALL ".join(_stats_sql(b, v) for b, v in (("region", "region"), ("content_type", "content_type"), ("source", "source"), ("all", "everything"))))
+def chunk_stats(spark, d):
+    return chunking.chunk_stats(_page_chunks(spark, d))
+
+
+@query(f"SELECT chunk_id FROM {PAGE_CHUNKS} WHERE content_type IN ('text', 'table') AND {s_strip('text')} <> ''")
+def embeddable(spark, d):
+    return embedding.embeddable(_page_chunks(spark, d)).select("chunk_id")
+
+
+@query(f"SELECT content_type, count(*) AS n, count(*) FILTER (content_type IN ('text', 'table')) AS n_embedded FROM {PAGE_CHUNKS} GROUP BY 1")
+def embed_stats(spark, d):
+    return embedding.embed_stats(_page_chunks(spark, d))
+
+
+@query(f"SELECT source, count(DISTINCT page) AS n_pages FROM {PAGE_CHUNKS} WHERE content_type = 'table' GROUP BY source")
+def table_pages(spark, d):
+    return visual.table_pages(_page_chunks(spark, d)).groupBy("source").agg(F.count_distinct("page").alias("n_pages"))
+
+
+@query(
+    f"""SELECT count(DISTINCT source) AS n_documents, count(*) AS n_pages, count(*) FILTER (ocr_used) AS n_ocr, CAST(sum(len(images)) AS BIGINT) AS n_images, CAST(sum(len(list_filter(tables, lambda t: len(t.rows) > 0))) AS BIGINT) AS n_tables, count(page_image) AS n_rendered,
+    round(coalesce(avg(ocr_confidence) FILTER (ocr_used AND ocr_confidence > 0), 0), 6) AS mean_confidence, round(coalesce(avg(ocr_quality) FILTER (ocr_used AND ocr_quality > 0), 0), 6) AS mean_quality FROM {ELEMENTS}"""
+)
+def ingest_summary(spark, d):
+    rows = fx.ELEMENTS.spark(spark).withColumn("image_count", F.size("images")).withColumn("table_count", F.size(F.filter("tables", lambda t: F.size(t["rows"]) > 0)))
+    return evaluation.ingest_summary(rows).withColumn("mean_confidence", F.round("mean_confidence", 6)).withColumn("mean_quality", F.round("mean_quality", 6))
+
+
+# ------------------------------------------------------------------ vectors and ranking
+
+
+def _vectors(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+
+
+def _queries(spark, d):
+    return table(spark, d, "benchmark").join(_vectors(spark, d), F.col("item_id") == F.col("chunk_id")).select(F.col("item_id").alias("q_id"), F.col("text").alias("question"), "vector")
+
+
+def _doc_chunks(spark, d):
+    """Documents as chunks; regions are dealt by id, since the table has none."""
+    region = F.element_at(F.array(*map(F.lit, ("body", "abstract", "header", "table"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "source", F.col("doc_id").cast("int").alias("page"), region.alias("region"), F.lit("Unknown").alias("section"), F.lit("Unknown").alias("subsection"), F.lit("text").alias("content_type"), "text")
+
+
+DOC_CHUNKS = "(SELECT doc_id AS chunk_id, source, CAST(doc_id AS INTEGER) AS page, (['body', 'abstract', 'header', 'table'])[doc_id % 4 + 1] AS region, 'text' AS content_type, text FROM documents)"
+_DOT = "list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"
+DENSE = f"(SELECT q.vec_id AS q_id, v.vec_id AS chunk_id, {_DOT} AS score FROM embeddings v, embeddings q SEMI JOIN benchmark b ON b.item_id = q.vec_id)"
+_TOP5 = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, chunk_id) AS rank FROM {DENSE}) WHERE rank <= 5)"
+
+
+@query(f"SELECT q_id, CAST(rank AS INTEGER) AS rank, chunk_id, round(score, 6) AS score FROM {_TOP5}")
+def knn_top5(spark, d):
+    return retrieval.similarities(_vectors(spark, d), _queries(spark, d), k=5).select("q_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT q_id, CAST(rank AS INTEGER) AS rank, chunk_id, round(score, 6) AS score, source FROM {_TOP5} JOIN {DOC_CHUNKS} USING (chunk_id) WHERE score >= 0.15")
+def dense_retrieve(spark, d):
+    return retrieval.dense_retrieve(_doc_chunks(spark, d), _vectors(spark, d), _queries(spark, d)).select("q_id", "rank", "chunk_id", F.round("score", 6).alias("score"), "source")
+
+
+_ASKED = "(SELECT item_id AS q_id, text AS question FROM benchmark SEMI JOIN embeddings ON item_id = vec_id)"
+SCATTER = f"(SELECT a.q_id, c.doc_id AS chunk_id, coalesce(s.score, 0.0) AS semantic FROM documents c CROSS JOIN {_ASKED} a LEFT JOIN {DENSE} s ON s.q_id = a.q_id AND s.chunk_id = c.doc_id)"
+
+
+@query(f"SELECT q_id, chunk_id, round(semantic, 6) AS semantic FROM {SCATTER}")
+def semantic_scatter(spark, d):
+    return retrieval.semantic_scores(_doc_chunks(spark, d), _vectors(spark, d), _queries(spark, d)).withColumn("semantic", F.round("semantic", 6))
+
+
+def s_bm25(questions: str) -> str:
+    return f"""(WITH t AS (SELECT doc_id, unnest({s_tokens('text')}) AS term FROM documents), len AS (SELECT doc_id, len({s_tokens('text')}) AS len FROM documents), corpus AS (SELECT count(*) AS n, avg(len) AS avglen FROM len),
+        tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), raw AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM df, corpus),
+        idf AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM raw) ELSE idf END AS idf FROM raw), asked AS (SELECT q_id, term, count(*) AS times FROM (SELECT q_id, unnest({s_tokens('question')}) AS term FROM {questions}) GROUP BY ALL)
+        SELECT q_id, doc_id AS chunk_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avglen))) AS bm25 FROM asked JOIN idf USING (term) JOIN tf USING (term) JOIN len USING (doc_id), corpus GROUP BY ALL)"""
+
+
+@query(f"SELECT q_id, CAST(rank AS INTEGER) AS rank, chunk_id, round(bm25, 6) AS bm25 FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY round(bm25, 6) DESC, chunk_id) AS rank FROM {s_bm25('(SELECT item_id AS q_id, text AS question FROM benchmark)')}) WHERE rank <= 10")
+def bm25_top10(spark, d):
+    from pyspark.sql.window import Window
+
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("q_id"), F.col("text").alias("question"))
+    found = retrieval.bm25(_doc_chunks(spark, d), asked).withColumn("bm25", F.round("bm25", 6))
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("bm25"), "chunk_id"))).filter("rank <= 10").select("q_id", "rank", "chunk_id", "bm25")
+
+
+def s_keyword(questions: str) -> str:
+    return f"(SELECT q_id, doc_id AS chunk_id, len(list_intersect(qt, dt)) / CAST(len(qt) AS DOUBLE) AS keyword FROM (SELECT q_id, list_distinct({s_tokens('question')}) AS qt FROM {questions}), (SELECT doc_id, list_distinct({s_tokens('text')}) AS dt FROM documents) WHERE len(list_intersect(qt, dt)) > 0)"
+
+
+@query(f"SELECT q_id, chunk_id, round(keyword, 6) AS keyword FROM {s_keyword('(SELECT item_id AS q_id, text AS question FROM benchmark)')}")
+def keyword_overlap(spark, d):
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("q_id"), F.col("text").alias("question"))
+    return retrieval.keyword_overlap(_doc_chunks(spark, d), asked).withColumn("keyword", F.round("keyword", 6))
+
+
+@query("SELECT doc_id, source, round(CASE WHEN max(n_chars) OVER w - min(n_chars) OVER w < 1e-8 THEN 0.0 ELSE (n_chars - min(n_chars) OVER w) / CAST(max(n_chars) OVER w - min(n_chars) OVER w AS DOUBLE) END, 6) AS score FROM documents WINDOW w AS (PARTITION BY source)")
+def minmax_norm(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "source", F.col("n_chars").cast("double").alias("score"))
+    return retrieval.minmax(docs, "score", by="source").select("doc_id", "source", F.round("score", 6).alias("score"))
+
+
+def s_intent(q: str) -> str:
+    out = "CASE"
+    for name, region, phrases in lex.INTENTS:
+        out += f" WHEN {s_any(f'lower({q})', phrases + (lex.DOMAIN_PACK.technical if name == 'technical' else ()))} THEN '{region}'"
+    return f"{out} ELSE 'general' END"
+
+
+def s_objective(q: str) -> str:
+    return s_any(f"lower({q})", lex.OBJECTIVE_QUERY)
+
+
+def s_expand(q: str) -> str:
+    out = f"coalesce({q}, '')"
+    for triggers, phrase in lex.DOMAIN_PACK.expansions:
+        out += f" || CASE WHEN {s_objective(q) if triggers is None else s_any(f'lower({q})', triggers)} THEN {fx.literal(phrase)} ELSE '' END"
+    return f"({out})"
+
+
+def s_region(region: str, intent: str) -> str:
+    return "CASE " + " ".join(f"WHEN {intent} = '{i}' AND {region} = '{r}' THEN {v}" for (i, r), v in lex.REGION_ADJUSTMENT.items()) + " ELSE 0.0 END"
+
+
+def s_objective_score(q: str, t: str) -> str:
+    terms = fx.literal([*lex.OBJECTIVE_TERMS, *lex.DOMAIN_PACK.objective_terms])
+    triple = " AND ".join(f"contains(lower({t}), '{x}')" for x in lex.OBJECTIVE_TRIPLE)
+    return f"CASE WHEN {s_objective(q)} THEN len(list_filter({terms}, lambda p: contains(lower({t}), p))) * 0.05 + CASE WHEN {s_any(f'lower({t})', lex.OBJECTIVE_PHRASES)} THEN 0.25 ELSE 0.0 END + CASE WHEN {triple} THEN 0.20 ELSE 0.0 END ELSE 0.0 END"
+
+
+_HYBRID_Q = f"(SELECT q_id, {s_expand('question')} AS question FROM {_ASKED})"
+_SCALED = ", ".join(f"CASE WHEN max({c}) OVER w - min({c}) OVER w < 1e-8 THEN 0.0 ELSE ({c} - min({c}) OVER w) / (max({c}) OVER w - min({c}) OVER w) END AS {c}_score" for c in ("semantic", "bm25", "keyword"))
+HYBRID = f"""(WITH raw AS (SELECT s.q_id, s.chunk_id, semantic, coalesce(b.bm25, 0) AS bm25, coalesce(k.keyword, 0) AS keyword FROM {SCATTER} s LEFT JOIN {s_bm25(_HYBRID_Q)} b USING (q_id, chunk_id) LEFT JOIN {s_keyword(_HYBRID_Q)} k USING (q_id, chunk_id)),
+    scaled AS (SELECT *, {_SCALED} FROM raw WINDOW w AS (PARTITION BY q_id)), scored AS (SELECT *, 0.55 * semantic_score + 0.30 * bm25_score + 0.15 * keyword_score AS hybrid_score FROM scaled),
+    adjusted AS (SELECT s.*, c.source, c.page, c.region, c.content_type, c.text, {s_intent('a.question')} AS intent, {s_objective_score('a.question', 'c.text')} AS objective_score FROM scored s JOIN {_ASKED} a USING (q_id) JOIN {DOC_CHUNKS} c USING (chunk_id)),
+    final AS (SELECT * REPLACE (CAST(objective_score AS DOUBLE) AS objective_score), CAST({s_region('region', 'intent')} AS DOUBLE) AS region_adjustment FROM adjusted)
+    SELECT * FROM (SELECT *, hybrid_score + region_adjustment + objective_score AS final_score, row_number() OVER (PARTITION BY q_id ORDER BY round(hybrid_score + region_adjustment + objective_score, 9) DESC, chunk_id DESC) AS rank FROM final) WHERE rank <= 5)"""
+_SCORES = ("semantic_score", "bm25_score", "keyword_score", "hybrid_score", "region_adjustment", "objective_score", "final_score")
+
+
+def _hybrid(spark, d):
+    return retrieval.hybrid_search(_doc_chunks(spark, d), _vectors(spark, d), _queries(spark, d), k=5)
+
+
+@query(f"SELECT q_id, CAST(rank AS INTEGER) AS rank, chunk_id, intent, {', '.join(f'round({c}, 6) AS {c}' for c in _SCORES)} FROM {HYBRID}")
+def hybrid_search(spark, d):
+    return _hybrid(spark, d).select("q_id", "rank", "chunk_id", "intent", *[F.round(c, 6).alias(c) for c in _SCORES])
+
+
+@query("SELECT round(avg(n), 6) AS mean_norm, round(min(n), 6) AS min_norm, round(max(n), 6) AS max_norm, count(*) AS n_vectors FROM (SELECT sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n FROM embeddings)")
+def norm_stats(spark, d):
+    return embedding.norm_stats(_vectors(spark, d)).select("n_vectors", *[F.round(c, 6).alias(c) for c in ("mean_norm", "min_norm", "max_norm")])
+
+
+@query(f"SELECT chunk_id, source, page, region, label, text FROM embeddings JOIN {DOC_CHUNKS} ON vec_id = chunk_id")
+def vector_store(spark, d):
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
+    return embedding.vector_store(_doc_chunks(spark, d), vectors).select("chunk_id", "source", "page", "region", "label", "text")
+
+
+@query(f"WITH s AS (SELECT * FROM embeddings JOIN {DOC_CHUNKS} ON vec_id = chunk_id) SELECT 'content_type' AS by, content_type AS value, count(*) AS n, CAST(0 AS BIGINT) AS n_ocr FROM s GROUP BY content_type UNION ALL SELECT 'source', source, count(*), 0 FROM s GROUP BY source")
+def vector_stats(spark, d):
+    store = embedding.vector_store(_doc_chunks(spark, d).withColumn("ocr_used", F.lit(False)), _vectors(spark, d))
+    return embedding.vector_stats(store)
+
+
+@query(
+    """SELECT 'vector_without_chunk' AS check, 'error' AS severity, count(*) AS violations FROM embeddings ANTI JOIN documents ON vec_id = doc_id
+    UNION ALL SELECT 'chunk_without_vector', 'warn', count(*) FROM (SELECT * FROM documents WHERE trim(text) <> '') ANTI JOIN embeddings ON vec_id = doc_id
+    UNION ALL SELECT 'duplicate_vector_id', 'error', count(*) FROM (SELECT vec_id FROM embeddings GROUP BY 1 HAVING count(*) > 1)
+    UNION ALL SELECT 'duplicate_chunk_key', 'error', count(*) FROM (SELECT doc_id FROM documents GROUP BY source, doc_id HAVING count(*) > 1)
+    UNION ALL SELECT 'wrong_dimension', 'error', count(*) FROM embeddings WHERE len(embedding) <> 64
+    UNION ALL SELECT 'not_unit_norm', 'warn', count(*) FROM embeddings WHERE abs(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) - 1) > 1e-3"""
+)
+def integrity_report(spark, d):
+    return embedding.integrity_report(_doc_chunks(spark, d), _vectors(spark, d), dims=64)
+
+
+# ------------------------------------------------------------------ routing
+
+
+@query(f"SELECT q_id, {s_intent('question')} AS intent FROM {ALL_QUESTIONS}")
+def query_intent(spark, d):
+    return all_questions(spark, d).select("q_id", routing.intent(F.col("question")).alias("intent"))
+
+
+_FLAGS = {"objective": lex.OBJECTIVE_QUERY, "tabular": lex.TABLE_WORDS, "visual": lex.VISUAL_WORDS, "fusion": lex.FUSION_WORDS, "comparison": lex.COMPARISON_PHRASES}
+
+
+@query(f"SELECT q_id, {', '.join(f'{s_any('lower(question)', v)} AS {k}' for k, v in _FLAGS.items())} FROM {ALL_QUESTIONS}")
+def query_flags(spark, d):
+    q = F.col("question")
+    return all_questions(spark, d).select("q_id", routing.is_objective(q).alias("objective"), routing.is_table(q).alias("tabular"), routing.is_visual(q).alias("visual"), routing.is_fusion(q).alias("fusion"), routing.is_comparison(q).alias("comparison"))
+
+
+@query(f"SELECT q_id, {s_expand('question')} AS expanded FROM {ALL_QUESTIONS}")
+def query_expand(spark, d):
+    return all_questions(spark, d).select("q_id", routing.expand(F.col("question")).alias("expanded"))
+
+
+@query(f"SELECT q_id, CASE WHEN {s_any('lower(question)', lex.COMPARISON_PHRASES)} THEN 'comparison' WHEN {s_any('lower(question)', lex.FUSION_WORDS)} THEN 'fusion' WHEN {s_any('lower(question)', lex.TABLE_WORDS)} THEN 'table' WHEN {s_any('lower(question)', lex.VISUAL_WORDS)} THEN 'visual' ELSE 'text' END AS route FROM {ALL_QUESTIONS}")
+def route_questions(spark, d):
+    return all_questions(spark, d).select("q_id", routing.route(F.col("question")).alias("route"))
+
+
+def s_first(q: str, *patterns: str) -> str:
+    return "coalesce(" + ", ".join(f"nullif(regexp_extract({q}, '{p}', 1), '')" for p in patterns) + ")"
+
+
+@query(rf"SELECT q_id, TRY_CAST({s_first('question', r'(?i)\bpage\s*(\d+)\b', r'(?i)\bp\.\s*(\d+)\b', r'(?i)\bpg\.?\s*(\d+)\b')} AS INTEGER) AS page FROM {ALL_QUESTIONS}")
+def page_refs(spark, d):
+    return all_questions(spark, d).select("q_id", routing.requested_page(F.col("question")).alias("page"))
+
+
+@query(rf"SELECT q_id, upper({s_first('question', r'(?i)\btable\s*([IVXLCDM]+)\b', r'(?i)\btable\s*(\d+)\b')}) AS number FROM {ALL_QUESTIONS}")
+def table_refs(spark, d):
+    return all_questions(spark, d).select("q_id", routing.table_number(F.col("question")).alias("number"))
+
+
+@query(f"SELECT region, intent, CAST({s_region('region', 'intent')} AS DOUBLE) AS adjustment FROM (SELECT unnest(['header', 'abstract', 'body', 'table']) AS region), (SELECT unnest(['header', 'abstract', 'body', 'general']) AS intent)")
+def region_adjust(spark, d):
+    regions = spark.createDataFrame([(r,) for r in ("header", "abstract", "body", "table")], "region string")
+    intents = spark.createDataFrame([(i,) for i in ("header", "abstract", "body", "general")], "intent string")
+    return regions.crossJoin(intents).select("region", "intent", routing.region_adjustment(F.col("region"), F.col("intent")).alias("adjustment"))
+
+
+_OBJECTIVE_TEXT = "(SELECT id, CASE WHEN id % 2 = 0 THEN 'This paper proposes an integrated framework to monitor and predict; it aims to ' ELSE '' END || coalesce(text, '') AS text FROM " + ALL_TEXTS + ")"
+
+
+@query(f"SELECT id, round(CAST({s_objective_score(fx.literal('What is the purpose?'), 'text')} AS DOUBLE), 6) AS score FROM {_OBJECTIVE_TEXT}")
+def objective_score(spark, d):
+    lead = F.when(F.col("id") % 2 == 0, "This paper proposes an integrated framework to monitor and predict; it aims to ").otherwise("")
+    rows = all_texts(spark, d).withColumn("text", F.concat(lead, F.coalesce("text", F.lit(""))))
+    return rows.select("id", F.round(routing.objective_score(F.lit("What is the purpose?"), F.col("text")), 6).alias("score"))
+
+
+# ------------------------------------------------------------------ visual evidence
+
+
+def _visual_chunks(spark, d):
+    rows = fx.ELEMENTS.spark(spark).withColumn("chunk_id", F.row_number().over(_by("source", "page")).cast("long"))
+    return rows.withColumn("content_type", F.when(F.size("images") > 0, "image").when(F.size("tables") > 0, "table").otherwise("visual_page"))
+
+
+def _by(*columns: str):
+    from pyspark.sql.window import Window
+
+    return Window.orderBy(*columns)  # a literal table of four rows
+
+
+VISUAL = f"(SELECT *, row_number() OVER (ORDER BY source, page) AS chunk_id, CASE WHEN len(images) > 0 THEN 'image' WHEN len(tables) > 0 THEN 'table' ELSE 'visual_page' END AS content_type FROM {ELEMENTS})"
+_AVAILABLE = f"(SELECT source, page, chunk_id, coalesce(list_filter(images, lambda x: coalesce(x.path, '') <> '')[1].path, nullif(page_image.path, '')) AS path FROM {VISUAL} WHERE coalesce(list_filter(images, lambda x: coalesce(x.path, '') <> '')[1].path, nullif(page_image.path, '')) IS NOT NULL)"
+
+
+@query(f"SELECT source, page, chunk_id, im.path AS path FROM (SELECT source, page, chunk_id, unnest(images) AS im FROM {VISUAL} WHERE content_type = 'image') WHERE coalesce(im.path, '') <> ''")
+def image_chunks(spark, d):
+    return visual.image_chunks(_visual_chunks(spark, d))
+
+
+@query(f"SELECT source, page, chunk_id, path FROM {_AVAILABLE}")
+def available_pages(spark, d):
+    return visual.available_pages(_visual_chunks(spark, d))
+
+
+@query(
+    "SELECT CAST(q AS BIGINT) AS q_id, CAST(place AS INTEGER) AS place, source, CAST(page AS INTEGER) AS page, path FROM (VALUES (1, 1, 'a.pdf', 1, 'i1.png'), (17, 1, 'a.pdf', 1, 'i1.png'), (17, 2, 'b c.pdf', 1, 'i2.jpg'), (13, 1, 'a.pdf', 2, 'a_2.png')) AS t(q, place, source, page, path)"
+)
+def visual_select(spark, d):
+    chunks = _visual_chunks(spark, d)
+    results = spark.createDataFrame([(13, 1, "a.pdf", 2), (13, 2, "a.pdf", 3), (1, 1, "a.pdf", 2)], "q_id long, rank int, source string, page int")
+    asked = fx.QUESTIONS.spark(spark).filter("q_id IN (1, 13, 14, 17)")
+    return visual.select_pages(asked, results, visual.available_pages(chunks), visual.table_pages(chunks))
+
+
+@query(f"SELECT id, CAST(greatest(1, floor(width * s)) AS INTEGER) AS new_width, CAST(greatest(1, floor(height * s)) AS INTEGER) AS new_height FROM (SELECT *, least(850 / CAST(width AS DOUBLE), 1100 / CAST(height AS DOUBLE), 1.0) AS s FROM {fx.SIZES.sql(['id', 'width', 'height'])})")
+def resize_dims(spark, d):
+    return visual.resize_dims(fx.SIZES.spark(spark)).select("id", "new_width", "new_height")
+
+
+# ------------------------------------------------------------------ memory
+
+TURNS = "(SELECT conv_id, turn, text AS question, answer FROM (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS answer FROM conversations WHERE role <> 'system' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND next_role = 'assistant' AND answer <> '')"
+_WINDOW = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS age FROM {TURNS}) WHERE age <= 4)"
+_MEMORY = f"(SELECT conv_id, left(string_agg('User: ' || question || chr(10) || 'Assistant: ' || left(answer, 1000), chr(10) || chr(10) ORDER BY turn), 3500) AS memory FROM {_WINDOW} GROUP BY conv_id)"
+
+
+def _turns(spark, d):
+    return memory.answered_turns(table(spark, d, "conversations"))
+
+
+@query(f"SELECT conv_id, turn, CAST(age AS INTEGER) AS age, question, answer FROM {_WINDOW}")
+def memory_window(spark, d):
+    return memory.memory_window(_turns(spark, d))
+
+
+@query(f"SELECT conv_id, memory FROM {_MEMORY}")
+def memory_context(spark, d):
+    return memory.memory_context(_turns(spark, d))
+
+
+@query(
+    f"""SELECT c.conv_id, 'What about it?' AS question, CASE WHEN coalesce(memory, '') = '' THEN 'What about it?' ELSE 'Earlier in this conversation:' || chr(10) || memory || chr(10) || chr(10) || 'Question now:' || chr(10) || 'What about it?' || chr(10) || chr(10) || 'Earlier turns only say what it, this, that, the model or the result stands for.' END AS query
+    FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN {_MEMORY} m USING (conv_id)"""
+)
+def contextual_query(spark, d):
+    asked = table(spark, d, "conversations").select("conv_id").distinct().withColumn("question", F.lit("What about it?"))
+    return memory.contextual_query(asked, memory.memory_context(_turns(spark, d)))
+
+
+# ------------------------------------------------------------------ evidence
+
+
+@query(
+    f"""SELECT q_id, string_agg(chr(10) || '[Source ' || rank || ']' || chr(10) || 'File: ' || coalesce(source, 'Unknown') || chr(10) || 'Page: ' || page || chr(10) || 'Chunk: ' || chunk_id || chr(10) || 'Region: ' || region || chr(10) || 'Content type: ' || content_type || chr(10) || 'Evidence:' || chr(10) || left(text, 1800) || chr(10), chr(10) ORDER BY rank) AS context FROM {HYBRID} GROUP BY q_id"""
+)
+def evidence_context(spark, d):
+    return evidence.evidence_context(_hybrid(spark, d))
+
+
+_ANSWERS = fx.ANSWERS.sql(["q_id", "answer", "n_sources"])
+
+
+def s_cites(pattern: str) -> str:
+    return rf"list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(answer, '(?i)\[{pattern}\s+(\d+)\]', 1), lambda x: CAST(x AS INTEGER)), lambda x: x BETWEEN 1 AND n_sources)))"
+
+
+@query(f"SELECT q_id, array_to_string({s_cites('Source')}, ',') AS cited, array_to_string({s_cites('Visual Source')}, ',') AS cited_visual FROM {_ANSWERS}")
+def citations(spark, d):
+    rows = fx.ANSWERS.spark(spark)
+    cite = lambda v: F.array_join(evidence.citations(F.col("answer"), F.col("n_sources"), v), ",")
+    return rows.select("q_id", cite(False).alias("cited"), cite(True).alias("cited_visual"))
+
+
+_NEEDS = f"len({s_cites('Source')}) = 0"
+_FIRST = "range(1, least(2, n_sources) + 1)"
+
+
+@query(
+    f"""SELECT q_id, CASE WHEN {_NEEDS} AND n_sources > 0 THEN answer || chr(10) || chr(10) || array_to_string(list_transform({_FIRST}, lambda i: '[Source ' || i || ']'), '') ELSE answer END AS answer, array_to_string(CASE WHEN {_NEEDS} THEN {_FIRST} ELSE {s_cites('Source')} END, ',') AS cited FROM {_ANSWERS}"""
+)
+def citation_repair(spark, d):
+    return evidence.repair_citations(fx.ANSWERS.spark(spark)).withColumn("cited", F.array_join("cited", ","))
+
+
+@query(f"SELECT q_id, CAST(rank AS INTEGER) AS rank, page, chunk_id, 'Unknown' AS section, 'Unknown' AS subsection, region, round(final_score, 6) AS score, source, source AS document FROM {HYBRID}")
+def api_sources(spark, d):
+    return evidence.api_sources(_hybrid(spark, d)).withColumn("score", F.round("score", 6))
+
+
+@query("SELECT source, min(doc_id) AS first_chunk FROM documents WHERE coalesce(source, '') <> '' GROUP BY source")
+def doc_sources(spark, d):
+    return evidence.doc_sources(_doc_chunks(spark, d))
+
+
+DOC_EVIDENCE = f"(SELECT source, CAST(r AS INTEGER) AS place, page, chunk_id, text FROM (SELECT source, page, chunk_id, {_T} AS text, row_number() OVER (PARTITION BY source ORDER BY length({_T}) DESC, chunk_id) AS r FROM {DOC_CHUNKS} WHERE length({_T}) >= 80) WHERE r <= 4)"
+
+
+@query(f"SELECT * FROM {DOC_EVIDENCE}")
+def doc_evidence(spark, d):
+    return evidence.doc_evidence(_doc_chunks(spark, d))
+
+
+@query(
+    f"""SELECT CAST(row_number() OVER (ORDER BY first_chunk) AS INTEGER) AS number, s.source, coalesce(t.text, 'No usable text chunks were available.') AS text, 'No additional visual evidence was available.' AS visual FROM (SELECT source, min(doc_id) AS first_chunk FROM documents WHERE coalesce(source, '') <> '' GROUP BY source) s
+    LEFT JOIN (SELECT source, left(string_agg('Page ' || page || ' (Chunk ' || chunk_id || '):' || chr(10) || left(text, 1400), chr(10) || chr(10) ORDER BY place), 4500) AS text FROM {DOC_EVIDENCE} GROUP BY source) t ON s.source = t.source"""
+)
+def doc_compare_context(spark, d):
+    return evidence.doc_compare_context(_doc_chunks(spark, d))
+
+
+# ------------------------------------------------------------------ evaluation
+
+_CASES = fx.CASES.sql(["name", "category", "answer", "expected_terms"])
+
+
+def s_eval(x: str) -> str:
+    return s_strip(rf"regexp_replace(translate(lower({x}), '_\', '  '), '\s+', ' ', 'g')")
+
+
+_HIT = f"list_filter(expected_terms, lambda t: contains({s_eval('answer')}, {s_eval('t')}))"
+_MISS = f"list_filter(expected_terms, lambda t: NOT contains({s_eval('answer')}, {s_eval('t')}))"
+EVAL = f"(SELECT name, category, CASE WHEN len(expected_terms) = 0 THEN 0.0 ELSE len({_HIT}) / CAST(len(expected_terms) AS DOUBLE) END AS score, array_to_string({_HIT}, ',') AS matched, array_to_string({_MISS}, ',') AS missing FROM {_CASES})"
+
+
+@query(f"SELECT name, round(score, 6) AS score, score >= 0.7 AS passed, matched, missing FROM {EVAL}")
+def eval_terms(spark, d):
+    return evaluation.eval_terms(fx.CASES.spark(spark)).select("name", F.round("score", 6).alias("score"), "passed", F.array_join("matched", ",").alias("matched"), F.array_join("missing", ",").alias("missing"))
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (quality = 1) AS n_passed, count(*) FILTER (quality <> 1) AS n_failed, round(100.0 * count(*) FILTER (quality = 1) / count(*), 6) AS accuracy FROM labels")
+def eval_summary(spark, d):
+    results = table(spark, d, "labels").select((F.col("quality") == 1).alias("passed"))
+    return evaluation.eval_summary(results).withColumn("accuracy", F.round(F.col("accuracy").cast("double"), 6))
+
+
+@query("SELECT lang AS category, count(*) AS total, count(*) FILTER (quality = 1) AS n_passed, round(100.0 * count(*) FILTER (quality = 1) / count(*), 6) AS accuracy FROM labels JOIN documents USING (doc_id) GROUP BY ROLLUP (lang)")
+def eval_by_category(spark, d):
+    results = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", F.col("lang").alias("category")), "doc_id").select("category", (F.col("quality") == 1).alias("passed"))
+    return evaluation.eval_by_category(results).withColumn("accuracy", F.round(F.col("accuracy").cast("double"), 6))
