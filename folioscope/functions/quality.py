@@ -19,7 +19,7 @@ def text_quality(text: Column, confidence: Column) -> Column:
     share = F.try_divide(F.size(F.array_distinct(w)), F.size(w))
     again = F.when(F.size(w) < 10, 1.0).when(share < 0.20, 0.45).when(share < 0.35, 0.70).otherwise(1.0)
     raw = confidence / 100.0 * 0.40 + useful * 0.20 + F.least(F.size(w) / 80.0, F.lit(1.0)) * 0.15 + F.least(n / 500.0, F.lit(1.0)) * 0.25
-    return F.when(n == 0, 0.0).otherwise(F.round(raw * short * again, 4))
+    return F.when(n == 0, 0.0).otherwise(F.round(raw * short * again + 1e-9, 4))  # ties up
 
 
 def line_quality(text: Column, confidence: Column, language: Column) -> Column:

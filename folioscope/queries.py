@@ -209,7 +209,7 @@ _SHARE = f"(len(list_distinct({_W})) / CAST(len({_W}) AS DOUBLE))"
 @query(
     f"""SELECT id, CASE WHEN length({_T}) = 0 THEN 0.0e0 ELSE round((confidence * 0.40e0 + {_USEFUL} / CAST(length({_T}) AS DOUBLE) * 0.20e0 + least(len({_W}) / 80.0e0, 1.0e0) * 0.15e0 + least(length({_T}) / 500.0e0, 1.0e0) * 0.25e0)
     * CASE WHEN length({_T}) < 20 THEN 0.10e0 WHEN length({_T}) < 50 THEN 0.45e0 WHEN length({_T}) < 100 THEN 0.75e0 ELSE 1.0e0 END
-    * CASE WHEN len({_W}) < 10 THEN 1.0e0 WHEN {_SHARE} < 0.20e0 THEN 0.45e0 WHEN {_SHARE} < 0.35e0 THEN 0.70e0 ELSE 1.0e0 END, 4) END AS quality FROM {SCRIPT_INPUT}"""
+    * CASE WHEN len({_W}) < 10 THEN 1.0e0 WHEN {_SHARE} < 0.20e0 THEN 0.45e0 WHEN {_SHARE} < 0.35e0 THEN 0.70e0 ELSE 1.0e0 END + 1e-9, 4) END AS quality FROM {SCRIPT_INPUT}"""
 )
 def text_quality(spark, d):
     return ocr.score_pages(script_input(spark, d).withColumn("confidence", F.col("confidence") * 100)).select("id", "quality")
