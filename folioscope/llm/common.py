@@ -19,8 +19,19 @@ ROOT = str(Path(__file__).resolve().parents[2])
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows to an Arrow batch: rows here hold whole texts, pages or vectors.
+BATCH_ROWS = 2_000
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it."""
+    """Let Python workers import this package from where the driver has it.
+
+    Also keeps Arrow batches of whole texts small, unless the session says
+    otherwise than Spark's default.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)

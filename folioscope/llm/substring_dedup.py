@@ -51,7 +51,7 @@ _BASE, _INVERSE = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)
 _M1, _M2, _M3 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 
 #: Bytes of text worked on at a time.
-SLICE = 3_000_000
+SLICE = 1_000_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

@@ -296,7 +296,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 8_000) -> Model:
         channel = Channel(characters)
         for b in batches:
             out = []
-            for text in b.column(1).to_pylist():
+            for text in (t.as_py() for t in b.column(1)):
                 out.append("\n".join(sorted({w for t in channel.words(text or "") for w in channel.restore(t)})))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.string())], ["d", "y", "words"])
 
@@ -316,8 +316,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 8_000, th
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()
         for b in batches:
-            s = pa.array([score(t) for t in b.column(text).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns, s], [*names, "score"])
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                s = pa.array([score(t.as_py()) for t in part.column(text)], pa.float64())
+                yield pa.RecordBatch.from_arrays([*part.columns, s], [*names, "score"])
 
     schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
     out = docs.mapInArrow(run, schema)
