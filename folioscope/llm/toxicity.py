@@ -13,8 +13,9 @@ other than 0, and of these a sample of ``fit_rows`` (8,000) by hash of the id.
 
 Edge cases: a null or empty text scores what the model's bias says; labels that
 are null are not learned from; a document labelled twice counts as toxic if
-either row says so; without labels of both kinds every score is the share of
-toxic labels (0 if there are none); repeated rows score alike; an empty table
+either row says so; without labels of both kinds, or without a word that tells
+them apart, every score is about the share of toxic labels (0 if there are
+none); repeated rows score alike; an empty table
 gives an empty result; columns named held_out, score or predicted are replaced.
 """
 
@@ -234,6 +235,8 @@ def fit(sample: DataFrame, least: int = 4, most: int = 4_000) -> tuple[dict[str,
 
     pos = counts(1, None, least)
     chosen = choose(pos, counts(0, set(pos), 1), n1, n0, most)
+    if not chosen:  # nothing tells the labels apart: their share, leaning to clean
+        return {}, np.array([math.log((n1 + 0.5) / (n0 + 2))])
     number = {f: i for i, f in enumerate(chosen)}
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
