@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,6 +25,25 @@ WORD = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS = 2_000
 
 
+def trimmed(run):
+    """A ``mapInArrow`` function that gives memory back when its task ends.
+
+    Python workers live on and serve later stages; what malloc, Arrow's pool
+    and cyclic garbage hold on to would add up over the stages of a pipeline.
+    """
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it.
 

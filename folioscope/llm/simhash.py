@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ship
+from .common import materialize, ship, trimmed
 from .components import connected_components, forest
 
 PARTS, WIDTH = 4, 16
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame
             fp = np.fromiter((simhash(t.as_py(), shingle, seed) for t in b.column(1)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(run), "doc_id long, fp long")
 
 
 def _bits(fp: np.ndarray) -> np.ndarray:
@@ -265,7 +265,7 @@ def link_fingerprints(reps: DataFrame, distance: int = 4, side: int = 4_096, row
     hist = np.zeros(PARTS << WIDTH, np.int64)
     hist[counted["v"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
     balls = np.stack([ball_counts(h, distance) for h in hist.reshape(PARTS, -1)])
-    dealt = reps.select("fp", "rep").mapInArrow(_deal(order, balls, distance, side), "tile long, fp long, rep long, probe boolean")
+    dealt = reps.select("fp", "rep").mapInArrow(trimmed(_deal(order, balls, distance, side)), "tile long, fp long, rep long, probe boolean")
     distinct = int(hist.sum()) // PARTS
     buckets = max(1, distinct * (PARTS + 20) // rows_per_bucket)
     dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("tile"), F.lit(buckets)))

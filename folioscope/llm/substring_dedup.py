@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release, ship
+from .common import materialize, release, ship, trimmed
 
 SHINGLE = 8
 _U = np.uint64
@@ -265,7 +265,7 @@ def repeated_windows(docs: DataFrame, window: int = 35, group_rows: int = 1_000_
     are repeated throughout and of single repeated windows (word numbers)."""
     ship(docs.sparkSession)
     keyed = docs.select(*_keys(docs), F.coalesce("text", F.lit("")).alias("text"))
-    zones = materialize(keyed.mapInArrow(_find_zones(window), "d long, th int, at int, k long, s long"), "zones")
+    zones = materialize(keyed.mapInArrow(trimmed(_find_zones(window)), "d long, th int, at int, k long, s long"), "zones")
     often = zones.groupBy("k").agg(F.count(F.lit(1)).alias("_t")).filter("_t > 1").select(F.col("k").alias("_k"))
     shared = materialize(zones.join(often, zones["k"] == often["_k"]).drop("_k"), "shared-zones")
     release(zones)
@@ -280,7 +280,7 @@ def repeated_windows(docs: DataFrame, window: int = 35, group_rows: int = 1_000_
     release(shared)
     send = known.filter("send").groupBy("d", "th").agg(F.collect_list("at").alias("zones")).withColumnsRenamed({"d": "_d", "th": "_th"})
     asked = keyed.join(send, (keyed["d"] == send["_d"]) & (keyed["th"] == send["_th"])).select("d", "th", "text", "zones")
-    suffixes = materialize(asked.mapInArrow(_send_suffixes(window), "d long, th int, at int, p8 int, p16 int, p32 int, h long"), "suffixes")
+    suffixes = materialize(asked.mapInArrow(trimmed(_send_suffixes(window)), "d long, th int, at int, p8 int, p16 int, p32 int, h long"), "suffixes")
     release(suffixes.limit(0))
     total = suffixes.count()
     dealt = suffixes.withColumn("group", F.pmod(_prefix_group(suffixes, total, group_rows), F.lit(max(1, total * 8 // group_rows))))
@@ -325,5 +325,5 @@ def remove_repeats(docs: DataFrame, window: int = 35, digest: bool = False, carr
     keyed = docs.select(*_keys(docs), F.struct(*names).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     joined = keyed.join(found, (keyed["d"] == found["_d"]) & (keyed["th"] == found["_th"]), "left").select("row", "text", "zones", "places")
     row = joined.schema["row"].dataType.simpleString()
-    out = joined.mapInArrow(_keep(window, digest), f"row {row}, n_words long, n_removed long, kept string")
+    out = joined.mapInArrow(trimmed(_keep(window, digest)), f"row {row}, n_words long, n_removed long, kept string")
     return out.select(*[F.col("row")[c].alias(c) for c in names], "n_words", "n_removed", "kept")

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import materialize, ship
+from .common import materialize, ship, trimmed
 
 SYMBOLS = 28  # boundary, a-z, other letters
 
@@ -86,7 +86,7 @@ def character_model(docs: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["code", "n"])
 
-    rows = docs.select(F.concat(F.coalesce("text", F.lit("")), F.lit(" ")).alias("text")).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()  # at most 28**3
+    rows = docs.select(F.concat(F.coalesce("text", F.lit("")), F.lit(" ")).alias("text")).mapInArrow(trimmed(run), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()  # at most 28**3
     n = np.zeros(SYMBOLS**3)
     for r in rows:
         n[r["code"]] = r["n"]
@@ -229,7 +229,7 @@ def fit(sample: DataFrame, least: int = 4, most: int = 4_000) -> tuple[dict[str,
         return {}, np.array([math.log((n1 + 1e-9) / (n0 + 1e-9)) if n1 or n0 else -60.0])
 
     def counts(label: int, able: set[str] | None, floor: int) -> dict[str, int]:
-        rows = sample.filter(F.col("y") == label).select("words").mapInArrow(_count(able), "f string, n long")
+        rows = sample.filter(F.col("y") == label).select("words").mapInArrow(trimmed(_count(able)), "f string, n long")
         got = rows.groupBy("f").agg(F.sum("n").alias("n")).filter(F.col("n") >= floor).toPandas()
         return dict(zip(got["f"], got["n"].tolist()))
 
@@ -244,7 +244,7 @@ def fit(sample: DataFrame, least: int = 4, most: int = 4_000) -> tuple[dict[str,
             out = [sorted(number[f] for f in _features_of(w) if f in number) for w in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int32()))], ["d", "y", "feats"])
 
-    rows = sample.select("d", "y", "words").mapInArrow(numbers, "d long, y int, feats array<int>").toPandas().sort_values("d", kind="stable")
+    rows = sample.select("d", "y", "words").mapInArrow(trimmed(numbers), "d long, y int, feats array<int>").toPandas().sort_values("d", kind="stable")
     return number, regress([np.asarray(x, np.int64) for x in rows["feats"]], rows["y"].to_numpy(), len(chosen))
 
 
@@ -305,7 +305,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 8_000) -> Model:
 
     # The sample has at most ``fit_rows`` rows of two numbers.
     texts = docs.select(F.col("doc_id").cast("long").alias("_d"), "text").join(F.broadcast(sample), "_d").select("_d", "text", "_y")
-    number, weights = fit(materialize(texts.mapInArrow(words, "d long, y int, words string"), "labelled-words"))
+    number, weights = fit(materialize(texts.mapInArrow(trimmed(words), "d long, y int, words string"), "labelled-words"))
     return Model(characters, number, weights)
 
 
@@ -325,6 +325,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 8_000, th
                 yield pa.RecordBatch.from_arrays([*part.columns, s], [*names, "score"])
 
     schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
-    out = docs.mapInArrow(run, schema)
+    out = docs.mapInArrow(trimmed(run), schema)
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     return out.withColumn("held_out", F.coalesce(held, F.lit(False))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

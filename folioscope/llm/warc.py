@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path, ship
+from .common import materialize, new_path, ship, trimmed
 
 END = "\r\n\r\n"
 _STATUS = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -115,7 +115,7 @@ def write_warc(pages: DataFrame, path: str, segment_chars: int = 16_384, chunk_c
                     out, held = [], 0
             yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.string())})
 
-    rows = with_roles(pages).mapInArrow(build, "value string")
+    rows = with_roles(pages).mapInArrow(trimmed(build), "value string")
     rows.write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
 
 
@@ -161,7 +161,7 @@ def read_records(spark, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).select("content").mapInArrow(parse, _RECORD_SCHEMA)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).select("content").mapInArrow(trimmed(parse), _RECORD_SCHEMA)
 
 
 _WHOLE_SCHEMA = "record_id string, kind string, refers_to string, digest string, payload binary, intact boolean"
@@ -203,7 +203,7 @@ def read_warc(spark, path: str) -> DataFrame:
     alone = rec.filter("segment IS NULL").select("record_id", F.array(part).alias("parts"))
     cut = rec.filter("segment IS NOT NULL").select(F.coalesce("origin_id", "record_id").alias("record_id"), part.alias("part"))
     cut = cut.groupBy("record_id").agg(F.collect_list("part").alias("parts"))
-    return alone.unionByName(cut).mapInArrow(_finish, _WHOLE_SCHEMA)
+    return alone.unionByName(cut).mapInArrow(trimmed(_finish), _WHOLE_SCHEMA)
 
 
 def archive_pages(pages: DataFrame, path: str | None = None) -> DataFrame:
