@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Tokens of lexical scoring: ASCII letters and digits, joined by single dots or commas.
 TOKEN = r"[a-zA-Z0-9]+(?:[.,][a-zA-Z0-9]+)*"
 _WORD = r"[\p{L}\p{N}_]"
+#: Runs of blanks; a single space needs no rewriting.
+_BLANKS = r"[ \t]{2,}|\t"
 
 
 def strip(c: Column) -> Column:
@@ -19,14 +21,14 @@ def clean_ingest(c: Column) -> Column:
     """Page text: line ends, hyphenated line breaks (one word character a side), runs of blanks."""
     c = F.regexp_replace(F.coalesce(c, F.lit("")), "\r\n|\r", "\n")
     c = F.regexp_replace(c, rf"({_WORD})-\n({_WORD})", "$1$2")
-    return strip(F.regexp_replace(F.regexp_replace(c, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
+    return strip(F.regexp_replace(F.regexp_replace(c, _BLANKS, " "), r"\n{3,}", "\n\n"))
 
 
 def clean_chunk(c: Column) -> Column:
     """Chunk text: as above in another order; hyphens join whole words, line ends come last."""
-    c = F.regexp_replace(F.coalesce(c, F.lit("")), r"[ \t]+", " ")
+    c = F.regexp_replace(F.coalesce(c, F.lit("")), _BLANKS, " ")
     c = F.regexp_replace(c, r"\n{3,}", "\n\n")
-    c = F.regexp_replace(c, rf"({_WORD}+)-\n({_WORD}+)", "$1$2")
+    c = F.regexp_replace(c, rf"(?<!{_WORD})({_WORD}++)-\n({_WORD}++)", "$1$2")
     return strip(F.regexp_replace(c, "\r\n|\r", "\n"))
 
 
@@ -41,11 +43,9 @@ def normalize_eval(c: Column) -> Column:
 
 def sentences(c: Column) -> Column:
     """Sentences: blanks after . ! ? part them, decimals and abbreviations do not."""
-    c = F.regexp_replace(clean_chunk(c), r"(\d)\.(\d)", "$1<DOT>$2")
-    # Abbreviations with an inner dot keep it out of the split as well.
-    c = F.regexp_replace(c, r"(?iU)\b(e)\.(g)\.", "$1<DOT>$2<DOT>")
-    c = F.regexp_replace(c, r"(?iU)\b(i)\.(e)\.", "$1<DOT>$2<DOT>")
-    c = F.regexp_replace(c, r"(?iU)\b(etc|Dr|Mr|Mrs|Ms|Fig|Eq|approx|vs)\.", "$1<DOT>")
+    # Only a period before white space can part sentences, so decimals and the
+    # inner dots of abbreviations need no protection.
+    c = F.regexp_replace(clean_chunk(c), r"(?iU)\b(e\.g|i\.e|etc|Dr|Mr|Mrs|Ms|Fig|Eq|approx|vs)\.(?=\s)", "$1<DOT>")
     parts = F.split(F.regexp_replace(c, r"(?U)([.!?])\s+", "$1\u0001"), "\u0001")
     return F.filter(F.transform(parts, lambda s: strip(F.replace(s, F.lit("<DOT>"), F.lit(".")))), lambda s: s != "")
 

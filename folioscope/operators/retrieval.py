@@ -8,6 +8,8 @@ or vectors.  Chunk-side statistics of BM25 are aggregated in the cluster.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import routing
-from ..functions.lexicons import DOMAIN_PACK, DomainPack
-from ..functions.text import tokens
+from ..functions.lexicons import DOMAIN_PACK, OBJECTIVE_PHRASES, OBJECTIVE_TERMS, OBJECTIVE_TRIPLE, REGION_ADJUSTMENT, DomainPack
+from ..functions.text import TOKEN, tokens
 
 MOST_QUESTIONS = 10_000
 SEMANTIC, LEXICAL, KEYWORD = 0.55, 0.30, 0.15
@@ -147,15 +149,120 @@ def hybrid_scores(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, p
     return df.withColumn("final_score", F.col("hybrid_score") + F.col("region_adjustment") + F.col("objective_score"))
 
 
+def _statistics(chunks: DataFrame, terms: DataFrame) -> tuple[int, float, dict[str, float]]:
+    """Chunks, mean length in tokens, and the BM25 weight of each of ``terms`` (a bounded table).
+
+    One pass counts document frequencies of the whole vocabulary; only those
+    of the asked terms, and one mean, reach the driver.
+    """
+    toks = chunks.select(tokens(F.col("text")).alias("t"))
+    n, avglen = toks.agg(F.count(F.lit(1)), F.avg(F.size("t"))).first()
+    df = toks.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = df.select("term", (F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
+    asked = F.broadcast(terms.withColumn("_asked", F.lit(True)))
+    rows = idf.join(asked, "term", "left").groupBy(F.when(F.col("_asked"), F.col("term")).alias("term")).agg(F.sum("idf").alias("total"), F.count(F.lit(1)).alias("n")).collect()
+    size = sum(r["n"] for r in rows)
+    mean = sum(r["total"] for r in rows) / size if size else 0.0
+    return n, avglen or 0.0, {r["term"]: r["total"] if r["total"] >= 0 else EPSILON * mean for r in rows if r["term"] is not None}
+
+
+class _Batch:
+    """The questions of a batch as matrices, and all scores of some chunks for them."""
+
+    def __init__(self, asked: list, weights: dict[str, float], avglen: float, pack: DomainPack):
+        self.ids = np.array([r["q_id"] for r in asked], np.int64)
+        self.vectors = np.array([r["vector"] for r in asked], np.float64)
+        self.intent = [r["intent"] for r in asked]
+        self.objective = np.array([float(r["objective"]) for r in asked])
+        self.terms = (*OBJECTIVE_TERMS, *pack.objective_terms)
+        lists = [re.findall(TOKEN, r["expanded"].lower()) for r in asked]
+        self.number = {t: i for i, t in enumerate(sorted({t for x in lists for t in x}))}
+        self.idf, self.has = np.zeros((len(self.number), len(asked))), np.zeros((len(self.number), len(asked)))
+        for q, x in enumerate(lists):
+            for t in x:
+                self.idf[self.number[t], q] += weights.get(t, 0.0)
+                self.has[self.number[t], q] = 1
+        self.has /= np.maximum(1, self.has.sum(axis=0))
+        self.avglen = avglen
+
+    def signals(self, texts: list[str | None], vectors: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Semantic, BM25 and keyword scores before scaling: chunks by questions."""
+        n = len(texts)
+        semantic = np.zeros((n, len(self.ids)))
+        if there := [i for i, v in enumerate(vectors) if v is not None]:
+            semantic[there] = np.array([vectors[i] for i in there], np.float64) @ self.vectors.T
+        tf, seen = np.zeros((n, len(self.number))), np.zeros((n, len(self.number)))
+        for i, t in enumerate(texts):
+            x = re.findall(TOKEN, (t or "").lower())
+            for term, k in Counter(x).items():
+                if (j := self.number.get(term)) is not None:
+                    tf[i, j] = k * (K1 + 1) / (k + K1 * (1 - B + B * len(x) / self.avglen))
+                    seen[i, j] = 1
+        return semantic, tf @ self.idf, seen @ self.has
+
+    def objective_of(self, text: str | None) -> float:
+        t = (text or "").lower()
+        return 0.05 * sum(x in t for x in self.terms) + 0.25 * any(x in t for x in OBJECTIVE_PHRASES) + 0.20 * all(x in t for x in OBJECTIVE_TRIPLE)
+
+
 def hybrid_search(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, k: int = 5, pack: DomainPack = DOMAIN_PACK) -> DataFrame:
     """The k best chunks of every question; ties go to the later chunk.
 
-    Final scores are compared at nine decimals, so the order does not hang on
-    the order in which floating-point sums were made.
+    The same scores as ``hybrid_scores`` without its pairs: the questions (a
+    bounded batch) travel to the chunks, a first pass finds each signal's range,
+    a second scales and adds up, and every Arrow batch passes on its k best per
+    question.  Final scores are compared at nine decimals, so the order does
+    not hang on the order in which floating-point sums were made.
     """
-    df = hybrid_scores(chunks, vectors, questions, pack)
-    w = Window.partitionBy("q_id").orderBy(F.desc(F.round("final_score", 9)), F.desc("chunk_id"))
-    out = df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    _bounded(questions)
+    asked = questions.filter(F.trim("question") != "").withColumn("expanded", routing.expand(F.col("question"), pack))
+    asked = asked.select("q_id", "vector", "expanded", routing.intent(F.col("question"), pack).alias("intent"), routing.is_objective(F.col("question")).alias("objective")).orderBy("q_id").collect()
+    spark = chunks.sparkSession
     scores = ("semantic_score", "bm25_score", "keyword_score", "hybrid_score", "region_adjustment", "objective_score", "final_score")
+    terms = sorted({t for r in asked for t in re.findall(TOKEN, r["expanded"].lower())})
+    n, avglen, weights = _statistics(chunks, spark.createDataFrame([(t,) for t in terms], "term string"))
+    batch = _Batch(asked, weights, avglen or 1.0, pack) if asked else None
+    joined = chunks.select("chunk_id", "region", "text").join(vectors.select("chunk_id", "vector"), "chunk_id", "left")
+    rows_at_once = 256
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in batches:
+            for at in range(0, b.num_rows, rows_at_once):
+                p = b.slice(at, rows_at_once)
+                texts = p.column(2).to_pylist()
+                yield p, texts, batch.signals(texts, p.column(3).to_pylist())
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low = high = None
+        for _, _, signals in parts(batches):
+            lo, hi = (np.stack([f(s, axis=0) for s in signals]) for f in (np.min, np.max))
+            low, high = (lo, hi) if low is None else (np.minimum(low, lo), np.maximum(high, hi))
+        if low is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(3), low.shape[1])), pa.array(np.tile(np.arange(low.shape[1]), 3)), pa.array(low.ravel()), pa.array(high.ravel())], ["s", "q", "lo", "hi"])
+
+    ends = np.zeros((2, 3, max(1, len(asked))))
+    if asked and n:
+        for r in joined.mapInArrow(ranges, "s long, q long, lo double, hi double").groupBy("s", "q").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect():
+            ends[:, r["s"], r["q"]] = r["lo"], r["hi"]
+    names = ["q_id", "chunk_id", "intent", *scores]
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not asked:
+            return
+        for p, texts, signals in parts(batches):
+            span = ends[1] - ends[0]
+            sem, lex, key = (np.where(span[i] < 1e-8, 0.0, (x - ends[0, i]) / np.where(span[i] < 1e-8, 1.0, span[i])) for i, x in enumerate(signals))
+            hybrid = SEMANTIC * sem + LEXICAL * lex + KEYWORD * key
+            region = np.array([[REGION_ADJUSTMENT.get((i, r), 0.0) for i in batch.intent] for r in p.column(1).to_pylist()])
+            objective = np.array([batch.objective_of(t) for t in texts])[:, None] * batch.objective if batch.objective.any() else np.zeros_like(hybrid)
+            final = hybrid + region + objective
+            chunk = p.column(0).to_numpy()
+            top = np.lexsort((np.broadcast_to(-chunk[:, None], final.shape), -np.round(final, 9)), axis=0)[:k]
+            i, j = top.ravel(), np.tile(np.arange(final.shape[1]), len(top))
+            yield pa.RecordBatch.from_arrays([pa.array(batch.ids[j]), pa.array(chunk[i]), pa.array([batch.intent[x] for x in j]), *(pa.array(x[i, j]) for x in (sem, lex, key, hybrid, region, objective, final))], names)
+
+    found = joined.select(F.col("chunk_id").cast("long"), "region", "text", "vector").mapInArrow(best, f"q_id long, chunk_id long, intent string, {', '.join(f'{c} double' for c in scores)}")
+    w = Window.partitionBy("q_id").orderBy(F.desc(F.round("final_score", 9)), F.desc("chunk_id"))
+    top = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     rest = [c for c in chunks.columns if c != "chunk_id"]
-    return out.select("q_id", "rank", "chunk_id", "intent", *scores, *rest)
+    return chunks.join(F.broadcast(top), "chunk_id").select("q_id", "rank", "chunk_id", "intent", *scores, *rest)  # k rows a question
