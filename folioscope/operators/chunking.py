@@ -100,8 +100,8 @@ def page_chunks(pages: DataFrame) -> DataFrame:
         F.when(image != "", F.array(item(2, "image", "image", shown, yes))).otherwise(F.array()),
         F.when(F.col("page_image").isNotNull() & (F.col("text") == ""), F.array(item(3, "visual_page", "visual_page", blank, yes))).otherwise(F.array()),
     )
-    rows = df.select("source", "page", "ocr_used", F.posexplode(items).alias("seq", "c"))
-    rows = rows.select("source", "page", "seq", "c.content_type", "c.region", F.lit("Unknown").alias("section"), F.col("c.text").alias("text"), "ocr_used", F.col("c.visual").alias("has_visual_content"))
+    rows = df.select("source", "page", "ocr_used", "page_image", "images", F.posexplode(items).alias("seq", "c"))
+    rows = rows.select("source", "page", "seq", "c.content_type", "c.region", F.lit("Unknown").alias("section"), F.lit("Unknown").alias("subsection"), F.col("c.text").alias("text"), "ocr_used", F.col("c.visual").alias("has_visual_content"), "page_image", "images")
     return dense_ids(rows, ["source", "page", "seq"], "chunk_id", "page").drop("seq")
 
 

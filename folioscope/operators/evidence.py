@@ -31,6 +31,15 @@ def evidence_context(results: DataFrame) -> DataFrame:
     return results.groupBy("q_id").agg(_joined(F.struct("rank", part.alias("part")), "\n").alias("context"))
 
 
+def visual_context(analyses: DataFrame) -> DataFrame:
+    """(q_id, context): what was seen on each page image, by its number."""
+    part = F.concat(
+        F.lit("\n[Visual Source "), F.col("number").cast("string"), F.lit("]\nPage: "), F.col("page").cast("string"), F.lit("\nFile: "), F.coalesce("source", F.lit("Unknown")),
+        F.lit("\nChunk: "), F.coalesce(F.col("chunk_id").cast("string"), F.lit("Unknown")), F.lit("\nVisual findings:\n"), F.col("analysis"), F.lit("\n"),
+    )
+    return analyses.groupBy("q_id").agg(_joined(F.struct("number", part.alias("part")), "\n").alias("visual"))
+
+
 def citations(answer: Column, n: Column, visual: bool = False) -> Column:
     """Valid source numbers cited in an answer, sorted and distinct."""
     pattern = r"(?i)\[Visual Source\s+(\d+)\]" if visual else r"(?i)\[Source\s+(\d+)\]"
@@ -48,22 +57,55 @@ def repair_citations(answers: DataFrame) -> DataFrame:
     return df.select("q_id", F.when((F.size("_c") == 0) & (count > 0), F.concat("answer", tail)).otherwise(F.col("answer")).alias("answer"), F.when(F.size("_c") == 0, first).otherwise(F.col("_c")).alias("cited"))
 
 
+def repair_visual(answers: DataFrame) -> DataFrame:
+    """(q_id, answer, numbers) -> answer and cited_visual; an answer that cites no image gets the first.
+
+    ``numbers`` are those of the images that could be read; they may have gaps,
+    and citations are matched by number.
+    """
+    cited = F.array_intersect(citations(F.col("answer"), F.array_max("numbers"), visual=True), "numbers")
+    df = answers.withColumn("_c", F.coalesce(cited, F.array().cast("array<int>"))).withColumn("_first", F.array_min("numbers"))
+    none = (F.size("_c") == 0) & F.col("_first").isNotNull()
+    return df.select("q_id", F.when(none, F.concat("answer", F.lit("\n\n[Visual Source "), F.col("_first").cast("string"), F.lit("]"))).otherwise(F.col("answer")).alias("answer"), F.when(none, F.array("_first")).otherwise(F.col("_c")).alias("cited_visual"))
+
+
 def first_sentence_answerer(question: str, context: str) -> str:
     """A deterministic stand-in for a language model: the first evidence line."""
     lines = context.split("Evidence:\n", 1)
     return (lines[1].strip().split("\n", 1)[0] + " [Source 1]") if len(lines) > 1 else "No evidence."
 
 
+NO_ANSWER = "Nothing relevant was found in the documents. Please rephrase the question."
+
+
 def answer_questions(questions: DataFrame, results: DataFrame, answerer: Answerer = first_sentence_answerer) -> DataFrame:
     """(q_id, answer, cited) of the text route; questions without results get a fixed answer."""
     run = F.udf(answerer, StringType(), useArrow=True)
     counted = results.groupBy("q_id").agg(F.count(F.lit(1)).cast("int").alias("n_sources"))
     df = questions.join(evidence_context(results), "q_id", "left").join(counted, "q_id", "left")
-    none = F.lit("Nothing relevant was found in the documents. Please rephrase the question.")
-    said = df.select("q_id", F.when(F.col("context").isNull(), none).otherwise(run("question", "context")).alias("answer"), F.coalesce("n_sources", F.lit(0)).alias("n_sources"))
+    said = df.select("q_id", F.when(F.col("context").isNull(), NO_ANSWER).otherwise(run("question", "context")).alias("answer"), F.coalesce("n_sources", F.lit(0)).alias("n_sources"))
     return repair_citations(said)
 
 
+def answer_with_images(questions: DataFrame, results: DataFrame, analyses: DataFrame, fusion: bool, answerer: Answerer = first_sentence_answerer) -> DataFrame:
+    """(q_id, answer, cited, cited_visual) of the visual route or, with ``fusion``, the fused one.
+
+    The fused route repairs text and image citations, and falls back to the
+    text route's answer where no image could be read; the visual route repairs
+    image citations alone.
+    """
+    run = F.udf(answerer, StringType(), useArrow=True)
+    counted = results.groupBy("q_id").agg(F.count(F.lit(1)).cast("int").alias("n_sources"))
+    seen = analyses.groupBy("q_id").agg(F.sort_array(F.collect_list("number")).alias("numbers"))
+    df = questions.join(evidence_context(results), "q_id", "left").join(visual_context(analyses), "q_id", "left").join(counted, "q_id", "left").join(seen, "q_id", "left")
+    both = F.concat_ws("\n", F.coalesce("context", F.lit(NOTHING)), "visual")
+    nothing = F.col("context").isNull() & F.col("visual").isNull()
+    df = df.select("q_id", F.when(nothing, NO_ANSWER).otherwise(run("question", both)).alias("answer"), F.coalesce("n_sources", F.lit(0)).alias("n_sources"), F.coalesce("numbers", F.array().cast("array<int>")).alias("numbers"))
+    df = df.withColumn("cited", citations(F.col("answer"), F.col("n_sources")))
+    text = repair_citations(df.select("q_id", "answer", "n_sources")) if fusion else df.select("q_id", "answer", "cited")
+    return repair_visual(text.join(df.select("q_id", "numbers"), "q_id")).join(text.select("q_id", "cited"), "q_id")
+
+
 def api_sources(results: DataFrame) -> DataFrame:
     """The eight fields that a client sees of every source."""
     return results.select("q_id", "rank", "page", "chunk_id", "section", "subsection", "region", F.col("final_score").alias("score"), "source", F.col("source").alias("document"))

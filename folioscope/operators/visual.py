@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from ..functions import routing
@@ -64,6 +67,27 @@ def select_pages(questions: DataFrame, results: DataFrame, pages: DataFrame, tab
     return every.filter(F.col("place") <= F.when(F.col("level") == 0, 1).otherwise(most)).select("q_id", "place", "source", "page", "path")
 
 
+Analyser = Callable[[str, str], str | None]
+ANALYSIS_CHARS = 1800
+
+
+def image_prompt(question: Column) -> Column:
+    """What to ask of a page image: the table that is asked for, any table, or the whole image."""
+    number = routing.table_number(question)
+    table = F.when(number.isNotNull(), F.concat(F.lit("Read table "), number, F.lit(" on this page.")))
+    return F.concat(F.coalesce(table, F.when(routing.is_table(question), "Read the table that bears on the question."), F.lit("Describe what on this page bears on the question.")), F.lit("\nQuestion: "), question)
+
+
+def analyze_pages(selected: DataFrame, questions: DataFrame, analyser: Analyser) -> DataFrame:
+    """(q_id, number, source, page, chunk_id, analysis): one model call per image.
+
+    Images that cannot be read go; the others keep their numbers.
+    """
+    run = F.udf(analyser, StringType(), useArrow=True)
+    df = selected.join(questions, "q_id").withColumn("analysis", F.left(run(image_prompt(F.col("question")), "path"), F.lit(ANALYSIS_CHARS)))
+    return df.filter(F.coalesce("analysis", F.lit("")) != "").select("q_id", F.col("place").alias("number"), "source", "page", F.lit(None).cast("long").alias("chunk_id"), "analysis")
+
+
 def resize_dims(images: DataFrame, width: int = 850, height: int = 1100) -> DataFrame:
     """New sizes that fit, never larger than the old."""
     scale = F.least(width / F.col("width"), height / F.col("height"), F.lit(1.0))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import routing
-from ..operators import chunking, embedding, evidence, memory, retrieval
+from ..operators import chunking, embedding, evidence, memory, retrieval, visual
 from ..sources.pages import read_elements, write_table
 
 
@@ -43,15 +44,51 @@ class Engine:
 
     def search(self, questions: DataFrame, k: int = 5) -> DataFrame:
         asked = questions.filter(F.trim("question") != "").withColumn("_x", routing.expand(F.col("question")))
-        vectors = embedding.encode(asked.select(F.col("q_id").alias("chunk_id"), F.col("_x").alias("text"), F.lit("text").alias("content_type")), self.encoder)
-        asked = asked.drop("_x").join(vectors.withColumnRenamed("chunk_id", "q_id"), "q_id")
+        asked = asked.join(self._encoded(asked, "_x"), "q_id").drop("_x")
         return retrieval.hybrid_search(self.chunks, self.vectors, asked, k)
 
-    def answer(self, questions: DataFrame, turns: DataFrame | None = None, answerer: evidence.Answerer = evidence.first_sentence_answerer) -> DataFrame:
-        """(q_id, route, answer, cited); ``turns`` (conv_id, turn, question, answer) gives memory by conversation."""
+    def dense(self, questions: DataFrame, k: int = 5, floor: float = 0.15) -> DataFrame:
+        """Vector-only retrieval; the question is encoded with the retrieval prefix."""
+        vectors = self._encoded(questions.filter(F.trim("question") != ""), "question", embedding.QUERY_PREFIX)
+        return retrieval.dense_retrieve(self.chunks, self.vectors, vectors, k, floor)
+
+    def _encoded(self, questions: DataFrame, text: str, prefix: str = "") -> DataFrame:
+        rows = questions.select(F.col("q_id").alias("chunk_id"), F.col(text).alias("text"), F.lit("text").alias("content_type"))
+        return embedding.encode(rows, self.encoder, prefix=prefix).withColumnRenamed("chunk_id", "q_id")
+
+    def answer(
+        self,
+        questions: DataFrame,
+        turns: DataFrame | None = None,
+        answerer: evidence.Answerer = evidence.first_sentence_answerer,
+        analyser: visual.Analyser | None = None,
+    ) -> DataFrame:
+        """(q_id, route, answer, cited, cited_visual) by each question's route.
+
+        ``turns`` (conv_id, turn, question, answer) gives memory by
+        conversation; without an ``analyser`` images are not looked at.
+        Comparisons of documents read the longest chunks of every document.
+        """
         asked = questions
         if turns is not None:
             asked = memory.contextual_query(questions, memory.memory_context(turns)).join(questions.select("q_id", "conv_id"), "conv_id").select("q_id", F.col("query").alias("question"))
+        routed = questions.select("q_id", "question", routing.route(F.col("question")).alias("route"))
         found = self.search(asked.select("q_id", "question"))
-        said = evidence.answer_questions(questions, found, answerer)
-        return said.join(questions.select("q_id", routing.route(F.col("question")).alias("route")), "q_id")
+        empty = F.array().cast("array<int>")
+        text = routed.filter(F.col("route") == "text") if analyser else routed.filter(F.col("route") != "comparison")
+        said = evidence.answer_questions(text, found.join(text.select("q_id"), "q_id", "left_semi"), answerer).withColumn("cited_visual", empty)
+        if analyser:
+            pages = visual.select_pages(routed, found, visual.available_pages(self.chunks), visual.table_pages(self.chunks))
+            seen = visual.analyze_pages(pages, routed.select("q_id", "question"), analyser)
+            for fusion, routes in ((False, ("visual", "table")), (True, ("fusion",))):
+                part = routed.filter(F.col("route").isin(*routes))
+                keep = lambda df, p=part: df.join(p.select("q_id"), "q_id", "left_semi")
+                near = keep(found) if fusion else keep(found).filter("rank <= 2")
+                said = said.unionByName(evidence.answer_with_images(part, near, keep(seen), fusion, answerer))
+        compared = routed.filter(F.col("route") == "comparison")
+        documents = evidence.doc_compare_context(self.chunks)
+        block = F.concat(F.lit("[Document "), F.col("number").cast("string"), F.lit("]\nFile: "), "source", F.lit("\nEvidence:\n"), "text", F.lit("\nVisual evidence:\n"), "visual")
+        whole = documents.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("number", block.alias("b")))), lambda r: r["b"]), "\n").alias("context"))
+        run = F.udf(answerer, StringType(), useArrow=True)
+        said = said.unionByName(compared.crossJoin(F.broadcast(whole)).select("q_id", run("question", "context").alias("answer"), empty.alias("cited"), empty.alias("cited_visual")))
+        return said.join(routed.select("q_id", "route"), "q_id")

@@ -388,7 +388,7 @@ def _page_chunks(spark, d):
 
 @query(f"SELECT chunk_id, source, page, content_type, region, text, ocr_used, has_visual_content FROM {PAGE_CHUNKS}")
 def page_chunks(spark, d):
-    return _page_chunks(spark, d).drop("section")
+    return _page_chunks(spark, d).drop("section", "subsection", "page_image", "images")
 
 
 _BLOCKS = fx.BLOCKS.sql(["source", "page", "region", "text"])

@@ -94,6 +94,35 @@ def read_elements(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+BLOCK_SCHEMA = "source string, page int, region string, section string, subsection string, text string"
+
+
+def read_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """Legacy layout blocks (JSON list or lines); fields that are missing get their defaults here."""
+    df = spark.read.schema(BLOCK_SCHEMA).option("multiLine", True).json(path)
+    default = {"page": 0, "region": "body", "section": "Unknown", "subsection": "Unknown", "source": "Unknown"}
+    return df.fillna(default)
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Page elements of an ingestion manifest: {documents: [{source, pages: [...]}]}; a page's own source wins."""
+    manifest = spark.read.schema(f"documents array<struct<source:string,page_count:int,pages:array<struct<{_as_fields(PAGE_SCHEMA)}>>>>").option("multiLine", True).json(path)
+    docs = manifest.select(F.explode("documents").alias("d")).select(F.col("d.source").alias("_source"), F.explode("d.pages").alias("p"))
+    return docs.select("_source", "p.*").withColumn("source", F.coalesce("source", "_source", F.lit("Unknown"))).drop("_source")
+
+
+def _as_fields(schema: str) -> str:
+    """``a int, b string`` as the inside of a struct type."""
+    parts, start, depth = [], 0, 0
+    for i, ch in enumerate(schema):
+        depth += (ch == "<") - (ch == ">")
+        if ch == "," and not depth:
+            parts.append(schema[start:i].strip())
+            start = i + 1
+    parts.append(schema[start:].strip())
+    return ",".join(":".join(p.split(" ", 1)) for p in parts)
+
+
 def write_table(df: DataFrame, path: str) -> None:
     """Every stage replaces its output."""
     df.write.mode("overwrite").parquet(path)

@@ -182,6 +182,13 @@ def test_ingest_search_and_answer(spark, tmp_path):
     said = {r["q_id"]: r for r in engine.answer(asked).collect()}
     assert said[1]["answer"].startswith("Fish tanks") and said[1]["cited"] == [1]
     assert {r["source"] for r in engine.sources().collect()} == {"a.pdf", "b.pdf"}
+    assert {r["chunk_id"] for r in engine.dense(asked).collect()} <= {0, 1}
+    more = spark.createDataFrame([(3, 9, "compare the documents"), (4, 9, "picture of a tank on page 1"), (5, 9, "why is the water clean")], "q_id long, conv_id long, question string")
+    got = {r["q_id"]: r for r in engine.answer(more, analyser=lambda prompt, path: f"seen {path}").collect()}
+    assert {q: r["route"] for q, r in got.items()} == {3: "comparison", 4: "visual", 5: "fusion"}
+    assert got[3]["answer"].startswith("No usable text") and got[5]["cited"] == [1]
+    turns = spark.createDataFrame([(7, 1, "what of rails", "steel rails and stations")], "conv_id long, turn long, question string, answer string")
+    assert {r["q_id"] for r in engine.answer(asked, turns).collect()} == {1, 2}
     assert {r["source"] for r in engine.without("a.pdf")[0].collect()} == {"b.pdf"}
 
 
@@ -193,3 +200,18 @@ def test_streaming_ingest_takes_each_file_once(spark, tmp_path):
         query = start_ingest(spark, src_dir, out, mark)
         query.awaitTermination(120)
     assert sorted(r["page"] for r in spark.read.parquet(out).collect()) == [1, 2]
+
+
+def test_visual_answers_keep_numbers_with_gaps(spark):
+    rows = [(1, "see [Visual Source 3] and [Visual Source 2]", [1, 3]), (2, "nothing", [2]), (3, "no image", [])]
+    got = {r["q_id"]: (r["answer"], r["cited_visual"]) for r in evidence.repair_visual(spark.createDataFrame(rows, "q_id long, answer string, numbers array<int>")).collect()}
+    assert got[1][1] == [3] and got[2] == ("nothing\n\n[Visual Source 2]", [2]) and got[3] == ("no image", [])
+
+
+def test_readers_of_manifests_and_blocks(spark, tmp_path):
+    import json
+
+    (tmp_path / "m.json").write_text(json.dumps({"documents": [{"source": "a", "page_count": 1, "pages": [{"page": 1, "text": "x"}, {"page": 2, "source": "own"}]}]}))
+    assert sorted((r["source"], r["page"]) for r in src.read_documents(spark, f"{tmp_path}/m.json").collect()) == [("a", 1), ("own", 2)]
+    (tmp_path / "b.json").write_text(json.dumps([{"text": "t"}, {"region": "header", "page": 3}]))
+    assert sorted((r["region"], r["page"]) for r in src.read_blocks(spark, f"{tmp_path}/b.json").collect()) == [("body", 0), ("header", 3)]
