@@ -65,7 +65,7 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _mix(a * _M1 + (b ^ (b >> _U(17))))
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n, _BASE, np.uint64), np.full(n, _INVERSE, np.uint64)
     up[0] = down[0] = 1
@@ -266,24 +266,27 @@ def repeated_windows(docs: DataFrame, window: int = 35, group_rows: int = 1_000_
     ship(docs.sparkSession)
     keyed = docs.select(*_keys(docs), F.coalesce("text", F.lit("")).alias("text"))
     zones = materialize(keyed.mapInArrow(trimmed(_find_zones(window)), "d long, th int, at int, k long, s long"), "zones")
+    # Counts are tables of their own, so that both sides of each join are plain
+    # exchanges and a minimiser with any share of the zones can be split.
     often = zones.groupBy("k").agg(F.count(F.lit(1)).alias("_t")).filter("_t > 1").select(F.col("k").alias("_k"))
+    often = materialize(often, "shared-minimisers")
     shared = materialize(zones.join(often, zones["k"] == often["_k"]).drop("_k"), "shared-zones")
-    release(zones)
-    alike = shared.groupBy("k", "s").agg(F.count(F.lit(1)).alias("_n"), F.min("d").alias("_d"))
-    forks = alike.groupBy("k").agg(F.count(F.lit(1)).alias("_c")).select(F.col("k").alias("_k"), "_c")
-    alike = alike.join(forks, alike["k"] == forks["_k"]).filter("_n > 1 OR _c > 1").select(F.col("k").alias("_k"), F.col("s").alias("_s"), "_n", "_c", "_d")
-    known = shared.join(alike, (shared["k"] == alike["_k"]) & (shared["s"] == alike["_s"]))
+    release(zones, often)
+    alike = materialize(shared.groupBy("k", "s").agg(F.count(F.lit(1)).alias("_n"), F.min("d").alias("_d")), "alike-zones")
+    forks = materialize(alike.groupBy("k").agg(F.count(F.lit(1)).alias("_c")).select(F.col("k").alias("_k"), "_c"), "forks")
+    settled = alike.join(forks, alike["k"] == forks["_k"]).filter("_n > 1 OR _c > 1").select(F.col("k").alias("_k"), F.col("s").alias("_s"), "_n", "_c", "_d")
+    known = shared.join(settled, (shared["k"] == settled["_k"]) & (shared["s"] == settled["_s"]))
     # A zone that occurs twice is repeated as a whole; one of its documents
     # stands for it where the minimiser also occurs with other words.
     known = known.select("d", "th", "at", (F.col("_n") > 1).alias("full"), ((F.col("_c") > 1) & ((F.col("_n") == 1) | (F.col("d") == F.col("_d")))).alias("send"))
     known = materialize(known, "known-zones")
-    release(shared)
+    release(shared, alike, forks)
     send = known.filter("send").groupBy("d", "th").agg(F.collect_list("at").alias("zones")).withColumnsRenamed({"d": "_d", "th": "_th"})
     asked = keyed.join(send, (keyed["d"] == send["_d"]) & (keyed["th"] == send["_th"])).select("d", "th", "text", "zones")
     suffixes = materialize(asked.mapInArrow(trimmed(_send_suffixes(window)), "d long, th int, at int, p8 int, p16 int, p32 int, h long"), "suffixes")
     release(suffixes.limit(0))
     total = suffixes.count()
-    dealt = suffixes.withColumn("group", F.pmod(_prefix_group(suffixes, total, group_rows), F.lit(max(1, total * 8 // group_rows))))
+    dealt = suffixes.withColumn("group", F.pmod(_prefix_group(suffixes, total, group_rows), F.lit(max(1, total * 32 // group_rows))))
     deep = dealt.groupBy("group").applyInArrow(_subtree, "d long, th int, at int")
     rows = known.filter("full").select("d", "th", F.col("at").alias("zone"), F.lit(None).cast("int").alias("place")).unionByName(deep.select("d", "th", F.lit(None).cast("int").alias("zone"), F.col("at").alias("place")))
     found = materialize(rows.groupBy("d", "th").agg(F.collect_list("zone").alias("zones"), F.collect_list("place").alias("places")), "repeats")
