@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ship
+from .common import materialize, ship, trimmed
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -47,8 +47,9 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     ship(links.sparkSession)
     a, b = links.columns[:2]
-    edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).dropna().mapInArrow(_contract, "u long, v long")
-    edges, before = materialize(edges.distinct(), "links"), None
+    # Links often come from Python; written first, no task runs two workers.
+    edges = materialize(links.select(F.col(a).alias("u"), F.col(b).alias("v")).dropna(), "links")
+    edges, before = materialize(edges.mapInArrow(trimmed(_contract), "u long, v long").distinct(), "links"), None
     for _ in range(most_rounds):
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before or now[0] == 0:

@@ -255,7 +255,7 @@ class _Seen(dict):
         self.channel, self.number = channel, number
 
     def __missing__(self, token: str) -> tuple[int, ...]:
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
         found = {self.number[f] for w in self.channel.restore(token) for f in word_features(w) if f in self.number}
         got = self[token] = tuple(sorted(found))
