@@ -33,8 +33,16 @@ def query(sql: str | None = None):
     return add
 
 
+#: A table below this size may be one row group, which one task would read and
+#: work on alone; it is dealt to all cores.  Larger tables are left as scanned.
+SMALL_BYTES = 256 << 20
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    df = spark.read.parquet(f"{d}/{name}.parquet")
+    if name in ("documents", "pages") and int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < SMALL_BYTES:
+        return df.repartition(spark.sparkContext.defaultParallelism)
+    return df
 
 
 # ------------------------------------------------------------------ SQL pieces
