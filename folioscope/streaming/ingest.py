@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from ..functions.text import clean_chunk, sentences
-from ..operators.chunking import merge_small, pack_sentences
+from ..functions.text import sentences
+from ..operators.chunking import pack_sentences
 from ..sources.pages import PAGE_SCHEMA
 
 
 def stream_chunks(pages: DataFrame) -> DataFrame:
     """Text chunks of streaming pages: stateless, keyed by (source, page, chunk)."""
-    packs = merge_small(pack_sentences(sentences(clean_chunk(F.col("text")))))
+    packs = pack_sentences(sentences(F.col("text")))
     return pages.select("source", "page", F.posexplode(packs).alias("chunk", "c")).select("source", "page", "chunk", F.col("c.text").alias("text"), F.col("c.n").alias("n_words"))
 
 

@@ -15,8 +15,8 @@ from folioscope.streaming.ingest import start_ingest
 
 def packs(spark, sizes, merge=True):
     sentences = [" ".join(["w"] * n) + "." for n in sizes]
-    col = chunking.pack_sentences(F.array(*map(F.lit, sentences)))
-    got = spark.range(1).select((chunking.merge_small(col) if merge else col).alias("x")).first()["x"]
+    col = chunking.pack_sentences(F.array(*map(F.lit, sentences)), most=140 if merge else 0)
+    got = spark.range(1).select(col.alias("x")).first()["x"]
     return [p["n"] for p in got]
 
 
