@@ -284,7 +284,7 @@ def repeated_windows(docs: DataFrame, window: int = 35, group_rows: int = 1_000_
     send = known.filter("send").groupBy("d", "th").agg(F.collect_list("at").alias("zones")).withColumnsRenamed({"d": "_d", "th": "_th"})
     asked = keyed.join(send, (keyed["d"] == send["_d"]) & (keyed["th"] == send["_th"])).select("d", "th", "text", "zones")
     suffixes = materialize(asked.mapInArrow(trimmed(_send_suffixes(window)), "d long, th int, at int, p8 int, p16 int, p32 int, h long"), "suffixes")
-    release(suffixes.limit(0))
+    release(asked)  # its shuffle of texts is done with
     total = suffixes.count()
     dealt = suffixes.withColumn("group", F.pmod(_prefix_group(suffixes, total, group_rows), F.lit(max(1, total * 32 // group_rows))))
     deep = dealt.groupBy("group").applyInArrow(_subtree, "d long, th int, at int")
