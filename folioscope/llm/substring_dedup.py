@@ -260,7 +260,7 @@ def _keys(docs: DataFrame) -> list[Column]:
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63) + 1)).alias("d"), F.hash("text").alias("th")]
 
 
-def repeated_windows(docs: DataFrame, window: int = 35, group_rows: int = 1_000_000) -> DataFrame:
+def repeated_windows(docs: DataFrame, window: int = 35, group_rows: int = 200_000) -> DataFrame:
     """(d, th, zones, places): per document with repeats, the starts of zones that
     are repeated throughout and of single repeated windows (word numbers)."""
     ship(docs.sparkSession)
@@ -286,7 +286,7 @@ def repeated_windows(docs: DataFrame, window: int = 35, group_rows: int = 1_000_
     suffixes = materialize(asked.mapInArrow(trimmed(_send_suffixes(window)), "d long, th int, at int, p8 int, p16 int, p32 int, h long"), "suffixes")
     release(asked)  # its shuffle of texts is done with
     total = suffixes.count()
-    dealt = suffixes.withColumn("group", F.pmod(_prefix_group(suffixes, total, group_rows), F.lit(max(1, total * 32 // group_rows))))
+    dealt = suffixes.withColumn("group", F.pmod(_prefix_group(suffixes, total, group_rows), F.lit(max(1, total * 6 // group_rows))))
     deep = dealt.groupBy("group").applyInArrow(_subtree, "d long, th int, at int")
     rows = known.filter("full").select("d", "th", F.col("at").alias("zone"), F.lit(None).cast("int").alias("place")).unionByName(deep.select("d", "th", F.lit(None).cast("int").alias("zone"), F.col("at").alias("place")))
     found = materialize(rows.groupBy("d", "th").agg(F.collect_list("zone").alias("zones"), F.collect_list("place").alias("places")), "repeats")
