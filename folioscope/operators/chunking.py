@@ -50,8 +50,7 @@ def pack_sentences(parts: Column, target: int = TARGET, least: int = LEAST, most
     ``most`` (0: packs stay as they are).
 
     A fold over an array: as an Arrow-batched function it takes linear time,
-    where an ``aggregate`` expression copies its accumulator for every sentence
-    (measured at sf0.1: see the README).
+    where an ``aggregate`` expression copies its accumulator for every sentence.
     """
     return F.udf(lambda x: _packed(x, target, least, most), _PACKS, useArrow=True)(parts)
 
