@@ -58,7 +58,9 @@ def pack_sentences(parts: Column, target: int = TARGET, least: int = LEAST, most
 def sentence_chunks(df: DataFrame, merge: bool = True) -> DataFrame:
     """(..., chunk, text, n_words) of every text."""
     packs = pack_sentences(sentences(F.col("text")), most=MOST if merge else 0)
-    rows = df.withColumn("_p", packs).drop("text").select("*", F.posexplode("_p").alias("chunk", "_c")).drop("_p")
+    # Outer, then filtered: for an inner one the optimiser adds a filter that
+    # works the packs out a second time, before any exchange.
+    rows = df.withColumn("_p", packs).drop("text").select("*", F.posexplode_outer("_p").alias("chunk", "_c")).drop("_p").filter("chunk IS NOT NULL")
     return rows.withColumn("text", F.col("_c.text")).withColumn("n_words", F.col("_c.n")).drop("_c")
 
 
@@ -108,7 +110,7 @@ def page_chunks(pages: DataFrame) -> DataFrame:
         F.when(image != "", F.array(item(2, "image", "image", shown, yes))).otherwise(F.array()),
         F.when(F.col("page_image").isNotNull() & (F.col("text") == ""), F.array(item(3, "visual_page", "visual_page", blank, yes))).otherwise(F.array()),
     )
-    rows = df.select("source", "page", "ocr_used", "page_image", "images", F.posexplode(items).alias("seq", "c"))
+    rows = df.select("source", "page", "ocr_used", "page_image", "images", F.posexplode_outer(items).alias("seq", "c")).filter("seq IS NOT NULL")
     rows = rows.select("source", "page", "seq", "c.content_type", "c.region", F.lit("Unknown").alias("section"), F.lit("Unknown").alias("subsection"), F.col("c.text").alias("text"), "ocr_used", F.col("c.visual").alias("has_visual_content"), "page_image", "images")
     return dense_ids(rows, ["source", "page", "seq"], "chunk_id", "page").drop("seq")
 
@@ -118,7 +120,7 @@ def legacy_chunks(blocks: DataFrame) -> DataFrame:
     df = blocks.withColumn("region", F.coalesce("region", F.lit("body"))).withColumn("page", F.coalesce("page", F.lit(0))).withColumn("text", clean_chunk(F.col("text"))).filter("text <> ''")
     packs = F.transform(pack_sentences(sentences(F.col("text"))), lambda p: p["text"])
     parts = F.when(F.col("region") == "header", F.array("text")).otherwise(packs)
-    return df.select("source", "page", "region", F.posexplode(parts).alias("chunk", "text")).filter("text <> ''")
+    return df.select("source", "page", "region", F.posexplode_outer(parts).alias("chunk", "text")).filter("text <> ''")
 
 
 def chunk_stats(chunks: DataFrame) -> DataFrame:

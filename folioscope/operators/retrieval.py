@@ -86,7 +86,7 @@ def semantic_scores(chunks: DataFrame, vectors: DataFrame, queries: DataFrame) -
 
 def postings(chunks: DataFrame) -> DataFrame:
     """(chunk_id, term, tf)."""
-    return chunks.select("chunk_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return chunks.select("chunk_id", F.explode_outer(tokens(F.col("text"))).alias("term")).filter("term IS NOT NULL").groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def bm25(chunks: DataFrame, questions: DataFrame) -> DataFrame:
@@ -114,7 +114,7 @@ def keyword_overlap(chunks: DataFrame, questions: DataFrame) -> DataFrame:
     """(q_id, chunk_id, keyword) for pairs with a common token: share of the question's distinct tokens."""
     q = questions.select("q_id", F.array_distinct(tokens(F.col("question"))).alias("_t")).withColumn("_n", F.size("_t"))
     asked = q.select("q_id", "_n", F.explode("_t").alias("term"))
-    have = chunks.select("chunk_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    have = chunks.select("chunk_id", F.explode_outer(F.array_distinct(tokens(F.col("text")))).alias("term")).filter("term IS NOT NULL")
     return have.join(asked, "term").groupBy("q_id", "chunk_id").agg((F.count(F.lit(1)) / F.first("_n")).alias("keyword"))
 
 
@@ -157,7 +157,7 @@ def _statistics(chunks: DataFrame, terms: DataFrame) -> tuple[int, float, dict[s
     """
     toks = chunks.select(tokens(F.col("text")).alias("t"))
     n, avglen = toks.agg(F.count(F.lit(1)), F.avg(F.size("t"))).first()
-    df = toks.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = toks.select(F.explode_outer(F.array_distinct("t")).alias("term")).filter("term IS NOT NULL").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = df.select("term", (F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
     asked = F.broadcast(terms.withColumn("_asked", F.lit(True)))
     rows = idf.join(asked, "term", "left").groupBy(F.when(F.col("_asked"), F.col("term")).alias("term")).agg(F.sum("idf").alias("total"), F.count(F.lit(1)).alias("n")).collect()

@@ -152,7 +152,7 @@ def normalize_eval(spark, d):
 
 @query(f"SELECT id, CAST(i - 1 AS INTEGER) AS sentence, s[i] AS text FROM (SELECT id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT id, {s_sentences('text')} AS s FROM {ALL_TEXTS}))")
 def sentences(spark, d):
-    return all_texts(spark, d).select("id", F.posexplode(text.sentences(F.col("text"))).alias("sentence", "text"))
+    return all_texts(spark, d).select("id", F.posexplode_outer(text.sentences(F.col("text"))).alias("sentence", "text")).filter("sentence IS NOT NULL")
 
 
 @query(f"SELECT id, CAST(len({s_words('text')}) AS INTEGER) AS n_words FROM {ALL_TEXTS}")

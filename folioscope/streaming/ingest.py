@@ -14,7 +14,7 @@ from ..sources.pages import PAGE_SCHEMA
 def stream_chunks(pages: DataFrame) -> DataFrame:
     """Text chunks of streaming pages: stateless, keyed by (source, page, chunk)."""
     packs = pack_sentences(sentences(F.col("text")))
-    return pages.select("source", "page", F.posexplode(packs).alias("chunk", "c")).select("source", "page", "chunk", F.col("c.text").alias("text"), F.col("c.n").alias("n_words"))
+    return pages.select("source", "page", F.posexplode_outer(packs).alias("chunk", "c")).filter("chunk IS NOT NULL").select("source", "page", "chunk", F.col("c.text").alias("text"), F.col("c.n").alias("n_words"))
 
 
 def start_ingest(spark: SparkSession, folder: str, out: str, checkpoint: str) -> StreamingQuery:
