@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import mixing, packing, simhash, substring_dedup, toxicity
+from folioscope.llm import mixing, near_copies, packing, substring_dedup, toxicity
 from folioscope.llm.common import WORD, materialize, table
 
 
@@ -25,8 +25,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component the document with the smallest id stays (one row of it)."""
-    found = materialize(simhash.simhash_components(docs), "components")
+    """Of documents linked by Jaccard >= 0.8 of five-word shingles the smallest id stays (one row of it).
+
+    op9's 4 bits of 64 are far tighter than that rule, and bits wide enough for
+    it pair too much at random, so this stage has its own exact join.
+    """
+    found = near_copies.near_components(docs)
     gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
     again = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1 AND doc_id IS NOT NULL").limit(1).count()
