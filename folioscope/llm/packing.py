@@ -42,6 +42,8 @@ from pyspark.sql import functions as F
 from .common import materialize, running_offsets, ship, trimmed
 
 CAPACITY, END_ID = 2_048, 0
+#: Large pieces are over one of these parts of a sequence.
+SHARES = (2, 3, 6, 32)
 
 # The splitter of the word tokenizer, as its file states it.
 SPLIT_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -188,15 +190,35 @@ def optimise_configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int
     return [(basis[:, i].astype(np.int64), int(x[i] + 1e-6)) for i in range(k) if basis[:, i].min() >= 0 and x[i] >= 1 - 1e-6]
 
 
+def least_sequences(counts: np.ndarray, capacity: int = CAPACITY) -> int:
+    """No plan has fewer: all ids fill them, and pieces over half a sequence never share one."""
+    return max(-(-int((counts * np.arange(capacity + 1)).sum()) // capacity), int(counts[capacity // 2 + 1 :].sum()))
+
+
 def plan_packing(counts: np.ndarray, capacity: int = CAPACITY, small: int | None = None, groups: int = 96) -> tuple[np.ndarray, int]:
     """Places for counts[length] pieces of each length, and the number of sequences.
 
     Rows of the plan: (length, first rank, pieces, first sequence, offset): the
     pieces of that length from that rank on take one sequence each, in order.
+
+    Lengths over ``small`` are large.  Unless it is given, plans are made with
+    several shares of a sequence, and the one with the fewest sequences is kept.
+    Over half a sequence no two large pieces fit together, so that first plan is
+    best fit alone; the others optimise configurations of several pieces.
     """
-    # Large: over half a sequence.  With a third or a sixteenth, pairs of large
-    # pieces leave gaps that the rest fills worse (0.5 and 1 % more sequences).
-    small = capacity // 2 if small is None else small
+    if small is not None:
+        return _plan(counts, capacity, small, groups)
+    best, least = None, least_sequences(counts, capacity)
+    for parts in SHARES:
+        found = _plan(counts, capacity, capacity // parts, groups)
+        if best is None or found[1] < best[1]:
+            best = found
+        if best[1] == least:
+            break
+    return best
+
+
+def _plan(counts: np.ndarray, capacity: int, small: int, groups: int) -> tuple[np.ndarray, int]:
     segments: list[tuple[int, int, int, int, int]] = []
     used = np.zeros(capacity + 1, np.int64)  # ranks handed out, by length
     room: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]  # free room -> (first sequence, how many)

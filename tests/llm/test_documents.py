@@ -189,6 +189,18 @@ def test_packing_plans_fill_sequences():
             assert bins <= 2 * -(-int((counts * np.arange(2049)).sum()) // 2048) + 1
 
 
+def test_packing_optimises_configurations_of_several_pieces():
+    counts = np.zeros(2049, np.int64)
+    counts[900], counts[574] = 3_000, 6_000  # 900 + 574 + 574 fill a sequence; best fit needs 3,500
+    plan, bins = packing.plan_packing(counts)
+    assert (np.bincount(plan[:, 0], plan[:, 2], 2049) == counts).all()
+    assert packing.least_sequences(counts) == 3_000 <= bins <= 3_010
+    rng = np.random.default_rng(1)
+    for low, high in ((300, 1000), (1, 2048)):
+        counts = np.bincount(rng.integers(low, high + 1, 5_000), minlength=2049)
+        assert packing.plan_packing(counts)[1] <= min(packing.plan_packing(counts, small=s)[1] for s in (1024, 682, 64))
+
+
 def test_encoder_equals_the_tokenizer():
     enc = packing.WordEncoder(most=20)
     for text in ["", "  ", "Été 0.9593 don't I'LL 's ''s <|endoftext|>x", "áb ΑΣ İ", "日本123½", "a\x00b\x1cc\x7f\x85d\xa0e", "ßÿ×÷µª", "a\x0bb\x0cc"]:
