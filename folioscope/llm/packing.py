@@ -9,18 +9,21 @@ most ``capacity`` numbers, so the driver's share is bounded whatever the input):
 2. configurations over these few sizes are optimised by column generation
    (Gilmore and Gomory), with a knapsack over the capacity as pricing, and the
    linear programme's solution is rounded down;
-3. actual pieces are substituted for the rounded ones, which leaves the room
-   that rounding took;
+3. actual pieces are substituted for the rounded ones: each place but the last
+   takes the largest piece its size allows, the last place the largest piece
+   that the actual pieces before it leave room for, so that rounding up costs
+   no room that only tiny pieces could fill;
 4. what rounding down left over and the small pieces go best-fit, largest
-   first, into that room, and into new sequences where none is left.
+   first, into the room that is left, and into new sequences where none is.
 
 The plan says for a run of pieces of one length which sequences and which offset
 they take.  Pieces get their rank within their length by distributed prefix
 sums, and look their place up in the plan.
 
-Edge cases: a null or empty text is the end id alone; documents with equal ids
-are packed one by one; an empty table gives an empty result; other columns are
-left out.
+Edge cases: a null or empty text is the end id alone; a very long text is cut
+into as many pieces as it needs; documents with equal or null ids and repeated
+rows are packed one by one; an empty table gives an empty result; other columns
+(also ones named like the result's) are left out.
 """
 
 from __future__ import annotations
@@ -42,8 +45,9 @@ from pyspark.sql import functions as F
 from .common import materialize, running_offsets, ship, trimmed
 
 CAPACITY, END_ID = 2_048, 0
-#: Large pieces are over one of these parts of a sequence.
-SHARES = (2, 3, 6, 32)
+#: Large pieces are over one of these parts of a sequence: two or more share one.
+#: Over half no two do, so the last is best fit alone; it counts only if it needs fewer.
+SHARES = (3, 4, 6, 32, 2)
 
 # The splitter of the word tokenizer, as its file states it.
 SPLIT_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -63,26 +67,47 @@ def _byte_letters() -> dict[int, int]:
 
 
 class _Parts(dict):
-    """Ids of parts by part, found by the BPE model when first asked for."""
+    """Ids of parts by part, found by the BPE model when first asked for.
 
-    def __init__(self, model):
-        self.model, self.letters = model, _byte_letters()
+    Two generations of at most ``most`` bytes each (estimated): a full one
+    becomes the old one, and what is asked for again comes back from there.
+    """
+
+    #: Bytes that an entry takes besides its characters and ids.
+    ENTRY = 250
+
+    def __init__(self, model, most: int):
+        self.model, self.letters, self.most = model, _byte_letters(), most
+        self.old: dict[str, bytes] = {}
+        self.held = 0
 
     def __missing__(self, part: str) -> bytes:
-        shown = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.letters)
-        ids = self[part] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        if (ids := self.old.pop(part, None)) is None:
+            shown = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.letters)
+            ids = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        self.held += self.ENTRY + 4 * len(part) + len(ids)
+        if self.held > self.most:
+            self.forget(old=False)
+        self[part] = ids
         return ids
 
+    def forget(self, old: bool = True) -> None:
+        self.old = {} if old else dict(self)
+        self.clear()
+        self.held = 0
+
 
 class WordEncoder:
-    """Token ids of texts as little-endian 32-bit bytes, with bounded memory of words.
+    """Token ids of texts as little-endian 32-bit bytes.
+
+    Parts of texts are remembered in at most twice ``most`` bytes.
 
     Equal to encoding the whole text: the word tokenizer lower-cases, splits by
     a rule that does not look across white space, and encodes each part by
     itself.  So texts are split here and each distinct part is encoded once.
     """
 
-    def __init__(self, path: str | None = None, most: int = 1_000_000):
+    def __init__(self, path: str | None = None, most: int = 24_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -90,11 +115,11 @@ class WordEncoder:
             import public_tokenizers
 
             path = public_tokenizers.path("word_bpe_49k.json")
-        self.tok, self.most = Tokenizer.from_file(path), most
+        self.tok = Tokenizer.from_file(path)
         steps = json.loads(self.tok.to_str())
         rule = ((steps.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0].get("pattern", {}).get("Regex")
         self.known = rule == SPLIT_RULE and sys.byteorder == "little"
-        self.parts = _Parts(self.tok.model)
+        self.parts = _Parts(self.tok.model, most)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -102,8 +127,6 @@ class WordEncoder:
     def encode(self, text: str) -> bytes:
         if not self.known or (("<|" in text) if text.isascii() else _ODD.search(text)):
             return self._whole(text)
-        if len(self.parts) > self.most:
-            self.parts.clear()
         return b"".join(map(self.parts.__getitem__, _TOKENS.findall(text.lower())))
 
 
@@ -121,14 +144,14 @@ def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None
         enc, names = _encoder(tokenizer), ["doc_id", "piece", "start", "length", "ids_crc32"]
         for b in batches:
             rows = []
-            for doc, ids in zip(b.column(0).to_pylist(), (enc.encode(t.as_py() or "") for t in b.column(1))):
-                ids += end
+            for doc, text in zip(b.column(0), b.column(1)):
+                ids = enc.encode(text.as_py() or "") + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
-                    rows.append((doc, k, at // 4, len(part) // 4, crc32(part)))
+                    rows.append((doc.as_py(), k, at // 4, len(part) // 4, crc32(part)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names)
-        enc.parts.clear()  # workers live on and serve other stages
+        enc.parts.forget()  # workers live on and serve other stages
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
@@ -203,8 +226,6 @@ def plan_packing(counts: np.ndarray, capacity: int = CAPACITY, small: int | None
 
     Lengths over ``small`` are large.  Unless it is given, plans are made with
     several shares of a sequence, and the one with the fewest sequences is kept.
-    Over half a sequence no two large pieces fit together, so that first plan is
-    best fit alone; the others optimise configurations of several pieces.
     """
     if small is not None:
         return _plan(counts, capacity, small, groups)
@@ -218,6 +239,43 @@ def plan_packing(counts: np.ndarray, capacity: int = CAPACITY, small: int | None
     return best
 
 
+def group_sizes(counts: np.ndarray, small: int, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """Large lengths rounded up: (sizes, how many pieces of each), largest first.
+
+    The pieces in descending order are cut into groups of equal cardinality (a
+    length may be cut); groups whose largest piece is the same are one size.
+    """
+    large = [int(s) for s in range(len(counts) - 2, small, -1) if counts[s]]
+    if not large:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    share = -(-int(sum(counts[s] for s in large)) // groups)
+    size, held, found = large[0], 0, {}
+    for s in large:
+        left = int(counts[s])
+        while left:
+            if held == share:
+                size, held = s, 0
+            n = min(left, share - held)
+            found[size] = found.get(size, 0) + n
+            held, left = held + n, left - n
+    return np.array(list(found)), np.array(list(found.values()))
+
+
+def substitute(pattern: list[int], left: np.ndarray, capacity: int) -> dict[int, int]:
+    """Actual lengths (and how often each) for a pattern's sizes, from ``left`` by length."""
+
+    def most(limit: int) -> int:
+        there = np.flatnonzero(left[: limit + 1] > taken[: limit + 1])
+        return int(there[-1]) if len(there) else 0
+
+    taken, room = np.zeros_like(left), capacity
+    for k, size in enumerate(pattern, 1):
+        if s := most(min(room, size) if k < len(pattern) else room):
+            taken[s] += 1
+            room -= s
+    return {int(s): int(taken[s]) for s in np.flatnonzero(taken)}
+
+
 def _plan(counts: np.ndarray, capacity: int, small: int, groups: int) -> tuple[np.ndarray, int]:
     segments: list[tuple[int, int, int, int, int]] = []
     used = np.zeros(capacity + 1, np.int64)  # ranks handed out, by length
@@ -237,60 +295,25 @@ def _plan(counts: np.ndarray, capacity: int, small: int, groups: int) -> tuple[n
     if n := int(counts[capacity]):
         put(capacity, n, 0, 0)
         total = n
-    large = [int(s) for s in range(capacity - 1, small, -1) if counts[s]]
     rest = counts.astype(np.int64).copy()
     rest[capacity] = 0
-    if large:
-        # Equal-cardinality groups over the descending order; a length may be cut.
-        share = -(-int(sum(counts[s] for s in large)) // groups)
-        runs: list[list[list[int]]] = [[]]
-        held = 0
-        for s in large:
-            left = int(counts[s])
-            while left:
-                if held == share:
-                    runs.append([])
-                    held = 0
-                n = min(left, share - held)
-                runs[-1].append([s, n])
-                held, left = held + n, left - n
-        # Groups of one length are one size.
-        merged: dict[int, list[list[int]]] = {}
-        for r in runs:
-            merged.setdefault(r[0][0], []).extend(r)
-        sizes = np.array(sorted(merged, reverse=True))
-        stock = [merged[int(s)] for s in sizes]
-        demand = np.array([sum(n for _, n in r) for r in stock])
-        for pattern, times in optimise_configurations(sizes, demand, capacity):
-            slots = [g for g in np.flatnonzero(pattern) for _ in range(pattern[g])]
-            while times and any(stock[g] for g in slots):
-                # The longest stretch over which every slot keeps its actual length.
-                wanted: dict[int, int] = {}
-                picks = []
-                for g in slots:
-                    if stock[g]:
-                        picks.append((g, stock[g][-1][0]))
-                        wanted[g] = wanted.get(g, 0) + 1
-                n = min(times, *(stock[g][-1][1] // c if stock[g][-1][1] >= c else 1 for g, c in wanted.items()))
-                offset, taken = 0, 0
-                for g, _ in picks:
-                    if not stock[g]:
-                        continue
-                    s, there = stock[g][-1]
-                    take = min(n, there)
-                    if take < n:
-                        n = take if taken == 0 else n
-                    if there < n:
-                        continue  # too few of this length: left to best fit
+    sizes, demand = group_sizes(counts, small, groups)
+    large = np.where(np.arange(capacity + 1) > small, rest, 0)
+    found = optimise_configurations(sizes, demand, capacity) if len(sizes) else []
+    for pattern, times in sorted(found, key=lambda x: (-int(sizes[np.flatnonzero(x[0])].max()), tuple(x[0]))):
+        slots = [int(sizes[g]) for g in np.flatnonzero(pattern) for _ in range(pattern[g])]
+        while times and (picks := substitute(slots, large, capacity)):
+            n = min(times, *(int(large[s]) // k for s, k in picks.items()))
+            offset = 0
+            for s, k in picks.items():
+                for _ in range(k):
                     put(s, n, total, offset)
-                    rest[s] -= n
-                    offset, taken = offset + s, taken + 1
-                    stock[g][-1][1] -= n
-                    if not stock[g][-1][1]:
-                        stock[g].pop()
-                open_room(capacity - offset, total, n)
-                total += n
-                times -= n
+                    offset += s
+                rest[s] -= n * k
+                large[s] -= n * k
+            open_room(capacity - offset, total, n)
+            total += n
+            times -= n
     # Best fit, largest first, into the room that is left.
     for s in range(capacity - 1, 0, -1):
         left = int(rest[s])

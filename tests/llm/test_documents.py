@@ -181,8 +181,8 @@ def test_packing_plans_fill_sequences():
             plan, bins = packing.plan_packing(counts, small=small)
             assert (np.bincount(plan[:, 0], plan[:, 2], 2049) == counts).all()
             full = np.zeros(bins)
-            for length, _, k, first, offset in plan:
-                assert (full[first : first + k] <= offset).all() or True
+            for length, _, k, first, offset in plan[np.argsort(plan[:, 4], kind="stable")]:
+                assert (full[first : first + k] == offset).all()
                 full[first : first + k] += length
             assert full.max() <= 2048 and full.min() > 0
             # No more than first fit needs: all but one sequence are over half full.
@@ -201,8 +201,58 @@ def test_packing_optimises_configurations_of_several_pieces():
         assert packing.plan_packing(counts)[1] <= min(packing.plan_packing(counts, small=s)[1] for s in (1024, 682, 64))
 
 
+def test_packing_configurations_hold_several_pieces():
+    rng = np.random.default_rng(9)
+    counts = np.bincount(np.minimum(2048, rng.lognormal(5.5, 1.2, 6_000).astype(int) + 1), minlength=2049)
+    sizes, demand = packing.group_sizes(counts, 682, 96)
+    assert demand.sum() == counts[683:2048].sum() and (np.diff(sizes) < 0).all()
+    found = packing.optimise_configurations(sizes, demand, 2048)
+    assert sum(n for p, n in found if p.sum() > 1) > 20 and all(p @ sizes <= 2048 for p, _ in found)
+    assert packing.plan_packing(counts, small=682)[1] == packing.least_sequences(counts)
+
+
+def fewest_sequences(lengths, capacity):
+    """By trying everything."""
+    best = len(lengths)
+
+    def place(k, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if k == len(lengths):
+            best = len(bins)
+            return
+        for i in range(len(bins)):
+            if bins[i] + lengths[k] <= capacity:
+                place(k + 1, [*bins[:i], bins[i] + lengths[k], *bins[i + 1 :]])
+        place(k + 1, [*bins, lengths[k]])
+
+    place(0, [])
+    return best
+
+
+def test_packing_is_near_the_optimum_on_small_inputs():
+    rng, over = np.random.default_rng(11), 0
+    for _ in range(60):
+        lengths = sorted(rng.integers(1, 21, rng.integers(1, 10)).tolist(), reverse=True)
+        least = fewest_sequences(lengths, 20)
+        got = packing.plan_packing(np.bincount(lengths, minlength=21), capacity=20)[1]
+        assert least <= got <= least + 1
+        over += got > least
+    assert over <= 3
+
+
+def test_packing_of_awkward_rows(spark):
+    rows = [(None, "a b"), (None, "a b"), (1, "a b"), (1, "c"), (2, None), (3, "long " * 9_000)]
+    docs = spark.createDataFrame([(*r, 7, "x", 3) for r in rows], "doc_id long, text string, piece int, start string, offset int")
+    got = packing.pack(docs).collect()
+    assert Counter(r["doc_id"] for r in got if r["piece"] == 0) == Counter([None, None, 1, 1, 2, 3])
+    assert sum(r["length"] for r in got if r["doc_id"] == 3) == 9_001 and sum(r["length"] for r in got if r["doc_id"] == 2) == 1
+    assert len({(r["sequence_id"], r["offset"]) for r in got}) == len(got)
+
+
 def test_encoder_equals_the_tokenizer():
-    enc = packing.WordEncoder(most=20)
+    enc = packing.WordEncoder(most=1_000)
     for text in ["", "  ", "Été 0.9593 don't I'LL 's ''s <|endoftext|>x", "áb ΑΣ İ", "日本123½", "a\x00b\x1cc\x7f\x85d\xa0e", "ßÿ×÷µª", "a\x0bb\x0cc"]:
         assert enc.encode(text) == enc._whole(text)
 
