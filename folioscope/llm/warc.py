@@ -1,23 +1,30 @@
 """WARC archives: write records in segments, read them back whole.
 
-Writing: a payload becomes one ``response`` record; rows with an equal payload
-become ``revisit`` records that name the response.  Bodies are HTTP messages in
-chunked transfer framing; a body longer than ``segment_bytes`` is cut into a
-first segment and ``continuation`` records.  The archive is written by Spark's
-own text writer (records are the rows, the blank line that ends every record is
-the line separator), so any file system that Spark can write to will do.
-
-Reading: Spark reads whole archive files (their size is bounded by
-``records_per_file`` and by how many rows a partition holds), a parser yields
-the records, continuation records are grouped by their origin identifier,
-ordered by segment number, checked against the total length, and the chunked
-framing is decoded.
+Writing: of the rows with an equal payload the one with the largest page_id
+becomes a ``response`` record, and every other row a ``revisit`` record that
+names it and carries no payload.  Bodies are HTTP messages in chunked transfer
+framing; a body longer than ``segment_chars`` is cut into a first segment and
+``continuation`` records.  The archive is written by Spark's own text writer
+(records are the rows, the blank line that ends every record is the line
+separator), so any file system that Spark can write to will do.
+
+Reading: an archive file holds at most ``records_per_file`` records of at most
+``segment_chars`` characters, so files are bounded by bytes, and the parser
+inflates them as a stream.  Continuation records are grouped by their origin
+identifier, ordered by segment number, checked against the total length, and
+the chunked framing is decoded.
+
+Every row is a record with an identifier of its own: page_id, payload digest,
+a hash of the url and, for rows that repeat all three, a running number.
 
 Edge cases: a null payload is empty; a null url omits the target URI; a null
-page_id is kept (it never becomes the response of others unless all are null);
-rows that repeat both page_id and payload give one row; an empty table gives an
-empty archive and result.  Records whose segments are missing or whose length
-or digest does not fit are returned with ``intact`` false.
+page_id is smaller than any other; of rows that repeat the largest page_id the
+one with the largest url (null smallest) is the response and the rest revisit
+it; repeated rows are records like any other; very long payloads take as many
+segments as they need; an empty table gives an empty archive and result; other
+columns (also ones named like the result's) are left out.  Records whose
+segments are missing or whose length or digest does not fit are returned with
+``intact`` false.
 """
 
 from __future__ import annotations
@@ -25,6 +32,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import re
 from collections.abc import Iterator
 
@@ -63,14 +71,14 @@ def _record(kind: str, ident: str, body: str, more: list[str]) -> str:
     return "\r\n".join([*head, f"Content-Length: {len(body.encode())}"]) + END + body
 
 
-def records_of(page_id: int | None, url: str | None, html: str | None, digest: str, refers_to: int | None, segment_chars: int, chunk_chars: int) -> list[str]:
+def records_of(base: str, url: str | None, html: str | None, digest: str, refers_to: str | None, segment_chars: int, chunk_chars: int) -> list[str]:
     """The WARC records of one row, without the blank line after each."""
-    base = f"{'-' if page_id is None else page_id}:{digest}"
     ident = f"urn:page:{base}"
     shown = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url is not None else None
     head = [f"WARC-Target-URI: {shown}"] * (shown is not None) + [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response"]
     if refers_to is not None:
-        return [_record("revisit", ident, "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n", [*head, "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}:{digest}>"])]
+        profile = "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+        return [_record("revisit", ident, "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n", [*head, profile, f"WARC-Refers-To: <urn:page:{refers_to}>"])]
     body = _STATUS + chunked(html or "", chunk_chars)
     if len(body) <= segment_chars:
         return [_record("response", ident, body, head)]
@@ -85,29 +93,44 @@ def records_of(page_id: int | None, url: str | None, html: str | None, digest: s
 
 
 def with_roles(pages: DataFrame) -> DataFrame:
-    """Add the payload digest and, for revisits, the page_id of their response.
+    """(url, html, hex, base, refers): one row to write for every row of ``pages``.
 
-    Only digests and ids are aggregated; the group of one payload may hold any
-    share of the rows, since ``max`` is combined before the shuffle.
+    ``base`` identifies the record and ``refers`` the response that a revisit
+    names.  Only digests, ids and urls are aggregated, and combined before the
+    shuffle, so the rows of one payload may be any share of all rows.  Payloads
+    travel only with responses; of payloads that several rows hold, one travels.
     """
-    keyed = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    keyed = keyed.withColumn("_hex", F.sha1(F.encode("html", "UTF-8")))
-    firsts = pages.select("page_id", F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8")).alias("_k"))
-    firsts = firsts.groupBy("_k").agg(F.max("page_id").alias("_top"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_k", "_top")
-    df = keyed.join(firsts, keyed["_hex"] == firsts["_k"], "left").drop("_k")
-    return df.withColumn("_refers", F.when(~F.col("page_id").eqNullSafe(F.col("_top")), F.col("_top"))).drop("_top")
-
-
-def write_warc(pages: DataFrame, path: str, segment_chars: int = 16_384, chunk_chars: int = 4_096, records_per_file: int = 4_000) -> None:
+    full = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    full = full.withColumn("hex", F.sha1(F.encode("html", "UTF-8")))
+    rows = materialize(full.groupBy("hex", "page_id", "url").agg(F.count(F.lit(1)).alias("n")), "warc-rows")
+    base = lambda pid, url, k: F.concat_ws(":", F.coalesce(pid.cast("string"), F.lit("-")), F.col("hex"), F.hex(F.xxhash64(url)), k.cast("string"))
+    first = F.max(F.struct(F.col("page_id").isNotNull().alias("known"), "page_id", F.col("url").isNotNull().alias("named"), "url")).alias("top")
+    shared = rows.groupBy("hex").agg(first, F.sum("n").alias("rows")).filter("rows > 1")
+    shared = materialize(shared.select("hex", F.col("top.page_id").alias("top_id"), F.col("top.url").alias("top_url")), "warc-shared")
+    held = shared.select(F.col("hex").alias("_k"), "top_id", "top_url")
+    met = full.join(held, full["hex"] == held["_k"], "left")
+    is_top = F.col("page_id").eqNullSafe(F.col("top_id")) & F.col("url").eqNullSafe(F.col("top_url"))
+    write = ["url", "html", "hex", base(F.col("page_id"), F.col("url"), F.lit(0)).alias("base"), F.lit(None).cast("string").alias("refers")]
+    alone = met.filter(F.col("_k").isNull()).select(*write)
+    responses = met.filter(F.col("_k").isNotNull() & is_top).groupBy("hex", "page_id", "url").agg(F.min("html").alias("html")).select(*write)
+    others = rows.join(held, rows["hex"] == held["_k"]).withColumn("_own", is_top.cast("long")).filter("n > _own")
+    others = others.withColumn("_i", F.explode(F.sequence(F.col("_own"), F.col("n") - 1)))
+    revisits = others.select("url", F.lit(None).cast("string").alias("html"), "hex", base(F.col("page_id"), F.col("url"), F.col("_i")).alias("base"), base(F.col("top_id"), F.col("top_url"), F.lit(0)).alias("refers"))
+    return alone.unionByName(responses).unionByName(revisits)
+
+
+def write_warc(pages: DataFrame, path: str, segment_chars: int = 16_384, chunk_chars: int = 4_096, records_per_file: int = 2_000) -> None:
     """Write ``pages`` (page_id, url, html) as gzipped WARC files under ``path``."""
     ship(pages.sparkSession)
 
+    def base32(hexed: str) -> str:
+        return base64.b32encode(bytes.fromhex(hexed)).decode()
+
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out, held = [], 0
-            for pid, url, html, hexed, refers in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "_hex", "_refers"))):
-                digest = base64.b32encode(bytes.fromhex(hexed)).decode()
-                rows = records_of(pid, url, html, digest, refers, segment_chars, chunk_chars)
+            for url, html, hexed, base, refers in zip(*(b.column(c) for c in range(5))):
+                rows = records_of(base.as_py(), url.as_py(), html.as_py(), base32(hexed.as_py()), refers.as_py(), segment_chars, chunk_chars)
                 out += rows
                 held += sum(map(len, rows))
                 if held > 8_000_000:
@@ -122,17 +145,16 @@ def write_warc(pages: DataFrame, path: str, segment_chars: int = 16_384, chunk_c
 _RECORD_SCHEMA = "kind string, record_id string, origin_id string, refers_to string, digest string, segment int, total long, body binary"
 
 
-def parse_warc(data: bytes) -> Iterator[tuple]:
+def parse_warc(stream: io.BufferedIOBase) -> Iterator[tuple]:
     """(kind, id, origin, refers_to, digest, segment, total length, body) of each record."""
-    at = 0
-    while (at := data.find(b"WARC/1.", at)) >= 0:
-        cut = data.index(b"\r\n\r\n", at)
+    while line := stream.readline():
+        if not line.startswith(b"WARC/1."):
+            continue  # the blank lines after a record
         head = {}
-        for line in data[at:cut].split(b"\r\n")[1:]:
+        while (line := stream.readline()).strip():
             k, _, v = line.partition(b":")
             head[k.strip().lower().decode("latin-1")] = v.strip().decode("utf-8", "replace")
-        n = int(head.get("content-length", 0))
-        body, at = data[cut + 4 : cut + 4 + n], cut + 4 + n
+        body = stream.read(int(head.get("content-length", 0)))
         number, total = head.get("warc-segment-number"), head.get("warc-segment-total-length")
         ref = head.get("warc-refers-to")
         yield (
@@ -141,6 +163,11 @@ def parse_warc(data: bytes) -> Iterator[tuple]:
         )
 
 
+def inflated(data: bytes) -> io.BufferedIOBase:
+    """The bytes of an archive as a stream; gzip members are inflated as they are read."""
+    return io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data)), 1 << 20) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
+
+
 def read_records(spark, path: str) -> DataFrame:
     """One row per record of the archives below ``path``, segments still apart."""
     ship(spark)
@@ -151,8 +178,7 @@ def read_records(spark, path: str) -> DataFrame:
         for b in batches:
             for blob in b.column("content"):
                 rows, held = [], 0
-                data = blob.as_py()
-                for r in parse_warc(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
+                for r in parse_warc(inflated(blob.as_py())):
                     rows.append(r)
                     held += len(r[-1])
                     if held > 8_000_000:
@@ -222,7 +248,7 @@ def archive_pages(pages: DataFrame, path: str | None = None) -> DataFrame:
     shared = shared.join(origins, F.col("_t") == F.col("_o")).select("_t", "_m")
     joined = whole.join(shared, whole["refers_to"] == shared["_t"], "left")
     number = lambda c: F.expr(f"try_cast(split({c}, ':')[2] AS bigint)")
-    out = joined.select(
+    return joined.select(
         number("record_id").alias("page_id"),
         F.coalesce("_n", "_m").alias("payload_bytes"),
         F.col("digest").alias("payload_digest"),
@@ -230,4 +256,3 @@ def archive_pages(pages: DataFrame, path: str | None = None) -> DataFrame:
         number("refers_to").alias("refers_to"),
         F.col("intact"),
     )
-    return out.dropDuplicates(["page_id", "payload_digest"])

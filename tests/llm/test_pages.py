@@ -1,6 +1,7 @@
 """Page and vector operators against brute force."""
 
 import base64
+import gzip
 import hashlib
 import random
 
@@ -59,19 +60,26 @@ def pages(spark, rows):
 def test_warc_round_trip(spark):
     big = "".join(chr(97 + i % 26) + ("é\r\n\r\nWARC/1.1\r\n" if i % 97 == 0 else "") for i in range(60_000))
     rows = [(1, "http://a/ x", "<p>hi</p>"), (2, None, "<p>hi</p>"), (3, "u", None), (4, "u", ""), (5, "u", big), (6, "v", big), (7, "w", "日本\r\n0\r\n\r\n"), (7, "w", "日本\r\n0\r\n\r\n"), (None, "z", "solo"), (-8, "z", "neg")]
-    got = warc.archive_pages(pages(spark, rows)).collect()
-    expected = set()
-    for pid, _, html in rows:
-        data = (html or "").encode()
-        same = [p for p, _, h in rows if (h or "").encode() == data and p is not None]
-        top = max(same, default=None)
-        expected.add((pid, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if pid == top else "revisit", None if pid == top else top))
-    assert {tuple(r)[:5] for r in got} == expected and len(got) == len(expected) and all(r["intact"] for r in got)
+    rows += [(None, "z", "solo"), (None, "y", None), (7, "other", "日本\r\n0\r\n\r\n")] + [(11, None, "again")] * 3 + [(10, "u", "again")] * 2 + [(None, None, "no ids")] * 2
+    clashing = pages(spark, rows).withColumn("record_type", F.lit("x")).withColumn("payload_bytes", F.lit(None).cast("string"))
+    got = warc.archive_pages(clashing).collect()
+    by, expected = {}, []
+    for pid, url, html in rows:
+        by.setdefault(html or "", []).append(pid)
+    for html, ids in by.items():
+        data, ids = html.encode(), sorted(ids, key=lambda p: (p is not None, p or 0), reverse=True)
+        digest = base64.b32encode(hashlib.sha1(data).digest()).decode()
+        expected += [(p, len(data), digest, "revisit" if k else "response", ids[0] if k else None) for k, p in enumerate(ids)]
+    order = lambda r: tuple(map(str, r))
+    assert sorted((tuple(r)[:5] for r in got), key=order) == sorted(expected, key=order) and all(r["intact"] for r in got)
 
 
 def test_warc_segments_are_whole_and_ordered():
-    rows = warc.records_of(9, "u", "ab\n" * 5000, "D", None, 1000, 300)
-    parsed = list(warc.parse_warc((warc.END.join(rows) + warc.END).encode()))
+    rows = warc.records_of("9:D:0:0", "u", "ab\n" * 5000, "D", None, 1000, 300)
+    data = (warc.END.join(rows) + warc.END).encode()
+    parsed = list(warc.parse_warc(warc.inflated(data)))
+    members = gzip.compress(data[:4321]) + gzip.compress(data[4321:])
+    assert list(warc.parse_warc(warc.inflated(members))) == parsed
     assert [r[0] for r in parsed] == ["response"] + ["continuation"] * (len(rows) - 1)
     assert [r[5] for r in parsed] == list(range(1, len(rows) + 1)) and parsed[-1][6] == sum(len(r[7]) for r in parsed)
     body = b"".join(r[7] for r in parsed).partition(b"\r\n\r\n")[2]
@@ -79,7 +87,7 @@ def test_warc_segments_are_whole_and_ordered():
 
 
 def test_warc_notices_missing_segments(spark, tmp_path):
-    rows = warc.records_of(9, "u", "ab\n" * 20_000, base64.b32encode(hashlib.sha1(b"ab\n" * 20_000).digest()).decode(), None, 9000, 300)
+    rows = warc.records_of("9:D:0:0", "u", "ab\n" * 20_000, base64.b32encode(hashlib.sha1(b"ab\n" * 20_000).digest()).decode(), None, 9000, 300)
     (tmp_path / "x.txt").write_bytes((warc.END.join(rows[:2] + rows[3:]) + warc.END).encode())
     assert [r["intact"] for r in warc.read_warc(spark, str(tmp_path)).collect()] == [False]
     (tmp_path / "x.txt").write_bytes((warc.END.join(rows[::-1]) + warc.END).encode())
