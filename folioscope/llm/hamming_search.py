@@ -1,16 +1,22 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A code's bits are cut into 16-bit substrings, each with its own index.  Search
-radii grow one substring at a time: after probing radius s in substrings 0..a
-(s - 1 in the rest) every code within distance m * s + a has been seen, so a
-query is finished once its k-th verified distance is covered.  Rows are dealt
-into blocks and queries into chunks; each (block, chunk) pair searches by
-itself, and the best k of all blocks are the answer.
+A code's bits are cut into m substrings of about log2(n) bits (n: the distinct
+codes of an index), each with its own table, so a value is held by about one
+code whatever n is.  Search radii grow one substring at a time: after probing
+radius s in substrings 0..a (s - 1 in the rest) every code within distance
+m * s + a has been seen, so a query is finished once its k-th verified distance
+is covered.  Only codes that a probe meets are verified.
+
+Rows are dealt into blocks and queries into chunks; each (block, chunk) pair
+searches by itself, and the best k of all blocks are the answer.  Equal codes
+are one entry of an index; ids of one code are dealt over the blocks like all
+others, so copies crowd no task.
 
 Edge cases: vectors that are null, empty or hold null or NaN have no code: they
 are neither found nor searched for; codes of different lengths do not compare;
-ties in distance go to the smaller id; repeated rows are found one by one; with
-fewer than k rows all are returned; an empty table gives an empty result.
+vectors may be of any width; ties in distance go to the smaller id; repeated
+rows are found one by one; with fewer than k rows all are returned; an empty
+table gives an empty result; other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -26,27 +32,47 @@ from pyspark.sql.window import Window
 
 from .common import materialize, ship
 
+#: Bits to a word of a code as it is stored.
 BITS = 16
 
 
-@lru_cache(maxsize=BITS + 1)
-def shell(radius: int) -> np.ndarray:
-    """All 16-bit masks of that many set bits."""
-    return np.array([sum(1 << b for b in c) for c in combinations(range(BITS), radius)], np.int64)
+@lru_cache(maxsize=200)
+def shell(bits: int, radius: int) -> np.ndarray:
+    """All masks of that many set bits among ``bits``."""
+    return np.array([sum(1 << b for b in c) for c in combinations(range(bits), radius)], np.int64)
+
+
+def substring_lengths(width: int, n: int) -> list[int]:
+    """Lengths of the substrings of ``width`` bits: as even as can be, about log2(n) each."""
+    m = max(1, -(-width // max(2, round(np.log2(max(2, n))))))
+    return [width // m + (i < width % m) for i in range(m)]
+
+
+def _bits(words: np.ndarray, width: int) -> np.ndarray:
+    """(n, width) bits of 16-bit words; the last word holds what is left over."""
+    held = [min(BITS, width - at) for at in range(0, width, BITS)]
+    return np.concatenate([words[:, [i]] >> np.arange(h)[::-1] & 1 for i, h in enumerate(held)], axis=1)
+
+
+def _values(bits: np.ndarray, lengths: list[int]) -> list[np.ndarray]:
+    cuts = np.cumsum([0, *lengths])
+    return [bits[:, a:b] @ (1 << np.arange(b - a, dtype=np.int64)) for a, b in zip(cuts, cuts[1:])]
 
 
 class Index:
-    """Substring indexes over distinct codes (rows of 16-bit words)."""
+    """Substring tables over distinct codes (rows of 16-bit words)."""
 
-    def __init__(self, codes: np.ndarray, ids: np.ndarray, k: int):
+    def __init__(self, codes: np.ndarray, ids: np.ndarray, k: int, width: int):
         order = np.lexsort([ids, *codes.T])
         codes, ids = codes[order], ids[order]
         new = np.ones(len(codes), bool)
         new[1:] = (codes[1:] != codes[:-1]).any(axis=1)
-        self.first, self.k = np.append(np.flatnonzero(new), len(codes)), k
+        self.first, self.k, self.width = np.append(np.flatnonzero(new), len(codes)), k, width
         self.ids, self.codes = ids, codes[new]
-        self.order = [np.argsort(c, kind="stable") for c in self.codes.T]
-        self.start = [np.searchsorted(c[o], np.arange((1 << BITS) + 1)) for c, o in zip(self.codes.T, self.order)]
+        self.lengths = substring_lengths(width, len(self.codes))
+        self.values = _values(_bits(self.codes, width), self.lengths)
+        self.order = [np.argsort(v, kind="stable") for v in self.values]
+        self.start = [np.searchsorted(v[o], np.arange((1 << n) + 1)) for v, o, n in zip(self.values, self.order, self.lengths)]
 
     def _probe(self, sub: int, values: np.ndarray) -> np.ndarray:
         low, high = self.start[sub][values], self.start[sub][values + 1]
@@ -57,37 +83,24 @@ class Index:
 
     def search(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         """The k nearest (ids, distances), and how many codes were verified."""
-        m, n = self.codes.shape[1], len(self.codes)
-        seen, found, held = np.zeros(n, bool), [], 0
-        size = np.diff(self.first)
-        distance = np.full(n, BITS * m + 1)
-
-        def verify(at: np.ndarray) -> None:
-            nonlocal held
-            at = np.unique(at[~seen[at]])
-            seen[at] = True
-            distance[at] = np.bitwise_count(self.codes[at] ^ query).sum(axis=1)
-            held += int(np.minimum(size[at], self.k).sum())
-            found.append(at)
-
-        done = n == 0
-        for s in range(BITS + 1):
-            if done:
+        m, n = len(self.lengths), len(self.codes)
+        seen, size = np.zeros(n, bool), np.minimum(np.diff(self.first), self.k)
+        at_distance = np.zeros(self.width + 1, np.int64)  # ids found so far, by distance
+        distance = np.full(n, self.width + 1)
+        own = [int(v[0]) for v in _values(_bits(query[None, :], self.width), self.lengths)]
+        for s, a in ((s, a) for s in range(max(self.lengths) + 1) for a in range(m)):
+            if s <= self.lengths[a]:
+                met = self._probe(a, own[a] ^ shell(self.lengths[a], s))
+                met = met[~seen[met]]  # the values of one substring are distinct, so no code comes twice
+                seen[met] = True
+                distance[met] = np.bitwise_count(self.codes[met] ^ query).sum(axis=1)
+                at_distance += np.bincount(distance[met], size[met], self.width + 1).astype(np.int64)
+            if at_distance[: m * s + a + 1].sum() >= self.k or seen.all():
                 break
-            if len(shell(s)) * m > n:  # more probes than codes: verify the rest at once
-                verify(np.arange(n))
-                break
-            for a in range(m):
-                verify(self._probe(a, query[a] ^ shell(s)))
-                if held >= self.k:
-                    got = np.concatenate(found)
-                    d = np.sort(np.repeat(distance[got], np.minimum(size[got], self.k)))
-                    if d[self.k - 1] <= m * s + a:
-                        done = True
-                        break
-        got = np.concatenate(found) if found else np.empty(0, np.int64)
+        got = np.flatnonzero(seen)
         got = got[np.argsort(distance[got], kind="stable")]
-        take = np.minimum(size[got], self.k)
+        got = got[: max(self.k, int(np.searchsorted(distance[got], distance[got][min(self.k, len(got)) - 1], "right")))] if len(got) else got
+        take = size[got]
         ids = np.concatenate([self.ids[f : f + t] for f, t in zip(self.first[got], take)]) if len(got) else np.empty(0, np.int64)
         d = np.repeat(distance[got], take)
         best = np.lexsort([ids, d])[: self.k]
@@ -99,12 +112,13 @@ def _search(k: int):
         words = np.stack(pdf["code"].to_numpy()).astype(np.int64)
         is_query = pdf["is_query"].to_numpy()
         ids = pdf["id"].to_numpy()
-        index = Index(words[~is_query], ids[~is_query], k)
-        out = []
-        for q, w in zip(ids[is_query], words[is_query]):
-            got, d, _ = index.search(w)
-            out.append(pd.DataFrame({"query_id": q, "id": got, "distance": d.astype(np.int32)}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "distance": []})
+        out = [pd.DataFrame({"query_id": np.empty(0, np.int64), "id": np.empty(0, np.int64), "distance": np.empty(0, np.int32)})]
+        if not is_query.all():
+            index = Index(words[~is_query], ids[~is_query], k, int(key[0]))
+            for q, w in zip(ids[is_query], words[is_query]):
+                got, d, _ = index.search(w)
+                out.append(pd.DataFrame({"query_id": q, "id": got, "distance": d.astype(np.int32)}))
+        return pd.concat(out)
 
     return run
 
@@ -120,13 +134,18 @@ def sign_codes(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding")
     return df.filter(F.coalesce(sound, F.lit(False))).select(F.col(id_col).alias("id"), words.alias("code"), F.size(vector).alias("width"))
 
 
-def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, block: int = 65_536, chunk: int = 1_024) -> DataFrame:
-    """query_id, rank, id, distance: the k nearest codes of every query, exactly."""
+def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, block: int = 16_384, chunk: int = 16_384, least_chunks: int = 8) -> DataFrame:
+    """query_id, rank, id, distance: the k nearest codes of every query, exactly.
+
+    A task searches some ``block`` codes for at most some ``chunk`` queries;
+    queries make ``least_chunks`` chunks at least, so that few of them still
+    keep several tasks busy.  Codes travel once per chunk of queries.
+    """
     ship(codes.sparkSession)
-    codes = materialize(codes, "codes")
-    queries = materialize(queries, "queries")
+    codes = materialize(codes.select("id", "code", "width"), "codes")
+    queries = materialize(queries.select("id", "code", "width"), "queries")
     nb = max(1, -(-codes.count() // block))
-    nc = max(1, -(-queries.count() // chunk))
+    nc = max(least_chunks, -(-queries.count() // chunk))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     rows = codes.select("width", deal(nb).alias("b"), every(nc).alias("c"), "id", "code", F.lit(False).alias("is_query"))

@@ -199,7 +199,7 @@ def test_hamming_search_matches_brute_force(spark):
     bits = [(r[0], len(r[1]), np.array(r[1]) > 0) for r in rows if r[1] and all(x is not None and x == x for x in r[1])]
     for block, k in ((65_536, 10), (64, 3)):
         got = {}
-        for r in hamming_search.top_k(codes, codes.filter("id % 50 = 0"), k=k, block=block, chunk=4).collect():
+        for r in hamming_search.top_k(codes, codes.filter("id % 50 = 0"), k=k, block=block, chunk=4, least_chunks=2).collect():
             got.setdefault(r["query_id"], []).append((r["rank"], r["distance"], r["id"]))
         for q, width, b in bits:
             if q % 50 == 0:
@@ -208,6 +208,20 @@ def test_hamming_search_matches_brute_force(spark):
     assert hamming_search.top_k(codes.limit(0), codes.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [2_000, 20_000])
+def test_hamming_search_verifies_few_clustered_codes(n):
+    rng = np.random.default_rng(n)
+    centres = rng.integers(0, 2, (n // 100, 64))
+    bits = centres[rng.integers(0, len(centres), n)] ^ (rng.random((n, 64)) < 0.08)
+    words = bits.reshape(n, 4, 16) @ (1 << np.arange(16)[::-1])
+    index = hamming_search.Index(words, np.arange(n), 10, 64)
+    assert sum(index.lengths) == 64 and abs(index.lengths[0] - np.log2(n)) < 2
+    for q in range(0, n, n // 10):
+        ids, d, verified = index.search(words[q])
+        brute = sorted(((bits[q] != b).sum(), i) for i, b in enumerate(bits))[:10]
+        assert list(zip(d, ids)) == brute and verified < n / 2
+
+
 def test_components_of_chains_stars_and_nothing(spark):
     rng = np.random.default_rng(1)
     links = [(i, i + 1) for i in range(0, 150)] + [(1000, 1000 + i) for i in range(1, 300)] + [tuple(map(int, rng.integers(2000, 2200, 2))) for _ in range(120)] + [(5, 5), (None, 3)]
