@@ -1,23 +1,33 @@
-"""Near copies: all pairs of documents whose shingle sets have Jaccard >= 0.8.
-
-An exact set-similarity join.  Two sets that overlap that much share a shingle
-among the first n - ceil(0.8 n) + 1 of each under any order of all shingles
-(prefix filter), so those are the keys under which sets meet; every pair that
-meets is compared whole before it links.  The order puts shingles that a sample
-of documents repeats last, the most frequent at the end: common lines and
-passages are keys only of documents that hold little else.  The sample decides
-work, never results.  Before sets are fetched, counts of their shingles in 256
-ranges of the hash bound the overlap from above, which rules most pairs out.
-
-A key that many sets share is first linked by stars (each set with one of them);
-pairs that components already join are not compared again, and the rest of a
-crowded key is dealt into stripes.  The driver sees at most ``most_common``
-shingles of the sample.  Sets and shingles stand for themselves by 64-bit hashes.
+"""SimHash near-dedup whose links are Jaccard >= 0.8 of five-word shingle sets, all of them.
+
+The links come in three steps, each verified by the exact Jaccard of whole texts:
+
+1. *Fingerprints.*  The SimHash operator's fingerprints, over five-word shingles,
+   are linked within 4 bits by its generalised pigeonhole index.
+2. *Stars.*  Sets with Jaccard >= 0.8 share one of the first n - ceil(0.8 n) + 1
+   shingles of each under any order of all shingles (prefix filter).  Each
+   document is compared with one other that shares such a key and is not in its
+   component yet; a few rounds, with other stars each, join most of what the
+   fingerprints left apart (Jaccard 0.8 is some 10 bits), at one pair a document.
+3. *The rest.*  Of keys whose documents are still in several components, all
+   pairs across components are compared.
+
+So fingerprints and stars decide work and never results.  Pairs are ruled out
+unread if their sizes, or the places of the shared key in both prefixes, do not
+allow the overlap (the smaller set's key is among its first n - ceil(8/9 n) + 1),
+and if counts of their shingles in 256 ranges of the hash bound it from above.
+The order puts shingles that a sample of documents repeats last, the most
+frequent at the end: common lines and passages are keys only of documents that
+hold little else.  The sample decides work, too.
+
+The driver sees at most ``most_common`` shingles of the sample.  Sets and
+shingles stand for themselves by 64-bit hashes.
 
 Edge cases: a null, empty or blank text is the empty set and a copy of any
-other; fewer words than a shingle make one shingle; documents with equal ids are
-one node; a null doc_id is linked with nothing and its component is null; an
-empty table gives an empty result.
+other; fewer words than a shingle make one shingle; a very long text is hashed
+whole; documents with equal ids are one node; a null doc_id is linked with
+nothing and its component is null; an empty table gives an empty result; other
+columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -27,30 +37,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import materialize, release, ship, trimmed
 from .components import connected_components
+from .simhash import fingerprint, link_fingerprints, shingle_hashes
 
-SHINGLE, SAMPLE, STRIPE = 5, 20_000, 1_000
+SHINGLE, SAMPLE, STRIPE, BITS = 5, 20_000, 1_000, 4
 #: Jaccard >= 4 / 5, in whole numbers.
 SHARE, OF = 4, 5
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE, seed: int = 42) -> np.ndarray:
     """Sorted distinct XXH64 of word shingles (A-Z lower-cased)."""
-    words = (text or "").encode().lower().split()  # ASCII case and white space only
-    if not words:
-        return np.empty(0, np.uint64)
-    joined = b" ".join(words)
-    if len(words) <= shingle:
-        return np.array([xxhash.xxh64_intdigest(joined, seed)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - shingle + 1]
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist())], np.uint64))
+    return np.unique(shingle_hashes(text, shingle, seed))
 
 
 def _print(h: np.ndarray) -> int:
@@ -104,9 +106,15 @@ def common_shingles(docs: DataFrame, shingle: int, sample: int = SAMPLE, most_co
     return h[order], n[order]
 
 
-def _near(x: str, y: str):
-    """Sizes that allow the overlap."""
-    return (F.col(x) * OF >= F.col(y) * SHARE) & (F.col(y) * OF >= F.col(x) * SHARE)
+def _fit(na: Column, pa: Column, nb: Column, pb: Column) -> Column:
+    """Sizes n and the places p of a shared key in both prefixes allow Jaccard >= 0.8.
+
+    From the places on at most ``rest`` shingles can be shared; the overlap must
+    be at least 4/9 of both sizes.  Exact for the first key that a pair shares,
+    which is enough: later keys may be passed over.
+    """
+    rest = F.least(na - pa, nb - pb)
+    return (na * OF >= nb * SHARE) & (nb * OF >= na * SHARE) & (rest * (SHARE + OF) >= (na + nb) * SHARE)
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
@@ -134,42 +142,71 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int)
     return materialize(links.select("u", "v"), "near_links")
 
 
-def near_components(docs: DataFrame, shingle: int = SHINGLE, crowded: int = 16) -> DataFrame:
+def _mixed(shared: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """``shared`` with component ``c``, and only keys that hold several components."""
+    if parts is None:
+        placed = shared.withColumn("c", F.col("rep"))
+    else:
+        placed = shared.join(parts, shared["rep"] == parts["node"], "left").withColumn("c", F.coalesce("component", "rep")).drop("node", "component")
+    keys = placed.groupBy(F.col("key").alias("_k")).agg(F.min("c").alias("_a"), F.max("c").alias("_b")).filter("_a <> _b").select("_k")
+    return placed.join(keys, placed["key"] == keys["_k"], "left_semi")
+
+
+def _stars(shared: DataFrame, turn: int) -> DataFrame:
+    """One pair (a, b, u, v) for each document whose keys hold another component's star."""
+    star = F.min(F.struct(F.xxhash64(F.lit(turn), F.col("fp")).alias("h"), "fp", "rep", "n", "pos", "c")).alias("_s")
+    stars = shared.groupBy(F.col("key").alias("_k")).agg(star)
+    met = shared.join(stars, shared["key"] == stars["_k"]).filter((F.col("c") != F.col("_s.c")) & _fit(F.col("n"), F.col("pos"), F.col("_s.n"), F.col("_s.pos")))
+    return met.groupBy(F.col("fp").alias("b"), F.col("rep").alias("v")).agg(F.min("_s").alias("_s")).select(F.col("_s.fp").alias("a"), "b", F.col("_s.rep").alias("u"), "v")
+
+
+def near_components(docs: DataFrame, shingle: int = SHINGLE, turns: int = 2) -> DataFrame:
     """(doc_id, component_id) for every row of ``docs`` (doc_id, text)."""
     ship(docs.sparkSession)
     common, often = common_shingles(docs, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(t.as_py(), shingle) for t in b.column(1)]
+            every = [shingle_hashes(t.as_py(), shingle) for t in b.column(1)]
+            simhash = np.fromiter(map(fingerprint, every), np.uint64, len(every)).view(np.int64)
+            sets = [np.unique(h) for h in every]
             prints = np.fromiter(map(_print, sets), np.uint64, len(sets)).view(np.int64)
             keys = pa.array([prefix(h, common, often).view(np.int64) for h in sets], pa.list_(pa.int64()))
-            columns = [b.column(0), pa.array(prints), pa.array([len(h) for h in sets], pa.int32()), pa.array(map(sketch, sets), pa.binary()), keys]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "n", "sketch", "keys"])
+            columns = [b.column(0), pa.array(prints), pa.array(simhash), pa.array([len(h) for h in sets], pa.int32()), pa.array(map(sketch, sets), pa.binary()), keys]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "simhash", "n", "sketch", "keys"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(run), "doc_id long, fp long, n int, sketch binary, keys array<long>")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(run), "doc_id long, fp long, simhash long, n int, sketch binary, keys array<long>")
     rows = materialize(rows, "shingle_keys")
     prints = materialize(rows.select("doc_id", "fp"), "set_prints")
-    best = rows.dropna(subset=["doc_id"]).groupBy("fp").agg(F.min(F.struct("doc_id", "n", "sketch", "keys")).alias("s"))
-    reps = materialize(best.select("fp", F.col("s.doc_id").alias("rep"), F.col("s.n").alias("n"), F.col("s.sketch").alias("sketch"), F.col("s.keys").alias("keys")), "representatives")
+    fields = ["doc_id", "simhash", "n", "sketch", "keys"]
+    best = rows.dropna(subset=["doc_id"]).groupBy("fp").agg(F.min(F.struct(*fields)).alias("s"))
+    reps = materialize(best.select("fp", F.col("s.doc_id").alias("rep"), *[F.col(f"s.{c}").alias(c) for c in fields[1:]]), "representatives")
     release(rows)
-    # One shuffle of two numbers a key; what meets nothing ends here.
-    same = Window.partitionBy("key")
-    met = reps.select("fp", F.explode("keys").alias("key")).withColumn("many", F.count(F.lit(1)).over(same)).withColumn("star", F.min("fp").over(same)).filter("many > 1")
-    shared = materialize(met.join(reps.select("fp", "rep", "n"), "fp"), "shared_keys")
-
-    stars = shared.filter((F.col("many") > crowded) & (F.col("fp") != F.col("star"))).select(F.col("star").alias("a"), F.col("fp").alias("b"), F.col("rep").alias("v"), "n").distinct()
-    stars = stars.join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("u"), F.col("n").alias("_n")), "a").filter(_near("n", "_n"))
-    links = _verified(stars.select("a", "b", "u", "v"), reps, docs, shingle)
-    parts = connected_components(links)
-    placed = shared.join(parts, shared["rep"] == parts["node"], "left").select("key", "many", "fp", "rep", "n", F.coalesce("component", "rep").alias("c"))
-    mixed = placed.groupBy(F.col("key").alias("_k")).agg(F.min("c").alias("_a"), F.max("c").alias("_b")).filter("_a <> _b").select("_k")
-    placed = materialize(placed.join(mixed, placed["key"] == mixed["_k"], "left_semi"), "shared_keys")
+    # Sets whose fingerprints are within some bits.  Of equal fingerprints the
+    # smallest document stands for all, linked with each of them.
+    by_print = materialize(reps.groupBy("simhash").agg(F.min("rep").alias("top")), "simhashes")
+    close = link_fingerprints(by_print.select(F.col("simhash").alias("fp"), F.col("top").alias("rep")), BITS)
+    same = reps.join(by_print, "simhash").filter("rep <> top").select(F.col("top").alias("u"), F.col("rep").alias("v"))
+    close = close.unionByName(same)
+    ids = reps.select("rep", "fp")
+    close = close.join(ids.select(F.col("rep").alias("u"), F.col("fp").alias("a")), "u").join(ids.select(F.col("rep").alias("v"), F.col("fp").alias("b")), "v")
+    links = _verified(close.select("a", "b", "u", "v"), reps, docs, shingle)
+    # Keys that several sets share: one shuffle of a few numbers a key.
+    keys = reps.select("fp", "rep", "n", F.posexplode("keys").alias("pos", "key"))
+    met = keys.withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("many > 1")
+    shared = materialize(met.select("key", "many", "fp", "rep", "n", "pos"), "shared_keys")
+    for turn in range(turns):
+        left = materialize(_mixed(shared, connected_components(links)), "mixed_keys")
+        links = materialize(links.unionByName(_verified(_stars(left, turn), reps, docs, shingle)), "near_links")
+        release(shared)
+        shared = left.drop("c")
+    placed = materialize(_mixed(shared, connected_components(links)), "mixed_keys")
     stripes = F.ceil(F.col("many") / STRIPE).cast("int")
-    left = placed.select("key", F.pmod(F.xxhash64("fp"), stripes).cast("int").alias("stripe"), F.col("fp").alias("a"), F.col("rep").alias("u"), F.col("n").alias("_na"), F.col("c").alias("_ca"))
-    right = placed.select("key", F.explode(F.sequence(F.lit(0), stripes - 1)).alias("stripe"), F.col("fp").alias("b"), F.col("rep").alias("v"), F.col("n").alias("_nb"), F.col("c").alias("_cb"))
-    pairs = left.join(right, ["key", "stripe"]).filter((F.col("a") < F.col("b")) & (F.col("_ca") != F.col("_cb")) & _near("_na", "_nb"))
-    links = links.unionByName(_verified(pairs.select("a", "b", "u", "v").distinct(), reps, docs, shingle))
+    left = placed.select("key", F.pmod(F.xxhash64("fp"), stripes).cast("int").alias("stripe"), F.col("fp").alias("a"), F.col("rep").alias("u"), F.col("n").alias("_na"), F.col("pos").alias("_pa"), F.col("c").alias("_ca"))
+    right = placed.select("key", F.explode(F.sequence(F.lit(0), stripes - 1)).alias("stripe"), F.col("fp").alias("b"), F.col("rep").alias("v"), F.col("n").alias("_nb"), F.col("pos").alias("_pb"), F.col("c").alias("_cb"))
+    on = (left["key"] == right["key"]) & (left["stripe"] == right["stripe"]) & (F.col("a") < F.col("b")) & (F.col("_ca") != F.col("_cb")) & _fit(F.col("_na"), F.col("_pa"), F.col("_nb"), F.col("_pb"))
+    pairs = left.join(right, on).select("a", "b", "u", "v").distinct()
+    links = links.unionByName(_verified(pairs, reps, docs, shingle))
     # Documents that repeat an id with other texts tie their sets together.
     again = prints.dropna().groupBy("doc_id").agg(F.min("fp").alias("_a"), F.max("fp").alias("_b")).filter("_a <> _b").select("doc_id")
     again = prints.join(again, "doc_id").join(reps.select("fp", "rep"), "fp").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))

@@ -13,9 +13,10 @@ by many fingerprints is cut into square tiles, and a group of tiles yields a
 spanning forest of its links, not the links.
 
 Edge cases: a null, empty or blank text has fingerprint zero and links like any
-other; fewer words than a shingle make one shingle; ties at half the shingles
-give a 0 bit; documents with equal ids are one node; a null doc_id is linked with
-nothing and its component is null; an empty table gives an empty result.
+other; fewer words than a shingle make one shingle; a very long text is hashed
+whole; ties at half the shingles give a 0 bit; documents with equal ids are one
+node; a null doc_id is linked with nothing and its component is null; an empty
+table gives an empty result; other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -35,18 +36,22 @@ PARTS, WIDTH = 4, 16
 _LANES = np.uint64(0x0101010101010101)
 
 
-def simhash(text: str | None, shingle: int = 4, seed: int = 42) -> int:
-    """Bit i is 1 if set in over half of the shingles' XXH64 (A-Z lower-cased)."""
+def shingle_hashes(text: str | None, shingle: int = 4, seed: int = 42) -> np.ndarray:
+    """XXH64 of every word shingle in order, repeats included (A-Z lower-cased); none of a blank text."""
     words = (text or "").encode().lower().split()  # ASCII case and white space only
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, seed)
+        return np.array([xxhash.xxh64_intdigest(joined, seed)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - shingle + 1]
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist())], np.uint64)
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist())], np.uint64)
+
+
+def fingerprint(h: np.ndarray) -> int:
+    """Bit i is 1 if set in over half of the hashes."""
     n = len(h)
     h = np.concatenate([h, np.zeros(-n % 255, np.uint64)]).reshape(-1, 255)
     bits = 0
@@ -58,6 +63,11 @@ def simhash(text: str | None, shingle: int = 4, seed: int = 42) -> int:
     return bits
 
 
+def simhash(text: str | None, shingle: int = 4, seed: int = 42) -> int:
+    """The fingerprint of a text's shingles; zero without words."""
+    return fingerprint(shingle_hashes(text, shingle, seed))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
     """(doc_id, fp): fp as a signed long, from whole texts."""
     ship(docs.sparkSession)

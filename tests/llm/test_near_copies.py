@@ -38,8 +38,8 @@ def test_stage_drops_what_is_similar_from_four_fifths_on(spark, tmp_path):
     assert {r["doc_id"] for r in kept} == {r[0] for r in rows} - near
 
 
-@pytest.mark.parametrize(("crowded", "stripe", "sample"), [(64, 1_000, 20_000), (2, 3, 10)])
-def test_components_equal_brute_force(spark, monkeypatch, crowded, stripe, sample):
+@pytest.mark.parametrize(("turns", "stripe", "sample"), [(2, 1_000, 20_000), (0, 3, 10)])
+def test_components_equal_brute_force(spark, monkeypatch, turns, stripe, sample):
     monkeypatch.setattr(near_copies, "STRIPE", stripe)
     monkeypatch.setattr(near_copies.common_shingles, "__defaults__", (sample, 500_000))
     rng = random.Random(3)
@@ -49,7 +49,7 @@ def test_components_equal_brute_force(spark, monkeypatch, crowded, stripe, sampl
     rows += [(2000 + i, edited(rng, base, rng.randrange(3)), "a") for i in range(40)]
     links = [(a, b) for a, t, _ in rows for b, u, _ in rows if a is not None and b is not None and a < b and jaccard(t, u) >= 0.8]
     want = brute_components({r[0] for r in rows if r[0] is not None}, links)
-    got = near_copies.near_components(documents(spark, rows), crowded=crowded).collect()
+    got = near_copies.near_components(documents(spark, rows), turns=turns).collect()
     assert len(got) == len(rows)
     assert {(r["doc_id"], r["component_id"]) for r in got} == {*want.items(), (None, None)}
 
