@@ -53,17 +53,57 @@ def test_repeats_match_brute_force(docs, window):
     assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got.collect()) == expected
 
 
-def test_repeats_split_crowded_prefixes(spark, docs, monkeypatch):
+@pytest.mark.parametrize("group_rows", [8, 1])
+def test_repeats_split_crowded_prefixes(spark, docs, group_rows):
     rows = docs.select("doc_id", "text").collect()
     expected = sorted(x[1] for x in brute_repeats([r["text"] for r in rows]))
-    found = substring_dedup.repeated_windows
-    monkeypatch.setattr(substring_dedup, "repeated_windows", lambda d, w: found(d, w, group_rows=8))
-    got = substring_dedup.remove_repeats(docs, digest=True)
+    got = substring_dedup.remove_repeats(docs, digest=True, group_rows=group_rows)
     assert sorted(r["n_removed"] for r in got.collect()) == expected
     one = got.filter("doc_id = 2").first()
     assert one["kept"] == hashlib.sha256(b"").hexdigest()
 
 
+def test_repeats_compare_words_not_weak_hashes(spark):
+    """Thue-Morse words collide under any polynomial modulo a power of two."""
+    morse = "".join("ab"[i.bit_count() & 1] for i in range(1024))
+    other = morse.translate(str.maketrans("ab", "ba"))
+    common = " ".join(f"w{i}" for i in range(34))
+    texts = [f"{common} {morse}", f"{common} {other}", f"x {common} {morse[:700]}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["n_removed"] for r in substring_dedup.remove_repeats(docs).collect()] == [0, 0, 0]
+    twice = docs.unionByName(docs.filter("doc_id = 0"))
+    assert sorted(r["n_removed"] for r in substring_dedup.remove_repeats(twice).collect()) == [0, 0, 35, 35]
+
+
+def test_repeats_of_many_null_ids(spark):
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(36)), lambda i: F.concat(F.col("id"), F.lit("_"), i)))
+    docs = spark.range(200_000).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") % 40_000 == 7, "same " * 36).otherwise(text).alias("text"))
+    got = substring_dedup.remove_repeats(docs).groupBy("n_words", "n_removed").count().collect()
+    assert {tuple(r) for r in got} == {(37, 0, 199_995), (36, 36, 5)}
+
+
+def test_suffix_trees_cut_at_full_depth():
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"v{x}" for x in rng.integers(0, 2, rng.integers(1, 30))) for _ in range(40)]
+    weights = rng.integers(1, 3, 40).astype(float)
+    for depth in (3, 5, 8, 11):
+        tree = substring_dedup.SuffixTree(texts, depth)
+        split = [t.split() for t in texts]
+        seen = Counter()
+        for w, n in zip(split, weights):
+            for i in range(len(w) - depth + 1):
+                seen[tuple(w[i : i + depth])] += n
+        expected = [(r, i) for r, w in enumerate(split) for i in range(len(w) - depth + 1) if seen[tuple(w[i : i + depth])] >= 2]
+        at = tree.repeats(weights)
+        assert [(tree.row[x], x - tree.first[tree.row[x]]) for x in at] == expected
+        # Neighbours in order share what the longest common prefixes say.
+        shared = tree.common_prefixes()
+        for k in range(1, len(tree.start)):
+            x, y = (split[tree.row[i]][i - tree.first[tree.row[i]] :] for i in tree.start[k - 1 : k + 1])
+            true = next((j for j, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+            assert shared[k] == true or shared[k] >= depth
+
+
 def test_repeats_of_common_lines_with_other_words(spark):
     """A shared line in many contexts, and periodic texts within one document."""
     rng = np.random.default_rng(1)
