@@ -1,10 +1,12 @@
 """Near-duplicate embeddings: int8 tile products with rigorous error bounds.
 
 Vectors of one label are dealt into blocks; every pair of blocks is a tile.  A
-tile multiplies int8-quantised unit vectors, adds to each product the bound
-that the two quantisation errors allow, and recomputes in double precision only
-the pairs that may reach the threshold.  What leaves a tile is one row per
-linked vector (how many links, and one link of a spanning forest), never pairs.
+tile multiplies int8-quantised unit vectors (8-bit factors, 32-bit sums), adds
+to each product the bound that the two quantisation errors allow, and recomputes
+in double precision only the pairs that may reach the threshold.  It does so in
+strips of rows and slices of pairs, so its memory does not depend on how many
+pairs are close.  What leaves a tile is one row per linked vector (how many
+links, and one link of a spanning forest), never pairs.
 
 Equal vectors are one representative with a multiplicity, so thousands of
 copies cost one row.  Work per label is quadratic in its distinct vectors, as
@@ -12,9 +14,10 @@ an exact comparison under a cosine threshold is in the worst case; it is spread
 over (n / block)^2 / 2 tiles of fixed size.
 
 Edge cases: null, zero, null-holding or non-finite vectors and null labels link
-with nothing and are kept; vectors of different lengths do not compare; rows
-that repeat an id count as vectors of their own; an empty table gives an empty
-result; other columns are left out.
+with nothing and are kept; vectors of different lengths do not compare, and may
+be very long; a cosine equal to the threshold links; rows that repeat an id
+count as vectors of their own; an empty table gives an empty result; other
+columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -37,24 +40,34 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return q, scale, np.linalg.norm(x - q * scale[:, None], axis=1)
 
 
-def close_pairs(x: np.ndarray, y: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray, int]:
-    """Index pairs with cosine >= threshold (y None: i < j within x), and how many were recomputed.
+#: Rows of a strip, and bytes of vectors gathered for a slice of pairs.
+STRIP, SLICE_BYTES = 64, 16_000_000
+
+
+def close_pairs(x: np.ndarray, y: np.ndarray | None, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Index pairs with cosine >= threshold (y None: i < j within x), slice by slice, and how many were recomputed.
 
     With u = a + d and v = b + e (a, b quantised), |u.v - a.b| <= |a||e| + |d||v|,
     |v| = 1 and |a| <= 1 + |d|; a slack of 1e-6 covers float rounding.
     """
     same = y is None
-    nx, ny = np.linalg.norm(x, axis=1), None if same else np.linalg.norm(y, axis=1)
+    y = x if same else y
+    nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
     qx, sx, ex = quantise(x / nx[:, None])
-    (qy, sy, ey), y, ny = ((qx, sx, ex), x, nx) if same else (quantise(y / ny[:, None]), y, ny)
-    kind = np.float32 if x.shape[1] * 127 * 127 < 1 << 24 else np.float64  # sums of products stay exact
-    approx = (qx.astype(kind) @ qy.astype(kind).T).astype(np.float64) * sx[:, None] * sy
-    i, j = np.nonzero(approx + (1 + ex)[:, None] * ey + ex[:, None] + 1e-6 >= threshold)
-    if same:
-        i, j = i[i < j], j[i < j]
-    exact = np.einsum("ij,ij->i", x[i], y[j]) / (nx[i] * ny[j])
-    hit = exact >= threshold
-    return i[hit], j[hit], len(i)
+    qy, sy, ey = (qx, sx, ex) if same else quantise(y / ny[:, None])
+    most = max(1, SLICE_BYTES // (16 * x.shape[1]))
+    for top in range(0, len(x), STRIP):
+        strip = slice(top, top + STRIP)
+        products = np.einsum("ik,jk->ij", qx[strip], qy, dtype=np.int32)
+        approx = products * sx[strip, None] * sy
+        i, j = np.nonzero(approx + (1 + ex[strip, None]) * ey + ex[strip, None] + 1e-6 >= threshold)
+        i = i + top
+        if same:
+            i, j = i[i < j], j[i < j]
+        for at in range(0, len(i), most):
+            a, b = i[at : at + most], j[at : at + most]
+            hit = np.einsum("ij,ij->i", x[a], y[b]) / (nx[a] * ny[b]) >= threshold
+            yield a[hit], b[hit], len(a)
 
 
 def _tile(threshold: float):
@@ -64,13 +77,20 @@ def _tile(threshold: float):
         x = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
         a = np.flatnonzero(pdf["block"].to_numpy() == low)
         b = a if low == high else np.flatnonzero(pdf["block"].to_numpy() == high)
-        i, j, _ = close_pairs(x[a], None if low == high else x[b], threshold)
-        i, j = a[i], b[j]
-        links = np.bincount(i, n[j], len(ids)) + np.bincount(j, n[i], len(ids))
-        node, root = forest(ids[i], ids[j])
-        order = np.argsort(ids)
-        at = order[np.searchsorted(ids, node, sorter=order)]
-        return pd.DataFrame({"rep": node, "links": links[at].astype(np.int64), "root": root})
+        links, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        for i, j, _ in close_pairs(x[a], None if low == high else x[b], threshold):
+            i, j = a[i], b[j]
+            links += (np.bincount(i, n[j], len(ids)) + np.bincount(j, n[i], len(ids))).astype(np.int64)
+            apart = label[i] != label[j]
+            if apart.any():  # contract what is found so far
+                node, root = forest(label[i[apart]], label[j[apart]])
+                up = np.arange(len(ids))
+                up[node] = root
+                label = up[label]
+        at = np.flatnonzero(links)
+        least = np.full(len(ids), np.iinfo(np.int64).max)
+        np.minimum.at(least, label, ids)
+        return pd.DataFrame({"rep": ids[at], "links": links[at], "root": least[label[at]]})
 
     return run
 

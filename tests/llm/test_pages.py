@@ -6,6 +6,7 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,9 +189,25 @@ def test_quantisation_bound_is_rigorous():
     q, s, e = embedding_dedup.quantise(u)
     approx = (q.astype(float) @ q.T.astype(float)) * s[:, None] * s
     assert (np.abs(u @ u.T - approx) <= (1 + e)[:, None] * e + e[:, None] + 1e-12).all()
-    i, j, tried = embedding_dedup.close_pairs(x, None, 0.98)
-    assert set(zip(i, j)) == {(a, b) for a in range(300) for b in range(a + 1, 300) if u[a] @ u[b] >= 0.98}
-    assert tried < 1000
+    found = list(embedding_dedup.close_pairs(x, None, 0.98))
+    assert {(p, q) for i, j, _ in found for p, q in zip(i, j)} == {(a, b) for a in range(300) for b in range(a + 1, 300) if u[a] @ u[b] >= 0.98}
+    assert sum(n for *_, n in found) < 1000
+
+
+def test_embedding_tiles_of_near_vectors_need_little_memory():
+    """All pairs of a tile are candidates: 1,024 x 1,024 vectors of 256 dimensions."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=256)
+    x = np.stack([base + rng.normal(size=256) * 0.01 for _ in range(2048)])
+    pdf = pd.DataFrame({"rep": np.arange(2048), "n": 1, "embedding": list(x), "block": np.repeat([0, 1], 1024)})
+    tracemalloc.start()
+    got = embedding_dedup._tile(0.98)((1, 256, 0, 1), pdf)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120_000_000
+    assert (got["links"] == 1024).all() and (got["root"] == 0).all() and len(got) == 2048
 
 
 def test_hamming_search_matches_brute_force(spark):
