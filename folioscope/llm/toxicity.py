@@ -1,22 +1,25 @@
 """Toxicity: noisy-channel deobfuscation, then a linear score of the restored text.
 
-``character_model`` counts letter trigrams over all documents (a table of
-28**3 numbers, whatever the input).  A suspicious token - leetspeak, marks
+``character_model`` counts runs of four letters over all documents (a table of
+28**4 numbers, whatever the input).  A suspicious token - leetspeak, marks
 between letters, letters repeated or spaced out - becomes a lattice: each
-character may stand for itself, for the letters that it is used for, or for
-nothing.  Viterbi decoding under the character model picks the likeliest
-word.  ``fit`` learns a logistic regression over words and word beginnings of
-restored texts from labelled rows; ``score`` applies it to every whole text.
+character may stand for itself, for the letters that it is used for, for the
+end of a word, or for nothing.  Viterbi decoding under the character model picks
+the likeliest reading.  The classifier sees restored words alone: ``fit`` learns
+a logistic regression over words and word beginnings of restored texts from
+labelled rows, and ``score`` applies it to every whole text.
 
 Labels are read for training rows alone: those with crc32(doc_id as text) mod 5
 other than 0, and of these a sample of ``fit_rows`` (8,000) by hash of the id.
 
-Edge cases: a null or empty text scores what the model's bias says; labels that
-are null are not learned from; a document labelled twice counts as toxic if
-either row says so; without labels of both kinds, or without a word that tells
-them apart, every score is about the share of toxic labels (0 if there are
-none); repeated rows score alike; an empty table
-gives an empty result; columns named held_out, score or predicted are replaced.
+Edge cases: a null or empty text scores what the model's bias says; tokens,
+spaced-out runs and texts of any length are worked on whole, in linear time; of
+equally likely readings the first in the order of the tables below counts;
+labels that are null are not learned from; a document labelled twice counts as
+toxic if either row says so; without labels of both kinds, or without a word
+that tells them apart, every score is about the share of toxic labels (0 if
+there are none); repeated rows score alike; an empty table gives an empty
+result; columns named held_out, score or predicted are replaced.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -36,14 +40,19 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import materialize, ship, trimmed
 
-SYMBOLS = 28  # boundary, a-z, other letters
+SYMBOLS, ORDER = 28, 4  # boundary, a-z, other letters; letters to a run
 
 # What leetspeak characters stand for, and marks put between letters.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "+": "t", "|": "il", "(": "c", "€": "e", "£": "l"}
 MARKS = ".-_*~'^/\\,:"
 _STRIP = ".,;:!?#$%&*|\"'()[]{}<>-_~"
-_SPACED = re.compile(r"(?<!\S)\S(?: \S){2,39}(?!\S)")
+_SPACED = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
 _ODD = re.compile(r"[^\W\d_][^\w\s]+[^\W\d_]|\d[^\W\d_]|[^\W\d_]\d|[$@!|+_]|([^\W\d_])\1\1")
+_TRAIL = re.compile(r"(?:!+|([$|+])\1\1+)$")  # signs for emphasis, not for letters
+
+#: Log weights of the channel: a letter in disguise, a sign that stands for
+#: nothing, a mark between letters, a letter written twice or more often.
+DISGUISED, IGNORED, MARKED, TWICE, OFTEN = -1.0, -9.0, -0.5, -4.0, -0.5
 
 
 def _letter_class(ch: str) -> int:
@@ -51,111 +60,130 @@ def _letter_class(ch: str) -> int:
     return ord(base) - 96 if "a" <= base <= "z" else 27 if ch.isalpha() else 0
 
 
-# Classes of UTF-8 bytes: ASCII letters, and Latin-1 letters by their second byte.
-_CLASS = np.zeros(256, np.int64)
-for _b in range(128):
-    _CLASS[_b] = _letter_class(chr(_b))
-for _b in range(0x80, 0xC0):
-    _CLASS[_b] = _letter_class(chr(_b + 0x40))
-_LEAD = np.zeros(256, bool)
-_LEAD[0xC0:] = True
+@lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """Class of every code point of the basic plane; those beyond count as other letters."""
+    return np.array([*(_letter_class(chr(c)) for c in range(0x10000)), 27], np.int64)
+
 
+def run_counts(text: str) -> np.ndarray:
+    """How often each run of four classes stands in a text (28**4 numbers)."""
+    c = _classes()[np.minimum(np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32), 0x10000)]
+    n = max(0, len(c) - ORDER + 1)
+    code = sum(c[i : i + n] * SYMBOLS ** (ORDER - 1 - i) for i in range(ORDER))
+    return np.bincount(code, minlength=SYMBOLS**ORDER) if n else np.zeros(SYMBOLS**ORDER, np.int64)
 
-def trigram_counts(data: np.ndarray) -> np.ndarray:
-    """Counts of class trigrams in UTF-8 bytes."""
-    c = _CLASS[data[~_LEAD[data]]]
-    return np.bincount((c[:-2] * SYMBOLS + c[1:-1]) * SYMBOLS + c[2:], minlength=SYMBOLS**3)
+
+def log_model(counts: np.ndarray) -> np.ndarray:
+    """log P(fourth | first three), backed by the counts of three and two."""
+    n = counts.reshape((SYMBOLS,) * ORDER).astype(float)
+    p = np.full(SYMBOLS, 1 / SYMBOLS)
+    for order in range(1, ORDER + 1):
+        m = n.sum(axis=tuple(range(ORDER - order)))
+        p = (m + 3.0 * p) / (m.sum(axis=-1, keepdims=True) + 3.0)
+    return np.log(p).astype(np.float32)
 
 
 def character_model(docs: DataFrame) -> np.ndarray:
-    """log P(third | first two) from every text of ``docs``, as a cube."""
+    """:func:`log_model` of every text of ``docs``."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SYMBOLS**3, np.int64)
+        total = np.zeros(SYMBOLS**ORDER, np.int64)
         for b in batches:
-            column = b.column(0).cast(pa.large_string())
-            _, offsets, data = column.buffers()
-            if data is None or not len(column):
-                continue
-            cuts = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
-            for s in range(int(cuts[0]), int(cuts[-1]), 4_000_000):
-                part = np.frombuffer(data, np.uint8)[s : min(s + 4_000_000, int(cuts[-1]))]
-                if len(part) > 2:
-                    total += trigram_counts(part)
+            held, size = [], 0
+            for text in b.column(0):
+                held.append(text.as_py())
+                size += len(held[-1])
+                if size > 1_000_000:
+                    total += run_counts("  ".join(held))
+                    held, size = [], 0
+            total += run_counts("  ".join(held))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["code", "n"])
 
-    rows = docs.select(F.concat(F.coalesce("text", F.lit("")), F.lit(" ")).alias("text")).mapInArrow(trimmed(run), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()  # at most 28**3
-    n = np.zeros(SYMBOLS**3)
-    for r in rows:
-        n[r["code"]] = r["n"]
-    n = n.reshape(SYMBOLS, SYMBOLS, SYMBOLS)
-    return np.log((n + 0.1) / (n.sum(axis=2, keepdims=True) + 0.1 * SYMBOLS))
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(trimmed(run), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()  # at most 28**4
+    n = np.zeros(SYMBOLS**ORDER, np.int64)
+    n[rows["code"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    return log_model(n)
 
 
 class Channel:
     """Decodes tokens under a character model."""
 
     def __init__(self, model: np.ndarray):
-        self.p = model.tolist()
+        self.p = model.ravel().tolist()
 
-    def lattice(self, token: str) -> Iterator[list[tuple[str, float]]]:
-        """For each character what it may stand for, with log weights."""
-        before = ""
-        for ch in token:
+    def lattice(self, token: str, spaced: bool = False) -> Iterator[list[tuple[str, float]]]:
+        """For each character what it may stand for, with log weights; a space ends a word."""
+        before, run = "", 0
+        for i, ch in enumerate(token):
+            run = run + 1 if ch == before else 1
             if ch.isalpha():
                 ways = [(ch, 0.0)]
-                if ch == before:
-                    ways.append(("", -2.0))
-            elif ch in MARKS or ch == " ":
-                ways = [("", -0.5)]
+                if run > 1:
+                    ways.append(("", OFTEN if run > 2 or token[i + 1 : i + 2] == ch else TWICE))
+            elif ch in MARKS:
+                ways = [("", MARKED), (" ", 0.0)]
+            elif letters := LEET.get(ch):
+                ways = [(x, DISGUISED) for x in letters] + [("", IGNORED)]
             else:
-                ways = [(x, -1.5) for x in LEET.get(ch, "")] + [("", -4.0)]
+                ways = [(" ", 0.0), ("", IGNORED)]
             before = ch
             yield ways
-
-    def decode(self, token: str) -> str:
-        """The likeliest word (Viterbi over the last two letters)."""
-        best = {(0, 0): (0.0, "")}
-        for ways in self.lattice(token):
-            new: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, word) in best.items():
-                row = self.p[a][b]
-                for ch, weight in ways:
-                    if ch:
-                        c = _letter_class(ch)
-                        key, got = (b, c), (score + weight + row[c], word + ch)
+            if spaced and i < len(token) - 1:
+                yield [("", 0.0), (" ", -1.0)]
+
+    def decode(self, token: str, spaced: bool = False) -> str:
+        """The likeliest reading (Viterbi over the last three letters), words apart by spaces.
+
+        A spaced-out run comes without its spaces; words may end after any letter.
+        """
+        p, top = self.p, SYMBOLS ** (ORDER - 1)
+        best: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}  # last letters -> score, letters so far (linked)
+        for ways in self.lattice(token, spaced):
+            read = [(ch, _letter_class(ch) if ch.strip() else 0, weight) for ch, weight in ways]
+            new: dict[int, tuple[float, tuple | None]] = {}
+            for state, (score, word) in best.items():
+                for ch, c, weight in read:
+                    if not ch or ch == " " and not state % SYMBOLS:  # a word that ended ends once
+                        key, got, so_far = state, score + weight, word
                     else:
-                        key, got = (a, b), (score + weight, word)
-                    if key not in new or got > new[key]:
-                        new[key] = got
+                        at = state * SYMBOLS + c
+                        key, got, so_far = at % top, score + weight + p[at], (ch, word)
+                    if key not in new or got > new[key][0]:
+                        new[key] = (got, so_far)
             best = new
-        return max((score + self.p[a][b][0], word) for (a, b), (score, word) in best.items())[1]
+        word = max((score + (p[state * SYMBOLS] if state % SYMBOLS else 0.0), -state, word) for state, (score, word) in best.items())[2]
+        out = []
+        while word is not None:
+            out.append(word[0])
+            word = word[1]
+        return "".join(reversed(out)).strip()
 
     def restore(self, token: str) -> list[str]:
-        """The token's word or, of a suspicious token, its bare form and its decoding."""
+        """The words that a lower-case token stands for."""
+        if token.startswith(" "):  # a run of spaced-out characters
+            return self.decode(token.replace(" ", ""), spaced=True).split()
         core = token.strip(_STRIP)
-        if core.isalpha() and not (len(core) > 2 and _ODD.search(core)):
+        if core.isalpha() and not _ODD.search(core):
             return [core]
-        out = [core] if core else []
-        whole = token.strip(".,;:?#%&*\"'")
-        if 2 < len(whole) <= 64 and _ODD.search(whole) and any(ch.isalpha() for ch in whole):
-            out.append(self.decode(whole))
-        return out
-
-    def words(self, text: str) -> set[str]:
-        """Distinct tokens of a text, runs of spaced-out characters joined to one."""
+        whole = _TRAIL.sub("", token.strip(".,;:?#%&*\"'"))
+        if _ODD.search(whole) and any(ch.isalpha() for ch in whole):
+            return self.decode(whole).split()
+        return [core] if core else []
+
+    def tokens(self, text: str) -> set[str]:
+        """Distinct tokens of a text; runs of spaced-out characters begin with a space."""
         text = text.lower()
         found = set(text.split())
-        for m in _SPACED.finditer(text):
-            found.add("".join(dict.fromkeys(m[0].split())) if len(set(m[0])) <= 2 else m[0].replace(" ", "."))
+        found.update(f" {m[0]}" for m in _SPACED.finditer(text))
         return found
 
     def deobfuscate(self, text: str) -> str:
-        """The text with every suspicious token replaced by its decoding."""
-        text = _SPACED.sub(lambda m: self.decode(m[0].lower()), text)
-        return " ".join(self.restore(t.lower())[-1] if _ODD.search(t) and self.restore(t.lower()) else t for t in text.split())
+        """The text in lower case with every suspicious token replaced by its reading."""
+        text = _SPACED.sub(lambda m: " ".join(self.restore(f" {m[0]}")), text.lower())
+        return " ".join(" ".join(self.restore(t)) or t if _ODD.search(t) else t for t in text.split())
 
 
 def word_features(word: str) -> list[str]:
@@ -198,6 +226,13 @@ def regress(sets: list[np.ndarray], labels: np.ndarray, n_features: int) -> np.n
     return np.append(w, bias)
 
 
+def thinned(sets: list[np.ndarray], copies: int = 2, share: float = 0.5, seed: int = 4) -> list[np.ndarray]:
+    """Copies of toxic rows that keep some of their features, so that one word is enough to tell."""
+    rng = np.random.default_rng(seed)
+    out = [x[rng.random(len(x)) < share] for x in sets for _ in range(copies)]
+    return [x for x in out if len(x)]
+
+
 def _features_of(words: str) -> set[str]:
     return {f for w in words.split("\n") if w for f in word_features(w)}
 
@@ -245,7 +280,9 @@ def fit(sample: DataFrame, least: int = 4, most: int = 4_000) -> tuple[dict[str,
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int32()))], ["d", "y", "feats"])
 
     rows = sample.select("d", "y", "words").mapInArrow(trimmed(numbers), "d long, y int, feats array<int>").toPandas().sort_values("d", kind="stable")
-    return number, regress([np.asarray(x, np.int64) for x in rows["feats"]], rows["y"].to_numpy(), len(chosen))
+    sets, y = [np.asarray(x, np.int64) for x in rows["feats"]], rows["y"].to_numpy()
+    more = thinned([x for x, label in zip(sets, y) if label])
+    return number, regress(sets + more, np.append(y, np.ones(len(more), y.dtype)), len(chosen))
 
 
 class _Seen(dict):
@@ -274,7 +311,7 @@ class Model:
 
         def score(text: str | None) -> float:
             feats: set[int] = set()
-            for found in map(seen.__getitem__, channel.words(text or "")):
+            for found in map(seen.__getitem__, channel.tokens(text or "")):
                 if found:
                     feats.update(found)
             z = float(w[-1]) + sum(float(w[i]) for i in sorted(feats))
@@ -300,7 +337,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 8_000) -> Model:
         for b in batches:
             out = []
             for text in (t.as_py() for t in b.column(1)):
-                out.append("\n".join(sorted({w for t in channel.words(text or "") for w in channel.restore(t)})))
+                out.append("\n".join(sorted({w for t in channel.tokens(text or "") for w in channel.restore(t)})))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.string())], ["d", "y", "words"])
 
     # The sample has at most ``fit_rows`` rows of two numbers.

@@ -356,16 +356,63 @@ def test_mix_of_nothing_and_of_blanks(spark, nothing):
 # ---------------------------------------------------------------- toxicity
 
 
+def corpus_channel(vocabulary, seed=0):
+    rng = np.random.default_rng(seed)
+    texts = [" ".join(rng.choice(vocabulary, 40)) + "." for _ in range(300)]
+    return toxicity.Channel(toxicity.log_model(sum(toxicity.run_counts(t) for t in texts)))
+
+
+ORDINARY = "the of and to in a is that for it was on are as with his they at be this from have or by one had not but what all were when we there can an your which their said if do will each about how up out them then she many some so these would other into has more her two like him see time could no make than first been its who now people my made over did down only way find use may water long little very after words called just where most know".split()
+ABUSE = "idiot stupid clown loser moron worthless pathetic trash".split()
+
+
 def test_deobfuscation():
-    text = " ".join(["you idiot", "stupid clown", "a pathetic loser", "worthless trash", "hello there world"] * 50)
-    n = toxicity.trigram_counts(np.frombuffer(text.encode(), np.uint8)).astype(float).reshape(28, 28, 28)
-    channel = toxicity.Channel(np.log((n + 0.1) / (n.sum(axis=2, keepdims=True) + 2.8)))
-    assert channel.decode("1d10t") == "idiot"
-    assert channel.decode("s.t.u.p.i.d") == "stupid"
-    assert channel.decode("cloooown") == "clown"
-    assert channel.decode("$tup1d") == "stupid"
-    assert channel.deobfuscate("you i d i o t there") == "you idiot there"
-    assert channel.restore("hello!") == ["hello"]
+    channel = corpus_channel(ORDINARY + ABUSE)
+    for word, shown in (("idiot", "1d10t"), ("idiot", "id1ot"), ("stupid", "s.t.u.p.i.d"), ("clown", "cloooown"), ("stupid", "$tup1d"), ("loser", "l0$er"), ("moron", "m-o-r-o-n"), ("pathetic", "p4thet1c"), ("idiot", "iiiidddiiiooottt"), ("trash", "tr@sh")):
+        assert channel.decode(shown) == word, shown
+    assert channel.deobfuscate("You i d i o t there") == "you idiot there"
+    assert channel.deobfuscate("what a c l o w n you are") == "what a clown you are"
+    assert channel.restore("hello!") == ["hello"] and channel.restore("stupid$$$") == ["stupid"] and channel.restore("--") == []
+    assert channel.restore("idiot.the") == ["idiot", "the"]
+    # Of any length: letters repeated a thousand times, long runs of spaced-out words.
+    assert channel.decode("m" * 1000 + "o" * 1000 + "ron") == "moron"
+    run = " ".join("people know that the little idiot" .replace(" ", "") * 3)
+    assert "idiot" in channel.deobfuscate(run).split()
+
+
+def test_character_model_keeps_scripts_apart():
+    counts = toxicity.run_counts("приве́т 日本 été").reshape((28,) * 4)
+    assert counts.sum() == len("приве́т 日本 été") - 3
+    assert counts[27, 27, 27, 27] == 2 and counts[:, :, 0, 27].sum() == 2  # the accent and the space end runs
+    assert counts[27, 0, 5, 20] == 1 and toxicity.run_counts("").sum() == 0
+
+
+def test_disguises_unseen_in_training_are_caught(spark):
+    """Plain abuse is learned; held-out rows hold leetspeak, marks, repeats and spacing."""
+    rng = np.random.default_rng(5)
+    leet = str.maketrans("oiestb", "01357" + "8")
+    disguises = [lambda w: w.translate(leet), ".".join, lambda w: "".join(c * 3 for c in w), " ".join, lambda w: w[0] + "".join(f"-{c}" for c in w[1:])]
+    rows, labels, shown = [], [], {}
+    for i in range(1_500):
+        body, bad = list(rng.choice(ORDINARY, 30)), i % 3 == 0
+        if bad:
+            word = str(rng.choice(ABUSE))
+            if toxicity.held_out(i):
+                shown[i] = i
+                word = disguises[int(rng.integers(5))](word)
+            body[int(rng.integers(30))] = word
+        rows.append((i, " ".join(body), "s"))
+        labels.append((i, None, int(bad)))
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    found = toxicity.score_toxicity(documents(spark, rows), marks).filter("held_out").collect()
+    caught = [r["predicted"] for r in found if r["doc_id"] in shown]
+    assert len(caught) > 60 and np.mean(caught) >= 0.9
+    assert np.mean([r["predicted"] for r in found if r["doc_id"] not in shown]) < 0.02
+    model = toxicity.train(documents(spark, rows), marks)
+    plain = model.scorer()
+    blind = [f for f in (set(t.split()) for i, t, _ in rows if i in shown) if any(model.number.get(f"={w}") is not None and model.weights[model.number[f"={w}"]] > 1 for w in f)]
+    assert len(blind) < 0.1 * len(caught)  # without decoding no word of theirs is known
+    assert plain("") == plain(None)
 
 
 def test_toxicity_learns_and_ignores_held_out_labels(spark, nothing):
