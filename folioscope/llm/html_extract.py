@@ -1,17 +1,27 @@
 """Main text of web pages by tag-path ratios.
 
 A scanner turns a page into text blocks, each with its root-to-leaf path of
-block elements (inline elements are transparent).  Text length and punctuation
-are aggregated per path; their ratios to the path's number of blocks are put on
-a log scale, fused with what the path's elements say of themselves (navigation,
-adverts and the like rule it out, ``article`` and ``main`` speak for it),
-smoothed over neighbouring blocks, and paths whose blocks reach the threshold
-are content.
+block elements (inline elements are transparent).  Blocks of elements that are
+never content (navigation, forms, scripts, adverts and the like, by name, class,
+id or role) are set aside; the paths of the others are judged:
+
+1. *Aggregate.*  Text length and punctuation are summed per path; their ratios
+   to the path's number of blocks, as far as those of a full paragraph, are put
+   on a log scale and fused (added).
+2. *Smooth.*  A path's ratio becomes the mean over all paths of the page,
+   weighted by their blocks and by a Gaussian of the distance between the paths
+   (elements to remove and add), so a heading shares in its paragraphs' ratio.
+3. *Threshold.*  Paths within ``GAP`` of the page's greatest ratio are content.
+   Below ``article`` or ``main`` a path gets ``BONUS`` on top, no more: what
+   such an element holds may still be too thin, and what stands outside may
+   be content by its ratio.
 
 Edge cases: a null or empty page has empty text; broken, unclosed and truncated
-markup is read as far as it goes; if no block is marked as content, the ratios
-alone decide; repeated rows are extracted alike; an empty table gives an empty
-result; columns named text or n_chars are replaced.
+markup is read as far as it goes; a page of one path is content; of equal ratios
+all are content; very long texts and pages are read whole, in linear time, and a
+page of many different paths in the square of their number; repeated rows are
+extracted alike; an empty table gives an empty result; columns named text or
+n_chars are replaced.
 """
 
 from __future__ import annotations
@@ -197,19 +207,52 @@ def blocks(html: str) -> list[Block]:
     return out
 
 
-#: What ``article`` and ``main`` add to a fused ratio (log scale), and the share
-#: of the greatest ratio from which unmarked paths are content.
-MARKED, SHARE = 30.0, 0.6
+#: How far below the greatest ratio content may be, and what ``article`` and
+#: ``main`` add (log scale); the Gaussian's width in elements.
+GAP, BONUS, SIGMA = 2.75, 4.0, 1.0
+#: Text length and punctuation of a block from which it is a full paragraph:
+#: what is longer on average says no more about a path.
+FULL_LENGTH, FULL_MARKS = 300, 5
 
 
-def path_ratios(found: list[Block]) -> dict[str, float]:
-    """Fused ratio of each path: log text length and punctuation per block."""
+def path_ratios(found: list[Block]) -> dict[str, tuple[float, int]]:
+    """Fused ratio of each path, log text length and punctuation per block, and its blocks."""
     length, marks, n = defaultdict(int), defaultdict(int), defaultdict(int)
     for b in found:
         length[b.path] += len(b.text)
         marks[b.path] += len(_PUNCTUATION.findall(b.text))
         n[b.path] += 1
-    return {p: math.log1p(length[p] / n[p]) + math.log1p(marks[p] / n[p]) for p in n}
+    fused = lambda p: math.log1p(min(FULL_LENGTH, length[p] / n[p])) + math.log1p(min(FULL_MARKS, marks[p] / n[p]))
+    return {p: (fused(p), n[p]) for p in n}
+
+
+def path_distance(a: list[str], b: list[str]) -> int:
+    """Elements to remove from the end of one path and to add for the other."""
+    same = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return len(a) + len(b) - 2 * same
+
+
+def smoothed(ratios: dict[str, tuple[float, int]]) -> dict[str, float]:
+    """Each path's ratio as the weighted mean over the page's paths."""
+    split = {p: p.split("/") for p in ratios}
+    out = {}
+    for p in ratios:
+        total = weight = 0.0
+        for q, (ratio, n) in ratios.items():
+            d = path_distance(split[p], split[q])
+            if d <= 6 * SIGMA:
+                w = n * math.exp(-d * d / (2 * SIGMA * SIGMA))
+                total += w * ratio
+                weight += w
+        out[p] = total / weight
+    return out
+
+
+def content_paths(found: list[Block]) -> set[tuple[str, bool]]:
+    """The (path, marked) of blocks that are content."""
+    ratio = smoothed(path_ratios(found))
+    cut = max(ratio.values()) - GAP - 1e-9
+    return {(b.path, b.marked) for b in found if ratio[b.path] + BONUS * b.marked >= cut}
 
 
 def extract(html: str | None) -> str:
@@ -217,14 +260,8 @@ def extract(html: str | None) -> str:
     found = [b for b in blocks(html or "") if not b.dropped]
     if not found:
         return ""
-    ratio = path_ratios(found)
-    raw = [ratio[b.path] for b in found]
-    smooth = [(raw[max(0, i - 1)] + 2 * raw[i] + raw[min(len(raw) - 1, i + 1)]) / 4 for i in range(len(raw))]
-    fused = [s + MARKED * b.marked for s, b in zip(smooth, found)]
-    # Where a page marks its content, other paths would need the mark's bonus;
-    # where it does not, a share of the best ratio.
-    cut = MARKED if any(b.marked for b in found) else SHARE * max(fused)
-    return "\n".join(b.text for b, f in zip(found, fused) if f >= cut)
+    content = content_paths(found)
+    return "\n".join(b.text for b in found if (b.path, b.marked) in content)
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
