@@ -40,7 +40,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict on every page's url."""
     judged = url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
-    return judged.select("page_id", "host", "path", "rule", "verdict", "score")
+    return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
 def op7_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
