@@ -6,11 +6,20 @@ documents end to end as a stream of words, cuts the stream into blocks of equal
 size, maps golden-ratio points through the cumulative weights to a schedule of
 slots, ranks the slots per source and joins the k-th slot of a source with the
 k-th block of its stream (starting over for each epoch).  The last block a
-source needs is cut so that it meets its target to within a word.
+source needs is cut so that it meets its target to within a word.  Slots in
+order are the mix: any stretch of them holds the sources in their proportions.
+
+There may be many sources and one may hold most rows: sources are ranked within
+ranges of their names, levels are found from sums, and streams are prefix sums
+over ranges of a hash.  The driver sees a few sums for each range of 100,000
+sources.
 
 Edge cases: a null text has size 0 and is never taken from; a null source is a
-source of its own, ordered last; documents with equal ids are taken from one by
-one; an empty table gives an empty mix; other columns play no part.
+source of its own, ordered last; documents with equal or null ids are taken from
+one by one, repeated rows sharing evenly what their copies give; a very long
+text spans as many blocks as it needs; documents that tie in the shuffle go by
+id and size; an empty table gives an empty mix; other columns play no part, and
+those named like the result's are left out.
 """
 
 from __future__ import annotations
@@ -19,9 +28,8 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import WORD, materialize, running_offsets
+from .common import WORD, in_order, materialize, prefix_sums, running_offsets
 
 #: Fractional parts of the golden ratio and of 2**20 times it: n * phi mod 1 is
 #: then exact to about 1e-12 for any schedule length in use.
@@ -37,22 +45,23 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
     """(source, source_size) -> with ``position``, ``weight`` and ``target``.
 
     The shares solve sum(min(epochs * size, level * weight)) = share * total.
-    Sources stop in the order of epochs * size / weight, so the level is found
-    from prefix sums over that order: one window over the table of sources,
-    which has one row per source.
+    Starting from the level without caps, each round shares again what the
+    sources above their cap leave, until none is above.
     """
-    by_name = Window.orderBy(F.asc_nulls_last("source"))
-    w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int"))
-    df = sizes.withColumn("position", F.row_number().over(by_name)).withColumn("weight", w)
-    df = df.withColumn("_cap", F.col("source_size") * float(epochs)).withColumn("_ratio", F.col("_cap") / F.col("weight"))
-    order = Window.orderBy("_ratio", "position")
-    earlier, later = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    everything = Window.partitionBy()
-    df = df.withColumn("_total", share * F.sum("source_size").over(everything))
-    df = df.withColumn("_level", (F.col("_total") - F.coalesce(F.sum("_cap").over(earlier), F.lit(0.0))) / F.sum("weight").over(later))
-    df = df.withColumn("_stop", F.min(F.when(F.col("_level") <= F.col("_ratio"), F.struct("_ratio", "position", "_level"))).over(everything)["_level"])
-    target = F.when(F.col("_stop").isNull(), F.col("_cap")).otherwise(F.least(F.col("_cap"), F.col("_stop") * F.col("weight")))
-    return df.select("source", "source_size", "position", "weight", target.alias("target"))
+    name = F.asc_nulls_last("source")
+    df = prefix_sums(in_order(sizes, name, "mix-sources"), name, F.lit(1), "position").withColumn("position", F.col("position") + 1)
+    w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("position") - 1, F.lit(len(weights))) + 1).cast("int"))
+    df = materialize(df.withColumn("weight", w).withColumn("_cap", F.col("source_size") * float(epochs)), "mix-weights")
+    total = share * (df.agg(F.sum("source_size")).first()[0] or 0)
+    level, settled = 0.0, -1
+    while True:
+        over = F.col("_cap") < F.lit(level) * F.col("weight")
+        capped, weight, n = df.agg(F.sum(F.when(over, F.col("_cap")).otherwise(0.0)), F.sum(F.when(over, 0).otherwise(F.col("weight"))), F.count(F.when(over, 1))).first()
+        if n == settled or not weight:
+            break
+        level, settled = (total - capped) / weight, n
+    target = F.col("_cap") if not weight else F.least(F.col("_cap"), F.lit(level) * F.col("weight"))
+    return df.select("source", "source_size", "position", "weight", target.alias("target"), "_part")
 
 
 def schedule(shares: DataFrame, block_words: int) -> DataFrame:
@@ -63,30 +72,29 @@ def schedule(shares: DataFrame, block_words: int) -> DataFrame:
     left out, and those that a source still lacks follow at the end.
     """
     spark = shares.sparkSession
-    every = Window.partitionBy()
-    order = Window.orderBy("position")
     # Whole epochs take all blocks of a source, the short last one included.
     want, whole = F.floor("target").cast("long"), F.ceil(F.col("source_size") / block_words)
     turns = F.when(F.col("source_size") > 0, F.floor(want / F.col("source_size"))).otherwise(0)
     needs = shares.withColumn("needs", (turns * whole + F.ceil((want - turns * F.col("source_size")) / block_words)).cast("long"))
-    parts = needs.filter("needs > 0").withColumn("_sum", F.sum("needs").over(every))
-    parts = parts.withColumn("_high", F.sum("needs").over(order.rowsBetween(Window.unboundedPreceding, 0)) / F.col("_sum")).withColumn("_low", F.coalesce(F.lag("_high").over(order), F.lit(0.0)))
-    parts = parts.select("position", "needs", "_low", "_high")
-    total = parts.agg(F.sum("needs")).first()[0] or 0  # one number
+    parts = prefix_sums(needs.filter("needs > 0"), F.col("position"), F.col("needs"), "_first")
+    total, sources = parts.agg(F.sum("needs"), F.count(F.lit(1))).first()  # two numbers
+    total = total or 0
+    parts = parts.select("position", "needs", (F.col("_first") / float(max(1, total))).alias("_low"), ((F.col("_first") + F.col("needs")) / float(max(1, total))).alias("_high"))
     n = F.col("id") + 1
     point = F.expr(f"({PHI_HIGH!r}D * floor((id + 1) / 1048576) + {PHI!r}D * ((id + 1) % 1048576)) % 1.0D")
-    # A source holds whole cells of a fixed grid where it can, so the lookup is
-    # an equi-join on the cell; intervals are spread over the cells they meet.
-    cells = 4096
+    # Intervals are spread over the cells of a grid that they meet, so the lookup
+    # is an equi-join on the cell; there are some cells for every source.
+    cells = max(4_096, 4 * sources)
     slots = spark.range(total).select(n.alias("slot"), point.alias("_p")).withColumn("_cell", F.floor(F.col("_p") * cells))
     spread = parts.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_low") * cells), F.least(F.lit(cells), F.floor(F.col("_high") * cells)))))
     found = slots.join(spread, "_cell").filter("_p >= _low AND _p < _high").select("position", "slot", "needs")
     found = running_offsets(found, "position", [_spread_slot(total), F.col("slot")], F.lit(1), "rank").filter("rank < needs")
+    found = materialize(found.select("position", "slot", "rank"), "mix-slots")
     have = found.groupBy("position").agg(F.count(F.lit(1)).alias("_have"))
     lacking = parts.join(have, "position", "left").withColumn("_have", F.coalesce("_have", F.lit(0))).filter("_have < needs")
     extra = lacking.select("position", F.explode(F.sequence("_have", F.col("needs") - 1)).alias("rank"))
     extra = extra.withColumn("slot", F.lit(total) + 1 + F.col("rank") * 1_000_003 + F.col("position"))
-    return found.select("position", "slot", "rank").unionByName(extra.select("position", "slot", "rank"))
+    return found.unionByName(extra.select("position", "slot", "rank"))
 
 
 def _spread_slot(total: int) -> Column:
@@ -131,12 +139,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
 
 
 def taken_words(docs: DataFrame, **options) -> DataFrame:
-    """Per document: size, source_size, target and ``taken``, the words in the mix."""
+    """Per document: size, source_size, target, ``taken`` (the words in the mix),
+    the first slot of the mix that holds it and how many slots do."""
     every, pieces = mix(docs, **options)
-    got = pieces.groupBy(F.col("doc_id").alias("_d"), F.col("position").alias("_p"), F.col("size").alias("_z")).agg(F.sum("words").alias("_t"))
+    got = pieces.groupBy(F.col("doc_id").alias("_d"), F.col("position").alias("_p"), F.col("size").alias("_z"))
+    got = got.agg(F.sum("words").alias("_t"), F.min("slot").alias("first_slot"), F.count(F.lit(1)).alias("slots"))
     # Rows that repeat id, source and size share what was taken of them evenly.
     same = every.groupBy("doc_id", "position", "size", "source", "source_size", "target").agg(F.count(F.lit(1)).alias("_n"))
     out = same.join(got, same["doc_id"].eqNullSafe(got["_d"]) & (same["position"] == got["_p"]) & (same["size"] == got["_z"]), "left")
     out = out.withColumn("_t", F.coalesce("_t", F.lit(0))).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
     each = F.floor(F.col("_t") / F.col("_n")) + (F.col("_k") <= F.col("_t") % F.col("_n")).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", each.cast("long").alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", each.cast("long").alias("taken"), "first_slot", F.coalesce("slots", F.lit(0)).alias("slots"))

@@ -338,7 +338,7 @@ def test_mix_meets_targets(docs):
 
 
 def test_mix_schedule_is_low_discrepancy(spark):
-    shares = spark.createDataFrame([("a", 60_000, 1, 5, 30_000.0), ("b", 60_000, 2, 2, 12_000.0), ("c", 60_000, 3, 1, 6_000.0)], "source string, source_size long, position int, weight int, target double")
+    shares = spark.createDataFrame([("a", 60_000, 1, 5, 30_000.0, 0), ("b", 60_000, 2, 2, 12_000.0, 0), ("c", 60_000, 3, 1, 6_000.0, 1)], "source string, source_size long, position int, weight int, target double, _part int")
     slots = sorted((r["slot"], r["position"], r["rank"]) for r in mixing.schedule(shares, 100).collect())
     assert len(slots) == 480
     for p, share in ((1, 300 / 480), (2, 120 / 480), (3, 60 / 480)):
@@ -347,6 +347,43 @@ def test_mix_schedule_is_low_discrepancy(spark):
         assert [k for _, x, k in slots if x == p] == list(range(round(480 * share)))
 
 
+def test_targets_of_many_sources_in_ranges(spark, monkeypatch):
+    monkeypatch.setattr(mixing.in_order, "__defaults__", (40,))
+    rng = np.random.default_rng(2)
+    sizes = {f"s{i}é" if i % 7 else f"Z{i}": int(rng.integers(0, 10 ** rng.integers(1, 6))) for i in range(300)} | {None: 500, "": 7}
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    got = {r["source"]: r for r in mixing.source_targets(df).collect()}
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    assert [got[s]["position"] for s in order] == list(range(1, 303)) and len({r["_part"] for r in got.values()}) > 3
+    for s, t in brute_targets(sizes).items():
+        assert got[s]["target"] == pytest.approx(t)
+
+
+def test_mix_takes_by_its_slots(docs):
+    """Slots of each source are ranks of golden-ratio points; blocks follow them."""
+    _, pieces = mixing.mix(docs, block_words=64)
+    rows = pieces.collect()
+    by = defaultdict(int)
+    for r in rows:
+        by[r["position"], r["slot"]] += r["words"]
+    assert max(by.values()) <= 64
+    firsts = {r["doc_id"]: r["first_slot"] for r in mixing.taken_words(docs, block_words=64).collect() if r["taken"]}
+    assert all(min(r["slot"] for r in rows if r["doc_id"] == d) <= s for d, s in firsts.items())
+
+
+def test_running_offsets_of_hot_groups_in_ranges(spark):
+    from folioscope.llm.common import running_offsets
+
+    rows = [(i, "hot" if i % 3 else None, i % 5) for i in range(2_000)]
+    df = spark.createDataFrame(rows, "i long, g string, a long")
+    got = running_offsets(df, "g", [F.xxhash64("i"), F.col("i")], F.col("a"), "at", rows_per_bucket=7, buckets_per_range=5).withColumn("h", F.xxhash64("i")).collect()
+    for g in ("hot", None):
+        at = 0
+        for r in sorted((r for r in got if r["g"] == g), key=lambda r: (r["h"], r["i"])):
+            assert r["at"] == at
+            at += r["a"]
+
+
 def test_mix_of_nothing_and_of_blanks(spark, nothing):
     assert mixing.taken_words(nothing).count() == 0
     docs = spark.createDataFrame([(1, None, "a"), (2, " ", None)], "doc_id long, text string, source string")
