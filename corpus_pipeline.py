@@ -27,8 +27,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by Jaccard >= 0.8 of five-word shingles the smallest id stays (one row of it).
 
-    op9's 4 bits of 64 are far tighter than that rule, and bits wide enough for
-    it pair too much at random, so this stage has its own exact join.
+    SimHash fingerprints of these shingles find most links; what lies further
+    apart than their index reaches is found by shared shingles, so none is lost.
     """
     found = near_copies.near_components(docs)
     gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
@@ -48,17 +48,19 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights: a row per document and epoch it is taken in,
-    the last document of a source cut where the target is met."""
+    in the order of the schedule's slots, the last document of a source cut where
+    the target is met."""
     every, pieces = mixing.mix(docs)
-    taken = pieces.groupBy(F.col("doc_id").alias("_d"), F.col("position").alias("_p"), F.col("size").alias("_z"), "epoch").agg(F.sum("words").alias("_t"))
+    taken = pieces.groupBy(F.col("doc_id").alias("_d"), F.col("position").alias("_p"), F.col("size").alias("_z"), "epoch").agg(F.sum("words").alias("_t"), F.min("slot").alias("_slot"))
     same = every.groupBy(F.col("doc_id").alias("_d1"), F.col("position").alias("_p1"), F.col("size").alias("_z1"), F.col("source").alias("_source")).agg(F.count(F.lit(1)).alias("_n"))
     taken = taken.join(same, F.col("_d").eqNullSafe(F.col("_d1")) & (F.col("_p") == F.col("_p1")) & (F.col("_z") == F.col("_z1")))
-    taken = taken.select("_d", "_source", "_z", F.ceil(F.col("_t") / F.col("_n")).cast("int").alias("_take"))
+    taken = taken.select("_d", "_source", "_z", "_slot", F.ceil(F.col("_t") / F.col("_n")).cast("int").alias("_take"))
     whole = docs.select("doc_id", "text", "source", F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")]).alias("_rest"), mixing.word_count(F.col("text")).alias("_size"))
     on = whole["doc_id"].eqNullSafe(taken["_d"]) & whole["source"].eqNullSafe(taken["_source"]) & (whole["_size"] == taken["_z"])
     met = whole.join(taken, on)
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("_take")), " ")
-    return _unfold(met.withColumn("text", F.when(F.col("_take") < F.col("_size"), cut).otherwise(F.col("text"))), docs, text_changed=True)
+    met = met.withColumn("text", F.when(F.col("_take") < F.col("_size"), cut).otherwise(F.col("text")))
+    return _unfold(met.orderBy("_slot", "doc_id"), docs, text_changed=True)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
