@@ -69,6 +69,10 @@ ELEMENTS = Fixture(
     ],
     {"page_image": "STRUCT(path VARCHAR)", "images": "STRUCT(path VARCHAR, width INTEGER, height INTEGER, extension VARCHAR)[]", "tables": "STRUCT(rows VARCHAR[][])[]", "text": "VARCHAR"},
 )
+LOOSE_PAGES = Fixture(
+    "source string, page int, text string, ocr_used boolean, ocr_languages string, ocr_confidence double",
+    [(None, 4, "No source here. A second sentence.", None, "eng", None), ("a.pdf", None, "No page number.", False, "eng", 0.0), (None, None, "Neither of them.", True, "eng+hin", 71.5), (None, None, None, True, None, None)],
+)
 CANDIDATES = Fixture(
     "key long, ord int, text string, confidence double, quality double",
     [(1, 0, "x" * 60, 80.0, 0.5), (1, 1, "y" * 20, 99.0, 0.9), (1, 2, "z" * 55, 70.0, 0.5), (2, 0, "short", 50.0, 0.1), (2, 1, "other", 60.0, 0.2), (3, 0, "", 99.0, 0.9)],
@@ -95,7 +99,10 @@ TSV = Fixture(
     [(1, 0, "level\tpage_num\tblock_num\tpar_num\tline_num\tword_num\tleft\ttop\twidth\theight\tconf\ttext"), (1, 1, "5\t1\t1\t1\t1\t1\t0\t0\t1\t1\t96.5\tHello"), (1, 2, "5\t1\t1\t1\t1\t2\t0\t0\t1\t1\t-1\tskip"), (1, 3, "5\t1\t1\t1\t1\t3\t0\t0\t1\t1\t80\t world "), (1, 4, "5\t1\t1"), (2, 0, "5\t1\t1\t1\t1\t1\t0\t0\t1\t1\t10\t ")],
 )
 BLOCKS = Fixture(
-    "source string, page int, region string, text string",
-    [("p", 1, "header", "Title of it. By A. Author."), ("p", 1, "abstract", "We do x. Then y."), ("p", None, None, "Body one. Body two!"), ("p", 2, "body", " "), ("q", 3, "body", "word " * 95 + "stop. tail.")],
+    "source string, page int, region string, section string, subsection string, text string",
+    [
+        ("p", 1, "header", None, None, "Title of it. By A. Author."), ("p", 1, "abstract", "Abstract", None, "We do x. Then y."), ("p", None, None, "Intro", "Aims", "Body one. Body two!"), ("p", 2, "body", "x", "y", " "), ("q", 3, "body", "Methods", "Data", "word " * 95 + "stop. tail."),
+        (None, 3, "header", "Methods", None, "No source."),
+    ],
 )
 SIZES = Fixture("id long, width int, height int", [(1, 1700, 1100), (2, 400, 300), (3, 850, 2200), (4, 1, 5000), (5, 1000, 1000)])

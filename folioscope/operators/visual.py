@@ -48,7 +48,8 @@ def select_pages(questions: DataFrame, results: DataFrame, pages: DataFrame, tab
     first pages for a question about images.
     """
     q = questions.select("q_id", routing.requested_page(F.col("question")).alias("asked"), routing.table_number(F.col("question")).alias("numbered"), routing.is_table(F.col("question")).alias("tabular"), routing.is_visual(F.col("question")).alias("looking"))
-    first = lambda df: df.withColumn("n", F.row_number().over(Window.orderBy("page", "source"))).filter(F.col("n") <= most)  # noqa: E731  pages, not rows
+    # A few pages: found by a distributed top-k, then numbered.
+    first = lambda df: df.orderBy("page", "source").limit(most).withColumn("n", F.row_number().over(Window.orderBy("page", "source")))
     have = pages.select("source", "page", "path")
     tabled = first(tables).join(have, ["source", "page"]).select("source", "page", "path", "n")
     some = first(have.select("source", "page", "path"))

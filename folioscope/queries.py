@@ -255,16 +255,17 @@ def ocr_best(spark, d):
     return ocr.best_candidate(fx.CANDIDATES.spark(spark))
 
 
-_GATE = "(SELECT doc_id AS page, CASE WHEN doc_id % 4 = 0 THEN left(text, 30) ELSE text END AS text, CASE WHEN doc_id % 8 = 0 THEN '' ELSE 'seen ' || lang END AS ocr_text FROM documents)"
+_GATE = "(SELECT doc_id AS page, text, CASE WHEN lang = 'en' THEN '' ELSE 'seen ' || lang END AS ocr_text FROM documents UNION ALL SELECT -id, text, 'seen ' || id FROM " + TEXTS + ")"
 _USE = f"(length({_T}) < 40 AND coalesce(ocr_text, '') <> '')"
 
 
 @query(f"SELECT page, {_USE} AS ocr_used, CASE WHEN {_USE} THEN ocr_text ELSE coalesce(text, '') END AS text FROM {_GATE}")
 def ocr_gate(spark, d):
     docs = table(spark, d, "documents")
-    short = F.when(F.col("doc_id") % 4 == 0, F.left("text", F.lit(30))).otherwise(F.col("text"))
-    seen = F.when(F.col("doc_id") % 8 == 0, "").otherwise(F.concat(F.lit("seen "), "lang"))
-    return ocr.ocr_gate(docs.select(F.col("doc_id").alias("page"), short.alias("text"), seen.alias("ocr_text"))).select("page", "ocr_used", "text")
+    seen = F.when(F.col("lang") == "en", "").otherwise(F.concat(F.lit("seen "), "lang"))
+    pages = docs.select(F.col("doc_id").alias("page"), "text", seen.alias("ocr_text"))
+    short = fx.TEXTS.spark(spark).select((-F.col("id")).alias("page"), "text", F.concat(F.lit("seen "), F.col("id").cast("string")).alias("ocr_text"))
+    return ocr.ocr_gate(pages.unionByName(short)).select("page", "ocr_used", "text")
 
 
 _LINES = fx.LINES.sql(["line_id", "ord", "engine", "language", "text", "confidence"])
@@ -380,31 +381,37 @@ def image_text(spark, d):
     return fx.ELEMENTS.spark(spark).select("source", "page", chunking.images_text(F.col("images")).alias("text"))
 
 
-_PAGE_INPUT = f"(SELECT * FROM {ELEMENTS} UNION ALL BY NAME SELECT source, CAST(doc_id AS INTEGER) AS page, text, false AS ocr_used, [] AS images, [] AS tables, false AS has_visual_content FROM documents)"
+_LOOSE = fx.LOOSE_PAGES.sql(["source", "page", "text", "ocr_used", "ocr_languages", "ocr_confidence"])
+_NO_LAYOUT = "[] AS images, [] AS tables, false AS has_visual_content"
+_PAGE_INPUT = f"""(SELECT * REPLACE (coalesce(source, 'Unknown') AS source, coalesce(page, 0) AS page, coalesce(ocr_used, false) AS ocr_used) FROM (SELECT * FROM {ELEMENTS}
+    UNION ALL BY NAME SELECT source, CAST(doc_id AS INTEGER) AS page, text, false AS ocr_used, {_NO_LAYOUT} FROM documents
+    UNION ALL BY NAME SELECT *, {_NO_LAYOUT} FROM {_LOOSE}))"""
+_PAGE_FIELDS = "CASE WHEN ocr_used THEN ocr_languages END AS ocr_languages, coalesce(ocr_confidence, 0) AS ocr_confidence, coalesce(ocr_quality, 0) AS ocr_quality, CAST(len(images) AS INTEGER) AS image_count, CAST(len(tables) AS INTEGER) AS table_count"
 PAGE_CHUNKS = f"""(WITH p AS (SELECT *, {s_clean_chunk('text')} AS t, {s_sentences('text')} AS s FROM {_PAGE_INPUT}), items AS (
-    SELECT source, page, ocr_used, i AS seq, 'text' AS content_type, 'body' AS region, k[i].text AS text, has_visual_content FROM (SELECT *, unnest(range(1, len(k) + 1)) AS i FROM (SELECT *, {s_packs('s')} AS k FROM p WHERE len(s) > 0))
-    UNION ALL SELECT source, page, ocr_used, 1000001, 'table', 'table', {s_tables('tables')}, true FROM p WHERE {s_tables('tables')} <> ''
-    UNION ALL SELECT source, page, ocr_used, 1000002, 'image', 'image', 'Visual content on page ' || page || '.' || chr(10) || {s_images('images')}, true FROM p WHERE {s_images('images')} <> ''
-    UNION ALL SELECT source, page, ocr_used, 1000003, 'visual_page', 'visual_page', 'Visual page ' || page || '.', true FROM p WHERE page_image IS NOT NULL AND t = '')
-    SELECT row_number() OVER (ORDER BY source, page, seq) - 1 AS chunk_id, source, page, content_type, region, text, coalesce(ocr_used, false) AS ocr_used, has_visual_content FROM items)"""
+    SELECT source, page, ocr_used, {_PAGE_FIELDS}, i AS seq, 'text' AS content_type, 'body' AS region, k[i].text AS text, has_visual_content FROM (SELECT *, unnest(range(1, len(k) + 1)) AS i FROM (SELECT *, {s_packs('s')} AS k FROM p WHERE len(s) > 0))
+    UNION ALL SELECT source, page, ocr_used, {_PAGE_FIELDS}, 1000001, 'table', 'table', {s_tables('tables')}, true FROM p WHERE {s_tables('tables')} <> ''
+    UNION ALL SELECT source, page, ocr_used, {_PAGE_FIELDS}, 1000002, 'image', 'image', 'Visual content on page ' || page || '.' || chr(10) || {s_images('images')}, true FROM p WHERE {s_images('images')} <> ''
+    UNION ALL SELECT source, page, ocr_used, {_PAGE_FIELDS}, 1000003, 'visual_page', 'visual_page', 'Visual page ' || page || ' from ' || source || '. Rendered page image available.', true FROM p WHERE page_image IS NOT NULL AND t = '')
+    SELECT row_number() OVER (ORDER BY source, page, seq) - 1 AS chunk_id, * EXCLUDE (seq) FROM items)"""
 
 
 def _page_chunks(spark, d):
     own = src.pages_from_documents(table(spark, d, "documents")).withColumn("ocr_used", F.lit(False)).withColumn("has_visual_content", F.lit(False)).withColumn("images", F.array().cast("array<struct<path:string,width:int,height:int,extension:string>>")).withColumn("tables", F.array().cast("array<struct<rows:array<array<string>>>>"))
-    return chunking.page_chunks(fx.ELEMENTS.spark(spark).unionByName(own, allowMissingColumns=True))
+    pages = fx.ELEMENTS.spark(spark).unionByName(own, allowMissingColumns=True).unionByName(fx.LOOSE_PAGES.spark(spark), allowMissingColumns=True)
+    return chunking.page_chunks(pages)
 
 
-@query(f"SELECT chunk_id, source, page, content_type, region, text, ocr_used, has_visual_content FROM {PAGE_CHUNKS}")
+@query(f"SELECT *, 'Unknown' AS section, 'Unknown' AS subsection FROM {PAGE_CHUNKS}")
 def page_chunks(spark, d):
-    return _page_chunks(spark, d).drop("section", "subsection", "page_image", "images")
+    return _page_chunks(spark, d).drop("page_image", "images", "tables")
 
 
-_BLOCKS = fx.BLOCKS.sql(["source", "page", "region", "text"])
+_BLOCKS = fx.BLOCKS.sql(["source", "page", "region", "section", "subsection", "text"])
 
 
 @query(
-    f"""SELECT source, page, region, CAST(i - 1 AS INTEGER) AS chunk, p[i] AS text FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM (
-    SELECT source, coalesce(page, 0) AS page, coalesce(region, 'body') AS region, CASE WHEN region = 'header' THEN [{s_clean_chunk('text')}] ELSE list_transform({s_packs('s')}, lambda q: q.text) END AS p
+    f"""SELECT source, page, region, section, subsection, CAST(i - 1 AS INTEGER) AS chunk, p[i] AS text, 'text' AS content_type, false AS ocr_used, false AS has_visual_content FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM (
+    SELECT source, coalesce(page, 0) AS page, coalesce(region, 'body') AS region, coalesce(section, 'Unknown') AS section, coalesce(subsection, 'Unknown') AS subsection, CASE WHEN region = 'header' THEN [{s_clean_chunk('text')}] ELSE list_transform({s_packs('s')}, lambda q: q.text) END AS p
     FROM (SELECT *, {s_sentences('text')} AS s FROM {_BLOCKS}) WHERE {s_clean_chunk('text')} <> ''))"""
 )
 def legacy_chunks(spark, d):
@@ -412,7 +419,7 @@ def legacy_chunks(spark, d):
 
 
 def _stats_sql(by: str, value: str) -> str:
-    return f"SELECT '{by}' AS by, CAST({value} AS VARCHAR) AS value, count(*) AS n, count(*) FILTER (ocr_used) AS n_ocr, count(*) FILTER (has_visual_content) AS n_visual FROM c GROUP BY {value}"
+    return f"SELECT '{by}' AS by, CAST({value} AS VARCHAR) AS value, count(*) AS n, count(*) FILTER (ocr_used) AS n_ocr, count(*) FILTER (has_visual_content) AS n_visual, count(*) FILTER (content_type = 'table') AS n_table, count(*) FILTER (content_type = 'image') AS n_image FROM c GROUP BY {value}"
 
 
 @query(f"WITH c AS (SELECT *, 'all' AS everything FROM {PAGE_CHUNKS}) " + " UNION ALL ".join(_stats_sql(b, v) for b, v in (("region", "region"), ("content_type", "content_type"), ("source", "source"), ("all", "everything"))))
@@ -680,14 +687,28 @@ def available_pages(spark, d):
     return visual.available_pages(_visual_chunks(spark, d))
 
 
+_PAGE_REF = rf"TRY_CAST({s_first('question', r'(?i)\bpage\s*(\d+)\b', r'(?i)\bp\.\s*(\d+)\b', r'(?i)\bpg\.?\s*(\d+)\b')} AS INTEGER)"
+_TABLE_REF = rf"upper({s_first('question', r'(?i)\btable\s*([IVXLCDM]+)\b', r'(?i)\btable\s*(\d+)\b')})"
+_FOUND_PAGES = [(13, 1, "a.pdf", 2), (13, 2, "a.pdf", 3), (1, 1, "a.pdf", 2), (7, 1, "b c.pdf", 1), (9, 1, "a.pdf", 1), (9, 2, "none.pdf", 1), (17, 1, "a.pdf", 3)]
+
+
 @query(
-    "SELECT CAST(q AS BIGINT) AS q_id, CAST(place AS INTEGER) AS place, source, CAST(page AS INTEGER) AS page, path FROM (VALUES (1, 1, 'a.pdf', 1, 'i1.png'), (17, 1, 'a.pdf', 1, 'i1.png'), (17, 2, 'b c.pdf', 1, 'i2.jpg'), (13, 1, 'a.pdf', 2, 'a_2.png')) AS t(q, place, source, page, path)"
+    f"""WITH have AS (SELECT source, page, path FROM {_AVAILABLE}), found AS (SELECT * FROM (VALUES {', '.join(map(str, _FOUND_PAGES))}) AS t(q_id, rank, source, page)),
+    tabled AS (SELECT source, page, path, n FROM (SELECT *, row_number() OVER (ORDER BY page, source) AS n FROM (SELECT DISTINCT source, page FROM {VISUAL} WHERE content_type = 'table' AND page IS NOT NULL)) JOIN have USING (source, page) WHERE n <= {visual.MOST_PAGES}),
+    shown AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY page, source) AS n FROM have) WHERE n <= {visual.MOST_PAGES}),
+    q AS (SELECT q_id, {_PAGE_REF} AS asked, {_TABLE_REF} AS numbered, {s_any('lower(question)', lex.TABLE_WORDS)} AS tabular, {s_any('lower(question)', lex.VISUAL_WORDS)} AS looking FROM {QUESTIONS}),
+    every AS (SELECT q_id, 0 AS level, 1 AS n, source, page, path FROM (SELECT q_id, have.*, row_number() OVER (PARTITION BY q_id ORDER BY source) AS r FROM q JOIN have ON asked = page) WHERE r = 1
+        UNION ALL SELECT q_id, 1, n, source, page, path FROM q, tabled WHERE numbered IS NOT NULL
+        UNION ALL SELECT q_id, 2, rank, source, page, path FROM found JOIN have USING (source, page)
+        UNION ALL SELECT q_id, 3, n, source, page, path FROM q, tabled WHERE tabular AND n = 1
+        UNION ALL SELECT q_id, 4, n, source, page, path FROM q, shown WHERE looking),
+    kept AS (SELECT *, row_number() OVER (PARTITION BY q_id, source, page ORDER BY level, n) AS again FROM (SELECT *, min(level) OVER (PARTITION BY q_id) AS lowest FROM every) WHERE level = lowest OR lowest = 1 AND level = 2)
+    SELECT CAST(q_id AS BIGINT) AS q_id, CAST(place AS INTEGER) AS place, source, CAST(page AS INTEGER) AS page, path FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY level, n, source) AS place FROM kept WHERE again = 1) WHERE place <= CASE WHEN level = 0 THEN 1 ELSE {visual.MOST_PAGES} END"""
 )
 def visual_select(spark, d):
     chunks = _visual_chunks(spark, d)
-    results = spark.createDataFrame([(13, 1, "a.pdf", 2), (13, 2, "a.pdf", 3), (1, 1, "a.pdf", 2)], "q_id long, rank int, source string, page int")
-    asked = fx.QUESTIONS.spark(spark).filter("q_id IN (1, 13, 14, 17)")
-    return visual.select_pages(asked, results, visual.available_pages(chunks), visual.table_pages(chunks))
+    results = spark.createDataFrame(_FOUND_PAGES, "q_id long, rank int, source string, page int")
+    return visual.select_pages(fx.QUESTIONS.spark(spark), results, visual.available_pages(chunks), visual.table_pages(chunks))
 
 
 @query(f"SELECT id, CAST(greatest(1, floor(width * s)) AS INTEGER) AS new_width, CAST(greatest(1, floor(height * s)) AS INTEGER) AS new_height FROM (SELECT *, least(850 / CAST(width AS DOUBLE), 1100 / CAST(height AS DOUBLE), 1.0) AS s FROM {fx.SIZES.sql(['id', 'width', 'height'])})")

@@ -131,7 +131,8 @@ def write_table(df: DataFrame, path: str) -> None:
 def dense_ids(df: DataFrame, order: list[str], name: str, page: str, width: int = 1_000) -> DataFrame:
     """One dense sequence over the whole table in the order of ``order``.
 
-    ``order`` starts with a grouping column and ``page``.  Counts per range of
+    ``order`` starts with a grouping column and ``page``; null groups and pages
+    come first and keep their rows.  Counts per range of
     ``width`` pages are summed up in order (a table of ranges, not of rows), so
     no window holds more than one range of rows.
     """
@@ -139,6 +140,7 @@ def dense_ids(df: DataFrame, order: list[str], name: str, page: str, width: int
     df = df.withColumn("_b", F.floor(F.col(page) / width))
     sums = df.groupBy(group, "_b").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy(group, "_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.withColumn("_start", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
+    starts = sums.select(F.col(group).alias("_g"), F.col("_b").alias("_bb"), F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_start"))
     inside = Window.partitionBy(group, "_b").orderBy(*order[1:])
-    return df.join(starts, [group, "_b"]).withColumn(name, F.col("_start") + F.row_number().over(inside) - 1).drop("_b", "_start")
+    met = df.join(starts, df[group].eqNullSafe(starts["_g"]) & df["_b"].eqNullSafe(starts["_bb"]))
+    return met.withColumn(name, F.col("_start") + F.row_number().over(inside) - 1).drop("_b", "_bb", "_g", "_start")

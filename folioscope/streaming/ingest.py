@@ -6,15 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from ..functions.text import sentences
-from ..operators.chunking import pack_sentences
+from ..operators.chunking import with_packs
 from ..sources.pages import PAGE_SCHEMA
 
 
 def stream_chunks(pages: DataFrame) -> DataFrame:
     """Text chunks of streaming pages: stateless, keyed by (source, page, chunk)."""
-    packs = pack_sentences(sentences(F.col("text")))
-    return pages.select("source", "page", F.posexplode_outer(packs).alias("chunk", "c")).filter("chunk IS NOT NULL").select("source", "page", "chunk", F.col("c.text").alias("text"), F.col("c.n").alias("n_words"))
+    packed = with_packs(pages, F.col("text"))
+    return packed.select("source", "page", F.posexplode_outer("packs").alias("chunk", "c")).filter("chunk IS NOT NULL").select("source", "page", "chunk", F.col("c.text").alias("text"), F.col("c.n").alias("n_words"))
 
 
 def start_ingest(spark: SparkSession, folder: str, out: str, checkpoint: str) -> StreamingQuery:
