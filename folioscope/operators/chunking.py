@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_chunk, sentences, strip, word_count
+from ..functions.text import clean_chunk, sentences, strip
 from ..sources.pages import dense_ids
 
 TARGET, MOST, LEAST = 90, 140, 40
@@ -46,7 +46,7 @@ def pack_runs(parts: Column, target: int = TARGET, least: int = LEAST, most: int
     """Runs of sentences (first, how many, words), packed in order until the next
     would pass ``target`` words; then a pack of fewer than ``least`` words joins
     the one before if both fit in ``most`` (0: packs stay as they are)."""
-    one = F.transform(parts, lambda p, i: F.struct(i.cast("int").alias("at"), F.lit(1).alias("len"), word_count(p).alias("n")))
+    one = F.transform(parts, lambda p, i: F.struct(i.cast("int").alias("at"), F.lit(1).alias("len"), F.regexp_count(p, F.lit(r"(?U)\S+")).alias("n")))
     packs = _runs(F.coalesce(one, F.array().cast(f"array<{_RUN}>")), lambda n, more: n + more <= target)
     return _runs(packs, lambda n, more: (more < least) & (n + more <= most)) if most else packs
 

@@ -1,16 +1,18 @@
 """Retrieval and ranking for batches of questions.
 
 Chunks are (chunk_id, text, region, ...), questions (q_id, question), vectors
-(chunk_id, vector).  Questions are a batch of bounded size (``MOST_QUESTIONS``,
-checked): they travel to the chunks, so no score needs a shuffle of chunk texts
-or vectors.  Chunk-side statistics of BM25 are aggregated in the cluster.
+(chunk_id, vector).  Questions travel to the chunks in blocks of at most about
+``MOST_QUESTIONS``, however many there are, so no score needs a shuffle of chunk
+texts or vectors; each task passes on its best chunks of every question alone.
+Chunk-side statistics of BM25 are aggregated in the cluster.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,16 +24,41 @@ from ..functions import routing
 from ..functions.lexicons import DOMAIN_PACK, OBJECTIVE_PHRASES, OBJECTIVE_TERMS, OBJECTIVE_TRIPLE, REGION_ADJUSTMENT, DomainPack
 from ..functions.text import TOKEN, tokens
 
-MOST_QUESTIONS = 10_000
+MOST_QUESTIONS = 1_000
 SEMANTIC, LEXICAL, KEYWORD = 0.55, 0.30, 0.15
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
-def _bounded(questions: DataFrame) -> int:
+def in_blocks(questions: DataFrame, rank: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``rank`` of all questions, block by block (dealt by a hash of q_id) if they are many."""
     n = questions.count()
-    if n > MOST_QUESTIONS:
-        raise ValueError(f"{n} questions in a batch; split batches of more than {MOST_QUESTIONS}")
-    return n
+    if n <= MOST_QUESTIONS:
+        return rank(questions)
+    blocks = -(-n * 5 // (4 * MOST_QUESTIONS))
+    at = F.pmod(F.xxhash64("q_id"), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [rank(questions.filter(at == i)) for i in range(blocks)])
+
+
+class _Best:
+    """The k best rows of every question so far: arrays of (at most k) x questions."""
+
+    def __init__(self, k: int):
+        self.k, self.held = k, None
+
+    def add(self, order: list[np.ndarray], columns: list[np.ndarray]) -> None:
+        """``order``: sort keys, least first, the last one first; rows x questions like ``columns``."""
+        rows = [np.array(x) for x in (*order, *columns)]
+        if self.held is not None:
+            rows = [np.concatenate(p) for p in zip(self.held, rows)]
+        top = np.lexsort(rows[: len(order)], axis=0)[: self.k]
+        self.held, self.keys = [np.take_along_axis(x, top, axis=0) for x in rows], len(order)
+
+    def columns(self) -> list[np.ndarray]:
+        return self.held[self.keys :]
+
+
+#: Rows scored at a time: rows x questions numbers are held.
+ROWS_AT_ONCE = 256
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -41,35 +68,44 @@ def dot(a: Column, b: Column) -> Column:
 def similarities(vectors: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
     """(q_id, chunk_id, score): inner products of all queries with all vectors.
 
-    One matrix product per Arrow batch.  With ``k`` each batch passes on its k
-    best for every query only, and a window keeps the k best of those (ties to
-    the smaller id): an exact top k that shuffles k rows per query and batch.
+    One matrix product per slice of vectors.  With ``k`` each task keeps the k
+    best of every query as it goes and passes those on alone, and a window keeps
+    the k best of them (ties to the smaller id): an exact top k that shuffles k
+    rows per query and task.
     """
-    _bounded(queries)
-    rows = queries.select("q_id", "vector").orderBy("q_id").collect()  # bounded above
+    found = in_blocks(queries, lambda block: _products(vectors, block, k))
+    if k is None:
+        return found
+    w = Window.partitionBy("q_id").orderBy(F.desc("score"), "chunk_id")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _products(vectors: DataFrame, queries: DataFrame, k: int | None) -> DataFrame:
+    rows = queries.select("q_id", "vector").orderBy("q_id").collect()  # a block: bounded
     ids = np.array([r["q_id"] for r in rows], np.int64)
     q = np.array([r["vector"] for r in rows], np.float64)
 
+    def batch(chunk: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+        who = np.broadcast_to(ids, s.shape)
+        return pa.RecordBatch.from_arrays([pa.array(who.ravel()), pa.array(chunk.ravel()), pa.array(s.ravel())], ["q_id", "chunk_id", "score"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _Best(k or 0)
         for b in batches:
-            if not b.num_rows or not len(ids):
-                continue
-            chunk = b.column(0).to_numpy()
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
-            s = x @ q.T
-            if k is None or k >= b.num_rows:
-                i, j = np.divmod(np.arange(s.size), len(ids))
-            else:
-                top = np.lexsort((np.broadcast_to(chunk[:, None], s.shape), -s), axis=0)[:k]
-                i, j = top.ravel(), np.tile(np.arange(len(ids)), k)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[j]), pa.array(chunk[i]), pa.array(s[i, j])], ["q_id", "chunk_id", "score"])
+            for at in range(0, b.num_rows if len(ids) else 0, ROWS_AT_ONCE):
+                part = b.slice(at, ROWS_AT_ONCE)
+                x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+                s = x @ q.T
+                chunk = np.broadcast_to(part.column(0).to_numpy()[:, None], s.shape)
+                if k is None:
+                    yield batch(chunk, s)
+                else:
+                    best.add([chunk, -s], [chunk, s])
+        if best.held is not None:
+            yield batch(*best.columns())
 
     sound = vectors.filter(F.col("chunk_id").isNotNull() & F.col("vector").isNotNull())
-    found = sound.select(F.col("chunk_id").cast("long"), "vector").mapInArrow(run, "q_id long, chunk_id long, score double")
-    if k is None:
-        return found
-    w = Window.partitionBy("q_id").orderBy(F.desc("score"), "chunk_id")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return sound.select(F.col("chunk_id").cast("long"), "vector").mapInArrow(run, "q_id long, chunk_id long, score double")
 
 
 def dense_retrieve(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 5, floor: float = 0.15) -> DataFrame:
@@ -93,21 +129,22 @@ def bm25(chunks: DataFrame, questions: DataFrame) -> DataFrame:
     """(q_id, chunk_id, bm25) for pairs that share a term: Okapi with k1 1.5, b 0.75.
 
     Terms in over half of the chunks get epsilon times the mean idf of the
-    vocabulary; repeated query tokens count each time.  Query terms are joined
-    to postings by term, so texts are read once and only matches are shuffled.
+    vocabulary; repeated query tokens count each time.  The asked terms and
+    their weights travel to the chunks, so only matches are shuffled.
     """
-    _bounded(questions)
-    lengths = chunks.select("chunk_id", F.size(tokens(F.col("text"))).alias("len"))
-    corpus = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avglen"))
-    post = postings(chunks)
-    idf = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    terms = post.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(corpus.select("n"))).select("term", idf.alias("idf"))
-    mean = terms.agg(F.avg("idf").alias("mean"))  # one row
+    return in_blocks(questions, lambda block: _bm25(chunks, block))
+
+
+def _bm25(chunks: DataFrame, questions: DataFrame) -> DataFrame:
     asked = questions.select("q_id", F.explode(tokens(F.col("question"))).alias("term")).groupBy("q_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    weights = terms.join(asked, "term").crossJoin(F.broadcast(mean)).select("q_id", "term", "times", F.when(F.col("idf") < 0, EPSILON * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
-    met = post.join(weights, "term").join(lengths, "chunk_id").crossJoin(F.broadcast(corpus.select("avglen")))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avglen")))
-    return met.groupBy("q_id", "chunk_id").agg(F.sum(part).alias("bm25"))
+    n, avglen, weights = _statistics(chunks, asked.select("term").distinct())
+    idf = chunks.sparkSession.createDataFrame(sorted(weights.items()), "term string, idf double")
+    asked = asked.join(F.broadcast(idf), "term")  # terms of a block of questions: bounded
+    # A chunk's own counts first: an aggregation that needs no exchange of texts.
+    held = chunks.select("chunk_id", tokens(F.col("text")).alias("t")).select("chunk_id", F.size("t").alias("len"), F.explode("t").alias("term"))
+    met = held.join(F.broadcast(idf.select("term")), "term", "left_semi").groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
+    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(avglen or 1.0)))
+    return met.join(F.broadcast(asked), "term").groupBy("q_id", "chunk_id").agg(F.sum(part).alias("bm25"))
 
 
 def keyword_overlap(chunks: DataFrame, questions: DataFrame) -> DataFrame:
@@ -131,7 +168,6 @@ def hybrid_scores(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, p
     ``questions`` is (q_id, question, vector).  Intent and objective read the
     raw question, BM25 and keywords the expanded one.  Blank questions go.
     """
-    _bounded(questions)
     asked = questions.filter(F.trim("question") != "").withColumn("expanded", routing.expand(F.col("question"), pack)).withColumn("intent", routing.intent(F.col("question"), pack))
     lexical = asked.select("q_id", F.col("expanded").alias("question"))
     on = ["q_id", "chunk_id"]
@@ -208,13 +244,16 @@ class _Batch:
 def hybrid_search(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, k: int = 5, pack: DomainPack = DOMAIN_PACK) -> DataFrame:
     """The k best chunks of every question; ties go to the later chunk.
 
-    The same scores as ``hybrid_scores`` without its pairs: the questions (a
-    bounded batch) travel to the chunks, a first pass finds each signal's range,
-    a second scales and adds up, and every Arrow batch passes on its k best per
-    question.  Final scores are compared at nine decimals, so the order does
-    not hang on the order in which floating-point sums were made.
+    The same scores as ``hybrid_scores`` without its pairs: the questions travel
+    to the chunks in blocks, a first pass finds each signal's range, a second
+    scales and adds up, and every task keeps the k best per question as it goes
+    and passes those on.  Final scores are compared at nine decimals, so the
+    order does not hang on the order in which floating-point sums were made.
     """
-    _bounded(questions)
+    return in_blocks(questions, lambda block: _hybrid_block(chunks, vectors, block, k, pack))
+
+
+def _hybrid_block(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, k: int, pack: DomainPack) -> DataFrame:
     asked = questions.filter(F.trim("question") != "").withColumn("expanded", routing.expand(F.col("question"), pack))
     asked = asked.select("q_id", "vector", "expanded", routing.intent(F.col("question"), pack).alias("intent"), routing.is_objective(F.col("question")).alias("objective")).orderBy("q_id").collect()
     spark = chunks.sparkSession
@@ -223,12 +262,11 @@ def hybrid_search(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, k
     n, avglen, weights = _statistics(chunks, spark.createDataFrame([(t,) for t in terms], "term string"))
     batch = _Batch(asked, weights, avglen or 1.0, pack) if asked else None
     joined = chunks.select("chunk_id", "region", "text").join(vectors.select("chunk_id", "vector"), "chunk_id", "left")
-    rows_at_once = 256
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
-            for at in range(0, b.num_rows, rows_at_once):
-                p = b.slice(at, rows_at_once)
+            for at in range(0, b.num_rows, ROWS_AT_ONCE):
+                p = b.slice(at, ROWS_AT_ONCE)
                 texts = p.column(2).to_pylist()
                 yield p, texts, batch.signals(texts, p.column(3).to_pylist())
 
@@ -249,6 +287,7 @@ def hybrid_search(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, k
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not asked:
             return
+        held = _Best(k)
         for p, texts, signals in parts(batches):
             span = ends[1] - ends[0]
             sem, lex, key = (np.where(span[i] < 1e-8, 0.0, (x - ends[0, i]) / np.where(span[i] < 1e-8, 1.0, span[i])) for i, x in enumerate(signals))
@@ -256,10 +295,12 @@ def hybrid_search(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, k
             region = np.array([[REGION_ADJUSTMENT.get((i, r), 0.0) for i in batch.intent] for r in p.column(1).to_pylist()])
             objective = np.array([batch.objective_of(t) for t in texts])[:, None] * batch.objective if batch.objective.any() else np.zeros_like(hybrid)
             final = hybrid + region + objective
-            chunk = p.column(0).to_numpy()
-            top = np.lexsort((np.broadcast_to(-chunk[:, None], final.shape), -np.round(final, 9)), axis=0)[:k]
-            i, j = top.ravel(), np.tile(np.arange(final.shape[1]), len(top))
-            yield pa.RecordBatch.from_arrays([pa.array(batch.ids[j]), pa.array(chunk[i]), pa.array([batch.intent[x] for x in j]), *(pa.array(x[i, j]) for x in (sem, lex, key, hybrid, region, objective, final))], names)
+            chunk = np.broadcast_to(p.column(0).to_numpy()[:, None], final.shape)
+            held.add([-chunk, -np.round(final, 9)], [chunk, sem, lex, key, hybrid, region, objective, final])
+        if held.held is not None:
+            chunk, *found = held.columns()
+            who = np.broadcast_to(np.arange(chunk.shape[1]), chunk.shape).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(batch.ids[who]), pa.array(chunk.ravel()), pa.array([batch.intent[x] for x in who]), *(pa.array(x.ravel()) for x in found)], names)
 
     found = joined.select(F.col("chunk_id").cast("long"), "region", "text", "vector").mapInArrow(best, f"q_id long, chunk_id long, intent string, {', '.join(f'{c} double' for c in scores)}")
     w = Window.partitionBy("q_id").orderBy(F.desc(F.round("final_score", 9)), F.desc("chunk_id"))

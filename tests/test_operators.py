@@ -98,11 +98,20 @@ def test_dense_ranks_keep_gaps(spark):
     assert sorted((r["rank"], r["chunk_id"]) for r in got.collect()) == [(1, 0), (3, 2)]
 
 
-def test_batches_of_questions_are_bounded(spark, monkeypatch):
-    chunks, vectors, questions = chunk_rows(spark)
-    monkeypatch.setattr(retrieval, "MOST_QUESTIONS", 1)
-    with pytest.raises(ValueError, match="batch"):
-        retrieval.hybrid_search(chunks, vectors, questions)
+def test_many_questions_go_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    chunks = spark.createDataFrame([(i, "body", " ".join(rng.choice(["ant", "bee", "cat", "dog", "eel", "fox"], 5))) for i in range(40)], "chunk_id long, region string, text string")
+    vectors = spark.createDataFrame([(i, [float(x) for x in rng.integers(0, 3, 4)]) for i in range(40)], "chunk_id long, vector array<double>").repartition(3)
+    asked = spark.createDataFrame([(i, f"ant {'bee' if i % 2 else 'fox'}", [1.0, 0.0, float(i % 3), 1.0]) for i in range(23)], "q_id long, question string, vector array<double>")
+    everything = lambda: [sorted(map(tuple, df.collect())) for df in (retrieval.similarities(vectors, asked, 4), retrieval.bm25(chunks, asked).select("q_id", "chunk_id", F.round("bm25", 9)), retrieval.hybrid_search(chunks, vectors, asked, 3).select("q_id", "rank", "chunk_id", F.round("final_score", 9)))]
+    whole = everything()
+    monkeypatch.setattr(retrieval, "MOST_QUESTIONS", 5)
+    monkeypatch.setattr(retrieval, "ROWS_AT_ONCE", 3)
+    assert everything() == whole and [len(x) for x in whole] == [23 * 4, len(whole[1]), 23 * 3]
+    x = {r["chunk_id"]: r["vector"] for r in vectors.collect()}
+    for r in asked.collect():
+        brute = sorted((-float(np.dot(v, r["vector"])), c) for c, v in x.items())[:4]
+        assert [(c, -s) for q, c, s, _ in sorted((t for t in whole[0] if t[0] == r["q_id"]), key=lambda t: t[3])] == [(c, s) for s, c in brute]
 
 
 def test_integrity(spark):
