@@ -36,14 +36,19 @@ def trimmed(run):
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):
-                ctypes.CDLL(None).malloc_trim(0)
+            _give_back()
 
     return wrapped
 
 
+def _give_back() -> None:
+    """Return freed memory to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it.
 
@@ -101,7 +106,7 @@ def release(*done: DataFrame) -> None:
     for df in done:
         if path := getattr(df, "_written_at", None):
             _delete(df.sparkSession, path)
-    gc.collect()
+    _give_back()
     done[0].sparkSession._jvm.System.gc()
 
 

@@ -5,12 +5,14 @@ The links come in three steps, each verified by the exact Jaccard of whole texts
 1. *Fingerprints.*  The SimHash operator's fingerprints, over five-word shingles,
    are linked within 4 bits by its generalised pigeonhole index.
 2. *Stars.*  Sets with Jaccard >= 0.8 share one of the first n - ceil(0.8 n) + 1
-   shingles of each under any order of all shingles (prefix filter).  Each
-   document is compared with one other that shares such a key and is not in its
-   component yet; a few rounds, with other stars each, join most of what the
-   fingerprints left apart (Jaccard 0.8 is some 10 bits), at one pair a document.
+   shingles of each under any order of all shingles (prefix filter).  The star
+   of such a key is the document with the fewest shingles of its own: of a
+   group of edited copies the one they were made from.  Each document is
+   compared with the best star of its keys that is not in its component yet,
+   which joins most of what the fingerprints left apart (Jaccard 0.8 is some 10
+   bits), at one pair a document.
 3. *The rest.*  Of keys whose documents are still in several components, all
-   pairs across components are compared.
+   pairs across components are compared, each at the first key it shares.
 
 So fingerprints and stars decide work and never results.  Pairs are ruled out
 unread if their sizes, or the places of the shared key in both prefixes, do not
@@ -152,15 +154,26 @@ def _mixed(shared: DataFrame, parts: DataFrame | None) -> DataFrame:
     return placed.join(keys, placed["key"] == keys["_k"], "left_semi")
 
 
-def _stars(shared: DataFrame, turn: int) -> DataFrame:
+def _stars(shared: DataFrame) -> DataFrame:
     """One pair (a, b, u, v) for each document whose keys hold another component's star."""
-    star = F.min(F.struct(F.xxhash64(F.lit(turn), F.col("fp")).alias("h"), "fp", "rep", "n", "pos", "c")).alias("_s")
+    star = F.min(F.struct((-F.col("common")).alias("order"), "fp", "rep", "n", "pos", "c")).alias("_s")
     stars = shared.groupBy(F.col("key").alias("_k")).agg(star)
     met = shared.join(stars, shared["key"] == stars["_k"]).filter((F.col("c") != F.col("_s.c")) & _fit(F.col("n"), F.col("pos"), F.col("_s.n"), F.col("_s.pos")))
     return met.groupBy(F.col("fp").alias("b"), F.col("rep").alias("v")).agg(F.min("_s").alias("_s")).select(F.col("_s.fp").alias("a"), "b", F.col("_s.rep").alias("u"), "v")
 
 
-def near_components(docs: DataFrame, shingle: int = SHINGLE, turns: int = 2) -> DataFrame:
+def _first_keys(shared: DataFrame, most: int = 64) -> DataFrame:
+    """Add ``keys``: the keys of the row's document in order, null if they are many.
+
+    With them a pair is made at the first key it shares; where they are null it
+    is made at each, and once after that.
+    """
+    own = shared.groupBy(F.col("fp").alias("_f")).agg(F.count(F.lit(1)).alias("_n"), F.sort_array(F.collect_list(F.struct("pos", "key"))).alias("_o"))
+    own = own.select("_f", F.when(F.col("_n") <= most, F.transform("_o", lambda x: x["key"])).alias("keys"))
+    return shared.join(own, shared["fp"] == own["_f"]).drop("_f")
+
+
+def near_components(docs: DataFrame, shingle: int = SHINGLE, turns: int = 1) -> DataFrame:
     """(doc_id, component_id) for every row of ``docs`` (doc_id, text)."""
     ship(docs.sparkSession)
     common, often = common_shingles(docs, shingle)
@@ -192,19 +205,24 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, turns: int = 2) ->
     close = close.join(ids.select(F.col("rep").alias("u"), F.col("fp").alias("a")), "u").join(ids.select(F.col("rep").alias("v"), F.col("fp").alias("b")), "v")
     links = _verified(close.select("a", "b", "u", "v"), reps, docs, shingle)
     # Keys that several sets share: one shuffle of a few numbers a key.
-    keys = reps.select("fp", "rep", "n", F.posexplode("keys").alias("pos", "key"))
+    # ``common``: which part of its prefix a document shares with others.
+    keys = reps.select("fp", "rep", "n", F.size("keys").alias("_size"), F.posexplode("keys").alias("pos", "key"))
     met = keys.withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("many > 1")
-    shared = materialize(met.select("key", "many", "fp", "rep", "n", "pos"), "shared_keys")
-    for turn in range(turns):
+    met = met.withColumn("common", F.count(F.lit(1)).over(Window.partitionBy("fp")) / F.col("_size"))
+    shared = materialize(met.select("key", "many", "fp", "rep", "n", "pos", "common"), "shared_keys")
+    for _ in range(turns):
         left = materialize(_mixed(shared, connected_components(links)), "mixed_keys")
-        links = materialize(links.unionByName(_verified(_stars(left, turn), reps, docs, shingle)), "near_links")
+        links = materialize(links.unionByName(_verified(_stars(left), reps, docs, shingle)), "near_links")
         release(shared)
         shared = left.drop("c")
-    placed = materialize(_mixed(shared, connected_components(links)), "mixed_keys")
+    placed = materialize(_first_keys(_mixed(shared, connected_components(links))), "mixed_keys")
     stripes = F.ceil(F.col("many") / STRIPE).cast("int")
-    left = placed.select("key", F.pmod(F.xxhash64("fp"), stripes).cast("int").alias("stripe"), F.col("fp").alias("a"), F.col("rep").alias("u"), F.col("n").alias("_na"), F.col("pos").alias("_pa"), F.col("c").alias("_ca"))
-    right = placed.select("key", F.explode(F.sequence(F.lit(0), stripes - 1)).alias("stripe"), F.col("fp").alias("b"), F.col("rep").alias("v"), F.col("n").alias("_nb"), F.col("pos").alias("_pb"), F.col("c").alias("_cb"))
-    on = (left["key"] == right["key"]) & (left["stripe"] == right["stripe"]) & (F.col("a") < F.col("b")) & (F.col("_ca") != F.col("_cb")) & _fit(F.col("_na"), F.col("_pa"), F.col("_nb"), F.col("_pb"))
+    side = lambda fp, rep, x: [F.col("fp").alias(fp), F.col("rep").alias(rep), *[F.col(c).alias(f"_{c}{x}") for c in ("n", "pos", "c", "keys")]]
+    left = placed.select("key", F.pmod(F.xxhash64("fp"), stripes).cast("int").alias("stripe"), *side("a", "u", "a"))
+    right = placed.select("key", F.explode(F.sequence(F.lit(0), stripes - 1)).alias("stripe"), *side("b", "v", "b"))
+    on = (left["key"] == right["key"]) & (left["stripe"] == right["stripe"]) & (F.col("a") < F.col("b")) & (F.col("_ca") != F.col("_cb")) & _fit(F.col("_na"), F.col("_posa"), F.col("_nb"), F.col("_posb"))
+    first = F.coalesce(F.element_at(F.array_intersect("_keysa", "_keysb"), 1) == left["key"], F.lit(True))
+    on = on & first
     pairs = left.join(right, on).select("a", "b", "u", "v").distinct()
     links = links.unionByName(_verified(pairs, reps, docs, shingle))
     # Documents that repeat an id with other texts tie their sets together.

@@ -38,7 +38,7 @@ def test_stage_drops_what_is_similar_from_four_fifths_on(spark, tmp_path):
     assert {r["doc_id"] for r in kept} == {r[0] for r in rows} - near
 
 
-@pytest.mark.parametrize(("turns", "stripe", "sample"), [(2, 1_000, 20_000), (0, 3, 10)])
+@pytest.mark.parametrize(("turns", "stripe", "sample"), [(1, 1_000, 20_000), (0, 3, 10), (2, 2, 20_000)])
 def test_components_equal_brute_force(spark, monkeypatch, turns, stripe, sample):
     monkeypatch.setattr(near_copies, "STRIPE", stripe)
     monkeypatch.setattr(near_copies.common_shingles, "__defaults__", (sample, 500_000))
