@@ -9,6 +9,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .functions.lexicons import DomainPack
+
 
 def literal(x) -> str:
     """A Python value as DuckDB SQL."""
@@ -106,3 +108,15 @@ BLOCKS = Fixture(
     ],
 )
 SIZES = Fixture("id long, width int, height int", [(1, 1700, 1100), (2, 400, 300), (3, 850, 2200), (4, 1, 5000), (5, 1000, 1000)])
+
+# The pack of the subject that the original questions are about.
+DOMAIN_PACK = DomainPack(
+    technical=("xgboost", "random forest"),
+    objective_terms=("automated control", "fish health", "aquaponics"),
+    expansions=(
+        (("haisas",), " Hybrid AI IoT Smart Aquaponics System"),
+        (None, " objective purpose aim goal real-time monitoring fish health prediction automated control integrated framework aquaponics"),
+        (("0.9593", "cross-validation", "cross validation"), " Random Forest RFC highest cross-validation score 0.9593"),
+        (("xgboost",), " XGBoost test accuracy macro F1 98% 0.94"),
+    ),
+)

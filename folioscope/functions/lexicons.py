@@ -49,14 +49,5 @@ class DomainPack:
     expansions: tuple[tuple[tuple[str, ...] | None, str], ...] = field(default_factory=tuple)
 
 
-# The pack of the subject that the original questions are about.
-DOMAIN_PACK = DomainPack(
-    technical=("xgboost", "random forest"),
-    objective_terms=("automated control", "fish health", "aquaponics"),
-    expansions=(
-        (("haisas",), " Hybrid AI IoT Smart Aquaponics System"),
-        (None, " objective purpose aim goal real-time monitoring fish health prediction automated control integrated framework aquaponics"),
-        (("0.9593", "cross-validation", "cross validation"), " Random Forest RFC highest cross-validation score 0.9593"),
-        (("xgboost",), " XGBoost test accuracy macro F1 98% 0.94"),
-    ),
-)
+#: No subject of its own; packs are opt-in.
+NO_PACK = DomainPack()

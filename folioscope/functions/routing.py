@@ -9,7 +9,7 @@ from . import lexicons as lex
 from .text import contains_any, strip
 
 
-def intent(question: Column, pack: lex.DomainPack = lex.DOMAIN_PACK) -> Column:
+def intent(question: Column, pack: lex.DomainPack = lex.NO_PACK) -> Column:
     """header, abstract, body or general; the first list that matches wins."""
     q = F.lower(question)
     out = None
@@ -46,7 +46,7 @@ def route(question: Column) -> Column:
     )
 
 
-def expand(question: Column, pack: lex.DomainPack = lex.DOMAIN_PACK) -> Column:
+def expand(question: Column, pack: lex.DomainPack = lex.NO_PACK) -> Column:
     """The question with the pack's phrases appended, in the pack's order."""
     q, parts = F.lower(question), [F.coalesce(question, F.lit(""))]
     for triggers, phrase in pack.expansions:
@@ -74,7 +74,7 @@ def region_adjustment(region: Column, wanted: Column) -> Column:
     return out.otherwise(0.0)
 
 
-def objective_score(question: Column, text: Column, pack: lex.DomainPack = lex.DOMAIN_PACK) -> Column:
+def objective_score(question: Column, text: Column, pack: lex.DomainPack = lex.NO_PACK) -> Column:
     t = F.lower(F.coalesce(text, F.lit("")))
     terms = lex.OBJECTIVE_TERMS + pack.objective_terms
     hits = F.size(F.filter(F.array(*map(F.lit, terms)), lambda p: F.contains(t, p)))

@@ -12,7 +12,9 @@ from pyspark.sql.window import Window
 from ..functions.text import strip
 
 SOURCE_CHARS, CHUNK_CHARS, DOCUMENT_CHARS, VISUAL_CHARS = 1800, 1400, 4500, 1600
-NOTHING = "No relevant text evidence was retrieved."
+NOTHING = "The search found no text that bears on this question."
+NO_TEXT = "No text chunk of this document is long enough to quote."
+NO_IMAGE = "Nothing was read from the images of this document."
 
 Answerer = Callable[[str, str], str]
 
@@ -21,6 +23,7 @@ def _joined(rows: Column, separator: str) -> Column:
     return F.array_join(F.transform(F.sort_array(F.collect_list(rows)), lambda r: r["part"]), separator)
 
 
+# The labels of evidence blocks here and below, which citations refer to.
 def evidence_context(results: DataFrame) -> DataFrame:
     """(q_id, context): the retrieved chunks as numbered blocks in rank order."""
     known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("Unknown"))
@@ -47,17 +50,17 @@ def citations(answer: Column, n: Column, visual: bool = False) -> Column:
     return F.array_sort(F.array_distinct(F.filter(numbers, lambda x: (x >= 1) & (x <= n))))
 
 
-def repair_citations(answers: DataFrame) -> DataFrame:
+def repair_citations(answers: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """(q_id, answer, n_sources) -> answer with citations: none valid means the first two are appended."""
     found = citations(F.col("answer"), F.col("n_sources"))
     count = F.least(F.lit(2), F.col("n_sources"))
     first = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
     tail = F.concat(F.lit("\n\n"), F.array_join(F.transform(first, lambda i: F.concat(F.lit("[Source "), i.cast("string"), F.lit("]"))), ""))
     df = answers.withColumn("_c", found)
-    return df.select("q_id", F.when((F.size("_c") == 0) & (count > 0), F.concat("answer", tail)).otherwise(F.col("answer")).alias("answer"), F.when(F.size("_c") == 0, first).otherwise(F.col("_c")).alias("cited"))
+    return df.select("q_id", F.when((F.size("_c") == 0) & (count > 0), F.concat("answer", tail)).otherwise(F.col("answer")).alias("answer"), F.when(F.size("_c") == 0, first).otherwise(F.col("_c")).alias("cited"), *carry)
 
 
-def repair_visual(answers: DataFrame) -> DataFrame:
+def repair_visual(answers: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """(q_id, answer, numbers) -> answer and cited_visual; an answer that cites no image gets the first.
 
     ``numbers`` are those of the images that could be read; they may have gaps,
@@ -66,7 +69,7 @@ def repair_visual(answers: DataFrame) -> DataFrame:
     cited = F.array_intersect(citations(F.col("answer"), F.array_max("numbers"), visual=True), "numbers")
     df = answers.withColumn("_c", F.coalesce(cited, F.array().cast("array<int>"))).withColumn("_first", F.array_min("numbers"))
     none = (F.size("_c") == 0) & F.col("_first").isNotNull()
-    return df.select("q_id", F.when(none, F.concat("answer", F.lit("\n\n[Visual Source "), F.col("_first").cast("string"), F.lit("]"))).otherwise(F.col("answer")).alias("answer"), F.when(none, F.array("_first")).otherwise(F.col("_c")).alias("cited_visual"))
+    return df.select("q_id", F.when(none, F.concat("answer", F.lit("\n\n[Visual Source "), F.col("_first").cast("string"), F.lit("]"))).otherwise(F.col("answer")).alias("answer"), F.when(none, F.array("_first")).otherwise(F.col("_c")).alias("cited_visual"), *carry)
 
 
 def first_sentence_answerer(question: str, context: str) -> str:
@@ -79,16 +82,19 @@ NO_ANSWER = "Nothing relevant was found in the documents. Please rephrase the qu
 
 
 def answer_questions(questions: DataFrame, results: DataFrame, answerer: Answerer = first_sentence_answerer) -> DataFrame:
-    """(q_id, answer, cited) of the text route; questions without results get a fixed answer."""
+    """(q_id, answer, cited, spoken) of the text route; questions without results get a fixed answer.
+
+    ``spoken`` is the answer before citations were appended, as memory keeps it.
+    """
     run = F.udf(answerer, StringType(), useArrow=True)
     counted = results.groupBy("q_id").agg(F.count(F.lit(1)).cast("int").alias("n_sources"))
     df = questions.join(evidence_context(results), "q_id", "left").join(counted, "q_id", "left")
     said = df.select("q_id", F.when(F.col("context").isNull(), NO_ANSWER).otherwise(run("question", "context")).alias("answer"), F.coalesce("n_sources", F.lit(0)).alias("n_sources"))
-    return repair_citations(said)
+    return repair_citations(said.withColumn("spoken", F.col("answer")), ("spoken",))
 
 
 def answer_with_images(questions: DataFrame, results: DataFrame, analyses: DataFrame, fusion: bool, answerer: Answerer = first_sentence_answerer) -> DataFrame:
-    """(q_id, answer, cited, cited_visual) of the visual route or, with ``fusion``, the fused one.
+    """(q_id, answer, cited, cited_visual, spoken) of the visual route or, with ``fusion``, the fused one.
 
     The fused route repairs text and image citations, and falls back to the
     text route's answer where no image could be read; the visual route repairs
@@ -101,9 +107,9 @@ def answer_with_images(questions: DataFrame, results: DataFrame, analyses: DataF
     both = F.concat_ws("\n", F.coalesce("context", F.lit(NOTHING)), "visual")
     nothing = F.col("context").isNull() & F.col("visual").isNull()
     df = df.select("q_id", F.when(nothing, NO_ANSWER).otherwise(run("question", both)).alias("answer"), F.coalesce("n_sources", F.lit(0)).alias("n_sources"), F.coalesce("numbers", F.array().cast("array<int>")).alias("numbers"))
-    df = df.withColumn("cited", citations(F.col("answer"), F.col("n_sources")))
-    text = repair_citations(df.select("q_id", "answer", "n_sources")) if fusion else df.select("q_id", "answer", "cited")
-    return repair_visual(text.join(df.select("q_id", "numbers"), "q_id")).join(text.select("q_id", "cited"), "q_id")
+    df = df.withColumn("cited", citations(F.col("answer"), F.col("n_sources"))).withColumn("spoken", F.col("answer"))
+    text = repair_citations(df, ("spoken", "numbers")) if fusion else df
+    return repair_visual(text, ("cited", "spoken"))
 
 
 def api_sources(results: DataFrame) -> DataFrame:
@@ -132,6 +138,6 @@ def doc_compare_context(chunks: DataFrame, visual: DataFrame | None = None) -> D
     number = F.row_number().over(Window.orderBy("first_chunk"))  # one row per document
     return df.select(
         number.alias("number"), "source",
-        F.coalesce("text", F.lit("No usable text chunks were available.")).alias("text"),
-        F.coalesce(F.left("visual", F.lit(VISUAL_CHARS)), F.lit("No additional visual evidence was available.")).alias("visual"),
+        F.coalesce("text", F.lit(NO_TEXT)).alias("text"),
+        F.coalesce(F.left("visual", F.lit(VISUAL_CHARS)), F.lit(NO_IMAGE)).alias("visual"),
     )

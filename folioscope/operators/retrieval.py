@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import routing
-from ..functions.lexicons import DOMAIN_PACK, OBJECTIVE_PHRASES, OBJECTIVE_TERMS, OBJECTIVE_TRIPLE, REGION_ADJUSTMENT, DomainPack
+from ..functions.lexicons import NO_PACK, OBJECTIVE_PHRASES, OBJECTIVE_TERMS, OBJECTIVE_TRIPLE, REGION_ADJUSTMENT, DomainPack
 from ..functions.text import TOKEN, tokens
 
 MOST_QUESTIONS = 1_000
@@ -162,7 +162,7 @@ def minmax(df: DataFrame, column: str, by: str = "q_id") -> DataFrame:
     return df.join(F.broadcast(ends), by).withColumn(column, scaled).drop("_lo", "_hi")
 
 
-def hybrid_scores(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, pack: DomainPack = DOMAIN_PACK) -> DataFrame:
+def hybrid_scores(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, pack: DomainPack = NO_PACK) -> DataFrame:
     """All seven scores and the intent of every question and chunk.
 
     ``questions`` is (q_id, question, vector).  Intent and objective read the
@@ -241,7 +241,7 @@ class _Batch:
         return 0.05 * sum(x in t for x in self.terms) + 0.25 * any(x in t for x in OBJECTIVE_PHRASES) + 0.20 * all(x in t for x in OBJECTIVE_TRIPLE)
 
 
-def hybrid_search(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, k: int = 5, pack: DomainPack = DOMAIN_PACK) -> DataFrame:
+def hybrid_search(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, k: int = 5, pack: DomainPack = NO_PACK) -> DataFrame:
     """The k best chunks of every question; ties go to the later chunk.
 
     The same scores as ``hybrid_scores`` without its pairs: the questions travel

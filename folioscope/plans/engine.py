@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
+from pyspark.sql.window import Window
 
-from ..functions import routing
+from ..functions import lexicons, routing
 from ..operators import chunking, embedding, evidence, memory, retrieval, visual
 from ..sources.pages import read_elements, write_table
 
@@ -26,8 +27,8 @@ def ingest(spark: SparkSession, elements_path: str, index_path: str, encoder: em
 class Engine:
     """An opened index: ``search`` and ``answer`` take batches of questions (q_id, question)."""
 
-    def __init__(self, spark: SparkSession, index_path: str, encoder: embedding.Encoder = embedding.hashing_encoder):
-        self.spark, self.path, self.encoder = spark, index_path, encoder
+    def __init__(self, spark: SparkSession, index_path: str, encoder: embedding.Encoder = embedding.hashing_encoder, pack: lexicons.DomainPack = lexicons.NO_PACK):
+        self.spark, self.path, self.encoder, self.pack = spark, index_path, encoder, pack
         self.reload()
 
     def reload(self) -> None:
@@ -42,10 +43,36 @@ class Engine:
         kept = self.chunks.filter(~F.col("source").eqNullSafe(source))
         return kept, self.vectors.join(self.chunks.filter(F.col("source") == source).select("chunk_id"), "chunk_id", "left_anti")
 
+    def delete(self, source: str) -> None:
+        """Take a document out of the stored index."""
+        self._replace(*self.without(source))
+
+    def upload(self, elements_path: str) -> None:
+        """Put more page elements into the stored index; their chunk ids follow the last one."""
+        first = self.chunks.agg(F.coalesce(F.max("chunk_id") + 1, F.lit(0))).first()[0]
+        chunks = chunking.page_chunks(read_elements(self.spark, elements_path)).withColumn("chunk_id", F.col("chunk_id") + first)
+        write_table(chunks, f"{self.path}/chunks.more")
+        chunks = self.spark.read.parquet(f"{self.path}/chunks.more")
+        vectors = embedding.encode(chunks, self.encoder)
+        self._replace(self.chunks.unionByName(chunks, allowMissingColumns=True), self.vectors.unionByName(vectors))
+
+    def _replace(self, chunks: DataFrame, vectors: DataFrame) -> None:
+        """Both tables are written whole beside the old ones, then take their places."""
+        for name, df in (("chunks", chunks), ("vectors", vectors)):
+            write_table(df, f"{self.path}/{name}.next")
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = folder.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        at = lambda name: self.spark._jvm.org.apache.hadoop.fs.Path(folder, name)
+        for name in ("chunks", "vectors"):
+            fs.delete(at(name), True)
+            fs.rename(at(f"{name}.next"), at(name))
+        fs.delete(at("chunks.more"), True)
+        self.reload()
+
     def search(self, questions: DataFrame, k: int = 5) -> DataFrame:
-        asked = questions.filter(F.trim("question") != "").withColumn("_x", routing.expand(F.col("question")))
+        asked = questions.filter(F.trim("question") != "").withColumn("_x", routing.expand(F.col("question"), self.pack))
         asked = asked.join(self._encoded(asked, "_x"), "q_id").drop("_x")
-        return retrieval.hybrid_search(self.chunks, self.vectors, asked, k)
+        return retrieval.hybrid_search(self.chunks, self.vectors, asked, k, self.pack)
 
     def dense(self, questions: DataFrame, k: int = 5, floor: float = 0.15) -> DataFrame:
         """Vector-only retrieval; the question is encoded with the retrieval prefix."""
@@ -63,7 +90,7 @@ class Engine:
         answerer: evidence.Answerer = evidence.first_sentence_answerer,
         analyser: visual.Analyser | None = None,
     ) -> DataFrame:
-        """(q_id, route, answer, cited, cited_visual) by each question's route.
+        """(q_id, route, answer, cited, cited_visual, spoken) by each question's route.
 
         ``turns`` (conv_id, turn, question, answer) gives memory by
         conversation; without an ``analyser`` images are not looked at.
@@ -86,9 +113,29 @@ class Engine:
                 near = keep(found) if fusion else keep(found).filter("rank <= 2")
                 said = said.unionByName(evidence.answer_with_images(part, near, keep(seen), fusion, answerer))
         compared = routed.filter(F.col("route") == "comparison")
-        documents = evidence.doc_compare_context(self.chunks)
+        documents = evidence.doc_compare_context(self.chunks, self._looked_at(analyser) if analyser else None)
         block = F.concat(F.lit("[Document "), F.col("number").cast("string"), F.lit("]\nFile: "), "source", F.lit("\nEvidence:\n"), "text", F.lit("\nVisual evidence:\n"), "visual")
         whole = documents.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("number", block.alias("b")))), lambda r: r["b"]), "\n").alias("context"))
         run = F.udf(answerer, StringType(), useArrow=True)
-        said = said.unionByName(compared.crossJoin(F.broadcast(whole)).select("q_id", run("question", "context").alias("answer"), empty.alias("cited"), empty.alias("cited_visual")))
+        compared = compared.crossJoin(F.broadcast(whole)).select("q_id", run("question", "context").alias("answer"), empty.alias("cited"), empty.alias("cited_visual"))
+        said = said.unionByName(compared.withColumn("spoken", F.col("answer")))
         return said.join(routed.select("q_id", "route"), "q_id")
+
+    def _looked_at(self, analyser: visual.Analyser) -> DataFrame:
+        """(source, visual): what the analyser sees on the first page image of every document."""
+        pages = visual.available_pages(self.chunks)
+        first = pages.groupBy("source").agg(F.min(F.struct("page", "chunk_id", "path")).alias("p"))
+        look = F.udf(analyser, StringType(), useArrow=True)
+        return first.select("source", look(F.lit("What does this page show?"), F.col("p.path")).alias("visual"))
+
+    @staticmethod
+    def remember(turns: DataFrame, questions: DataFrame, answered: DataFrame) -> DataFrame:
+        """``turns`` (conv_id, turn, question, answer) with those of a batch of answers after them.
+
+        Memory keeps an answer as it was before citations were appended.
+        """
+        last = turns.groupBy("conv_id").agg(F.max("turn").alias("_last"))
+        said = questions.select("q_id", "conv_id", "question").join(answered.select("q_id", F.col("spoken").alias("answer")), "q_id").join(last, "conv_id", "left")
+        place = F.row_number().over(Window.partitionBy("conv_id").orderBy("q_id"))
+        new = said.select("conv_id", (F.coalesce("_last", F.lit(-1)) + place).cast(turns.schema["turn"].dataType).alias("turn"), "question", "answer")
+        return turns.select("conv_id", "turn", "question", "answer").unionByName(new)

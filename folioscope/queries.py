@@ -33,15 +33,11 @@ def query(sql: str | None = None):
     return add
 
 
-#: A table below this size may be one row group, which one task would read and
-#: work on alone; it is dealt to all cores.  Larger tables are left as scanned.
-SMALL_BYTES = 256 << 20
-
-
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{d}/{name}.parquet")
-    if name in ("documents", "pages") and int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < SMALL_BYTES:
-        return df.repartition(spark.sparkContext.defaultParallelism)
+    """A table; one that is scanned in fewer parts than there are cores is dealt out to them."""
+    df, cores = spark.read.parquet(f"{d}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    if name in ("documents", "pages") and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
     return df
 
 
@@ -528,7 +524,7 @@ def minmax_norm(spark, d):
 def s_intent(q: str) -> str:
     out = "CASE"
     for name, region, phrases in lex.INTENTS:
-        out += f" WHEN {s_any(f'lower({q})', phrases + (lex.DOMAIN_PACK.technical if name == 'technical' else ()))} THEN '{region}'"
+        out += f" WHEN {s_any(f'lower({q})', phrases + (fx.DOMAIN_PACK.technical if name == 'technical' else ()))} THEN '{region}'"
     return f"{out} ELSE 'general' END"
 
 
@@ -538,7 +534,7 @@ def s_objective(q: str) -> str:
 
 def s_expand(q: str) -> str:
     out = f"coalesce({q}, '')"
-    for triggers, phrase in lex.DOMAIN_PACK.expansions:
+    for triggers, phrase in fx.DOMAIN_PACK.expansions:
         out += f" || CASE WHEN {s_objective(q) if triggers is None else s_any(f'lower({q})', triggers)} THEN {fx.literal(phrase)} ELSE '' END"
     return f"({out})"
 
@@ -548,7 +544,7 @@ def s_region(region: str, intent: str) -> str:
 
 
 def s_objective_score(q: str, t: str) -> str:
-    terms = fx.literal([*lex.OBJECTIVE_TERMS, *lex.DOMAIN_PACK.objective_terms])
+    terms = fx.literal([*lex.OBJECTIVE_TERMS, *fx.DOMAIN_PACK.objective_terms])
     triple = " AND ".join(f"contains(lower({t}), '{x}')" for x in lex.OBJECTIVE_TRIPLE)
     return f"CASE WHEN {s_objective(q)} THEN len(list_filter({terms}, lambda p: contains(lower({t}), p))) * 0.05 + CASE WHEN {s_any(f'lower({t})', lex.OBJECTIVE_PHRASES)} THEN 0.25 ELSE 0.0 END + CASE WHEN {triple} THEN 0.20 ELSE 0.0 END ELSE 0.0 END"
 
@@ -606,7 +602,7 @@ def integrity_report(spark, d):
 
 @query(f"SELECT q_id, {s_intent('question')} AS intent FROM {ALL_QUESTIONS}")
 def query_intent(spark, d):
-    return all_questions(spark, d).select("q_id", routing.intent(F.col("question")).alias("intent"))
+    return all_questions(spark, d).select("q_id", routing.intent(F.col("question"), fx.DOMAIN_PACK).alias("intent"))
 
 
 _FLAGS = {"objective": lex.OBJECTIVE_QUERY, "tabular": lex.TABLE_WORDS, "visual": lex.VISUAL_WORDS, "fusion": lex.FUSION_WORDS, "comparison": lex.COMPARISON_PHRASES}
@@ -620,7 +616,7 @@ def query_flags(spark, d):
 
 @query(f"SELECT q_id, {s_expand('question')} AS expanded FROM {ALL_QUESTIONS}")
 def query_expand(spark, d):
-    return all_questions(spark, d).select("q_id", routing.expand(F.col("question")).alias("expanded"))
+    return all_questions(spark, d).select("q_id", routing.expand(F.col("question"), fx.DOMAIN_PACK).alias("expanded"))
 
 
 @query(f"SELECT q_id, CASE WHEN {s_any('lower(question)', lex.COMPARISON_PHRASES)} THEN 'comparison' WHEN {s_any('lower(question)', lex.FUSION_WORDS)} THEN 'fusion' WHEN {s_any('lower(question)', lex.TABLE_WORDS)} THEN 'table' WHEN {s_any('lower(question)', lex.VISUAL_WORDS)} THEN 'visual' ELSE 'text' END AS route FROM {ALL_QUESTIONS}")
@@ -800,7 +796,7 @@ def doc_evidence(spark, d):
 
 
 @query(
-    f"""SELECT CAST(row_number() OVER (ORDER BY first_chunk) AS INTEGER) AS number, s.source, coalesce(t.text, 'No usable text chunks were available.') AS text, 'No additional visual evidence was available.' AS visual FROM (SELECT source, min(doc_id) AS first_chunk FROM documents WHERE coalesce(source, '') <> '' GROUP BY source) s
+    f"""SELECT CAST(row_number() OVER (ORDER BY first_chunk) AS INTEGER) AS number, s.source, coalesce(t.text, 'No text chunk of this document is long enough to quote.') AS text, 'Nothing was read from the images of this document.' AS visual FROM (SELECT source, min(doc_id) AS first_chunk FROM documents WHERE coalesce(source, '') <> '' GROUP BY source) s
     LEFT JOIN (SELECT source, left(string_agg('Page ' || page || ' (Chunk ' || chunk_id || '):' || chr(10) || left(text, 1400), chr(10) || chr(10) ORDER BY place), 4500) AS text FROM {DOC_EVIDENCE} GROUP BY source) t ON s.source = t.source"""
 )
 def doc_compare_context(spark, d):

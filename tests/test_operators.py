@@ -195,12 +195,61 @@ def test_ingest_search_and_answer(spark, tmp_path):
     more = spark.createDataFrame([(3, 9, "compare the documents"), (4, 9, "picture of a tank on page 1"), (5, 9, "why is the water clean")], "q_id long, conv_id long, question string")
     got = {r["q_id"]: r for r in engine.answer(more, analyser=lambda prompt, path: f"seen {path}").collect()}
     assert {q: r["route"] for q, r in got.items()} == {3: "comparison", 4: "visual", 5: "fusion"}
-    assert got[3]["answer"].startswith("No usable text") and got[5]["cited"] == [1]
+    assert got[3]["answer"].startswith(evidence.NO_TEXT) and got[5]["cited"] == [1]
     turns = spark.createDataFrame([(7, 1, "what of rails", "steel rails and stations")], "conv_id long, turn long, question string, answer string")
-    assert {r["q_id"] for r in engine.answer(asked, turns).collect()} == {1, 2}
+    answered = engine.answer(asked, turns)
+    assert {r["q_id"] for r in answered.collect()} == {1, 2}
+    kept = {(r["conv_id"], r["turn"]): (r["question"], r["answer"]) for r in Engine.remember(turns, asked, answered).collect()}
+    assert kept.keys() == {(7, 1), (7, 2), (8, 0)} and kept[7, 1][1] == "steel rails and stations"
+    assert kept[7, 2][0] == "water sensors" and kept[8, 0][1].startswith("Trains")
     assert {r["source"] for r in engine.without("a.pdf")[0].collect()} == {"b.pdf"}
 
 
+def test_index_takes_and_drops_documents(spark, tmp_path):
+    def elements(name, rows):
+        df = spark.createDataFrame(rows, "source string, page int, text string").selectExpr("*", "false AS ocr_used", "CAST(NULL AS struct<path:string,width:int,height:int,dpi:int>) AS page_image", f"CAST(NULL AS array<{src.IMAGE}>) AS images", f"CAST(NULL AS array<{src.TABLE}>) AS tables")
+        src.write_table(src.page_elements(df), f"{tmp_path}/{name}")
+
+    elements("one", [("a.pdf", 1, "Fish tanks need clean water."), ("b.pdf", 1, "Trains run on rails.")])
+    elements("two", [("c.pdf", 1, "Ships sail the sea."), ("c.pdf", 2, "Ports have cranes.")])
+    ingest(spark, f"{tmp_path}/one", f"{tmp_path}/index")
+    engine = Engine(spark, f"{tmp_path}/index")
+    engine.upload(f"{tmp_path}/two")
+    engine.delete("a.pdf")
+    again = Engine(spark, f"{tmp_path}/index")
+    assert sorted((r["chunk_id"], r["source"]) for r in again.chunks.collect()) == [(1, "b.pdf"), (2, "c.pdf"), (3, "c.pdf")]
+    assert sorted(r["chunk_id"] for r in again.vectors.collect()) == [1, 2, 3]
+    asked = spark.createDataFrame([(1, "ships at sea")], "q_id long, question string")
+    assert again.search(asked, k=1).first()["source"] == "c.pdf"
+
+
+def test_memory_keeps_answers_without_appended_citations(spark):
+    rows = spark.createDataFrame([(1, "said [Source 1]", 2), (2, "bare", 2)], "q_id long, answer string, n_sources int").withColumn("spoken", F.col("answer"))
+    got = {r["q_id"]: (r["answer"], r["spoken"]) for r in evidence.repair_citations(rows, ("spoken",)).collect()}
+    assert got == {1: ("said [Source 1]", "said [Source 1]"), 2: ("bare\n\n[Source 1][Source 2]", "bare")}
+
+
+def test_comparison_reads_the_first_image_of_every_document(spark, tmp_path):
+    element = "source string, page int, text string, ocr_used boolean, page_image struct<path:string,width:int,height:int,dpi:int>"
+    rows = [("a.pdf", 2, "", False, ("a2.png", 1, 1, 1)), ("a.pdf", 1, "", False, ("a1.png", 1, 1, 1)), ("b.pdf", 1, "A text that is long enough to be quoted when documents are put side by side, surely.", False, None)]
+    df = src.page_elements(spark.createDataFrame(rows, element).selectExpr("*", f"CAST(NULL AS array<{src.IMAGE}>) AS images", f"CAST(NULL AS array<{src.TABLE}>) AS tables"))
+    src.write_table(df, f"{tmp_path}/elements")
+    ingest(spark, f"{tmp_path}/elements", f"{tmp_path}/index")
+    asked = spark.createDataFrame([(1, 1, "Compare the documents")], "q_id long, conv_id long, question string")
+    looked = Engine(spark, f"{tmp_path}/index").answer(asked, answerer=lambda q, context: context, analyser=lambda prompt, path: f"saw {path}").first()["answer"]
+    assert "saw a1.png" in looked and "a2.png" not in looked and evidence.NO_IMAGE in looked and evidence.NO_TEXT in looked
+
+
+def test_pages_without_source_or_number_keep_their_chunks(spark):
+    pages = spark.createDataFrame([("s", 1, "One."), (None, 2, "Two."), ("s", None, "Three."), (None, None, "Four.")], "source string, page int, text string")
+    pages = pages.selectExpr("*", "true AS ocr_used", "'eng' AS ocr_languages", "80.0D AS ocr_confidence", "false AS has_visual_content", "CAST(NULL AS struct<path:string>) AS page_image", f"CAST(NULL AS array<{src.IMAGE}>) AS images", f"CAST(NULL AS array<{src.TABLE}>) AS tables")
+    got = chunking.page_chunks(pages).orderBy("chunk_id").collect()
+    assert [(r["chunk_id"], r["source"], r["page"], r["text"]) for r in got] == [(0, "Unknown", 0, "Four."), (1, "Unknown", 2, "Two."), (2, "s", 0, "Three."), (3, "s", 1, "One.")]
+    assert {(r["ocr_languages"], r["ocr_confidence"], r["ocr_quality"], r["image_count"], r["table_count"], r["section"]) for r in got} == {("eng", 80.0, 0.0, 0, 0, "Unknown")}
+    rows = spark.createDataFrame([(None, 5, 1), ("a", None, 1), (None, None, 2), ("a", 3, 1)], "g string, page int, k int")
+    assert sorted(r["id"] for r in src.dense_ids(rows, ["g", "page", "k"], "id", "page").collect()) == [0, 1, 2, 3]
+
+
 def test_streaming_ingest_takes_each_file_once(spark, tmp_path):
     src_dir, out, mark = f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/mark"
     rows = lambda page: spark.createDataFrame([("s", page, f"Page {page} text. More.")], "source string, page int, text string")
