@@ -294,3 +294,11 @@ def simhash_components(docs: DataFrame, distance: int = 4, shingle: int = 4, see
     known = reps.join(parts, reps["rep"] == parts["node"], "left").select(F.col("fp").alias("_f"), F.coalesce("component", "rep").alias("component_id"))
     out = prints.join(known, prints["fp"] == known["_f"], "left")
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """(doc_id, component_id) at Jaccard >= 0.8 of word shingles: fingerprint links
+    first, then what they leave apart, every link verified (see ``near_copies``)."""
+    from .near_copies import near_components
+
+    return near_components(docs, shingle)

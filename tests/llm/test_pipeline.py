@@ -43,7 +43,7 @@ def test_stages_take_clashing_columns(spark, tmp_path):
     from pyspark.sql import functions as F
 
     docs = documents(spark, awkward())
-    for c in ("score", "kept", "n_words", "size", "_rest_of_it", "component_id", "predicted", "position", "epoch"):
+    for c in ("score", "kept", "n_words", "size", "_rest", "_take", "_size", "_slot", "_d", "_d1", "d1", "_gone", "_n", "keys", "component_id", "predicted", "position", "epoch"):
         docs = docs.withColumn(c, F.lit(c))
     spark.createDataFrame([(7, 1, 0), (9, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
