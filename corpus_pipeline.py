@@ -5,7 +5,9 @@ columns of ``documents``.  ``run`` writes every stage as a table in the shared
 folder and reads it back, so a lost executor never reaches behind a stage.
 
 A stage keeps null doc_ids, null texts and further columns as they are (column
-names of the operators may be among them); an empty table passes through.
+names of the operators may be among them); repeated rows of one id count as one
+document in the second stage, which keeps one of them; very long texts are
+worked on whole; an empty table passes through.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import mixing, near_copies, packing, substring_dedup, toxicity
+from folioscope.llm import mixing, packing, simhash, substring_dedup, toxicity
 from folioscope.llm.common import WORD, materialize, table
 
 
@@ -30,7 +32,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     SimHash fingerprints of these shingles find most links; what lies further
     apart than their index reaches is found by shared shingles, so none is lost.
     """
-    found = near_copies.near_components(docs)
+    found = simhash.near_duplicates(docs)
     gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
     again = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1 AND doc_id IS NOT NULL").limit(1).count()
