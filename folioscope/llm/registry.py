@@ -88,6 +88,20 @@ ORACLES = {
                sha256(coalesce(t, '')) AS kept_sha256
         FROM d LEFT JOIN kept USING (doc_id)
     """,
+    "op5_warc": """
+        WITH p AS (
+            SELECT page_id, url, encode(coalesce(html, '')) AS b, sha1(encode(coalesce(html, ''))) AS x FROM pages
+        ), five AS (  -- each five hexadecimal digits are four letters of base 32
+            SELECT *, list_transform(range(8), lambda g: list_reduce(list_transform(range(1, 6), lambda i: instr('0123456789abcdef', x[g * 5 + i]) - 1), lambda a, c: a * 16 + c)) AS v FROM p
+        ), digested AS (
+            SELECT page_id, url, octet_length(b) AS n, array_to_string(list_transform(v, lambda k: array_to_string(list_transform([32768, 1024, 32, 1], lambda d: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[(k // d) % 32 + 1]), '')), '') AS d FROM five
+        ), placed AS (
+            SELECT *, row_number() OVER (PARTITION BY d ORDER BY page_id DESC NULLS LAST, url DESC NULLS LAST) AS r, max(page_id) OVER (PARTITION BY d) AS top FROM digested
+        )
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN r = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN r > 1 THEN top END AS refers_to, true AS intact
+        FROM placed
+    """,
     "op7_hamming_top_k": """
         WITH bits AS (
             SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS b FROM embeddings
