@@ -107,7 +107,7 @@ class WordEncoder:
     itself.  So texts are split here and each distinct part is encoded once.
     """
 
-    def __init__(self, path: str | None = None, most: int = 24_000_000):
+    def __init__(self, path: str | None = None, most: int = 40_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
