@@ -1,14 +1,16 @@
 """SimHash near-duplicates by the generalised pigeonhole principle.
 
 ``fingerprints`` makes a 64-bit SimHash of word shingles.  ``link_fingerprints``
-finds all pairs within ``distance`` bits: correlated bits are grouped into the
-same partition, every fingerprint gets its own thresholds per partition by
-dynamic programming on estimated candidate counts (they sum to distance - m + 1,
--1 skips a partition), probes the values within those thresholds, and verifies.
-Equal fingerprints are one representative, so copies cost one row.
+finds all pairs within ``distance`` bits: the bits are cut into m partitions (m
+by the number of fingerprints: the more there are, the wider partitions must be
+to tell them apart), correlated bits into the same one; every fingerprint gets
+its own thresholds per partition by dynamic programming on estimated candidate
+counts (they sum to distance - m + 1, -1 skips a partition), probes the values
+within those thresholds, and verifies.  Equal fingerprints are one
+representative, so copies cost one row.
 
 What reaches the driver is bounded whatever the input: a 64 x 64 matrix of bit
-counts and one histogram of 2**16 values per partition.  A partition value held
+counts and, per partition, one histogram of the 2**16 values of its first bits.  A partition value held
 by many fingerprints is cut into square tiles, and a group of tiles yields a
 spanning forest of its links, not the links.
 
@@ -22,6 +24,8 @@ table gives an empty result; other columns, whatever their names, are left out.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +36,8 @@ from pyspark.sql import functions as F
 from .common import materialize, ship, trimmed
 from .components import connected_components, forest
 
-PARTS, WIDTH = 4, 16
+#: Partitions at most, and bits of a partition that histograms tell apart.
+MOST_PARTS, WIDTH = 4, 16
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -84,7 +89,29 @@ def _bits(fp: np.ndarray) -> np.ndarray:
     return np.unpackbits(fp.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
 
 
-def bit_order(reps: DataFrame) -> list[int]:
+def widths(parts: int) -> list[int]:
+    """Bits of each partition, as even as can be."""
+    return [64 // parts + (i < 64 % parts) for i in range(parts)]
+
+
+def _ball(width: int, t: int) -> int:
+    return sum(comb(width, k) for k in range(t + 1))
+
+
+def choose_parts(n: int, distance: int) -> int:
+    """Partitions of least probes and candidates for n evenly spread fingerprints."""
+
+    def cost(parts: int) -> float:
+        price = [[0.0, *(_ball(w, t) * (1 + n / 2.0**w) for t in range(distance + 1))] for w in widths(parts)]
+        best = {0: 0.0}  # thresholds + 1 so far -> least price
+        for row in price:
+            best = {k: min(best[k - t] + row[t] for t in range(len(row)) if k - t in best) for k in range(max(best) + len(row))}
+        return best[distance + 1]  # they sum to distance - parts + 1
+
+    return min(range(min(MOST_PARTS, distance + 1), 0, -1), key=cost)
+
+
+def bit_order(reps: DataFrame, parts: int = MOST_PARTS) -> list[int]:
     """Bits grouped so that correlated ones share a partition (GPH's first step)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,9 +132,9 @@ def bit_order(reps: DataFrame) -> list[int]:
     dev = np.sqrt(np.maximum(p * (1 - p), 1e-9))
     corr = np.abs((c[:64, :64] / n - np.outer(p, p)) / np.outer(dev, dev))
     left, order = set(range(64)), []
-    for _ in range(PARTS):
+    for width in widths(parts):
         group = [min(left)]
-        while len(group) < WIDTH:
+        while len(group) < width:
             rest = sorted(left - set(group))
             group.append(rest[int(np.argmax(corr[np.ix_(rest, group)].sum(axis=1)))])
         left -= set(group)
@@ -115,21 +142,28 @@ def bit_order(reps: DataFrame) -> list[int]:
     return order
 
 
-def part_values(fp: np.ndarray, order: list[int]) -> np.ndarray:
-    """(n, PARTS) values of the partitions under that order of bits."""
-    bits = _bits(fp)[:, order].reshape(-1, PARTS, WIDTH)
-    return bits.astype(np.int64) @ (1 << np.arange(WIDTH, dtype=np.int64))
+def part_values(fp: np.ndarray, order: list[int], parts: int) -> np.ndarray:
+    """(n, parts) values of the partitions under that order of bits."""
+    bits, at, out = _bits(fp)[:, order].astype(np.uint64), 0, []
+    for width in widths(parts):
+        out.append(bits[:, at : at + width] @ (np.uint64(1) << np.arange(width, dtype=np.uint64)))
+        at += width
+    return np.stack(out, axis=1).view(np.int64)
 
 
-def ball_counts(hist: np.ndarray, most: int) -> np.ndarray:
-    """(most + 1, 2**WIDTH): how many fingerprints lie within t bits of a value."""
+def ball_counts(hist: np.ndarray, most: int, width: int = WIDTH) -> np.ndarray:
+    """(most + 1, 2**WIDTH): about how many fingerprints lie within t bits of a
+    value whose first bits are given; exact if a partition has no more bits."""
     exact = np.zeros((most + 1, hist.size), np.int64)
     exact[0] = hist
     at = np.arange(hist.size)
     for b in range(WIDTH):
         moved = exact[:, at ^ (1 << b)]
         exact[1:] += moved[:-1]
-    return np.cumsum(exact, axis=0)
+    rest = width - WIDTH
+    if not rest:
+        return np.cumsum(exact, axis=0)
+    return np.stack([sum(exact[s] * (_ball(rest, t - s) / 2.0**rest) for s in range(t + 1)) for t in range(most + 1)])
 
 
 def allocate(costs: np.ndarray, total: int) -> np.ndarray:
@@ -164,56 +198,59 @@ def allocate(costs: np.ndarray, total: int) -> np.ndarray:
     return out
 
 
-def _masks(t: int) -> np.ndarray:
-    every = np.arange(1 << WIDTH, dtype=np.int64)
-    return every[np.bitwise_count(every) <= t]
+def _masks(width: int, t: int) -> np.ndarray:
+    return np.array([sum(1 << b for b in c) for k in range(t + 1) for c in combinations(range(width), k)], np.uint64).view(np.int64)
 
 
 _ROWS = pa.schema([("tile", pa.int64()), ("fp", pa.int64()), ("rep", pa.int64()), ("probe", pa.bool_())])
 
 
-def _deal(order: list[int], balls: np.ndarray, distance: int, side: int):
+def _deal(order: list[int], hist: np.ndarray, balls: np.ndarray, distance: int, side: int):
     """Index rows and probe rows of each fingerprint, keyed by tile.
 
-    A value held by h fingerprints has ceil(h / side) index stripes and about
-    as many probe stripes as its probes need; tile = (part, value, stripes).
+    A value whose first bits h fingerprints share has ceil(h / side) index
+    stripes and about as many probe stripes as its probes need; a tile is a
+    hash of (part, value, stripes): if two meet, only more is verified.
     """
-    most = distance + 1
+    most, parts = distance + 1, len(hist)
+    first = np.int64((1 << WIDTH) - 1)
+    prime = [np.int64(x) for x in (0x1E3779B97F4A7C15, 0x3F58476D1CE4E5B9, 0x14D049BB133111EB, 0x2545F4914F6CDD1D)]
 
-    def stripes(i: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return -(-balls[i, 0, v] // side), -(-balls[i, min(2, most - 1), v] // side)
+    def stripes(i: int, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        near = np.ceil(balls[i, min(2, most - 1), v & first]).astype(np.int64)
+        return np.maximum(1, -(-hist[i, v & first] // side)), np.maximum(1, -(-near // side))
 
-    def key(i, v, d, p):
-        return (((i << WIDTH) | v) << 40) | (d << 20) | p
+    def key(i: int, v: np.ndarray, d: np.ndarray, p: np.ndarray) -> np.ndarray:
+        x = (v * prime[0]) ^ (d * prime[1]) ^ (p * prime[2]) ^ np.int64(i + 1) * prime[3]
+        return x ^ (x >> 29)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        masks = [_masks(t) for t in range(most)]
-        extra = np.array([len(m) for m in masks])
+        np.seterr(over="ignore")
+        total = distance - parts + 1
+        masks = [[_masks(w, t) for t in range(min(most, total + parts))] for w in widths(parts)]
         for b in batches:
             fp, rep = b.column(0).to_numpy(), b.column(1).to_numpy()
             own = (fp.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
-            values = part_values(fp, order)
-            costs = np.stack([balls[i][:most, values[:, i]].T + extra for i in range(PARTS)], axis=1).astype(float)
-            take = allocate(costs, distance - PARTS + 1)
+            values = part_values(fp, order, parts)
+            costs = np.stack([balls[i][: len(masks[i]), values[:, i] & first].T + np.array([len(m) for m in masks[i]]) for i in range(parts)], axis=1).astype(float)
+            take = allocate(costs, total)
             out = []
-            for i in range(PARTS):
-                part = np.full(len(fp), i)
-                nd, npr = (np.maximum(1, x) for x in stripes(part, values[:, i]))
+            for i in range(parts):
+                nd, npr = stripes(i, values[:, i])
                 at = np.repeat(np.arange(len(fp)), npr)  # index rows go to every probe stripe
                 step = np.arange(len(at)) - np.repeat(np.cumsum(npr) - npr, npr)
                 out.append((key(i, values[at, i], own[at] % nd[at], step), at, False))
-                for t in range(most):
+                for t, mask in enumerate(masks[i]):
                     who = np.flatnonzero(take[:, i] == t)
-                    if not len(who):
-                        continue
-                    v = (values[who, i][:, None] ^ masks[t]).ravel()
-                    at = np.repeat(who, len(masks[t]))
-                    there = balls[i, 0, v] > 0
-                    v, at = v[there], at[there]
-                    nd, npr = (np.maximum(1, x) for x in stripes(np.full(len(v), i), v))
-                    ex = np.repeat(np.arange(len(at)), nd)  # probes go to every index stripe
-                    step = np.arange(len(ex)) - np.repeat(np.cumsum(nd) - nd, nd)
-                    out.append((key(i, v[ex], step, own[at[ex]] % npr[ex]), at[ex], True))
+                    for some in np.array_split(who, max(1, len(who) * len(mask) // 1_000_000)):
+                        v = (values[some, i][:, None] ^ mask).ravel()
+                        at = np.repeat(some, len(mask))
+                        there = hist[i, v & first] > 0
+                        v, at = v[there], at[there]
+                        nd, npr = stripes(i, v)
+                        ex = np.repeat(np.arange(len(at)), nd)  # probes go to every index stripe
+                        step = np.arange(len(ex)) - np.repeat(np.cumsum(nd) - nd, nd)
+                        out.append((key(i, v[ex], step, own[at[ex]] % npr[ex]), at[ex], True))
             for tile, at, probe in out:
                 for s in range(0, len(at), 200_000):
                     a = at[s : s + 200_000]
@@ -257,27 +294,31 @@ def _verify(distance: int):
     return run
 
 
-def link_fingerprints(reps: DataFrame, distance: int = 4, side: int = 4_096, rows_per_bucket: int = 40_000) -> DataFrame:
+def link_fingerprints(reps: DataFrame, distance: int = 4, side: int = 4_096, rows_per_bucket: int = 40_000, parts: int | None = None) -> DataFrame:
     """(u, v): links whose components are those of all pairs within ``distance``.
 
-    ``reps`` holds distinct (fp, rep).
+    ``reps`` holds distinct (fp, rep).  ``parts`` partitions are made, the best
+    number for that many fingerprints unless given.
     """
     ship(reps.sparkSession)
-    order = bit_order(reps)
+    n = reps.count()
+    parts = parts or choose_parts(n, distance)
+    order = bit_order(reps, parts)
+    first = np.int64((1 << WIDTH) - 1)
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v = part_values(b.column(0).to_numpy(), order) + (np.arange(PARTS) << WIDTH)
+            v = (part_values(b.column(0).to_numpy(), order, parts) & first) + (np.arange(parts) << WIDTH)
             v, n = np.unique(v, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(n.astype(np.int64))], ["v", "n"])
 
-    counted = reps.select("fp").mapInArrow(values, "v long, n long").groupBy("v").agg(F.sum("n").alias("n")).toPandas()  # at most PARTS * 2**WIDTH
-    hist = np.zeros(PARTS << WIDTH, np.int64)
+    counted = reps.select("fp").mapInArrow(values, "v long, n long").groupBy("v").agg(F.sum("n").alias("n")).toPandas()  # at most parts * 2**WIDTH
+    hist = np.zeros(parts << WIDTH, np.int64)
     hist[counted["v"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
-    balls = np.stack([ball_counts(h, distance) for h in hist.reshape(PARTS, -1)])
-    dealt = reps.select("fp", "rep").mapInArrow(trimmed(_deal(order, balls, distance, side)), "tile long, fp long, rep long, probe boolean")
-    distinct = int(hist.sum()) // PARTS
-    buckets = max(1, distinct * (PARTS + 20) // rows_per_bucket)
+    hist = hist.reshape(parts, -1)
+    balls = np.stack([ball_counts(h, distance, w) for h, w in zip(hist, widths(parts))])
+    dealt = reps.select("fp", "rep").mapInArrow(trimmed(_deal(order, hist, balls, distance, side)), "tile long, fp long, rep long, probe boolean")
+    buckets = max(1, n * (parts + 20) // rows_per_bucket)
     dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("tile"), F.lit(buckets)))
     return dealt.groupBy("bucket").applyInArrow(_verify(distance), "u long, v long")
 

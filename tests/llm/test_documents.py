@@ -162,12 +162,22 @@ def test_simhash_links_all_pairs_of_random_and_clustered_fingerprints(spark):
     rows = [(x - (1 << 64) if x >> 63 else x, i) for i, x in enumerate(prints)]
     linked = [(i, j) for i, x in enumerate(prints) for j, y in enumerate(prints[:i]) if (x ^ y).bit_count() <= 4]
     comp = brute_components(range(len(prints)), linked)
-    for side, bucket in ((4096, 40_000), (4, 50)):  # whole buckets, and values cut into tiles
-        links = simhash.link_fingerprints(spark.createDataFrame(rows, "fp long, rep long"), side=side, rows_per_bucket=bucket)
+    # Whole buckets, values cut into tiles, and wider partitions for more fingerprints.
+    for side, bucket, parts in ((4096, 40_000, None), (4, 50, 4), (4, 50, 3), (4096, 40_000, 2)):
+        links = simhash.link_fingerprints(spark.createDataFrame(rows, "fp long, rep long"), side=side, rows_per_bucket=bucket, parts=parts)
         got = brute_components(range(len(prints)), [(r["u"], r["v"]) for r in links.collect()])
         assert got == comp
 
 
+def test_partitions_by_the_number_of_fingerprints():
+    assert [simhash.choose_parts(n, 4) for n in (1_000, 30_000, 1_000_000, 10**10)] == [4, 4, 3, 2]
+    assert [sum(simhash.widths(p)) for p in (1, 2, 3, 4)] == [64] * 4 and simhash.choose_parts(10, 0) == 1
+    hist = np.random.default_rng(0).poisson(0.3, 1 << 16)
+    exact, wide = simhash.ball_counts(hist, 3), simhash.ball_counts(hist, 3, 21)
+    assert exact[0].sum() == hist.sum() and np.isclose(exact[1].sum(), 17 * hist.sum())
+    assert np.isclose(wide[1].sum(), hist.sum() * (1 + 21) / 32)
+
+
 def test_thresholds_by_dynamic_programming():
     rng = np.random.default_rng(0)
     costs = np.cumsum(rng.random((50, 4, 5)) * 10, axis=2)
