@@ -119,7 +119,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
     shares = materialize(source_targets(sizes, weights, share, epochs), "mix-targets")
     s = shares.select(F.col("source").alias("_s"), "position", "source_size", "target")
-    placed = docs.join(s, docs["source"].eqNullSafe(s["_s"]), "left").drop("_s")
+    # A narrow table of its own: it is read several times below.
+    placed = materialize(docs.join(s, docs["source"].eqNullSafe(s["_s"]), "left").drop("_s"), "mix-placed")
     stream = shuffled_stream(placed.filter("size > 0"), seed)
     blocks = stream.withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / block_words), F.floor((F.col("at") + F.col("size") - 1) / block_words))))
     slots = schedule(shares, block_words)
