@@ -56,7 +56,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = pieces.groupBy(F.col("doc_id").alias("_d"), F.col("position").alias("_p"), F.col("size").alias("_z"), "epoch").agg(F.sum("words").alias("_t"), F.min("slot").alias("_slot"))
     same = every.groupBy(F.col("doc_id").alias("_d1"), F.col("position").alias("_p1"), F.col("size").alias("_z1"), F.col("source").alias("_source")).agg(F.count(F.lit(1)).alias("_n"))
     taken = taken.join(same, F.col("_d").eqNullSafe(F.col("_d1")) & (F.col("_p") == F.col("_p1")) & (F.col("_z") == F.col("_z1")))
-    taken = taken.select("_d", "_source", "_z", "_slot", F.ceil(F.col("_t") / F.col("_n")).cast("int").alias("_take"))
+    # Narrow, and read twice: to find the ranges of slots, then to deal texts to them.
+    taken = materialize(taken.select("_d", "_source", "_z", "_slot", F.ceil(F.col("_t") / F.col("_n")).cast("int").alias("_take")), "mix-taken")
     whole = docs.select("doc_id", "text", "source", F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")]).alias("_rest"), mixing.word_count(F.col("text")).alias("_size"))
     on = whole["doc_id"].eqNullSafe(taken["_d"]) & whole["source"].eqNullSafe(taken["_source"]) & (whole["_size"] == taken["_z"])
     met = whole.join(taken, on)
