@@ -5,7 +5,9 @@ Each is built twice from the same rows: as a DataFrame and as DuckDB SQL.
 
 from __future__ import annotations
 
+import random
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -109,6 +111,56 @@ BLOCKS = Fixture(
 )
 SIZES = Fixture("id long, width int, height int", [(1, 1700, 1100), (2, 400, 300), (3, 850, 2200), (4, 1, 5000), (5, 1000, 1000)])
 
+
+
+def _more(fixture: Fixture, seed: int, n: int, make: Callable[[random.Random, int], list[tuple]]) -> None:
+    """Rows made by rule from a seeded generator, beside the literal ones."""
+    rng = random.Random(seed)
+    for i in range(n):
+        fixture.rows += make(rng, 1_000 + i)
+
+
+_WORDS = {"latin": "the cat Été naïve reads 12 books; fast! (or) not? x-y".split(), "hindi": "कखग नमस्ते ab १२ है! क".split(), "kannada": "ಕನ್ನಡ ನಮಸ್ಕಾರ 7 ab ಕ, !!".split()}
+
+
+def _line(rng: random.Random, most: int = 9) -> tuple[str, str]:
+    """(language, text): words of a language, now and then of another."""
+    language = rng.choice(sorted(_WORDS))
+    pool = _WORDS[language] * 3 + _WORDS[rng.choice(sorted(_WORDS))] + ["", "!!!", "w0rld"]
+    return language, " ".join(rng.choice(pool) for _ in range(rng.randrange(most)))
+
+
+def _scripts(rng: random.Random, i: int) -> list[tuple]:
+    language, text = _line(rng)
+    return [(i, rng.choice([text, text, text, None]), rng.randrange(0, 101) / 100, rng.choice([language, language, "latin", "other"]))]
+
+
+def _lines(rng: random.Random, i: int) -> list[tuple]:
+    return [(i, k, rng.choice(["paddle", "tesseract"]), language, text, rng.randrange(0, 101) / 100) for k in range(rng.randrange(1, 5)) for language, text in [_line(rng)]]
+
+
+def _candidates(rng: random.Random, i: int) -> list[tuple]:
+    return [(i, k, rng.choice("abc") * rng.choice([0, 20, 49, 50, 51, 80]), float(rng.randrange(101)), rng.randrange(5) / 4) for k in range(rng.randrange(1, 6))]
+
+
+def _answers(rng: random.Random, i: int) -> list[tuple]:
+    parts = ["text", "[Source 1]", "[source 2]", "[SOURCE  3]", "[Source 12]", "[Source 0]", "[Visual Source 1]", "[Source x]", "[Source 2, Source 3]"]
+    return [(i, " ".join(rng.choice(parts) for _ in range(rng.randrange(6))), rng.randrange(5))]
+
+
+def _cases(rng: random.Random, i: int) -> list[tuple]:
+    terms = ["main objective", "ALPHA", "beta", "real-time", "a_b", "x y", "absent"]
+    answer = " ".join(rng.choice(["the main_objective", "alpha", "Beta", "real-time", "a b", "x\\y", "nothing"]) for _ in range(rng.randrange(1, 6)))
+    return [(f"case {i}", rng.choice(["text", "table", "memory", "visual"]), answer, rng.sample(terms, rng.randrange(1, 5)))]
+
+
+_more(SCRIPTS, 1, 1_000, _scripts)
+_more(LINES, 2, 600, _lines)
+_more(CANDIDATES, 3, 600, _candidates)
+_more(ANSWERS, 4, 1_000, _answers)
+_more(CASES, 5, 500, _cases)
+_more(SIZES, 6, 1_000, lambda rng, i: [(i, rng.randrange(1, 4_000), rng.randrange(1, 4_000))])
+
 # The pack of the subject that the original questions are about.
 DOMAIN_PACK = DomainPack(
     technical=("xgboost", "random forest"),

@@ -116,8 +116,12 @@ def dense_retrieve(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, k:
 
 def semantic_scores(chunks: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """(q_id, chunk_id, semantic): every chunk and question; chunks without a vector score 0."""
+    return in_blocks(queries, lambda block: _semantic_block(chunks, vectors, block))
+
+
+def _semantic_block(chunks: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
     pairs = chunks.select("chunk_id").crossJoin(F.broadcast(queries.select("q_id")))
-    return pairs.join(similarities(vectors, queries), ["q_id", "chunk_id"], "left").select("q_id", "chunk_id", F.coalesce("score", F.lit(0.0)).alias("semantic"))
+    return pairs.join(_products(vectors, queries, None), ["q_id", "chunk_id"], "left").select("q_id", "chunk_id", F.coalesce("score", F.lit(0.0)).alias("semantic"))
 
 
 def postings(chunks: DataFrame) -> DataFrame:
@@ -159,7 +163,7 @@ def minmax(df: DataFrame, column: str, by: str = "q_id") -> DataFrame:
     """``column`` rescaled to [0, 1] within ``by``; all 0 if its range is below 1e-8."""
     ends = df.groupBy(by).agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))
     scaled = F.when(F.col("_hi") - F.col("_lo") < 1e-8, 0.0).otherwise((F.col(column) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))
-    return df.join(F.broadcast(ends), by).withColumn(column, scaled).drop("_lo", "_hi")
+    return df.join(ends, by).withColumn(column, scaled).drop("_lo", "_hi")
 
 
 def hybrid_scores(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, pack: DomainPack = NO_PACK) -> DataFrame:
@@ -168,6 +172,10 @@ def hybrid_scores(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, p
     ``questions`` is (q_id, question, vector).  Intent and objective read the
     raw question, BM25 and keywords the expanded one.  Blank questions go.
     """
+    return in_blocks(questions, lambda block: _scored_block(chunks, vectors, block, pack))
+
+
+def _scored_block(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, pack: DomainPack) -> DataFrame:
     asked = questions.filter(F.trim("question") != "").withColumn("expanded", routing.expand(F.col("question"), pack)).withColumn("intent", routing.intent(F.col("question"), pack))
     lexical = asked.select("q_id", F.col("expanded").alias("question"))
     on = ["q_id", "chunk_id"]

@@ -147,10 +147,10 @@ def test_citations(spark):
 
 
 def test_evaluation(spark):
-    got = {r["name"]: r for r in evaluation.eval_terms(fx.CASES.spark(spark)).collect()}
+    got = {r["name"]: r for r in evaluation.eval_terms(fx.CASES.spark(spark).filter("name NOT LIKE 'case %'")).collect()}
     assert got["a"]["matched"] == ["main objective", "real-time monitoring"] and not got["a"]["passed"]
     assert got["b"]["passed"] and got["e"]["score"] == 0.0
-    total = evaluation.eval_summary(evaluation.eval_terms(fx.CASES.spark(spark))).first()
+    total = evaluation.eval_summary(evaluation.eval_terms(fx.CASES.spark(spark).filter("name NOT LIKE 'case %'"))).first()
     assert (total["total"], total["n_passed"]) == (5, 2)
 
 
