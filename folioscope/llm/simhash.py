@@ -98,11 +98,15 @@ def _ball(width: int, t: int) -> int:
     return sum(comb(width, k) for k in range(t + 1))
 
 
+#: Comparisons that cost as much as shuffling one probe.
+PROBE_COST = 100
+
+
 def choose_parts(n: int, distance: int) -> int:
     """Partitions of least probes and candidates for n evenly spread fingerprints."""
 
     def cost(parts: int) -> float:
-        price = [[0.0, *(_ball(w, t) * (1 + n / 2.0**w) for t in range(distance + 1))] for w in widths(parts)]
+        price = [[0.0, *(_ball(w, t) * (PROBE_COST + n / 2.0**w) for t in range(distance + 1))] for w in widths(parts)]
         best = {0: 0.0}  # thresholds + 1 so far -> least price
         for row in price:
             best = {k: min(best[k - t] + row[t] for t in range(len(row)) if k - t in best) for k in range(max(best) + len(row))}

@@ -170,7 +170,7 @@ def test_simhash_links_all_pairs_of_random_and_clustered_fingerprints(spark):
 
 
 def test_partitions_by_the_number_of_fingerprints():
-    assert [simhash.choose_parts(n, 4) for n in (1_000, 30_000, 1_000_000, 10**10)] == [4, 4, 3, 2]
+    assert [simhash.choose_parts(n, 4) for n in (1_000, 10**6, 10**8, 10**11)] == [4, 4, 3, 2]
     assert [sum(simhash.widths(p)) for p in (1, 2, 3, 4)] == [64] * 4 and simhash.choose_parts(10, 0) == 1
     hist = np.random.default_rng(0).poisson(0.3, 1 << 16)
     exact, wide = simhash.ball_counts(hist, 3), simhash.ball_counts(hist, 3, 21)
