@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from folioscope import fixtures as fx
 from folioscope.functions import lexicons, quality, routing, text
 
 
@@ -78,15 +79,15 @@ def test_valid_candidate(spark, given, confidence, lang, valid):
 
 def test_expansion_follows_the_pack(spark):
     q = "What is the purpose of HAISAS xgboost?"
-    full = one(spark, routing.expand(F.col("t")), t=q)
+    full = one(spark, routing.expand(F.col("t"), fx.DOMAIN_PACK), t=q)
     assert full.startswith(q + " Hybrid AI IoT") and full.endswith("98% 0.94") and " objective purpose aim goal " in full
-    assert one(spark, routing.expand(F.col("t"), lexicons.DomainPack()), t=q) == q
+    assert one(spark, routing.expand(F.col("t")), t=q) == q == one(spark, routing.expand(F.col("t"), lexicons.DomainPack()), t=q)
 
 
 def test_objective_score_reaches_one(spark):
     said = "this paper proposes an integrated framework for monitoring and prediction; purpose, aim, goal, objective, automated control, fish health, aquaponics"
-    assert one(spark, routing.objective_score(F.col("c"), F.col("t")), t=said, c="what is the aim") == pytest.approx(1.0)
-    assert one(spark, routing.objective_score(F.col("c"), F.col("t")), t=said, c="hello") == 0.0
+    assert one(spark, routing.objective_score(F.col("c"), F.col("t"), fx.DOMAIN_PACK), t=said, c="what is the aim") == pytest.approx(1.0)
+    assert one(spark, routing.objective_score(F.col("c"), F.col("t"), fx.DOMAIN_PACK), t=said, c="hello") == 0.0
 
 
 def test_vertical_overlap(spark):
