@@ -47,11 +47,14 @@ class _Best:
 
     def add(self, order: list[np.ndarray], columns: list[np.ndarray]) -> None:
         """``order``: sort keys, least first, the last one first; rows x questions like ``columns``."""
-        rows = [np.array(x) for x in (*order, *columns)]
+        rows = self._first([*order, *columns], len(order))
         if self.held is not None:
-            rows = [np.concatenate(p) for p in zip(self.held, rows)]
-        top = np.lexsort(rows[: len(order)], axis=0)[: self.k]
-        self.held, self.keys = [np.take_along_axis(x, top, axis=0) for x in rows], len(order)
+            rows = self._first([np.concatenate(p) for p in zip(self.held, rows)], len(order))
+        self.held, self.keys = rows, len(order)
+
+    def _first(self, rows: list[np.ndarray], keys: int) -> list[np.ndarray]:
+        top = np.lexsort(rows[:keys], axis=0)[: self.k]
+        return [np.take_along_axis(x, top, axis=0) for x in rows]
 
     def columns(self) -> list[np.ndarray]:
         return self.held[self.keys :]
