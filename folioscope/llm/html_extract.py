@@ -18,10 +18,10 @@ id or role) are set aside; the paths of the others are judged:
 
 Edge cases: a null or empty page has empty text; broken, unclosed and truncated
 markup is read as far as it goes; a page of one path is content; of equal ratios
-all are content; very long texts and pages are read whole, in linear time, and a
-page of many different paths in the square of their number; repeated rows are
-extracted alike; an empty table gives an empty result; columns named text or
-n_chars are replaced.
+all are content; very long texts and pages, also of very many different paths, are
+read whole, in linear time (paths end at 200 elements, texts below them count
+there); repeated rows are extracted alike; an empty table
+gives an empty result; columns named text or n_chars are replaced.
 """
 
 from __future__ import annotations
@@ -51,6 +51,8 @@ HINTS = frozenset(
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 #: A start tag of the key closes an open element of the values.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}, "option": {"option"}}
+#: Elements nested deeper than this keep the path of this depth.
+DEEPEST = 200
 _SCOPE = frozenset("ul ol dl table div section article main body".split())
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -202,7 +204,7 @@ def blocks(html: str) -> list[Block]:
             at = n if not end else _tag_end(html, end.end() - 1)
             continue
         if not part.endswith("/") or name not in ("p",):
-            stack.append((name, f"{path}/{label}", dropped, marked or name in ARTICLE or attributes.get("role", "").lower() in ARTICLE))
+            stack.append((name, f"{path}/{label}" if len(stack) < DEEPEST else path, dropped, marked or name in ARTICLE or attributes.get("role", "").lower() in ARTICLE))
     flush()
     return out
 
@@ -226,28 +228,47 @@ def path_ratios(found: list[Block]) -> dict[str, tuple[float, int]]:
     return {p: (fused(p), n[p]) for p in n}
 
 
-def path_distance(a: list[str], b: list[str]) -> int:
-    """Elements to remove from the end of one path and to add for the other."""
-    same = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-    return len(a) + len(b) - 2 * same
-
-
 def smoothed(ratios: dict[str, tuple[float, int]]) -> dict[str, float]:
-    """Each path's ratio as the weighted mean over the page's paths."""
-    split = {p: p.split("/") for p in ratios}
+    """Each path's ratio as the mean over the page's paths, weighted by their
+    blocks and a Gaussian of the distance between the paths.
+
+    The distance is up to a common ancestor and down again; sums over what lies
+    v elements below an ancestor make this linear in the number of paths.
+    """
+    reach = int(6 * SIGMA)
+    gauss = [math.exp(-d * d / (2 * SIGMA * SIGMA)) for d in range(reach + 1)]
+    below: dict[tuple[str, int], list[float]] = defaultdict(lambda: [0.0, 0.0])
+    for path, (ratio, n) in ratios.items():
+        for depth, node in enumerate(_ancestors(path, reach)):
+            held = below[node, depth]
+            held[0] += n
+            held[1] += n * ratio
     out = {}
-    for p in ratios:
-        total = weight = 0.0
-        for q, (ratio, n) in ratios.items():
-            d = path_distance(split[p], split[q])
-            if d <= 6 * SIGMA:
-                w = n * math.exp(-d * d / (2 * SIGMA * SIGMA))
-                total += w * ratio
-                weight += w
-        out[p] = total / weight
+    for path in ratios:
+        weight = total = 0.0
+        child = None
+        for up, node in enumerate(_ancestors(path, reach)):
+            for down in range(reach - up + 1):
+                n, sums = below.get((node, down), (0.0, 0.0))
+                if child is not None and down:  # what lies below the child came nearer
+                    less = below.get((child, down - 1), (0.0, 0.0))
+                    n, sums = n - less[0], sums - less[1]
+                weight += gauss[up + down] * n
+                total += gauss[up + down] * sums
+            child = node
+        out[path] = total / weight
     return out
 
 
+def _ancestors(path: str, reach: int) -> Iterator[str]:
+    """The path itself, then what is left without its last 1, 2, ... elements."""
+    for _ in range(reach + 1):
+        yield path
+        if not path:
+            return
+        path = path.rpartition("/")[0]
+
+
 def content_paths(found: list[Block]) -> set[tuple[str, bool]]:
     """The (path, marked) of blocks that are content."""
     ratio = smoothed(path_ratios(found))

@@ -120,6 +120,26 @@ def test_extract_is_decided_by_ratios(monkeypatch):
     assert html_extract.extract(plain) == "one\ntwo"
 
 
+def test_smoothing_equals_all_pairs():
+    rng = random.Random(7)
+    for _ in range(30):
+        paths = {"/" + "/".join(rng.choice("abc") for _ in range(rng.randrange(1, 9))) if rng.random() < 0.95 else "" for _ in range(25)}
+        ratios = {p: (rng.random() * 9, rng.randrange(1, 9)) for p in sorted(paths)}
+        got = html_extract.smoothed(ratios)
+        for p in ratios:
+            near = []
+            for q, (r, n) in ratios.items():
+                x, y = p.split("/"), q.split("/")
+                same = next((i for i, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y)))
+                d = len(x) + len(y) - 2 * same
+                near.append((n * math.exp(-d * d / 2) * (d <= 6), r))
+            assert got[p] == pytest.approx(sum(w * r for w, r in near) / sum(w for w, _ in near))
+    many = "".join(f"<div class=c{i}><p>Some text, number {i}.</p></div>" for i in range(30_000))
+    assert html_extract.extract(many).count("\n") == 29_999
+    deep = "<div>" * 100_000 + "<p>A deep text, whole.</p>" + "</div>" * 100_000
+    assert html_extract.extract(deep) == "A deep text, whole."
+
+
 def test_extract_of_very_long_texts():
     html = "<article><h1>T</h1>" + "<p>" + "word, " * 300_000 + "</p>" + "<p>x.</p>" * 20_000 + "</article>"
     text = html_extract.extract(html)
