@@ -53,11 +53,16 @@ def score_lines(lines: DataFrame) -> DataFrame:
 
 
 def select_lines(candidates: DataFrame) -> DataFrame:
-    """Per line the best valid candidate; below the floor its text is withheld but its scores are kept."""
+    """Per line the best valid candidate; below the floor its text is withheld but its scores are kept.
+
+    ``candidates`` lists all valid ones in their order, for audits.
+    """
     df = score_lines(candidates).filter("valid")
-    rows = df.groupBy("line_id").agg(F.max_by(F.struct("engine", "language", "text", "confidence", "quality", "purity", "script"), F.struct("quality", -F.col("ord"))).alias("b"), F.count(F.lit(1)).alias("n_candidates"))
+    fields = ("engine", "language", "text", "confidence", "quality", "purity", "script")
+    log = F.transform(F.sort_array(F.collect_list(F.struct("ord", *fields))), lambda x: F.struct(*[x[c].alias(c) for c in fields]))
+    rows = df.groupBy("line_id").agg(log.alias("candidates"), F.max_by(F.struct("engine", "language", "text", "confidence", "quality", "purity", "script"), F.struct("quality", -F.col("ord"))).alias("b"), F.count(F.lit(1)).alias("n_candidates"))
     low = F.col("b.quality") < UNCERTAIN
-    return rows.select("line_id", F.when(low, "uncertain").otherwise(F.col("b.engine")).alias("engine"), "b.language", F.when(low, "").otherwise(F.col("b.text")).alias("text"), "b.confidence", "b.quality", "b.purity", "b.script", "n_candidates")
+    return rows.select("line_id", F.when(low, "uncertain").otherwise(F.col("b.engine")).alias("engine"), "b.language", F.when(low, "").otherwise(F.col("b.text")).alias("text"), "b.confidence", "b.quality", "b.purity", "b.script", "n_candidates", "candidates")
 
 
 def clean_boxes(pages: DataFrame) -> DataFrame:

@@ -273,6 +273,12 @@ def line_select(spark, d):
     return ocr.select_lines(fx.LINES.spark(spark)).select("line_id", "engine", "text", "confidence", F.round("quality", 6).alias("quality"), "n_candidates")
 
 
+@query(f"SELECT line_id, CAST(row_number() OVER (PARTITION BY line_id ORDER BY ord) - 1 AS INTEGER) AS place, engine, language, text, confidence, round({_LINE_QUALITY}, 6) AS quality FROM {_LINES} WHERE {_VALID}")
+def line_audit(spark, d):
+    rows = ocr.select_lines(fx.LINES.spark(spark)).select("line_id", F.posexplode("candidates").alias("place", "c"))
+    return rows.select("line_id", "place", *[F.col(f"c.{x}").alias(x) for x in ("engine", "language", "text", "confidence")], F.round("c.quality", 6).alias("quality"))
+
+
 @query(
     f"""SELECT line_id % 2 AS page, count(*) AS n_lines, count(*) FILTER (q >= 0.42) AS n_accepted, count(*) FILTER (q < 0.42) AS n_uncertain, count(*) FILTER (q >= 0.42 AND engine = 'tesseract') AS n_tesseract,
     round(coalesce(avg(confidence) FILTER (q >= 0.42), 0), 6) AS mean_confidence, round(coalesce(avg(q) FILTER (q >= 0.42), 0), 6) AS mean_quality FROM {_LINE_BEST} GROUP BY 1"""
