@@ -204,10 +204,12 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, turns: int = 1) ->
     ids = reps.select("rep", "fp")
     close = close.join(ids.select(F.col("rep").alias("u"), F.col("fp").alias("a")), "u").join(ids.select(F.col("rep").alias("v"), F.col("fp").alias("b")), "v")
     links = _verified(close.select("a", "b", "u", "v"), reps, docs, shingle)
-    # Keys that several sets share: one shuffle of a few numbers a key.
-    # ``common``: which part of its prefix a document shares with others.
+    # Keys that several sets share.  Counts are a table of their own, so that a
+    # key of any share of the sets can be split.  ``common``: which part of its
+    # prefix a document shares with others.
     keys = reps.select("fp", "rep", "n", F.size("keys").alias("_size"), F.posexplode("keys").alias("pos", "key"))
-    met = keys.withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("many > 1")
+    many = materialize(keys.groupBy(F.col("key").alias("_k")).agg(F.count(F.lit(1)).alias("many")).filter("many > 1"), "many_keys")
+    met = keys.join(many, keys["key"] == many["_k"]).drop("_k")
     met = met.withColumn("common", F.count(F.lit(1)).over(Window.partitionBy("fp")) / F.col("_size"))
     shared = materialize(met.select("key", "many", "fp", "rep", "n", "pos", "common"), "shared_keys")
     for _ in range(turns):
@@ -232,5 +234,5 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, turns: int = 1) ->
     known = reps.join(parts, reps["rep"] == parts["node"], "left").select(F.col("fp").alias("_f"), F.coalesce("component", "rep").alias("component_id"))
     out = prints.join(known, prints["fp"] == known["_f"], "left")
     out = materialize(out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")), "components")
-    release(prints, reps, shared, placed)
+    release(prints, reps, shared, placed, many)
     return out
