@@ -11,8 +11,9 @@ The links come in three steps, each verified by the exact Jaccard of whole texts
    compared with the best star of its keys that is not in its component yet,
    which joins most of what the fingerprints left apart (Jaccard 0.8 is some 10
    bits), at one pair a document.
-3. *The rest.*  Of keys whose documents are still in several components, all
-   pairs across components are compared, each at the first key it shares.
+3. *The rest.*  Of keys whose documents are still in several components, those
+   outside the largest are compared with all documents of other components,
+   each pair at the first key it shares.
 
 So fingerprints and stars decide work and never results.  Pairs are ruled out
 unread if their sizes, or the places of the shared key in both prefixes, do not
@@ -173,6 +174,27 @@ def _first_keys(shared: DataFrame, most: int = 64) -> DataFrame:
     return shared.join(own, shared["fp"] == own["_f"]).drop("_f")
 
 
+def _across(placed: DataFrame) -> DataFrame:
+    """(a, b, u, v): the pairs of a key's documents that are in different components.
+
+    Documents outside the key's largest component meet all others; those inside
+    it need not meet each other, so what a crowded key costs is how many are
+    left over times how many there are.  The latter are dealt into stripes.
+    """
+    parts = placed.groupBy(F.col("key").alias("_k"), F.col("c").alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
+    largest = parts.groupBy("_k").agg(F.max(F.struct("_n", "_c")).alias("_m")).select("_k", F.col("_m._c").alias("_major"))
+    marked = placed.join(largest, placed["key"] == largest["_k"]).withColumn("_over", F.col("c") != F.col("_major")).drop("_k", "_major")
+    marked = materialize(marked, "marked_keys")
+    stripes = F.ceil(F.col("many") / STRIPE).cast("int")
+    side = lambda fp, rep, x: [F.col("fp").alias(fp), F.col("rep").alias(rep), *[F.col(c).alias(f"_{c}{x}") for c in ("n", "pos", "c", "keys")]]
+    left = marked.filter("_over").select("key", F.explode(F.sequence(F.lit(0), stripes - 1)).alias("stripe"), *side("a", "u", "a"))
+    right = marked.select("key", F.pmod(F.xxhash64("fp"), stripes).cast("int").alias("stripe"), *side("b", "v", "b"), "_over")
+    once = ~F.col("_over") | (F.col("a") < F.col("b"))
+    apart = (F.col("_ca") != F.col("_cb")) & _fit(F.col("_na"), F.col("_posa"), F.col("_nb"), F.col("_posb"))
+    first = F.coalesce(F.element_at(F.array_intersect("_keysa", "_keysb"), 1) == left["key"], F.lit(True))
+    return left.join(right, (left["key"] == right["key"]) & (left["stripe"] == right["stripe"]) & once & apart & first).select("a", "b", "u", "v")
+
+
 def near_components(docs: DataFrame, shingle: int = SHINGLE, turns: int = 1) -> DataFrame:
     """(doc_id, component_id) for every row of ``docs`` (doc_id, text)."""
     ship(docs.sparkSession)
@@ -218,14 +240,7 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, turns: int = 1) ->
         release(shared)
         shared = left.drop("c")
     placed = materialize(_first_keys(_mixed(shared, connected_components(links))), "mixed_keys")
-    stripes = F.ceil(F.col("many") / STRIPE).cast("int")
-    side = lambda fp, rep, x: [F.col("fp").alias(fp), F.col("rep").alias(rep), *[F.col(c).alias(f"_{c}{x}") for c in ("n", "pos", "c", "keys")]]
-    left = placed.select("key", F.pmod(F.xxhash64("fp"), stripes).cast("int").alias("stripe"), *side("a", "u", "a"))
-    right = placed.select("key", F.explode(F.sequence(F.lit(0), stripes - 1)).alias("stripe"), *side("b", "v", "b"))
-    on = (left["key"] == right["key"]) & (left["stripe"] == right["stripe"]) & (F.col("a") < F.col("b")) & (F.col("_ca") != F.col("_cb")) & _fit(F.col("_na"), F.col("_posa"), F.col("_nb"), F.col("_posb"))
-    first = F.coalesce(F.element_at(F.array_intersect("_keysa", "_keysb"), 1) == left["key"], F.lit(True))
-    on = on & first
-    pairs = left.join(right, on).select("a", "b", "u", "v").distinct()
+    pairs = _across(placed).distinct()
     links = links.unionByName(_verified(pairs, reps, docs, shingle))
     # Documents that repeat an id with other texts tie their sets together.
     again = prints.dropna().groupBy("doc_id").agg(F.min("fp").alias("_a"), F.max("fp").alias("_b")).filter("_a <> _b").select("doc_id")
