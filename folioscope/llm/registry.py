@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, hamming_search, html_extract, mixing, packing, simhash, substring_dedup, toxicity, url_filter, warc
+from . import context_hash, embedding_dedup, filter_audit, hamming_search, html_extract, mixing, packing, simhash, substring_dedup, toxicity, url_filter, warc
 from .common import table
 
 
@@ -66,7 +66,17 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.link_embeddings(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_html_text, op3_substring_dedup, op4_toxicity, op5_warc, op6_url_filter, op7_hamming_top_k, op8_source_mix, op9_simhash_dedup, op10_embedding_dedup)}
+def op11_context_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and how alike they and the next one's are."""
+    return context_hash.edited_neighbours(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters in all 120 orders over every document, by language."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_html_text, op3_substring_dedup, op4_toxicity, op5_warc, op6_url_filter, op7_hamming_top_k, op8_source_mix, op9_simhash_dedup, op10_embedding_dedup, op11_context_hash, op12_filter_audit)}
 
 ORACLES = {
     "op3_substring_dedup": r"""
@@ -127,4 +137,39 @@ ORACLES = {
         SELECT e.vec_id, coalesce(n.n, 0) AS n_links, least.c AS component_id, e.vec_id = least.c AS kept
         FROM embeddings e JOIN least ON least.x = e.vec_id LEFT JOIN n ON n.x = e.vec_id
     """,
+    "op12_filter_audit": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+                   min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first,
+                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ), fails AS (
+            SELECT doc_id, part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+                   100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > first, false)] AS f
+            FROM d
+        ), marked AS (
+            SELECT part, f, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) AS good,
+                   doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL) AS toxic
+            FROM fails
+        ), groups AS (
+            SELECT part, f, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM marked GROUP BY part, f
+        ), k AS (SELECT unnest([1, 2, 3, 4, 5]) AS k), orders AS (
+            SELECT [a.k, b.k, c.k, d.k, e.k] AS o FROM k a, k b, k c, k d, k e
+            WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5
+        ), steps AS (SELECT o, CAST(unnest(range(1, 6)) AS INTEGER) AS step FROM orders), met AS (
+            SELECT part, o, step, o[step] AS own, n, g, x, f[o[step]] AS fail,
+                   len(list_filter(o[1:step - 1], lambda j: f[j])) > 0 AS gone,
+                   len(list_filter(f, lambda b: b)) = 1 AS once
+            FROM steps, groups
+        ), counted AS (
+            SELECT part, o, step, own, coalesce(sum(n) FILTER (NOT fail AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (fail AND NOT gone), 0) AS removed,
+                   coalesce(sum(n) FILTER (fail AND gone), 0) AS redundant, coalesce(sum(n) FILTER (fail AND once), 0) AS unique_fails,
+                   coalesce(sum(g) FILTER (fail AND NOT gone), 0) AS good_lost, coalesce(sum(x) FILTER (fail AND NOT gone), 0) AS toxic_lost
+            FROM met GROUP BY part, o, step, own
+        )
+        SELECT part, array_to_string(list_transform(o, lambda j: 'ABCDE'[j]), '') AS filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+               CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+               CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+        FROM counted
+    """,
 }
