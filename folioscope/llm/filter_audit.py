@@ -184,8 +184,8 @@ def steps(counts: DataFrame) -> DataFrame:
             own.append(bit[f])
             before.append(done)
             done |= bit[f]
-    literal = lambda x: F.array(*map(F.lit, x))
-    at = lambda x: F.element_at(literal(x), F.col("i") + 1)
+    literal = lambda x, kind="int": F.split(F.lit(",".join(map(str, x))), ",").cast(f"array<{kind}>")  # noqa: E731  folded to one constant
+    at = lambda x, kind="int": F.element_at(literal(x, kind), F.col("i") + 1)
     left = lambda subset, kind=0: F.element_at("counts", (subset * KINDS + kind + 1).cast("int"))
 
     def shapley(f: str) -> Column:
@@ -199,7 +199,7 @@ def steps(counts: DataFrame) -> DataFrame:
 
     rows = counts.withColumn("_shapley", F.array(*map(shapley, FILTERS)))
     rows = rows.select("part", "counts", "_shapley", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))).alias("i"))
-    rows = rows.select("part", "counts", "_shapley", at(names).alias("filter_order"), at(numbers).cast("int").alias("step"), at(own).alias("f"), at(before).alias("s"))
+    rows = rows.select("part", "counts", "_shapley", at(names, "string").alias("filter_order"), at(numbers).alias("step"), at(own).alias("f"), at(before).alias("s"))
     after, alone, rest = F.col("s") + F.col("f"), F.col("f"), F.lit(every) - F.col("f")
     removed = left(F.col("s")) - left(after)
     return rows.select(
