@@ -20,6 +20,7 @@ def test_entry_without_the_subpackage(tmp_path):
 
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
     shutil.copytree(ROOT / "folioscope", tmp_path / "folioscope", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copytree(ROOT / "jobs", tmp_path / "jobs", ignore=shutil.ignore_patterns("__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not [x for x in q if x.startswith('op') and x[2].isdigit()] and 'pipeline' not in q; e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin"})
 
@@ -30,6 +31,7 @@ def test_entry_shows_other_missing_modules(tmp_path):
 
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
     shutil.copytree(ROOT / "folioscope", tmp_path / "folioscope", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copytree(ROOT / "jobs", tmp_path / "jobs", ignore=shutil.ignore_patterns("__pycache__"))
     (tmp_path / "corpus_pipeline.py").write_text("import no_such_module_anywhere\n")
     found = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, env={"PATH": "/usr/bin:/bin"}, capture_output=True, text=True)
     assert found.returncode and "no_such_module_anywhere" in found.stderr
