@@ -74,10 +74,14 @@ def region_adjustment(region: Column, wanted: Column) -> Column:
     return out.otherwise(0.0)
 
 
-def objective_score(question: Column, text: Column, pack: lex.DomainPack = lex.NO_PACK) -> Column:
+def objective_of(text: Column, pack: lex.DomainPack = lex.NO_PACK) -> Column:
+    """How much a text speaks of its purpose."""
     t = F.lower(F.coalesce(text, F.lit("")))
     terms = lex.OBJECTIVE_TERMS + pack.objective_terms
     hits = F.size(F.filter(F.array(*map(F.lit, terms)), lambda p: F.contains(t, p)))
     every = F.forall(F.array(*map(F.lit, lex.OBJECTIVE_TRIPLE)), lambda p: F.contains(t, p))
-    score = hits * 0.05 + F.when(contains_any(t, lex.OBJECTIVE_PHRASES), 0.25).otherwise(0.0) + F.when(every, 0.20).otherwise(0.0)
-    return F.when(is_objective(question), score).otherwise(0.0)
+    return hits * 0.05 + F.when(contains_any(t, lex.OBJECTIVE_PHRASES), 0.25).otherwise(0.0) + F.when(every, 0.20).otherwise(0.0)
+
+
+def objective_score(question: Column, text: Column, pack: lex.DomainPack = lex.NO_PACK) -> Column:
+    return F.when(is_objective(question), objective_of(text, pack)).otherwise(0.0)

@@ -3,14 +3,13 @@
 Chunks are (chunk_id, text, region, ...), questions (q_id, question), vectors
 (chunk_id, vector).  Questions travel to the chunks in blocks of at most about
 ``MOST_QUESTIONS``, however many there are, so no score needs a shuffle of chunk
-texts or vectors; each task passes on its best chunks of every question alone.
-Chunk-side statistics of BM25 are aggregated in the cluster.
+texts; each task passes on its best chunks of every question alone.  Lexical
+scores read the postings of a stored index (:mod:`.inverted`).
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -21,12 +20,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import routing
-from ..functions.lexicons import NO_PACK, OBJECTIVE_PHRASES, OBJECTIVE_TERMS, OBJECTIVE_TRIPLE, REGION_ADJUSTMENT, DomainPack
+from ..functions.lexicons import NO_PACK, REGION_ADJUSTMENT, DomainPack
 from ..functions.text import TOKEN, tokens
+from ..sources.store import new_folder
+from .inverted import K1, B, InvertedIndex
 
 MOST_QUESTIONS = 1_000
 SEMANTIC, LEXICAL, KEYWORD = 0.55, 0.30, 0.15
-K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
 def in_blocks(questions: DataFrame, rank: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -61,7 +61,7 @@ class _Best:
 
 
 #: Rows scored at a time: rows x questions numbers are held.
-ROWS_AT_ONCE = 256
+ROWS_AT_ONCE = 512
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -132,34 +132,30 @@ def postings(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", F.explode_outer(tokens(F.col("text"))).alias("term")).filter("term IS NOT NULL").groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(chunks: DataFrame, questions: DataFrame) -> DataFrame:
+def indexed(chunks: DataFrame, index: InvertedIndex | None) -> InvertedIndex:
+    """``index``, or one that is built for this call in the shared folder."""
+    return index or InvertedIndex.build(chunks, new_folder(chunks.sparkSession, "postings"))
+
+
+def bm25(chunks: DataFrame, questions: DataFrame, index: InvertedIndex | None = None) -> DataFrame:
     """(q_id, chunk_id, bm25) for pairs that share a term: Okapi with k1 1.5, b 0.75.
 
     Terms in over half of the chunks get epsilon times the mean idf of the
-    vocabulary; repeated query tokens count each time.  The asked terms and
-    their weights travel to the chunks, so only matches are shuffled.
+    vocabulary; repeated query tokens count each time.  Scores are read from the
+    postings of ``index``; the asked terms and their weights travel to them.
     """
-    return in_blocks(questions, lambda block: _bm25(chunks, block))
+    return in_blocks(questions, indexed(chunks, index).bm25)
 
 
-def _bm25(chunks: DataFrame, questions: DataFrame) -> DataFrame:
-    asked = questions.select("q_id", F.explode(tokens(F.col("question"))).alias("term")).groupBy("q_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    n, avglen, weights = _statistics(chunks, asked.select("term").distinct())
-    idf = chunks.sparkSession.createDataFrame(sorted(weights.items()), "term string, idf double")
-    asked = asked.join(F.broadcast(idf), "term")  # terms of a block of questions: bounded
-    # A chunk's own counts first: an aggregation that needs no exchange of texts.
-    held = chunks.select("chunk_id", tokens(F.col("text")).alias("t")).select("chunk_id", F.size("t").alias("len"), F.explode("t").alias("term"))
-    met = held.join(F.broadcast(idf.select("term")), "term", "left_semi").groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(avglen or 1.0)))
-    return met.join(F.broadcast(asked), "term").groupBy("q_id", "chunk_id").agg(F.sum(part).alias("bm25"))
+def bm25_top(chunks: DataFrame, questions: DataFrame, k: int = 10, index: InvertedIndex | None = None) -> DataFrame:
+    """(q_id, rank, chunk_id, bm25): the k best by BM25; ranges of chunks that cannot hold one are not scored."""
+    found = indexed(chunks, index)
+    return in_blocks(questions, lambda block: found.best(block, k))
 
 
-def keyword_overlap(chunks: DataFrame, questions: DataFrame) -> DataFrame:
+def keyword_overlap(chunks: DataFrame, questions: DataFrame, index: InvertedIndex | None = None) -> DataFrame:
     """(q_id, chunk_id, keyword) for pairs with a common token: share of the question's distinct tokens."""
-    q = questions.select("q_id", F.array_distinct(tokens(F.col("question"))).alias("_t")).withColumn("_n", F.size("_t"))
-    asked = q.select("q_id", "_n", F.explode("_t").alias("term"))
-    have = chunks.select("chunk_id", F.explode_outer(F.array_distinct(tokens(F.col("text")))).alias("term")).filter("term IS NOT NULL")
-    return have.join(asked, "term").groupBy("q_id", "chunk_id").agg((F.count(F.lit(1)) / F.first("_n")).alias("keyword"))
+    return in_blocks(questions, indexed(chunks, index).keyword)
 
 
 def minmax(df: DataFrame, column: str, by: str = "q_id") -> DataFrame:
@@ -169,20 +165,21 @@ def minmax(df: DataFrame, column: str, by: str = "q_id") -> DataFrame:
     return df.join(ends, by).withColumn(column, scaled).drop("_lo", "_hi")
 
 
-def hybrid_scores(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, pack: DomainPack = NO_PACK) -> DataFrame:
+def hybrid_scores(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, pack: DomainPack = NO_PACK, index: InvertedIndex | None = None) -> DataFrame:
     """All seven scores and the intent of every question and chunk.
 
     ``questions`` is (q_id, question, vector).  Intent and objective read the
     raw question, BM25 and keywords the expanded one.  Blank questions go.
     """
-    return in_blocks(questions, lambda block: _scored_block(chunks, vectors, block, pack))
+    found = indexed(chunks, index)
+    return in_blocks(questions, lambda block: _scored_block(chunks, vectors, block, pack, found))
 
 
-def _scored_block(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, pack: DomainPack) -> DataFrame:
+def _scored_block(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, pack: DomainPack, index: InvertedIndex) -> DataFrame:
     asked = questions.filter(F.trim("question") != "").withColumn("expanded", routing.expand(F.col("question"), pack)).withColumn("intent", routing.intent(F.col("question"), pack))
     lexical = asked.select("q_id", F.col("expanded").alias("question"))
     on = ["q_id", "chunk_id"]
-    df = semantic_scores(chunks, vectors, asked).join(bm25(chunks, lexical), on, "left").join(keyword_overlap(chunks, lexical), on, "left")
+    df = semantic_scores(chunks, vectors, asked).join(index.bm25(lexical), on, "left").join(index.keyword(lexical), on, "left")
     df = df.select(*on, "semantic", F.coalesce("bm25", F.lit(0.0)).alias("bm25"), F.coalesce("keyword", F.lit(0.0)).alias("keyword"))
     ends = df.groupBy("q_id").agg(*[f(c).alias(f"{n}_{c}") for c in ("semantic", "bm25", "keyword") for n, f in (("lo", F.min), ("hi", F.max))])
     df = df.join(F.broadcast(ends), "q_id")
@@ -196,32 +193,14 @@ def _scored_block(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, p
     return df.withColumn("final_score", F.col("hybrid_score") + F.col("region_adjustment") + F.col("objective_score"))
 
 
-def _statistics(chunks: DataFrame, terms: DataFrame) -> tuple[int, float, dict[str, float]]:
-    """Chunks, mean length in tokens, and the BM25 weight of each of ``terms`` (a bounded table).
-
-    One pass counts document frequencies of the whole vocabulary; only those
-    of the asked terms, and one mean, reach the driver.
-    """
-    toks = chunks.select(tokens(F.col("text")).alias("t"))
-    n, avglen = toks.agg(F.count(F.lit(1)), F.avg(F.size("t"))).first()
-    df = toks.select(F.explode_outer(F.array_distinct("t")).alias("term")).filter("term IS NOT NULL").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.select("term", (F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
-    asked = F.broadcast(terms.withColumn("_asked", F.lit(True)))
-    rows = idf.join(asked, "term", "left").groupBy(F.when(F.col("_asked"), F.col("term")).alias("term")).agg(F.sum("idf").alias("total"), F.count(F.lit(1)).alias("n")).collect()
-    size = sum(r["n"] for r in rows)
-    mean = sum(r["total"] for r in rows) / size if size else 0.0
-    return n, avglen or 0.0, {r["term"]: r["total"] if r["total"] >= 0 else EPSILON * mean for r in rows if r["term"] is not None}
-
-
 class _Batch:
-    """The questions of a batch as matrices, and all scores of some chunks for them."""
+    """The questions of a block as matrices, and all scores of some chunks for them."""
 
-    def __init__(self, asked: list, weights: dict[str, float], avglen: float, pack: DomainPack):
+    def __init__(self, asked: list, weights: dict[str, float], mean_length: float):
         self.ids = np.array([r["q_id"] for r in asked], np.int64)
         self.vectors = np.array([r["vector"] for r in asked], np.float64)
         self.intent = [r["intent"] for r in asked]
         self.objective = np.array([float(r["objective"]) for r in asked])
-        self.terms = (*OBJECTIVE_TERMS, *pack.objective_terms)
         lists = [re.findall(TOKEN, r["expanded"].lower()) for r in asked]
         self.number = {t: i for i, t in enumerate(sorted({t for x in lists for t in x}))}
         self.idf, self.has = np.zeros((len(self.number), len(asked))), np.zeros((len(self.number), len(asked)))
@@ -230,90 +209,101 @@ class _Batch:
                 self.idf[self.number[t], q] += weights.get(t, 0.0)
                 self.has[self.number[t], q] = 1
         self.has /= np.maximum(1, self.has.sum(axis=0))
-        self.avglen = avglen
+        self.mean_length = mean_length
+
+    def signals(self, vectors: pa.ListArray, row: np.ndarray, term: np.ndarray, tf: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Semantic, BM25 and keyword scores before scaling: chunks by questions.
 
-    def signals(self, texts: list[str | None], vectors: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Semantic, BM25 and keyword scores before scaling: chunks by questions."""
-        n = len(texts)
+        Posting i says that ``row[i]`` holds ``term[i]`` ``tf[i]`` times.
+        """
+        n = len(vectors)
         semantic = np.zeros((n, len(self.ids)))
-        if there := [i for i, v in enumerate(vectors) if v is not None]:
-            semantic[there] = np.array([vectors[i] for i in there], np.float64) @ self.vectors.T
-        tf, seen = np.zeros((n, len(self.number))), np.zeros((n, len(self.number)))
-        for i, t in enumerate(texts):
-            x = re.findall(TOKEN, (t or "").lower())
-            for term, k in Counter(x).items():
-                if (j := self.number.get(term)) is not None:
-                    tf[i, j] = k * (K1 + 1) / (k + K1 * (1 - B + B * len(x) / self.avglen))
-                    seen[i, j] = 1
-        return semantic, tf @ self.idf, seen @ self.has
-
-    def objective_of(self, text: str | None) -> float:
-        t = (text or "").lower()
-        return 0.05 * sum(x in t for x in self.terms) + 0.25 * any(x in t for x in OBJECTIVE_PHRASES) + 0.20 * all(x in t for x in OBJECTIVE_TRIPLE)
-
-
-def hybrid_search(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, k: int = 5, pack: DomainPack = NO_PACK) -> DataFrame:
+        there = np.flatnonzero(vectors.is_valid().to_numpy(zero_copy_only=False))
+        if len(there):
+            flat = vectors.drop_null().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            semantic[there] = flat.reshape(len(there), -1) @ self.vectors.T
+        factor, seen = np.zeros((n, len(self.number))), np.zeros((n, len(self.number)))
+        factor[row, term] = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / self.mean_length))
+        seen[row, term] = 1
+        return semantic, factor @ self.idf, seen @ self.has
+
+
+def hybrid_search(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, k: int = 5, pack: DomainPack = NO_PACK, index: InvertedIndex | None = None) -> DataFrame:
     """The k best chunks of every question; ties go to the later chunk.
 
-    The same scores as ``hybrid_scores`` without its pairs: the questions travel
-    to the chunks in blocks, a first pass finds each signal's range, a second
-    scales and adds up, and every task keeps the k best per question as it goes
-    and passes those on.  Final scores are compared at nine decimals, so the
-    order does not hang on the order in which floating-point sums were made.
+    The same scores as ``hybrid_scores`` without its pairs: postings of asked terms
+    meet the vectors of neighbouring chunks, a first pass finds each signal's range of
+    values, a second scales and adds up, and passes on the k best of these chunks.  No text is read but for the phrases that objective questions look
+    for.  Final scores are compared at nine decimals, so the order does not hang on
+    the order in which floating-point sums were made.
     """
-    return in_blocks(questions, lambda block: _hybrid_block(chunks, vectors, block, k, pack))
+    found = indexed(chunks, index)
+    return in_blocks(questions, lambda block: _hybrid_block(chunks, vectors, block, k, pack, found))
 
 
-def _hybrid_block(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, k: int, pack: DomainPack) -> DataFrame:
+def _hybrid_block(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, k: int, pack: DomainPack, index: InvertedIndex) -> DataFrame:
     asked = questions.filter(F.trim("question") != "").withColumn("expanded", routing.expand(F.col("question"), pack))
     asked = asked.select("q_id", "vector", "expanded", routing.intent(F.col("question"), pack).alias("intent"), routing.is_objective(F.col("question")).alias("objective")).orderBy("q_id").collect()
     spark = chunks.sparkSession
     scores = ("semantic_score", "bm25_score", "keyword_score", "hybrid_score", "region_adjustment", "objective_score", "final_score")
-    terms = sorted({t for r in asked for t in re.findall(TOKEN, r["expanded"].lower())})
-    n, avglen, weights = _statistics(chunks, spark.createDataFrame([(t,) for t in terms], "term string"))
-    batch = _Batch(asked, weights, avglen or 1.0, pack) if asked else None
-    joined = chunks.select("chunk_id", "region", "text").join(vectors.select("chunk_id", "vector"), "chunk_id", "left")
-
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for b in batches:
-            for at in range(0, b.num_rows, ROWS_AT_ONCE):
-                p = b.slice(at, ROWS_AT_ONCE)
-                texts = p.column(2).to_pylist()
-                yield p, texts, batch.signals(texts, p.column(3).to_pylist())
-
-    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low = high = None
-        for _, _, signals in parts(batches):
+    numbered = sorted({t for r in asked for t in re.findall(TOKEN, r["expanded"].lower())})
+    terms = F.broadcast(index.on_shelves(spark.createDataFrame(list(zip(numbered, range(len(numbered)))), "term string, number int")))
+    weights = {r["term"]: r["idf"] for r in index.terms().join(terms, ["shelf", "term"]).select("term", "idf").collect()}  # of asked terms
+    batch = _Batch(asked, weights, index.mean_length or 1.0)
+    near = F.expr(f"chunk_id div {ROWS_AT_ONCE}").alias("near")  # chunks that are scored together
+    held = index.postings().join(terms, ["shelf", "term"]).select(near, "chunk_id", "number", "tf", "len")
+    objective = routing.objective_of(F.col("text"), pack) if batch.objective.any() else F.lit(0.0)
+    rows = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), "region", objective.alias("objective")).filter("chunk_id IS NOT NULL")
+    rows = rows.join(vectors.select("chunk_id", "vector"), "chunk_id", "left").withColumn("near", near)
+    met = rows.groupBy("near").cogroup(held.groupBy("near"))
+
+    def parts(own: pa.Table, postings: pa.Table) -> Iterator[tuple]:
+        """Slices of neighbouring chunks with their signals."""
+        if not own.num_rows or not asked:
+            return
+        own = own.sort_by("chunk_id").combine_chunks()
+        ids = own["chunk_id"].to_numpy()
+        number, tf, length = (postings[c].to_numpy() for c in ("number", "tf", "len"))
+        row = np.searchsorted(ids, postings["chunk_id"].to_numpy())
+        order = np.argsort(row, kind="stable")
+        row, number, tf, length = row[order], number[order], tf[order].astype(np.float64), length[order]
+        for at in range(0, len(ids), ROWS_AT_ONCE):
+            b = own.slice(at, ROWS_AT_ONCE)
+            i, j = np.searchsorted(row, [at, at + ROWS_AT_ONCE])
+            yield b, batch.signals(b["vector"].combine_chunks(), row[i:j] - at, number[i:j], tf[i:j], length[i:j])
+
+    def ranges(own: pa.Table, postings: pa.Table) -> pa.Table:
+        low = high = np.zeros((3, 0))
+        for _, signals in parts(own, postings):
             lo, hi = (np.stack([f(s, axis=0) for s in signals]) for f in (np.min, np.max))
-            low, high = (lo, hi) if low is None else (np.minimum(low, lo), np.maximum(high, hi))
-        if low is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(3), low.shape[1])), pa.array(np.tile(np.arange(low.shape[1]), 3)), pa.array(low.ravel()), pa.array(high.ravel())], ["s", "q", "lo", "hi"])
+            low, high = (lo, hi) if not low.size else (np.minimum(low, lo), np.maximum(high, hi))
+        q = low.shape[1]
+        return pa.table([np.repeat(np.arange(3), q), np.tile(np.arange(q), 3), low.ravel(), high.ravel()], ["s", "q", "lo", "hi"])
 
     ends = np.zeros((2, 3, max(1, len(asked))))
-    if asked and n:
-        for r in joined.mapInArrow(ranges, "s long, q long, lo double, hi double").groupBy("s", "q").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect():
-            ends[:, r["s"], r["q"]] = r["lo"], r["hi"]
+    for r in met.applyInArrow(ranges, "s long, q long, lo double, hi double").groupBy("s", "q").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect() if asked else []:
+        ends[:, r["s"], r["q"]] = r["lo"], r["hi"]
     names = ["q_id", "chunk_id", "intent", *scores]
+    kinds = [pa.int64(), pa.int64(), pa.string(), *[pa.float64()] * len(scores)]
 
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not asked:
-            return
-        held = _Best(k)
-        for p, texts, signals in parts(batches):
+    def best(own: pa.Table, postings: pa.Table) -> pa.Table:
+        top = _Best(k)
+        for b, signals in parts(own, postings):
             span = ends[1] - ends[0]
             sem, lex, key = (np.where(span[i] < 1e-8, 0.0, (x - ends[0, i]) / np.where(span[i] < 1e-8, 1.0, span[i])) for i, x in enumerate(signals))
             hybrid = SEMANTIC * sem + LEXICAL * lex + KEYWORD * key
-            region = np.array([[REGION_ADJUSTMENT.get((i, r), 0.0) for i in batch.intent] for r in p.column(1).to_pylist()])
-            objective = np.array([batch.objective_of(t) for t in texts])[:, None] * batch.objective if batch.objective.any() else np.zeros_like(hybrid)
+            region = np.array([[REGION_ADJUSTMENT.get((i, r), 0.0) for i in batch.intent] for r in b["region"].to_pylist()])
+            objective = b["objective"].to_numpy()[:, None] * batch.objective
             final = hybrid + region + objective
-            chunk = np.broadcast_to(p.column(0).to_numpy()[:, None], final.shape)
-            held.add([-chunk, -np.round(final, 9)], [chunk, sem, lex, key, hybrid, region, objective, final])
-        if held.held is not None:
-            chunk, *found = held.columns()
-            who = np.broadcast_to(np.arange(chunk.shape[1]), chunk.shape).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(batch.ids[who]), pa.array(chunk.ravel()), pa.array([batch.intent[x] for x in who]), *(pa.array(x.ravel()) for x in found)], names)
-
-    found = joined.select(F.col("chunk_id").cast("long"), "region", "text", "vector").mapInArrow(best, f"q_id long, chunk_id long, intent string, {', '.join(f'{c} double' for c in scores)}")
+            chunk = np.broadcast_to(b["chunk_id"].to_numpy()[:, None], final.shape)
+            top.add([-chunk, -np.round(final, 9)], [chunk, sem, lex, key, hybrid, region, objective, final])
+        if top.held is None:
+            return pa.table([pa.array([], t) for t in kinds], names)
+        chunk, *found = top.columns()
+        who = np.broadcast_to(np.arange(chunk.shape[1]), chunk.shape).ravel()
+        return pa.table([pa.array(batch.ids[who]), pa.array(chunk.ravel()), pa.array([batch.intent[x] for x in who]), *(pa.array(x.ravel()) for x in found)], names)
+
+    found = met.applyInArrow(best, f"q_id long, chunk_id long, intent string, {', '.join(f'{c} double' for c in scores)}")
     w = Window.partitionBy("q_id").orderBy(F.desc(F.round("final_score", 9)), F.desc("chunk_id"))
     top = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     rest = [c for c in chunks.columns if c != "chunk_id"]

@@ -17,7 +17,9 @@ from . import fixtures as fx
 from .functions import lexicons as lex
 from .functions import routing, text
 from .operators import chunking, embedding, evaluation, evidence, memory, ocr, retrieval, visual
+from .operators.inverted import InvertedIndex
 from .sources import pages as src
+from .sources.store import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -464,10 +466,27 @@ def _queries(spark, d):
     return table(spark, d, "benchmark").join(_vectors(spark, d), F.col("item_id") == F.col("chunk_id")).select(F.col("item_id").alias("q_id"), F.col("text").alias("question"), "vector")
 
 
-def _doc_chunks(spark, d):
-    """Documents as chunks; regions are dealt by id, since the table has none."""
+def _doc_chunks(spark, d, dealt: bool = True):
+    """Documents as chunks; regions are dealt by id, since the table has none.
+
+    Where texts are only looked up, small tables need not be dealt to all cores.
+    """
     region = F.element_at(F.array(*map(F.lit, ("body", "abstract", "header", "table"))), (F.col("doc_id") % 4 + 1).cast("int"))
-    return table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "source", F.col("doc_id").cast("int").alias("page"), region.alias("region"), F.lit("Unknown").alias("section"), F.lit("Unknown").alias("subsection"), F.lit("text").alias("content_type"), "text")
+    docs = table(spark, d, "documents") if dealt else spark.read.parquet(f"{d}/documents.parquet")
+    return docs.select(F.col("doc_id").alias("chunk_id"), "source", F.col("doc_id").cast("int").alias("page"), region.alias("region"), F.lit("Unknown").alias("section"), F.lit("Unknown").alias("subsection"), F.lit("text").alias("content_type"), "text")
+
+
+_INDEXES: dict[tuple, str] = {}
+
+
+def _index(spark, d):
+    """The stored postings of the documents of ``d``: written by the first query of an application that needs them."""
+    key = (spark.sparkContext.applicationId, d, *sorted(_doc_chunks(spark, d, dealt=False).inputFiles()))
+    if key not in _INDEXES:
+        path = new_folder(spark, "documents-index")
+        InvertedIndex.build(_doc_chunks(spark, d), path)
+        _INDEXES[key] = path
+    return InvertedIndex.open(spark, _INDEXES[key])
 
 
 DOC_CHUNKS = "(SELECT doc_id AS chunk_id, source, CAST(doc_id AS INTEGER) AS page, (['body', 'abstract', 'header', 'table'])[doc_id % 4 + 1] AS region, 'text' AS content_type, text FROM documents)"
@@ -504,11 +523,28 @@ def s_bm25(questions: str) -> str:
 
 @query(f"SELECT q_id, CAST(rank AS INTEGER) AS rank, chunk_id, round(bm25, 6) AS bm25 FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY round(bm25, 6) DESC, chunk_id) AS rank FROM {s_bm25('(SELECT item_id AS q_id, text AS question FROM benchmark)')}) WHERE rank <= 10")
 def bm25_top10(spark, d):
-    from pyspark.sql.window import Window
+    return retrieval.bm25_top(_doc_chunks(spark, d, dealt=False), _asked(spark, d), k=10, index=_index(spark, d))
+
+
+def _asked(spark, d):
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("q_id"), F.col("text").alias("question"))
 
-    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("q_id"), F.col("text").alias("question"))
-    found = retrieval.bm25(_doc_chunks(spark, d), asked).withColumn("bm25", F.round("bm25", 6))
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("bm25"), "chunk_id"))).filter("rank <= 10").select("q_id", "rank", "chunk_id", "bm25")
+
+_DF = f"(SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({s_tokens('text')}) AS term FROM documents) GROUP BY term)"
+_RAW = f"(SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM {_DF}, (SELECT count(*) AS n FROM documents))"
+
+
+@query(f"WITH r AS (SELECT * FROM {_RAW}) SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM r) ELSE raw END, 6) AS idf FROM r")
+def term_weights(spark, d):
+    return _index(spark, d).terms().select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id, unnest({s_tokens('text')}) AS term FROM documents), len AS (SELECT doc_id, len({s_tokens('text')}) AS len FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL)
+    SELECT term, doc_id // 4096 AS range, count(*) AS n, round(max(tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / (SELECT avg(len) FROM len)))), 6) AS most FROM tf JOIN len USING (doc_id) GROUP BY ALL"""
+)
+def posting_blocks(spark, d):
+    return _index(spark, d).blocks().select("term", "range", "n", F.round("most", 6).alias("most"))
 
 
 def s_keyword(questions: str) -> str:
@@ -517,8 +553,7 @@ def s_keyword(questions: str) -> str:
 
 @query(f"SELECT q_id, chunk_id, round(keyword, 6) AS keyword FROM {s_keyword('(SELECT item_id AS q_id, text AS question FROM benchmark)')}")
 def keyword_overlap(spark, d):
-    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("q_id"), F.col("text").alias("question"))
-    return retrieval.keyword_overlap(_doc_chunks(spark, d), asked).withColumn("keyword", F.round("keyword", 6))
+    return retrieval.keyword_overlap(_doc_chunks(spark, d, dealt=False), _asked(spark, d), _index(spark, d)).withColumn("keyword", F.round("keyword", 6))
 
 
 @query("SELECT doc_id, source, round(CASE WHEN max(n_chars) OVER w - min(n_chars) OVER w < 1e-8 THEN 0.0 ELSE (n_chars - min(n_chars) OVER w) / CAST(max(n_chars) OVER w - min(n_chars) OVER w AS DOUBLE) END, 6) AS score FROM documents WINDOW w AS (PARTITION BY source)")
@@ -566,7 +601,7 @@ _SCORES = ("semantic_score", "bm25_score", "keyword_score", "hybrid_score", "reg
 
 
 def _hybrid(spark, d):
-    return retrieval.hybrid_search(_doc_chunks(spark, d), _vectors(spark, d), _queries(spark, d), k=5)
+    return retrieval.hybrid_search(_doc_chunks(spark, d), _vectors(spark, d), _queries(spark, d), k=5, index=_index(spark, d))
 
 
 @query(f"SELECT q_id, CAST(rank AS INTEGER) AS rank, chunk_id, intent, {', '.join(f'round({c}, 6) AS {c}' for c in _SCORES)} FROM {HYBRID}")
