@@ -562,10 +562,10 @@ def minmax_norm(spark, d):
     return retrieval.minmax(docs, "score", by="source").select("doc_id", "source", F.round("score", 6).alias("score"))
 
 
-def s_intent(q: str) -> str:
+def s_intent(q: str, more: tuple[str, ...] = fx.DOMAIN_PACK.technical) -> str:
     out = "CASE"
     for name, region, phrases in lex.INTENTS:
-        out += f" WHEN {s_any(f'lower({q})', phrases + (fx.DOMAIN_PACK.technical if name == 'technical' else ()))} THEN '{region}'"
+        out += f" WHEN {s_any(f'lower({q})', phrases + (more if name == 'technical' else ()))} THEN '{region}'"
     return f"{out} ELSE 'general' END"
 
 
@@ -660,7 +660,12 @@ def query_expand(spark, d):
     return all_questions(spark, d).select("q_id", routing.expand(F.col("question"), fx.DOMAIN_PACK).alias("expanded"))
 
 
-@query(f"SELECT q_id, CASE WHEN {s_any('lower(question)', lex.COMPARISON_PHRASES)} THEN 'comparison' WHEN {s_any('lower(question)', lex.FUSION_WORDS)} THEN 'fusion' WHEN {s_any('lower(question)', lex.TABLE_WORDS)} THEN 'table' WHEN {s_any('lower(question)', lex.VISUAL_WORDS)} THEN 'visual' ELSE 'text' END AS route FROM {ALL_QUESTIONS}")
+def s_route(q: str) -> str:
+    kinds = (("comparison", lex.COMPARISON_PHRASES), ("fusion", lex.FUSION_WORDS), ("table", lex.TABLE_WORDS), ("visual", lex.VISUAL_WORDS))
+    return "CASE " + " ".join(f"WHEN {s_any(f'lower({q})', phrases)} THEN '{route}'" for route, phrases in kinds) + " ELSE 'text' END"
+
+
+@query(f"SELECT q_id, {s_route('question')} AS route FROM {ALL_QUESTIONS}")
 def route_questions(spark, d):
     return all_questions(spark, d).select("q_id", routing.route(F.col("question")).alias("route"))
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from folioscope import queries as core
 from folioscope.sources.store import new_folder
 
-from . import ingest_documents
+from . import evidence_sheets, ingest_documents
 
 
 def job1_ingest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,7 +19,16 @@ def job1_ingest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest_documents.current(spark, f"{folder}/out")
 
 
-QUERIES = {f.__name__: f for f in (job1_ingest_documents,)}
+def job2_evidence_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best pages for every question; the second run writes the same again."""
+    out = new_folder(spark, "job2-evidence-sheets")
+    for _ in range(2):
+        evidence_sheets.write_sheets(spark, f"{sf_dir}/documents.parquet", f"{sf_dir}/benchmark.parquet", out)
+    found = spark.read.schema(evidence_sheets.EVIDENCE).parquet(f"{out}/evidence")
+    return found.withColumn("bm25", F.round("bm25", 6))
+
+
+QUERIES = {f.__name__: f for f in (job1_ingest_documents, job2_evidence_sheets)}
 
 _S = core.s_script("text")
 _TOP = f"greatest({_S['latin']}, {_S['hindi']}, {_S['kannada']})"
@@ -41,4 +51,16 @@ ORACLES = {
         )
         SELECT doc_id, source, lang, script, status, chunk, chunks.text, n_words FROM d LEFT JOIN chunks USING (doc_id)
     """,
+    "job2_evidence_sheets": f"""
+        WITH q AS (
+            SELECT item_id AS q_id, text AS question, {core.s_route('text')} AS route, {core.s_intent('text', ())} AS intent
+            FROM benchmark WHERE {_BARE} <> ''
+        ), best AS (
+            SELECT * FROM (
+                SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY round(bm25, 6) DESC, chunk_id) AS rank FROM {core.s_bm25('(SELECT item_id AS q_id, text AS question FROM benchmark)')}
+            ) WHERE rank <= 5
+        )
+        SELECT q_id, question, intent, CAST(rank AS INTEGER) AS rank, doc_id, source, lang, round(bm25, 6) AS bm25, left(text, 1800) AS evidence, route
+        FROM q LEFT JOIN (SELECT best.*, doc_id, source, lang, text FROM best JOIN documents ON chunk_id = doc_id) USING (q_id)
+    """,
 }

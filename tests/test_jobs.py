@@ -7,8 +7,9 @@ import sys
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
-from jobs import ingest_documents
+from jobs import evidence_sheets, ingest_documents
 
 ROOT = Path(__file__).resolve().parent.parent
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -91,3 +92,91 @@ def test_command_line_of_ingest(spark, tmp_path):
     assert said.returncode == 0, said.stderr[-2000:]
     assert "read 1 documents" in said.stderr
     assert max(r["n_words"] for r in ingest_documents.current(spark, out).collect()) <= 40
+
+
+# ------------------------------------------------------------------ evidence sheets
+
+PAGES = [(1, "The pump moves water through the filter."), (2, "Fish live in water; a pump is heard."), (3, None), (4, "Nothing to do with it."), (None, "pump pump pump")]
+ASKED = [(10, "Which pump moves water?"), (11, "Show the table of results"), (12, "zzz unheard"), (13, " "), (None, "pump"), (14, "Compare these documents: fish")]
+
+
+def sheets_in(spark, tmp_path, pages=PAGES, asked=ASKED):
+    docs, questions = f"{tmp_path}/docs", f"{tmp_path}/questions"
+    spark.createDataFrame([(i, t, "s", "en") for i, t in pages], "doc_id long, text string, source string, lang string").write.mode("overwrite").parquet(docs)
+    spark.createDataFrame(asked, "item_id long, text string").write.mode("overwrite").parquet(questions)
+    return docs, questions, f"{tmp_path}/out"
+
+
+def evidence_rows(spark, out):
+    rows = spark.read.schema(evidence_sheets.EVIDENCE).parquet(f"{out}/evidence").collect()
+    return sorted((r["q_id"], r["rank"] or 0, r["doc_id"], r["route"], round(r["bm25"] or 0, 9), r["evidence"]) for r in rows)
+
+
+def test_sheets_of_every_question(spark, tmp_path):
+    where = sheets_in(spark, tmp_path)
+    said = evidence_sheets.write_sheets(spark, *where)
+    assert said == {"documents": 4, "questions": 4, "found": 3}
+    rows = evidence_rows(spark, where[2])
+    assert [(q, k, d) for q, k, d, *_ in rows if q == 10] == [(10, 1, 1), (10, 2, 2)]
+    assert [(q, k, d, e) for q, k, d, _, _, e in rows if q == 12] == [(12, 0, None, None)]  # asked, not answered
+    assert {q: r for q, _, _, r, _, _ in rows} == {10: "text", 11: "fusion", 12: "text", 14: "comparison"}
+    assert {p.name for p in Path(where[2], "evidence").glob("route=*")} == {f"route={r}" for _, _, _, r, _, _ in rows}
+    sheet = {r["q_id"]: r for r in spark.read.json(f"{where[2]}/sheets").collect()}
+    assert set(sheet) == {10, 11, 14} and sheet[10]["context"].index("[Source 1]") < sheet[10]["context"].index("[Source 2]")
+
+
+def test_sheets_run_again(spark, tmp_path, monkeypatch):
+    where = sheets_in(spark, tmp_path)
+    evidence_sheets.write_sheets(spark, *where)
+    before = evidence_rows(spark, where[2])
+    monkeypatch.setattr(evidence_sheets, "MOST_SENT", 0)  # results that do not travel
+    shutil.rmtree(f"{where[2]}/index/facts")  # a run that died while it wrote
+    evidence_sheets.write_sheets(spark, *where)
+    assert evidence_rows(spark, where[2]) == before
+    sheets_in(spark, tmp_path, PAGES[:1], ASKED[:1])
+    evidence_sheets.write_sheets(spark, *where)
+    assert [r[:3] for r in evidence_rows(spark, where[2])] == [(10, 1, 1)]  # nothing of the earlier input is left
+
+
+def test_sheets_of_repeated_ids_and_of_nothing(spark, tmp_path):
+    where = sheets_in(spark, tmp_path, [(1, "pump b"), (1, "pump a"), (2, "other")], [(5, "pump"), (5, "pump")])
+    evidence_sheets.write_sheets(spark, *where)
+    assert [(r[0], r[2], r[5]) for r in evidence_rows(spark, where[2])] == [(5, 1, "pump a")]
+    where = sheets_in(spark, tmp_path / "none", [], [])
+    assert evidence_sheets.write_sheets(spark, *where) == {"documents": 0, "questions": 0, "found": 0}
+    assert evidence_rows(spark, where[2]) == []
+
+
+def test_command_line_of_sheets(spark, tmp_path):
+    docs, questions, out = sheets_in(spark, tmp_path)
+    config = tmp_path / "config.json"
+    config.write_text(json.dumps(evidence_sheets.read_config() | {"results": 1}))
+    run = [sys.executable, "-m", "jobs.evidence_sheets", "--documents", docs, "--questions", questions, "--out", out, "--config", str(config)]
+    said = subprocess.run(run, cwd=ROOT, capture_output=True, text=True, timeout=300)
+    assert said.returncode == 0, said.stderr[-2000:]
+    assert "read 4 documents" in said.stderr and "with evidence" in said.stderr
+    assert spark.read.schema(evidence_sheets.EVIDENCE).parquet(f"{out}/evidence").agg(F.max("rank")).first()[0] == 1
+
+
+# ------------------------------------------------------------------ both as queries
+
+
+@pytest.mark.parametrize("name", ["job1_ingest_documents", "job2_evidence_sheets"])
+def test_registered_jobs_equal_their_sql(spark, name):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    d = "/root/testdata/sf0.001"
+    changed = dict(spark.sparkContext.getConf().getAll())
+    df = entry.queries()[name](spark, d)
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+    rel = con.sql(entry.oracle_sql()[name])
+    columns = sorted(df.columns)
+    assert sorted(rel.columns) == columns
+    at = [rel.columns.index(c) for c in columns]
+    plain = lambda v: round(v, 6) if isinstance(v, float) else v
+    assert sorted(repr([plain(r[c]) for c in columns]) for r in df.collect()) == sorted(repr([plain(r[i]) for i in at]) for r in rel.fetchall())
+    assert dict(spark.sparkContext.getConf().getAll()) == changed
