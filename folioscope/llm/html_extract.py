@@ -12,12 +12,15 @@ id or role) are set aside; the paths of the others are judged:
    weighted by their blocks and by a Gaussian of the distance between the paths
    (elements to remove and add), so a heading shares in its paragraphs' ratio.
 3. *Threshold.*  Paths within ``GAP`` of the page's greatest ratio are content.
-   Below ``article`` or ``main`` a path gets ``BONUS`` on top, no more: what
-   such an element holds may still be too thin, and what stands outside may
-   be content by its ratio.
+   Below ``article`` or ``main`` a path gets ``BONUS`` on top, less than half of
+   ``GAP``: what such an element holds may still be too thin, and what stands
+   outside may be content by its ratio.  There, a class or id that only contains a
+   word of the lists (``social-science``, ``search-results``) does not set a block
+   aside but takes ``MALUS`` off, so that paragraphs stay and link lists go.
 
 Edge cases: a null or empty page has empty text; broken, unclosed and truncated
-markup is read as far as it goes; a page of one path is content; of equal ratios
+markup is read as far as it goes (a tag that the page's end cuts off, in a quoted
+value too, holds no text); a page of one path is content; of equal ratios
 all are content; very long texts and pages, also of very many different paths, are
 read whole, in linear time (paths end at 200 elements, texts below them count
 there); repeated rows are extracted alike; an empty table
@@ -38,7 +41,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import ship, trimmed
 
-# Element names and class, id and role words, by what they mean.
+# Element names, and class, id and role words, by what they mean.
 INLINE = frozenset("a abbr acronym b bdi bdo big blink cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base basefont bgsound br col embed frame hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -48,6 +51,8 @@ HINTS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs footer masthead "
     "comment comments commentlist disqus respond cookie cookies consent gdpr notice notices notification popup modal overlay share sharing social related recommended newsletter subscribe subscription widget toolbar pagination pager login signup search skip".split()
 )
+#: Of these, those that set a block aside as a part of a name too: adverts, readers' comments, consent.
+STRONG = frozenset("ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo comment comments commentlist disqus respond cookie cookies consent gdpr newsletter".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 #: A start tag of the key closes an open element of the values.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}, "option": {"option"}}
@@ -57,51 +62,61 @@ _SCOPE = frozenset("ul ol dl table div section article main body".split())
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
-_TAG_END = re.compile(r"""(?:[^>"'=]+|=\s*"[^"]*"|=\s*'[^']*'|[="'])*?>""")
+_TAG_STOP = re.compile(r""">|=\s*(["'])""")
+_COMMENT_END = re.compile("--!?>")
 _PUNCTUATION = re.compile(r"[.,;:!?、。，…]")
 _WORDS = re.compile(r"[a-z0-9]+")
 
 
 def _tag_end(html: str, at: int) -> int:
-    """Index after the > that ends the tag whose name ends at ``at``; quoted values may hold >."""
-    end = html.find(">", at)
-    if end < 0:
-        return len(html)
-    part = html[at:end]
-    if '"' not in part and "'" not in part:
-        return end + 1
-    m = _TAG_END.match(html, at)
-    return m.end() if m else end + 1
+    """Index after the > that ends the tag whose name ends at ``at``, or -1; quoted values may hold >.
+
+    Every stop lies after the last, so the scan is linear in the tag.
+    """
+    while m := _TAG_STOP.search(html, at):
+        if not m[1]:
+            return m.end()
+        at = html.find(m[1], m.end()) + 1
+        if not at:
+            break
+    return -1
 
 
 class Block:
-    __slots__ = ("path", "text", "marked", "dropped")
+    __slots__ = ("path", "text", "marked", "dropped", "hinted")
 
-    def __init__(self, path: str, text: str, marked: bool, dropped: bool):
-        self.path, self.text, self.marked, self.dropped = path, text, marked, dropped
+    def __init__(self, path: str, text: str, marked: bool, dropped: bool, hinted: bool):
+        self.path, self.text, self.marked, self.dropped, self.hinted = path, text, marked, dropped, hinted
 
 
 def _attributes(part: str) -> dict[str, str]:
     return {k.lower(): v.strip("\"'") for k, v in reversed(_ATTRIBUTE.findall(part))}
 
 
-def _says_drop(name: str, attributes: dict[str, str], in_article: bool) -> bool:
+def _says(name: str, attributes: dict[str, str], in_article: bool) -> tuple[bool, bool]:
+    """Whether an element is dropped, and whether it is only hinted at."""
     if name in DROPPED or name == "header" and not in_article:
-        return True
+        return True, False
     if not attributes or name in ("html", "body", "article", "main"):
-        return "hidden" in attributes
+        return "hidden" in attributes, False
     if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower():
-        return True
+        return True, False
     if attributes.get("role", "").lower() in ROLES:
-        return True
-    return any(w in HINTS for w in _WORDS.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()))
+        return True, False
+    named = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()
+    parts = set(_WORDS.findall(named))
+    if parts.isdisjoint(HINTS):
+        return False, False
+    if in_article and parts.isdisjoint(STRONG) and HINTS.isdisjoint(named.split()):
+        return False, True
+    return True, False
 
 
 def blocks(html: str) -> list[Block]:
     """Text blocks in page order."""
     out: list[Block] = []
-    # An open element: name, path, dropped, marked.
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+    # An open element: name, path, dropped, marked, hinted.
+    stack: list[tuple[str, str, bool, bool, bool]] = [("", "", False, False, False)]
     inline: list[tuple[str, bool]] = []  # open inline elements that hide their text
     text: list[str] = []
 
@@ -110,8 +125,8 @@ def blocks(html: str) -> list[Block]:
             joined = " ".join("".join(text).split())
             text.clear()
             if joined:
-                _, path, dropped, marked = stack[-1]
-                out.append(Block(path, joined, marked, dropped))
+                _, path, dropped, marked, hinted = stack[-1]
+                out.append(Block(path, joined, marked, dropped, hinted))
 
     def close(k: int) -> None:
         flush()
@@ -128,8 +143,8 @@ def blocks(html: str) -> list[Block]:
         if lt == n:
             break
         if html.startswith("<!--", lt):
-            end = html.find("-->", lt + 4)
-            at = n if end < 0 else end + 3
+            end = _COMMENT_END.search(html, lt + 2)  # <!--> is empty
+            at = end.end() if end else n
             continue
         if html.startswith(("<!", "<?"), lt):
             end = html.find(">", lt)
@@ -147,7 +162,7 @@ def blocks(html: str) -> list[Block]:
                 at = lt + 1
             continue
         name, at = m[0].lower(), _tag_end(html, m.end())
-        if at == n and html[n - 1] != ">":
+        if at < 0:
             break  # a tag that the page's end cuts off
         if ending:
             if name in INLINE:
@@ -170,7 +185,7 @@ def blocks(html: str) -> list[Block]:
             continue
         part = html[m.end() : at - 1]
         if name in INLINE:
-            if part.strip() and (inline or _says_drop(name, _attributes(part), True)):
+            if part.strip() and (inline or _says(name, _attributes(part), True)[0]):
                 inline.append((name, True))
             elif inline:
                 inline.append((name, True))
@@ -193,25 +208,28 @@ def blocks(html: str) -> list[Block]:
             if low is not None:
                 close(low)
         flush()
-        _, path, dropped, marked = stack[-1]
+        _, path, dropped, marked, hinted = stack[-1]
         attributes = _attributes(part) if part.strip() else {}
-        dropped = dropped or _says_drop(name, attributes, marked)
+        drop, hint = _says(name, attributes, marked)
+        dropped, hinted = dropped or drop, hinted or hint
         label = name if not attributes.get("class") else f"{name}.{'.'.join(sorted(attributes['class'].lower().split()))}"
         if name in RAW:
             end = re.compile(rf"</{name}[\s/>]", re.I).search(html, at)
             if not dropped and end:
-                out.append(Block(f"{path}/{label}", " ".join(unescape(html[at : end.start()]).split()), marked, dropped))
-            at = n if not end else _tag_end(html, end.end() - 1)
+                out.append(Block(f"{path}/{label}", " ".join(unescape(html[at : end.start()]).split()), marked, dropped, hinted))
+            at = _tag_end(html, end.end() - 1) if end else -1
+            if at < 0:
+                break
             continue
         if not part.endswith("/") or name not in ("p",):
-            stack.append((name, f"{path}/{label}" if len(stack) < DEEPEST else path, dropped, marked or name in ARTICLE or attributes.get("role", "").lower() in ARTICLE))
+            stack.append((name, f"{path}/{label}" if len(stack) < DEEPEST else path, dropped, marked or name in ARTICLE or attributes.get("role", "").lower() in ARTICLE, hinted))
     flush()
     return out
 
 
-#: How far below the greatest ratio content may be, and what ``article`` and
-#: ``main`` add (log scale); the Gaussian's width in elements.
-GAP, BONUS, SIGMA = 2.75, 4.0, 1.0
+#: How far below the greatest ratio content may be, what ``article`` and ``main``
+#: add and a hint in them takes off (log scale); the Gaussian's width in elements.
+GAP, BONUS, MALUS, SIGMA = 2.75, 1.0, 3.0, 1.0
 #: Text length and punctuation of a block from which it is a full paragraph:
 #: what is longer on average says no more about a path.
 FULL_LENGTH, FULL_MARKS = 300, 5
@@ -269,11 +287,11 @@ def _ancestors(path: str, reach: int) -> Iterator[str]:
         path = path.rpartition("/")[0]
 
 
-def content_paths(found: list[Block]) -> set[tuple[str, bool]]:
-    """The (path, marked) of blocks that are content."""
+def content_paths(found: list[Block]) -> set[tuple[str, bool, bool]]:
+    """The (path, marked, hinted) of blocks that are content."""
     ratio = smoothed(path_ratios(found))
     cut = max(ratio.values()) - GAP - 1e-9
-    return {(b.path, b.marked) for b in found if ratio[b.path] + BONUS * b.marked >= cut}
+    return {(b.path, b.marked, b.hinted) for b in found if ratio[b.path] + BONUS * b.marked - MALUS * b.hinted >= cut}
 
 
 def extract(html: str | None) -> str:
@@ -282,7 +300,7 @@ def extract(html: str | None) -> str:
     if not found:
         return ""
     content = content_paths(found)
-    return "\n".join(b.text for b in found if (b.path, b.marked) in content)
+    return "\n".join(b.text for b in found if (b.path, b.marked, b.hinted) in content)
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
