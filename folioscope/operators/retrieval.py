@@ -24,6 +24,8 @@ from ..functions.lexicons import NO_PACK, REGION_ADJUSTMENT, DomainPack
 from ..functions.text import TOKEN, tokens
 from ..sources.store import new_folder
 from .inverted import K1, B, InvertedIndex
+from .topk import Best
+from .vector_index import VectorIndex
 
 MOST_QUESTIONS = 1_000
 SEMANTIC, LEXICAL, KEYWORD = 0.55, 0.30, 0.15
@@ -39,27 +41,6 @@ def in_blocks(questions: DataFrame, rank: Callable[[DataFrame], DataFrame]) -> D
     return reduce(DataFrame.unionByName, [rank(questions.filter(at == i)) for i in range(blocks)])
 
 
-class _Best:
-    """The k best rows of every question so far: arrays of (at most k) x questions."""
-
-    def __init__(self, k: int):
-        self.k, self.held = k, None
-
-    def add(self, order: list[np.ndarray], columns: list[np.ndarray]) -> None:
-        """``order``: sort keys, least first, the last one first; rows x questions like ``columns``."""
-        rows = self._first([*order, *columns], len(order))
-        if self.held is not None:
-            rows = self._first([np.concatenate(p) for p in zip(self.held, rows)], len(order))
-        self.held, self.keys = rows, len(order)
-
-    def _first(self, rows: list[np.ndarray], keys: int) -> list[np.ndarray]:
-        top = np.lexsort(rows[:keys], axis=0)[: self.k]
-        return [np.take_along_axis(x, top, axis=0) for x in rows]
-
-    def columns(self) -> list[np.ndarray]:
-        return self.held[self.keys :]
-
-
 #: Rows scored at a time: rows x questions numbers are held.
 ROWS_AT_ONCE = 512
 
@@ -68,15 +49,16 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def similarities(vectors: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
+def similarities(vectors: DataFrame, queries: DataFrame, k: int | None = None, index: VectorIndex | None = None) -> DataFrame:
     """(q_id, chunk_id, score): inner products of all queries with all vectors.
 
     One matrix product per slice of vectors.  With ``k`` each task keeps the k
     best of every query as it goes and passes those on alone, and a window keeps
     the k best of them (ties to the smaller id): an exact top k that shuffles k
-    rows per query and task.
+    rows per query and task.  With an ``index`` of the vectors, only cells that may
+    hold one of the k best are read.
     """
-    found = in_blocks(queries, lambda block: _products(vectors, block, k))
+    found = in_blocks(queries, lambda block: index.search(block, k).best() if index and k else _products(vectors, block, k))
     if k is None:
         return found
     w = Window.partitionBy("q_id").orderBy(F.desc("score"), "chunk_id")
@@ -93,7 +75,7 @@ def _products(vectors: DataFrame, queries: DataFrame, k: int | None) -> DataFram
         return pa.RecordBatch.from_arrays([pa.array(who.ravel()), pa.array(chunk.ravel()), pa.array(s.ravel())], ["q_id", "chunk_id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Best(k or 0)
+        best = Best(k or 0)
         for b in batches:
             for at in range(0, b.num_rows if len(ids) else 0, ROWS_AT_ONCE):
                 part = b.slice(at, ROWS_AT_ONCE)
@@ -111,9 +93,9 @@ def _products(vectors: DataFrame, queries: DataFrame, k: int | None) -> DataFram
     return sound.select(F.col("chunk_id").cast("long"), "vector").mapInArrow(run, "q_id long, chunk_id long, score double")
 
 
-def dense_retrieve(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 5, floor: float = 0.15) -> DataFrame:
+def dense_retrieve(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 5, floor: float = 0.15, index: VectorIndex | None = None) -> DataFrame:
     """The k best, then those at ``floor`` or above whose chunk exists; ranks keep their gaps."""
-    top = similarities(vectors, queries, k).filter(F.col("score") >= floor)
+    top = similarities(vectors, queries, k, index).filter(F.col("score") >= floor)
     return top.join(chunks, "chunk_id").select("q_id", "rank", "score", *chunks.columns)
 
 
@@ -287,7 +269,7 @@ def _hybrid_block(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, k
     kinds = [pa.int64(), pa.int64(), pa.string(), *[pa.float64()] * len(scores)]
 
     def best(own: pa.Table, postings: pa.Table) -> pa.Table:
-        top = _Best(k)
+        top = Best(k)
         for b, signals in parts(own, postings):
             span = ends[1] - ends[0]
             sem, lex, key = (np.where(span[i] < 1e-8, 0.0, (x - ends[0, i]) / np.where(span[i] < 1e-8, 1.0, span[i])) for i, x in enumerate(signals))

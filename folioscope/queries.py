@@ -18,6 +18,7 @@ from .functions import lexicons as lex
 from .functions import routing, text
 from .operators import chunking, embedding, evaluation, evidence, memory, ocr, retrieval, visual
 from .operators.inverted import InvertedIndex
+from .operators.vector_index import VectorIndex
 from .sources import pages as src
 from .sources.store import new_folder
 
@@ -476,17 +477,23 @@ def _doc_chunks(spark, d, dealt: bool = True):
     return docs.select(F.col("doc_id").alias("chunk_id"), "source", F.col("doc_id").cast("int").alias("page"), region.alias("region"), F.lit("Unknown").alias("section"), F.lit("Unknown").alias("subsection"), F.lit("text").alias("content_type"), "text")
 
 
-_INDEXES: dict[tuple, str] = {}
+_INDEXES: dict[tuple, InvertedIndex | VectorIndex] = {}
 
 
 def _index(spark, d):
     """The stored postings of the documents of ``d``: written by the first query of an application that needs them."""
     key = (spark.sparkContext.applicationId, d, *sorted(_doc_chunks(spark, d, dealt=False).inputFiles()))
     if key not in _INDEXES:
-        path = new_folder(spark, "documents-index")
-        InvertedIndex.build(_doc_chunks(spark, d), path)
-        _INDEXES[key] = path
-    return InvertedIndex.open(spark, _INDEXES[key])
+        _INDEXES[key] = InvertedIndex.build(_doc_chunks(spark, d), new_folder(spark, "documents-index"))
+    return _INDEXES[key]
+
+
+def _vector_index(spark, d):
+    """The stored index of the vectors of ``d``, as above."""
+    key = (spark.sparkContext.applicationId, d, *sorted(_vectors(spark, d).inputFiles()))
+    if key not in _INDEXES:
+        _INDEXES[key] = VectorIndex.build(_vectors(spark, d), new_folder(spark, "vectors-index"))
+    return _INDEXES[key]
 
 
 DOC_CHUNKS = "(SELECT doc_id AS chunk_id, source, CAST(doc_id AS INTEGER) AS page, (['body', 'abstract', 'header', 'table'])[doc_id % 4 + 1] AS region, 'text' AS content_type, text FROM documents)"
@@ -497,12 +504,12 @@ _TOP5 = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER B
 
 @query(f"SELECT q_id, CAST(rank AS INTEGER) AS rank, chunk_id, round(score, 6) AS score FROM {_TOP5}")
 def knn_top5(spark, d):
-    return retrieval.similarities(_vectors(spark, d), _queries(spark, d), k=5).select("q_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
+    return retrieval.similarities(_vectors(spark, d), _queries(spark, d), k=5, index=_vector_index(spark, d)).select("q_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
 @query(f"SELECT q_id, CAST(rank AS INTEGER) AS rank, chunk_id, round(score, 6) AS score, source FROM {_TOP5} JOIN {DOC_CHUNKS} USING (chunk_id) WHERE score >= 0.15")
 def dense_retrieve(spark, d):
-    return retrieval.dense_retrieve(_doc_chunks(spark, d), _vectors(spark, d), _queries(spark, d)).select("q_id", "rank", "chunk_id", F.round("score", 6).alias("score"), "source")
+    return retrieval.dense_retrieve(_doc_chunks(spark, d), _vectors(spark, d), _queries(spark, d), index=_vector_index(spark, d)).select("q_id", "rank", "chunk_id", F.round("score", 6).alias("score"), "source")
 
 
 _ASKED = "(SELECT item_id AS q_id, text AS question FROM benchmark SEMI JOIN embeddings ON item_id = vec_id)"
