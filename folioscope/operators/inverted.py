@@ -20,7 +20,7 @@ an index in which nothing is found; terms that no chunk holds weigh nothing.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +59,7 @@ class InvertedIndex:
     n_ranges: int
     width: int
     shelves: int
+    tables: dict[str, DataFrame] = field(default_factory=dict, repr=False)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> InvertedIndex:
@@ -91,13 +92,19 @@ class InvertedIndex:
         df.sortWithinPartitions("shelf", *order).write.mode("overwrite").partitionBy("shelf").parquet(f"{self.path}/{name}")
 
     def postings(self) -> DataFrame:
-        return self.spark.read.schema("term string, range long, chunk_id long, tf int, len int, shelf int").parquet(f"{self.path}/postings")
+        return self._read("postings", "term string, range long, chunk_id long, tf int, len int, shelf int")
 
     def blocks(self) -> DataFrame:
-        return self.spark.read.schema("term string, range long, most double, n long, shelf int").parquet(f"{self.path}/blocks")
+        return self._read("blocks", "term string, range long, most double, n long, shelf int")
 
     def terms(self) -> DataFrame:
-        return self.spark.read.schema("term string, df long, idf double, shelf int").parquet(f"{self.path}/terms")
+        return self._read("terms", "term string, df long, idf double, shelf int")
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        """A table; its files are listed once."""
+        if name not in self.tables:
+            self.tables[name] = self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        return self.tables[name]
 
     def factor(self) -> Column:
         """What BM25 multiplies a term's weight by in a chunk."""

@@ -97,7 +97,7 @@ class VectorIndex:
         placed = sound.mapInArrow(assign, made.schema())
         dealt = placed.repartition("cell", F.pmod(F.xxhash64("chunk_id"), F.lit(1 + n // ROWS_A_TASK)))
         dealt.write.mode("overwrite").partitionBy("cell").parquet(f"{path}/vectors")
-        held = made.vectors().groupBy("cell").agg(F.max("away").alias("radius"), F.count(F.lit(1)).alias("n"))
+        held = made.vectors.groupBy("cell").agg(F.max("away").alias("radius"), F.count(F.lit(1)).alias("n"))
         met = held.join(spark.createDataFrame(list(enumerate(centres.tolist())), "cell int, centre array<double>"), "cell").select("cell", "centre", "radius", "n")
         met.write.mode("overwrite").parquet(f"{path}/cells")
         made.n_vectors, made.n_cells = n, len(centres)
@@ -107,7 +107,9 @@ class VectorIndex:
     def schema(self) -> str:
         return f"chunk_id long, vector {self.kind}, away double, cell int"
 
+    @cached_property
     def vectors(self) -> DataFrame:
+        """The vectors' table; its files are listed once."""
         return self.spark.read.schema(self.schema()).parquet(f"{self.path}/vectors")
 
     def cells(self) -> DataFrame:
@@ -192,6 +194,6 @@ class VectorSearch:
                 who = np.broadcast_to(ids[wanted[cell]], s.shape)
                 yield pa.RecordBatch.from_arrays([pa.array(who.ravel()), pa.array(chunk.ravel()), pa.array(s.ravel())], ["q_id", "chunk_id", "score"])
 
-        rows = self.index.vectors()
+        rows = self.index.vectors
         rows = rows.filter(F.col("cell").isin(list(wanted))) if len(wanted) < len(self.cells) else rows
         return rows.select("chunk_id", "vector", "cell").mapInArrow(run, "q_id long, chunk_id long, score double")

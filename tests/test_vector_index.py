@@ -55,7 +55,7 @@ def test_bounds_hold_and_cells_are_skipped(spark, tmp_path):
     index = VectorIndex.build(vectors, str(tmp_path), cell_rows=60)
     search = index.search(asked, 5)
     cell = {r["cell"]: j for j, r in enumerate(index.cells().orderBy("cell").collect())}
-    for r in index.vectors().collect():
+    for r in index.vectors.collect():
         assert (search.bounds[:, cell[r["cell"]]] >= search.q @ np.array(r["vector"])).all()
     assert search.best().count() >= 100
     assert search.share() < 0.25  # of the products that a full scan makes
