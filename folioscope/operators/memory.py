@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -23,12 +23,15 @@ def memory_window(turns: DataFrame, keep: int = TURNS) -> DataFrame:
     return turns.withColumn("age", F.row_number().over(w)).filter(F.col("age") <= keep)
 
 
+def memory_text(turns: Column) -> Column:
+    """What an array of turns (turn, question, answer) said, in their order, cut to length."""
+    part = lambda t: F.concat(F.lit("User: "), t["question"], F.lit("\nAssistant: "), F.left(t["answer"], F.lit(ANSWER_CHARS)))
+    return F.left(F.array_join(F.transform(F.sort_array(turns), part), "\n\n"), F.lit(MEMORY_CHARS))
+
+
 def memory_context(turns: DataFrame) -> DataFrame:
     """(conv_id, memory): what the last turns said, cut to length."""
-    part = F.concat(F.lit("User: "), F.col("question"), F.lit("\nAssistant: "), F.left(F.col("answer"), F.lit(ANSWER_CHARS)))
-    rows = F.sort_array(F.collect_list(F.struct("turn", part.alias("part"))))
-    text = F.array_join(F.transform(rows, lambda r: r["part"]), "\n\n")
-    return memory_window(turns).groupBy("conv_id").agg(F.left(text, F.lit(MEMORY_CHARS)).alias("memory"))
+    return memory_window(turns).groupBy("conv_id").agg(memory_text(F.collect_list(F.struct("turn", "question", "answer"))).alias("memory"))
 
 
 def contextual_query(questions: DataFrame, memory: DataFrame) -> DataFrame:

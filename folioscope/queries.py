@@ -21,6 +21,7 @@ from .operators.inverted import InvertedIndex
 from .operators.vector_index import VectorIndex
 from .sources import pages as src
 from .sources.store import new_folder
+from .streaming import memory as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -786,6 +787,15 @@ def memory_context(spark, d):
     return memory.memory_context(_turns(spark, d))
 
 
+@query(f"SELECT conv_id, memory FROM {_MEMORY} WHERE conv_id IS NOT NULL")
+def memory_stream(spark, d):
+    """The messages as a stream, run twice from one checkpoint."""
+    folder = new_folder(spark, "memory-stream")
+    for _ in range(2):
+        stream.start_memory(spark, f"{d}/conversations.parquet", f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return stream.current_memory(spark, f"{folder}/out")
+
+
 @query(
     f"""SELECT c.conv_id, 'What about it?' AS question, CASE WHEN coalesce(memory, '') = '' THEN 'What about it?' ELSE 'Earlier in this conversation:' || chr(10) || memory || chr(10) || chr(10) || 'Question now:' || chr(10) || 'What about it?' || chr(10) || chr(10) || 'Earlier turns only say what it, this, that, the model or the result stands for.' END AS query
     FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN {_MEMORY} m USING (conv_id)"""

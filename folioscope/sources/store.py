@@ -23,3 +23,9 @@ def shared_folder(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def pattern(path: str) -> str:
+    """One that matches ``path`` alone: file streams take a single file by a pattern only."""
+    path = path.rstrip("/")
+    return path if any(c in path for c in "*?[{") else f"{path[:-1]}[{path[-1]}]"

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.text import dominant_script, strip, word_count
 from folioscope.operators.chunking import with_packs
+from folioscope.sources.store import pattern
 
 log = logging.getLogger("jobs.ingest_documents")
 
@@ -70,12 +71,6 @@ def _write(df: DataFrame, batch: int, path: str, by: str) -> None:
     out.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
-def _pattern(path: str) -> str:
-    """One that matches ``path`` alone: file streams take a single file by a pattern only."""
-    path = path.rstrip("/")
-    return path if any(c in path for c in "*?[{") else f"{path[:-1]}[{path[-1]}]"
-
-
 def ingest(spark: SparkSession, documents: str, out: str, checkpoint: str, config: dict | None = None) -> list[dict]:
     """Take in all new files; returns what each batch wrote: {batch, pages by status, chunks}."""
     config, done = config or read_config(), []
@@ -92,7 +87,7 @@ def ingest(spark: SparkSession, documents: str, out: str, checkpoint: str, confi
     for name, schema, by in (("pages", PAGES, "status"), ("chunks", CHUNKS, "script")):  # there even if no file ever comes
         spark.createDataFrame([], schema).write.mode("append").partitionBy("batch", by).parquet(f"{out}/{name}")
     # A file's age says nothing about whether it is new here.
-    files = spark.readStream.schema(INPUT).option("maxFilesPerTrigger", config["files_per_batch"]).option("maxFileAge", "36500d").parquet(_pattern(documents))
+    files = spark.readStream.schema(INPUT).option("maxFilesPerTrigger", config["files_per_batch"]).option("maxFileAge", "36500d").parquet(pattern(documents))
     stream = files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     stream.awaitTermination()
     if not done:
