@@ -9,31 +9,28 @@ from pyspark.sql.window import Window
 
 from ..functions import lexicons, routing
 from ..operators import chunking, embedding, evidence, memory, retrieval, visual
-from ..sources.pages import read_elements, write_table
+from ..sources.pages import read_elements
+from .versions import open_latest, write_version
 
 
-def ingest(spark: SparkSession, elements_path: str, index_path: str, encoder: embedding.Encoder = embedding.hashing_encoder) -> None:
-    """Page elements -> chunks -> vectors, each written under ``index_path``; unsound indexes raise."""
-    write_table(chunking.page_chunks(read_elements(spark, elements_path)), f"{index_path}/chunks")
-    chunks = spark.read.parquet(f"{index_path}/chunks")
-    write_table(embedding.encode(chunks, encoder), f"{index_path}/vectors")
-    vectors = spark.read.parquet(f"{index_path}/vectors")
-    dims = vectors.select(F.size("vector").alias("n")).first()
-    if dims is None:
-        raise ValueError("no chunk could be embedded")
-    embedding.assert_integrity(embedding.integrity_report(chunks, vectors, dims["n"]))
+def ingest(spark: SparkSession, elements_path: str, index_path: str, encoder: embedding.Encoder = embedding.hashing_encoder) -> int:
+    """Page elements -> chunks -> vectors and indexes, as a new version below ``index_path``; unsound ones raise."""
+    return write_version(chunking.page_chunks(read_elements(spark, elements_path)), index_path, encoder)
 
 
 class Engine:
-    """An opened index: ``search`` and ``answer`` take batches of questions (q_id, question)."""
+    """An opened index: ``search`` and ``answer`` take batches of questions (q_id, question).
+
+    It reads the version that was the latest when it was opened or last reloaded.
+    """
 
     def __init__(self, spark: SparkSession, index_path: str, encoder: embedding.Encoder = embedding.hashing_encoder, pack: lexicons.DomainPack = lexicons.NO_PACK):
         self.spark, self.path, self.encoder, self.pack = spark, index_path, encoder, pack
         self.reload()
 
     def reload(self) -> None:
-        self.chunks = self.spark.read.parquet(f"{self.path}/chunks")
-        self.vectors = self.spark.read.parquet(f"{self.path}/vectors")
+        self.version = open_latest(self.spark, self.path)
+        self.chunks, self.vectors = self.version.chunks, self.version.vectors
 
     def sources(self) -> DataFrame:
         return evidence.doc_sources(self.chunks)
@@ -44,40 +41,30 @@ class Engine:
         return kept, self.vectors.join(self.chunks.filter(F.col("source") == source).select("chunk_id"), "chunk_id", "left_anti")
 
     def delete(self, source: str) -> None:
-        """Take a document out of the stored index."""
-        self._replace(*self.without(source))
+        """A new version without a document."""
+        kept, vectors = self.without(source)
+        write_version(kept, self.path, self.encoder, vectors)
+        self.reload()
 
     def upload(self, elements_path: str) -> None:
-        """Put more page elements into the stored index; their chunk ids follow the last one."""
+        """A new version with more page elements; a document that comes again replaces the one
+        of its name.  Chunk ids follow the last one that this version knows."""
         first = self.chunks.agg(F.coalesce(F.max("chunk_id") + 1, F.lit(0))).first()[0]
         chunks = chunking.page_chunks(read_elements(self.spark, elements_path)).withColumn("chunk_id", F.col("chunk_id") + first)
-        write_table(chunks, f"{self.path}/chunks.more")
-        chunks = self.spark.read.parquet(f"{self.path}/chunks.more")
-        vectors = embedding.encode(chunks, self.encoder)
-        self._replace(self.chunks.unionByName(chunks, allowMissingColumns=True), self.vectors.unionByName(vectors))
-
-    def _replace(self, chunks: DataFrame, vectors: DataFrame) -> None:
-        """Both tables are written whole beside the old ones, then take their places."""
-        for name, df in (("chunks", chunks), ("vectors", vectors)):
-            write_table(df, f"{self.path}/{name}.next")
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = folder.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
-        at = lambda name: self.spark._jvm.org.apache.hadoop.fs.Path(folder, name)
-        for name in ("chunks", "vectors"):
-            fs.delete(at(name), True)
-            fs.rename(at(f"{name}.next"), at(name))
-        fs.delete(at("chunks.more"), True)
+        again = chunks.select("source").distinct().withColumnRenamed("source", "_again")
+        kept = self.chunks.join(again, self.chunks["source"].eqNullSafe(again["_again"]), "left_anti")
+        write_version(kept.unionByName(chunks, allowMissingColumns=True), self.path, self.encoder, self.vectors)
         self.reload()
 
     def search(self, questions: DataFrame, k: int = 5) -> DataFrame:
         asked = questions.filter(F.trim("question") != "").withColumn("_x", routing.expand(F.col("question"), self.pack))
         asked = asked.join(self._encoded(asked, "_x"), "q_id").drop("_x")
-        return retrieval.hybrid_search(self.chunks, self.vectors, asked, k, self.pack)
+        return retrieval.hybrid_search(self.chunks, self.vectors, asked, k, self.pack, self.version.postings)
 
     def dense(self, questions: DataFrame, k: int = 5, floor: float = 0.15) -> DataFrame:
         """Vector-only retrieval; the question is encoded with the retrieval prefix."""
         vectors = self._encoded(questions.filter(F.trim("question") != ""), "question", embedding.QUERY_PREFIX)
-        return retrieval.dense_retrieve(self.chunks, self.vectors, vectors, k, floor)
+        return retrieval.dense_retrieve(self.chunks, self.vectors, vectors, k, floor, self.version.cells)
 
     def _encoded(self, questions: DataFrame, text: str, prefix: str = "") -> DataFrame:
         rows = questions.select(F.col("q_id").alias("chunk_id"), F.col(text).alias("text"), F.lit("text").alias("content_type"))
