@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import normalize_ws, script_characters, script_counts, script_purity, strip, words
+from .text import Counts, normalize_ws, script_characters, script_counts, script_purity, strip, words
 
 _USEFUL = r"[^\p{L}\p{N}\s.,;:!?()\-/%₹$€£]"
 
@@ -22,22 +22,23 @@ def text_quality(text: Column, confidence: Column) -> Column:
     return F.when(n == 0, 0.0).otherwise(F.round(raw * short * again + 1e-9, 4))  # ties up
 
 
-def line_quality(text: Column, confidence: Column, language: Column) -> Column:
-    """Line-level quality; confidence is 0 to 1."""
+def line_quality(text: Column, confidence: Column, language: Column, counts: Counts | None = None) -> Column:
+    """Line-level quality; confidence is 0 to 1, ``counts`` are the text's by script where they are known."""
     s = normalize_ws(text)
-    n = script_counts(s)
+    n = counts or script_counts(s)
     total = sum(n.values(), F.lit(0))
     meaning = F.try_divide(total - n["other"], total)
-    purity = script_purity(s, language)
+    purity = script_purity(s, language, n)
     bucket = F.when(purity < 0.20, 0.0).when(purity < 0.40, 0.20).when(purity < 0.60, 0.50).when(purity < 0.80, 0.80).otherwise(1.0)
     raw = confidence * 0.40 + meaning * 0.30 + F.least(F.length(s) / 40.0, F.lit(1.0)) * 0.10 + bucket * 0.20
     return F.when(total == 0, 0.0).otherwise(raw)
 
 
-def valid_candidate(text: Column, confidence: Column, language: Column) -> Column:
+def valid_candidate(text: Column, confidence: Column, language: Column, counts: Counts | None = None) -> Column:
     """Whether a line recogniser's result is worth comparing."""
     s = strip(F.coalesce(text, F.lit("")))
-    purity, own = script_purity(s, language), script_characters(s, language)
+    n = counts or script_counts(s)
+    purity, own = script_purity(s, language, n), script_characters(s, language, n)
     script = (
         F.when(language.isin("hindi", "kannada"), (own >= 2) & (purity >= 0.30))
         .when(language == "latin", (own >= 1) & (purity >= 0.20))

@@ -72,8 +72,12 @@ def script_counts(c: Column) -> dict[str, Column]:
     return found | {"other": F.length(F.regexp_replace(bare, f"[{''.join(_SCRIPTS.values())}]", ""))}
 
 
-def dominant_script(c: Column) -> Column:
-    n = script_counts(c)
+Counts = dict[str, Column]
+
+
+def dominant_script(c: Column, counts: Counts | None = None) -> Column:
+    """The script with most characters; ``counts`` are those of ``c`` where they are known."""
+    n = counts or script_counts(c)
     top = F.greatest(n["latin"], n["hindi"], n["kannada"])
     return (
         F.when(top == 0, F.when(n["digits"] > 0, "latin").otherwise("unknown"))
@@ -83,14 +87,14 @@ def dominant_script(c: Column) -> Column:
     )
 
 
-def script_characters(c: Column, language: Column) -> Column:
-    n = script_counts(c)
+def script_characters(c: Column, language: Column, counts: Counts | None = None) -> Column:
+    n = counts or script_counts(c)
     return F.when(language == "hindi", n["hindi"]).when(language == "kannada", n["kannada"]).otherwise(n["latin"] + n["digits"])
 
 
-def script_purity(c: Column, language: Column) -> Column:
-    n = script_counts(c)
-    return F.coalesce(F.try_divide(script_characters(c, language), sum(n.values(), F.lit(0))), F.lit(0.0))
+def script_purity(c: Column, language: Column, counts: Counts | None = None) -> Column:
+    n = counts or script_counts(c)
+    return F.coalesce(F.try_divide(script_characters(c, language, n), sum(n.values(), F.lit(0))), F.lit(0.0))
 
 
 def first_text(*columns: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.quality import line_quality, text_quality, valid_candidate
-from ..functions.text import dominant_script, script_purity, strip
+from ..functions.text import dominant_script, script_counts, script_purity, strip
 
 VARIANTS = ("original", "autocontrast", "contrast", "sharpen", "threshold")
 MODES = (3, 6, 11)
@@ -47,9 +47,16 @@ def score_pages(pages: DataFrame) -> DataFrame:
 
 
 def score_lines(lines: DataFrame) -> DataFrame:
-    """Quality, purity, script and validity of (text, confidence, language) rows."""
+    """Quality, purity, script and validity of (text, confidence, language) rows.
+
+    Characters are counted once, in a column of their own: white space has no
+    part in the counts, so they serve the text however it is trimmed.
+    """
     t, c, lang = F.col("text"), F.col("confidence"), F.col("language")
-    return lines.select("*", line_quality(t, c, lang).alias("quality"), script_purity(t, lang).alias("purity"), dominant_script(t).alias("script"), valid_candidate(t, c, lang).alias("valid"))
+    counted = script_counts(t)
+    rows = lines.withColumn("_n", F.struct(*[v.alias(k) for k, v in counted.items()]))
+    n = {k: F.col("_n")[k] for k in counted}
+    return rows.select("*", line_quality(t, c, lang, n).alias("quality"), script_purity(t, lang, n).alias("purity"), dominant_script(t, n).alias("script"), valid_candidate(t, c, lang, n).alias("valid")).drop("_n")
 
 
 def select_lines(candidates: DataFrame) -> DataFrame:
@@ -78,23 +85,28 @@ def polygon_boxes(polygons: DataFrame) -> DataFrame:
 
 
 def group_lines(boxes: DataFrame, overlap: float = 0.35, gap: float = 3.0) -> DataFrame:
-    """(page, line, box ids) of text lines; a greedy pass per page, so a page is one group."""
+    """(page, line, box ids) of text lines; a greedy pass per page, so a page is one group.
+
+    Boxes come from top to bottom, so a line that ends above one is never met again.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         lines: list[dict] = []
+        near: list[dict] = []  # lines that reach below the top of the box
         for b in pdf.sort_values(["y1", "x1", "id"]).to_dict("records"):
-            best, most = None, -1.0
-            for line in lines:
+            best, most, tall = None, -1.0, max(1, b["y2"] - b["y1"])
+            near = [line for line in near if line["y2"] > b["y1"]] if overlap > 0 else near
+            for line in near:
                 shared = max(0, min(b["y2"], line["y2"]) - max(b["y1"], line["y1"]))
-                part = shared / min(max(1, b["y2"] - b["y1"]), max(1, line["y2"] - line["y1"]))
-                high = sum(max(1, x["y2"] - x["y1"]) for x in line["boxes"]) / len(line["boxes"])
-                if part >= overlap and part > most and max(0, b["x1"] - line["x2"]) <= gap * high:
+                part = shared / min(tall, max(1, line["y2"] - line["y1"]))
+                if part >= overlap and part > most and max(0, b["x1"] - line["x2"]) <= gap * line["tall"] / len(line["boxes"]):
                     best, most = line, part
             if best is None:
-                lines.append({**{k: b[k] for k in ("x1", "y1", "x2", "y2")}, "boxes": [b]})
+                lines.append({**{k: b[k] for k in ("x1", "y1", "x2", "y2")}, "boxes": [b], "tall": tall})
+                near.append(lines[-1])
             else:
                 best["boxes"].append(b)
-                best.update(x1=min(best["x1"], b["x1"]), y1=min(best["y1"], b["y1"]), x2=max(best["x2"], b["x2"]), y2=max(best["y2"], b["y2"]))
+                best.update(x1=min(best["x1"], b["x1"]), y1=min(best["y1"], b["y1"]), x2=max(best["x2"], b["x2"]), y2=max(best["y2"], b["y2"]), tall=best["tall"] + tall)
         lines.sort(key=lambda x: x["y1"])
         rows = [(b["page"], n, b["id"], b["x1"], b["y1"], b["x2"], b["y2"]) for n, line in enumerate(lines) for b in sorted(line["boxes"], key=lambda b: b["x1"])]
         return pd.DataFrame(rows, columns=["page", "line", "id", "x1", "y1", "x2", "y2"])

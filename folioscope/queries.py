@@ -1,6 +1,7 @@
 """Registered queries of the engine's own operators, with their DuckDB counterparts.
 
-Where the driver's tables can feed an operator they do, whole; ``documents``
+The driver's tables feed every operator, whole, directly or by way of rows that
+:mod:`.derived` makes of them; a few literal edge cases stand beside those.  ``documents``
 are single pages and chunks (chunk_id = page = doc_id), ``benchmark`` texts are
 questions, and ``embeddings`` are paired with documents and questions by id (a
 synthetic pairing: it tests the computation, not relevance).
@@ -13,7 +14,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import derived
 from . import fixtures as fx
+from .derived import table
 from .functions import lexicons as lex
 from .functions import routing, text
 from .operators import chunking, embedding, evaluation, evidence, memory, ocr, retrieval, visual
@@ -37,14 +40,6 @@ def query(sql: str | None = None):
     return add
 
 
-def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    """A table; one that is scanned in fewer parts than there are cores is dealt out to them."""
-    df, cores = spark.read.parquet(f"{d}/{name}.parquet"), spark.sparkContext.defaultParallelism
-    if name in ("documents", "pages") and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
-
-
 # ------------------------------------------------------------------ SQL pieces
 # RE2 escapes go into DuckDB literals as they are.
 
@@ -247,12 +242,12 @@ def ocr_grid(spark, d):
     return ocr.ocr_grid(spark, table(spark, d, "documents").select(F.col("doc_id").alias("page"))).select("page", "variant", "psm")
 
 
-_CANDIDATES = fx.CANDIDATES.sql(["key", "ord", "text", "confidence", "quality"])
+_CANDIDATES = f"(SELECT * FROM {fx.CANDIDATES.sql(['key', 'ord', 'text', 'confidence', 'quality'])} UNION ALL SELECT * FROM {derived.CANDIDATES})"
 
 
 @query(f"SELECT key, text, confidence, quality, ord FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY length(text) >= 50 DESC, quality DESC, ord) AS r FROM {_CANDIDATES} WHERE text <> '') WHERE r = 1")
 def ocr_best(spark, d):
-    return ocr.best_candidate(fx.CANDIDATES.spark(spark))
+    return ocr.best_candidate(fx.CANDIDATES.spark(spark).unionByName(derived.candidates(spark, d)))
 
 
 _GATE = "(SELECT doc_id AS page, text, CASE WHEN lang = 'en' THEN '' ELSE 'seen ' || lang END AS ocr_text FROM documents UNION ALL SELECT -id, text, 'seen ' || id FROM " + TEXTS + ")"
@@ -268,46 +263,59 @@ def ocr_gate(spark, d):
     return ocr.ocr_gate(pages.unionByName(short)).select("page", "ocr_used", "text")
 
 
-_LINES = fx.LINES.sql(["line_id", "ord", "engine", "language", "text", "confidence"])
+_LINES = f"(SELECT * FROM {fx.LINES.sql(['line_id', 'ord', 'engine', 'language', 'text', 'confidence'])} UNION ALL SELECT * FROM {derived.LINES})"
+
+
+def _lines(spark, d):
+    return fx.LINES.spark(spark).unionByName(derived.lines(spark, d))
+
+
 _LINE_BEST = f"(SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY line_id) AS n, row_number() OVER (PARTITION BY line_id ORDER BY q DESC, ord) AS r FROM (SELECT *, {_LINE_QUALITY} AS q FROM {_LINES} WHERE {_VALID})) WHERE r = 1)"
 
 
 @query(f"SELECT line_id, CASE WHEN q < 0.42 THEN 'uncertain' ELSE engine END AS engine, CASE WHEN q < 0.42 THEN '' ELSE text END AS text, confidence, round(q, 6) AS quality, n AS n_candidates FROM {_LINE_BEST}")
 def line_select(spark, d):
-    return ocr.select_lines(fx.LINES.spark(spark)).select("line_id", "engine", "text", "confidence", F.round("quality", 6).alias("quality"), "n_candidates")
+    return ocr.select_lines(_lines(spark, d)).select("line_id", "engine", "text", "confidence", F.round("quality", 6).alias("quality"), "n_candidates")
 
 
 @query(f"SELECT line_id, CAST(row_number() OVER (PARTITION BY line_id ORDER BY ord) - 1 AS INTEGER) AS place, engine, language, text, confidence, round({_LINE_QUALITY}, 6) AS quality FROM {_LINES} WHERE {_VALID}")
 def line_audit(spark, d):
-    rows = ocr.select_lines(fx.LINES.spark(spark)).select("line_id", F.posexplode("candidates").alias("place", "c"))
+    rows = ocr.select_lines(_lines(spark, d)).select("line_id", F.posexplode("candidates").alias("place", "c"))
     return rows.select("line_id", "place", *[F.col(f"c.{x}").alias(x) for x in ("engine", "language", "text", "confidence")], F.round("c.quality", 6).alias("quality"))
 
 
 @query(
-    f"""SELECT line_id % 2 AS page, count(*) AS n_lines, count(*) FILTER (q >= 0.42) AS n_accepted, count(*) FILTER (q < 0.42) AS n_uncertain, count(*) FILTER (q >= 0.42 AND engine = 'tesseract') AS n_tesseract,
-    round(coalesce(avg(confidence) FILTER (q >= 0.42), 0), 6) AS mean_confidence, round(coalesce(avg(q) FILTER (q >= 0.42), 0), 6) AS mean_quality FROM {_LINE_BEST} GROUP BY 1"""
+    f"""SELECT line_id // 100000 AS page, count(*) AS n_lines, count(*) FILTER (q >= 0.42) AS n_accepted, count(*) FILTER (q < 0.42) AS n_uncertain, count(*) FILTER (q >= 0.42 AND engine = 'tesseract') AS n_tesseract,
+    round(coalesce(avg(confidence) FILTER (q >= 0.42), 0) + 1e-9, 6) AS mean_confidence, round(coalesce(avg(q) FILTER (q >= 0.42), 0) + 1e-9, 6) AS mean_quality FROM {_LINE_BEST} GROUP BY 1"""
 )
 def ocr_page_stats(spark, d):
-    stats = ocr.page_stats(ocr.select_lines(fx.LINES.spark(spark)).withColumn("page", F.col("line_id") % 2))
-    return stats.withColumn("mean_confidence", F.round("mean_confidence", 6)).withColumn("mean_quality", F.round("mean_quality", 6))
+    stats = ocr.page_stats(ocr.select_lines(_lines(spark, d)).withColumn("page", F.expr("line_id div 100000")))
+    return stats.withColumn("mean_confidence", F.round(F.col("mean_confidence") + 1e-9, 6)).withColumn("mean_quality", F.round(F.col("mean_quality") + 1e-9, 6))
+
+
+_BOXES = f"(SELECT page, CAST(i - 1 AS INTEGER) AS id, boxes[i].x1 AS x1, boxes[i].y1 AS y1, boxes[i].x2 AS x2, boxes[i].y2 AS y2 FROM (SELECT page, boxes, unnest(range(1, len(boxes) + 1)) AS i FROM (SELECT * FROM {fx.BOXES.sql(['page', 'boxes'])} UNION ALL SELECT * FROM {derived.BOXES})))"
+
 
+_CLEAN_BOXES = f"(SELECT * FROM {_BOXES} WHERE x2 - x1 >= 8 AND y2 - y1 >= 5)"
 
-_BOXES = f"(SELECT page, CAST(i - 1 AS INTEGER) AS id, boxes[i].x1 AS x1, boxes[i].y1 AS y1, boxes[i].x2 AS x2, boxes[i].y2 AS y2 FROM (SELECT page, boxes, unnest(range(1, len(boxes) + 1)) AS i FROM {fx.BOXES.sql(['page', 'boxes'])}))"
 
+def _boxes(spark, d):
+    return fx.BOXES.spark(spark).unionByName(derived.boxes(spark, d))
 
-@query(f"SELECT * FROM {_BOXES} WHERE x2 - x1 >= 8 AND y2 - y1 >= 5")
+
+@query(f"SELECT * FROM {_CLEAN_BOXES}")
 def clean_boxes(spark, d):
-    return ocr.clean_boxes(fx.BOXES.spark(spark))
+    return ocr.clean_boxes(_boxes(spark, d))
 
 
-@query("SELECT * FROM (VALUES (CAST(1 AS BIGINT), 0, 0, 0, 90, 12, '0,1'), (1, 1, 5, 30, 70, 40, '3'), (1, 2, 400, 31, 450, 41, '4'), (2, 0, 1, 1, 9, 6, '0')) AS t(page, line, x1, y1, x2, y2, ids)")
+@query(f"SELECT * FROM (VALUES (CAST(1 AS BIGINT), 0, 0, 0, 90, 12, '0,1'), (1, 1, 5, 30, 70, 40, '3'), (1, 2, 400, 31, 450, 41, '4'), (2, 0, 1, 1, 9, 6, '0')) AS t(page, line, x1, y1, x2, y2, ids) UNION ALL {derived.line_boxes_sql(_CLEAN_BOXES)}")
 def line_boxes(spark, d):
-    return ocr.line_boxes(ocr.group_lines(ocr.clean_boxes(fx.BOXES.spark(spark))))
+    return ocr.line_boxes(ocr.group_lines(ocr.clean_boxes(_boxes(spark, d))))
 
 
-@query("SELECT CAST(1 AS BIGINT) AS key, 'Hello world' AS text, CAST(88.25 AS DOUBLE) AS confidence")
+@query(f"SELECT CAST(1 AS BIGINT) AS key, 'Hello world' AS text, CAST(88.25 AS DOUBLE) AS confidence UNION ALL SELECT * FROM {derived.TSV_TEXT}")
 def tsv_parse(spark, d):
-    return ocr.parse_tsv(fx.TSV.spark(spark))
+    return ocr.parse_tsv(fx.TSV.spark(spark).unionByName(derived.tsv(spark, d)))
 
 
 # ------------------------------------------------------------------ pages and chunks
@@ -377,14 +385,21 @@ def s_images(images: str) -> str:
     return f"array_to_string(list_transform(range(1, len({images}) + 1), lambda k: 'Embedded image ' || k || ' (' || coalesce({images}[k].extension, 'unknown') || ')' || {size}), chr(10))"
 
 
-@query(f"SELECT source, page, {s_tables('tables')} AS text FROM {ELEMENTS}")
+_LAID_OUT = f"(SELECT * FROM {ELEMENTS} UNION ALL SELECT * EXCLUDE (chunk_id) FROM {derived.ELEMENTS})"
+
+
+def _laid_out(spark, d):
+    return fx.ELEMENTS.spark(spark).unionByName(derived.elements(spark, d).drop("chunk_id"))
+
+
+@query(f"SELECT source, page, {s_tables('tables')} AS text FROM {_LAID_OUT}")
 def table_text(spark, d):
-    return fx.ELEMENTS.spark(spark).select("source", "page", chunking.tables_text(F.col("tables")).alias("text"))
+    return _laid_out(spark, d).select("source", "page", chunking.tables_text(F.col("tables")).alias("text"))
 
 
-@query(f"SELECT source, page, {s_images('images')} AS text FROM {ELEMENTS}")
+@query(f"SELECT source, page, {s_images('images')} AS text FROM {_LAID_OUT}")
 def image_text(spark, d):
-    return fx.ELEMENTS.spark(spark).select("source", "page", chunking.images_text(F.col("images")).alias("text"))
+    return _laid_out(spark, d).select("source", "page", chunking.images_text(F.col("images")).alias("text"))
 
 
 _LOOSE = fx.LOOSE_PAGES.sql(["source", "page", "text", "ocr_used", "ocr_languages", "ocr_confidence"])
@@ -412,7 +427,7 @@ def page_chunks(spark, d):
     return _page_chunks(spark, d).drop("page_image", "images", "tables")
 
 
-_BLOCKS = fx.BLOCKS.sql(["source", "page", "region", "section", "subsection", "text"])
+_BLOCKS = f"(SELECT * FROM {fx.BLOCKS.sql(['source', 'page', 'region', 'section', 'subsection', 'text'])} UNION ALL SELECT * FROM {derived.BLOCKS})"
 
 
 @query(
@@ -421,7 +436,7 @@ _BLOCKS = fx.BLOCKS.sql(["source", "page", "region", "section", "subsection", "t
     FROM (SELECT *, {s_sentences('text')} AS s FROM {_BLOCKS}) WHERE {s_clean_chunk('text')} <> ''))"""
 )
 def legacy_chunks(spark, d):
-    return chunking.legacy_chunks(fx.BLOCKS.spark(spark))
+    return chunking.legacy_chunks(fx.BLOCKS.spark(spark).unionByName(derived.blocks(spark, d)))
 
 
 def _stats_sql(by: str, value: str) -> str:
@@ -450,10 +465,10 @@ def table_pages(spark, d):
 
 @query(
     f"""SELECT count(DISTINCT source) AS n_documents, count(*) AS n_pages, count(*) FILTER (ocr_used) AS n_ocr, CAST(sum(len(images)) AS BIGINT) AS n_images, CAST(sum(len(list_filter(tables, lambda t: len(t.rows) > 0))) AS BIGINT) AS n_tables, count(page_image) AS n_rendered,
-    round(coalesce(avg(ocr_confidence) FILTER (ocr_used AND ocr_confidence > 0), 0), 6) AS mean_confidence, round(coalesce(avg(ocr_quality) FILTER (ocr_used AND ocr_quality > 0), 0), 6) AS mean_quality FROM {ELEMENTS}"""
+    round(coalesce(avg(ocr_confidence) FILTER (ocr_used AND ocr_confidence > 0), 0), 6) AS mean_confidence, round(coalesce(avg(ocr_quality) FILTER (ocr_used AND ocr_quality > 0), 0), 6) AS mean_quality FROM {_LAID_OUT}"""
 )
 def ingest_summary(spark, d):
-    rows = fx.ELEMENTS.spark(spark).withColumn("image_count", F.size("images")).withColumn("table_count", F.size(F.filter("tables", lambda t: F.size(t["rows"]) > 0)))
+    rows = _laid_out(spark, d).withColumn("image_count", F.size("images")).withColumn("table_count", F.size(F.filter("tables", lambda t: F.size(t["rows"]) > 0)))
     return evaluation.ingest_summary(rows).withColumn("mean_confidence", F.round("mean_confidence", 6)).withColumn("mean_quality", F.round("mean_quality", 6))
 
 
@@ -692,11 +707,17 @@ def table_refs(spark, d):
     return all_questions(spark, d).select("q_id", routing.table_number(F.col("question")).alias("number"))
 
 
-@query(f"SELECT region, intent, CAST({s_region('region', 'intent')} AS DOUBLE) AS adjustment FROM (SELECT unnest(['header', 'abstract', 'body', 'table']) AS region), (SELECT unnest(['header', 'abstract', 'body', 'general']) AS intent)")
+_PAIRED = f"""(SELECT doc_id, item_id AS q_id, region, {s_intent('b.text')} AS intent FROM (SELECT chunk_id AS doc_id, region FROM {DOC_CHUNKS}) c JOIN benchmark b ON c.doc_id % 40 = b.item_id % 40
+    UNION ALL SELECT -1, -1, region, intent FROM (SELECT unnest(['header', 'abstract', 'body', 'table']) AS region), (SELECT unnest(['header', 'abstract', 'body', 'general']) AS intent))"""
+
+
+@query(f"SELECT *, CAST({s_region('region', 'intent')} AS DOUBLE) AS adjustment FROM {_PAIRED}")
 def region_adjust(spark, d):
-    regions = spark.createDataFrame([(r,) for r in ("header", "abstract", "body", "table")], "region string")
-    intents = spark.createDataFrame([(i,) for i in ("header", "abstract", "body", "general")], "intent string")
-    return regions.crossJoin(intents).select("region", "intent", routing.region_adjustment(F.col("region"), F.col("intent")).alias("adjustment"))
+    """Chunks with the questions dealt to them, and every region with every intent."""
+    asked = _asked(spark, d).select("q_id", routing.intent(F.col("question"), fx.DOMAIN_PACK).alias("intent"))
+    met = _doc_chunks(spark, d).select(F.col("chunk_id").alias("doc_id"), "region").join(asked, F.col("doc_id") % 40 == F.col("q_id") % 40)
+    every = spark.createDataFrame([(-1, -1, r, i) for r in ("header", "abstract", "body", "table") for i in ("header", "abstract", "body", "general")], "doc_id long, q_id long, region string, intent string")
+    return met.unionByName(every).withColumn("adjustment", routing.region_adjustment(F.col("region"), F.col("intent")))
 
 
 _OBJECTIVE_TEXT = "(SELECT id, CASE WHEN id % 2 = 0 THEN 'This paper proposes an integrated framework to monitor and predict; it aims to ' ELSE '' END || coalesce(text, '') AS text FROM " + ALL_TEXTS + ")"
@@ -713,7 +734,7 @@ def objective_score(spark, d):
 
 
 def _visual_chunks(spark, d):
-    rows = fx.ELEMENTS.spark(spark).withColumn("chunk_id", F.row_number().over(_by("source", "page")).cast("long"))
+    rows = fx.ELEMENTS.spark(spark).withColumn("chunk_id", F.row_number().over(_by("source", "page")).cast("long")).unionByName(derived.elements(spark, d))
     return rows.withColumn("content_type", F.when(F.size("images") > 0, "image").when(F.size("tables") > 0, "table").otherwise("visual_page"))
 
 
@@ -723,7 +744,7 @@ def _by(*columns: str):
     return Window.orderBy(*columns)  # a literal table of four rows
 
 
-VISUAL = f"(SELECT *, row_number() OVER (ORDER BY source, page) AS chunk_id, CASE WHEN len(images) > 0 THEN 'image' WHEN len(tables) > 0 THEN 'table' ELSE 'visual_page' END AS content_type FROM {ELEMENTS})"
+VISUAL = f"(SELECT *, CASE WHEN len(images) > 0 THEN 'image' WHEN len(tables) > 0 THEN 'table' ELSE 'visual_page' END AS content_type FROM (SELECT *, row_number() OVER (ORDER BY source, page) AS chunk_id FROM {ELEMENTS} UNION ALL SELECT * FROM {derived.ELEMENTS}))"
 _AVAILABLE = f"(SELECT source, page, chunk_id, coalesce(list_filter(images, lambda x: coalesce(x.path, '') <> '')[1].path, nullif(page_image.path, '')) AS path FROM {VISUAL} WHERE coalesce(list_filter(images, lambda x: coalesce(x.path, '') <> '')[1].path, nullif(page_image.path, '')) IS NOT NULL)"
 
 
@@ -743,10 +764,10 @@ _FOUND_PAGES = [(13, 1, "a.pdf", 2), (13, 2, "a.pdf", 3), (1, 1, "a.pdf", 2), (7
 
 
 @query(
-    f"""WITH have AS (SELECT source, page, path FROM {_AVAILABLE}), found AS (SELECT * FROM (VALUES {', '.join(map(str, _FOUND_PAGES))}) AS t(q_id, rank, source, page)),
+    f"""WITH have AS (SELECT source, page, path FROM {_AVAILABLE}), found AS (SELECT * FROM (VALUES {', '.join(map(str, _FOUND_PAGES))}) AS t(q_id, rank, source, page) UNION ALL SELECT * FROM {derived.PAGES_FOUND}),
     tabled AS (SELECT source, page, path, n FROM (SELECT *, row_number() OVER (ORDER BY page, source) AS n FROM (SELECT DISTINCT source, page FROM {VISUAL} WHERE content_type = 'table' AND page IS NOT NULL)) JOIN have USING (source, page) WHERE n <= {visual.MOST_PAGES}),
     shown AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY page, source) AS n FROM have) WHERE n <= {visual.MOST_PAGES}),
-    q AS (SELECT q_id, {_PAGE_REF} AS asked, {_TABLE_REF} AS numbered, {s_any('lower(question)', lex.TABLE_WORDS)} AS tabular, {s_any('lower(question)', lex.VISUAL_WORDS)} AS looking FROM {QUESTIONS}),
+    q AS (SELECT q_id, {_PAGE_REF} AS asked, {_TABLE_REF} AS numbered, {s_any('lower(question)', lex.TABLE_WORDS)} AS tabular, {s_any('lower(question)', lex.VISUAL_WORDS)} AS looking FROM (SELECT * FROM {QUESTIONS} UNION ALL SELECT 1000 + item_id, text FROM benchmark)),
     every AS (SELECT q_id, 0 AS level, 1 AS n, source, page, path FROM (SELECT q_id, have.*, row_number() OVER (PARTITION BY q_id ORDER BY source) AS r FROM q JOIN have ON asked = page) WHERE r = 1
         UNION ALL SELECT q_id, 1, n, source, page, path FROM q, tabled WHERE numbered IS NOT NULL
         UNION ALL SELECT q_id, 2, rank, source, page, path FROM found JOIN have USING (source, page)
@@ -757,13 +778,14 @@ _FOUND_PAGES = [(13, 1, "a.pdf", 2), (13, 2, "a.pdf", 3), (1, 1, "a.pdf", 2), (7
 )
 def visual_select(spark, d):
     chunks = _visual_chunks(spark, d)
-    results = spark.createDataFrame(_FOUND_PAGES, "q_id long, rank int, source string, page int")
-    return visual.select_pages(fx.QUESTIONS.spark(spark), results, visual.available_pages(chunks), visual.table_pages(chunks))
+    results = spark.createDataFrame(_FOUND_PAGES, "q_id long, rank int, source string, page int").unionByName(derived.pages_found(spark, d))
+    asked = fx.QUESTIONS.spark(spark).unionByName(_asked(spark, d).withColumn("q_id", F.col("q_id") + 1_000))
+    return visual.select_pages(asked, results, visual.available_pages(chunks), visual.table_pages(chunks))
 
 
-@query(f"SELECT id, CAST(greatest(1, floor(width * s)) AS INTEGER) AS new_width, CAST(greatest(1, floor(height * s)) AS INTEGER) AS new_height FROM (SELECT *, least(850 / CAST(width AS DOUBLE), 1100 / CAST(height AS DOUBLE), 1.0) AS s FROM {fx.SIZES.sql(['id', 'width', 'height'])})")
+@query(f"SELECT id, CAST(greatest(1, floor(width * s)) AS INTEGER) AS new_width, CAST(greatest(1, floor(height * s)) AS INTEGER) AS new_height FROM (SELECT *, least(850 / CAST(width AS DOUBLE), 1100 / CAST(height AS DOUBLE), 1.0) AS s FROM (SELECT * FROM {fx.SIZES.sql(['id', 'width', 'height'])} UNION ALL SELECT * FROM {derived.SIZES}))")
 def resize_dims(spark, d):
-    return visual.resize_dims(fx.SIZES.spark(spark)).select("id", "new_width", "new_height")
+    return visual.resize_dims(fx.SIZES.spark(spark).unionByName(derived.sizes(spark, d))).select("id", "new_width", "new_height")
 
 
 # ------------------------------------------------------------------ memory
@@ -815,7 +837,11 @@ def evidence_context(spark, d):
     return evidence.evidence_context(_hybrid(spark, d))
 
 
-_ANSWERS = fx.ANSWERS.sql(["q_id", "answer", "n_sources"])
+_ANSWERS = f"(SELECT * FROM {fx.ANSWERS.sql(['q_id', 'answer', 'n_sources'])} UNION ALL SELECT * FROM {derived.ANSWERS})"
+
+
+def _answers(spark, d):
+    return fx.ANSWERS.spark(spark).unionByName(derived.answers(spark, d))
 
 
 def s_cites(pattern: str) -> str:
@@ -824,7 +850,7 @@ def s_cites(pattern: str) -> str:
 
 @query(f"SELECT q_id, array_to_string({s_cites('Source')}, ',') AS cited, array_to_string({s_cites('Visual Source')}, ',') AS cited_visual FROM {_ANSWERS}")
 def citations(spark, d):
-    rows = fx.ANSWERS.spark(spark)
+    rows = _answers(spark, d)
     cite = lambda v: F.array_join(evidence.citations(F.col("answer"), F.col("n_sources"), v), ",")
     return rows.select("q_id", cite(False).alias("cited"), cite(True).alias("cited_visual"))
 
@@ -837,7 +863,7 @@ _FIRST = "range(1, least(2, n_sources) + 1)"
     f"""SELECT q_id, CASE WHEN {_NEEDS} AND n_sources > 0 THEN answer || chr(10) || chr(10) || array_to_string(list_transform({_FIRST}, lambda i: '[Source ' || i || ']'), '') ELSE answer END AS answer, array_to_string(CASE WHEN {_NEEDS} THEN {_FIRST} ELSE {s_cites('Source')} END, ',') AS cited FROM {_ANSWERS}"""
 )
 def citation_repair(spark, d):
-    return evidence.repair_citations(fx.ANSWERS.spark(spark)).withColumn("cited", F.array_join("cited", ","))
+    return evidence.repair_citations(_answers(spark, d)).withColumn("cited", F.array_join("cited", ","))
 
 
 @query(f"SELECT q_id, CAST(rank AS INTEGER) AS rank, page, chunk_id, 'Unknown' AS section, 'Unknown' AS subsection, region, round(final_score, 6) AS score, source, source AS document FROM {HYBRID}")
@@ -868,7 +894,7 @@ def doc_compare_context(spark, d):
 
 # ------------------------------------------------------------------ evaluation
 
-_CASES = fx.CASES.sql(["name", "category", "answer", "expected_terms"])
+_CASES = f"(SELECT * FROM {fx.CASES.sql(['name', 'category', 'answer', 'expected_terms'])} UNION ALL SELECT * FROM {derived.CASES})"
 
 
 def s_eval(x: str) -> str:
@@ -882,7 +908,7 @@ EVAL = f"(SELECT name, category, CASE WHEN len(expected_terms) = 0 THEN 0.0 ELSE
 
 @query(f"SELECT name, round(score, 6) AS score, score >= 0.7 AS passed, matched, missing FROM {EVAL}")
 def eval_terms(spark, d):
-    return evaluation.eval_terms(fx.CASES.spark(spark)).select("name", F.round("score", 6).alias("score"), "passed", F.array_join("matched", ",").alias("matched"), F.array_join("missing", ",").alias("missing"))
+    return evaluation.eval_terms(fx.CASES.spark(spark).unionByName(derived.cases(spark, d))).select("name", F.round("score", 6).alias("score"), "passed", F.array_join("matched", ",").alias("matched"), F.array_join("missing", ",").alias("missing"))
 
 
 @query("SELECT count(*) AS total, count(*) FILTER (quality = 1) AS n_passed, count(*) FILTER (quality <> 1) AS n_failed, round(100.0 * count(*) FILTER (quality = 1) / count(*), 6) AS accuracy FROM labels")
