@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from ..functions.text import strip
+from . import models
 
 SOURCE_CHARS, CHUNK_CHARS, DOCUMENT_CHARS, VISUAL_CHARS = 1800, 1400, 4500, 1600
 NOTHING = "The search found no text that bears on this question."
@@ -78,38 +78,55 @@ def first_sentence_answerer(question: str, context: str) -> str:
     return (lines[1].strip().split("\n", 1)[0] + " [Source 1]") if len(lines) > 1 else "No evidence."
 
 
+FAILED = "The answer could not be generated."
 NO_ANSWER = "Nothing relevant was found in the documents. Please rephrase the question."
 
 
 def answer_questions(questions: DataFrame, results: DataFrame, answerer: Answerer = first_sentence_answerer) -> DataFrame:
-    """(q_id, answer, cited, spoken) of the text route; questions without results get a fixed answer.
+    """(q_id, answer, cited, spoken, error) of the text route; questions without results get a fixed answer.
 
-    ``spoken`` is the answer before citations were appended, as memory keeps it.
+    ``spoken`` is the answer before citations were appended, as memory keeps it;
+    it is empty, and nothing is cited, where the model failed (``error`` says why).
     """
-    run = F.udf(answerer, StringType(), useArrow=True)
     counted = results.groupBy("q_id").agg(F.count(F.lit(1)).cast("int").alias("n_sources"))
     df = questions.join(evidence_context(results), "q_id", "left").join(counted, "q_id", "left")
-    said = df.select("q_id", F.when(F.col("context").isNull(), NO_ANSWER).otherwise(run("question", "context")).alias("answer"), F.coalesce("n_sources", F.lit(0)).alias("n_sources"))
-    return repair_citations(said.withColumn("spoken", F.col("answer")), ("spoken",))
+    said = models.ask(df, ["question", "context"], answerer, F.col("context").isNotNull())
+    said = said.select("q_id", _worded(F.col("context").isNull()).alias("answer"), _sources().alias("n_sources"), _spoken(F.col("context").isNull()).alias("spoken"), "error")
+    return repair_citations(said, ("spoken", "error"))
+
+
+def _worded(nothing: Column) -> Column:
+    """What a reader gets: the answer, or a fixed text where nothing was found or the model failed."""
+    return F.when(nothing, NO_ANSWER).when(F.col("error").isNotNull(), FAILED).otherwise(F.coalesce("answer", F.lit("")))
+
+
+def _spoken(nothing: Column) -> Column:
+    return F.when(nothing, NO_ANSWER).otherwise(F.coalesce("answer", F.lit("")))
+
+
+def _sources() -> Column:
+    """Sources that an answer may cite: none where the model failed."""
+    return F.when(F.col("error").isNull(), F.coalesce("n_sources", F.lit(0))).otherwise(0)
 
 
 def answer_with_images(questions: DataFrame, results: DataFrame, analyses: DataFrame, fusion: bool, answerer: Answerer = first_sentence_answerer) -> DataFrame:
-    """(q_id, answer, cited, cited_visual, spoken) of the visual route or, with ``fusion``, the fused one.
+    """(q_id, answer, cited, cited_visual, spoken, error) of the visual route or, with ``fusion``, the fused one.
 
     The fused route repairs text and image citations, and falls back to the
     text route's answer where no image could be read; the visual route repairs
     image citations alone.
     """
-    run = F.udf(answerer, StringType(), useArrow=True)
     counted = results.groupBy("q_id").agg(F.count(F.lit(1)).cast("int").alias("n_sources"))
     seen = analyses.groupBy("q_id").agg(F.sort_array(F.collect_list("number")).alias("numbers"))
     df = questions.join(evidence_context(results), "q_id", "left").join(visual_context(analyses), "q_id", "left").join(counted, "q_id", "left").join(seen, "q_id", "left")
     both = F.concat_ws("\n", F.coalesce("context", F.lit(NOTHING)), "visual")
     nothing = F.col("context").isNull() & F.col("visual").isNull()
-    df = df.select("q_id", F.when(nothing, NO_ANSWER).otherwise(run("question", both)).alias("answer"), F.coalesce("n_sources", F.lit(0)).alias("n_sources"), F.coalesce("numbers", F.array().cast("array<int>")).alias("numbers"))
-    df = df.withColumn("cited", citations(F.col("answer"), F.col("n_sources"))).withColumn("spoken", F.col("answer"))
-    text = repair_citations(df, ("spoken", "numbers")) if fusion else df
-    return repair_visual(text, ("cited", "spoken"))
+    df = models.ask(df.withColumn("_both", both), ["question", "_both"], answerer, ~nothing)
+    seen_numbers = F.when(F.col("error").isNull(), F.col("numbers"))
+    df = df.select("q_id", _worded(nothing).alias("answer"), _sources().alias("n_sources"), F.coalesce(seen_numbers, F.array().cast("array<int>")).alias("numbers"), _spoken(nothing).alias("spoken"), "error")
+    df = df.withColumn("cited", citations(F.col("answer"), F.col("n_sources")))
+    text = repair_citations(df, ("spoken", "error", "numbers")) if fusion else df
+    return repair_visual(text, ("cited", "spoken", "error"))
 
 
 def api_sources(results: DataFrame) -> DataFrame:

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from ..functions import routing
+from . import models
 
 MOST_PAGES = 2
 
@@ -80,12 +80,12 @@ def image_prompt(question: Column) -> Column:
 
 
 def analyze_pages(selected: DataFrame, questions: DataFrame, analyser: Analyser) -> DataFrame:
-    """(q_id, number, source, page, chunk_id, analysis): one model call per image.
+    """(q_id, number, source, page, chunk_id, analysis): one model call per prompt and image.
 
     Images that cannot be read go; the others keep their numbers.
     """
-    run = F.udf(analyser, StringType(), useArrow=True)
-    df = selected.join(questions, "q_id").withColumn("analysis", F.left(run(image_prompt(F.col("question")), "path"), F.lit(ANALYSIS_CHARS)))
+    df = models.ask(selected.join(questions, "q_id").withColumn("_prompt", image_prompt(F.col("question"))), ["_prompt", "path"], analyser, answer="analysis")
+    df = df.withColumn("analysis", F.left("analysis", F.lit(ANALYSIS_CHARS)))
     return df.filter(F.coalesce("analysis", F.lit("")) != "").select("q_id", F.col("place").alias("number"), "source", "page", F.lit(None).cast("long").alias("chunk_id"), "analysis")
 
 

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from ..functions import lexicons, routing
-from ..operators import chunking, embedding, evidence, memory, retrieval, visual
+from ..operators import chunking, embedding, evidence, memory, models, retrieval, visual
 from ..sources.pages import read_elements
 from .versions import open_latest, write_version
 
@@ -77,7 +76,7 @@ class Engine:
         answerer: evidence.Answerer = evidence.first_sentence_answerer,
         analyser: visual.Analyser | None = None,
     ) -> DataFrame:
-        """(q_id, route, answer, cited, cited_visual, spoken) by each question's route.
+        """(q_id, route, answer, cited, cited_visual, spoken, error) by each question's route.
 
         ``turns`` (conv_id, turn, question, answer) gives memory by
         conversation; without an ``analyser`` images are not looked at.
@@ -103,17 +102,18 @@ class Engine:
         documents = evidence.doc_compare_context(self.chunks, self._looked_at(analyser) if analyser else None)
         block = F.concat(F.lit("[Document "), F.col("number").cast("string"), F.lit("]\nFile: "), "source", F.lit("\nEvidence:\n"), "text", F.lit("\nVisual evidence:\n"), "visual")
         whole = documents.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("number", block.alias("b")))), lambda r: r["b"]), "\n").alias("context"))
-        run = F.udf(answerer, StringType(), useArrow=True)
-        compared = compared.crossJoin(F.broadcast(whole)).select("q_id", run("question", "context").alias("answer"), empty.alias("cited"), empty.alias("cited_visual"))
-        said = said.unionByName(compared.withColumn("spoken", F.col("answer")))
+        compared = models.ask(compared.crossJoin(F.broadcast(whole)), ["question", "context"], answerer)
+        spoken = F.coalesce("answer", F.lit(""))
+        compared = compared.select("q_id", F.when(F.col("error").isNull(), spoken).otherwise(evidence.FAILED).alias("answer"), empty.alias("cited"), empty.alias("cited_visual"), spoken.alias("spoken"), "error")
+        said = said.unionByName(compared)
         return said.join(routed.select("q_id", "route"), "q_id")
 
     def _looked_at(self, analyser: visual.Analyser) -> DataFrame:
         """(source, visual): what the analyser sees on the first page image of every document."""
         pages = visual.available_pages(self.chunks)
         first = pages.groupBy("source").agg(F.min(F.struct("page", "chunk_id", "path")).alias("p"))
-        look = F.udf(analyser, StringType(), useArrow=True)
-        return first.select("source", look(F.lit("What does this page show?"), F.col("p.path")).alias("visual"))
+        asked = first.select("source", F.lit("What does this page show?").alias("_prompt"), F.col("p.path").alias("path"))
+        return models.ask(asked, ["_prompt", "path"], analyser, answer="visual").select("source", "visual")
 
     @staticmethod
     def remember(turns: DataFrame, questions: DataFrame, answered: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from ..operators import embedding
 from ..operators.inverted import InvertedIndex
 from ..operators.vector_index import VectorIndex
 from ..sources.pages import write_table
+from ..sources.store import delete
 
 MANIFEST = "version long, folder string, n_chunks long, n_vectors long"
 
@@ -78,6 +79,5 @@ def drop_old_versions(spark: SparkSession, path: str, keep: int = 2) -> list[str
     """Delete the folders of all but the last ``keep`` versions, which nobody may be reading; returns them."""
     old = [r["folder"] for r in manifest(spark, path)[:-keep]]
     for folder in old:
-        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{folder}")
-        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+        delete(spark, f"{path}/{folder}")
     return old

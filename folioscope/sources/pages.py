@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import clean_ingest, file_stem, strip
+from .store import prefix_sums, written
 
 IMAGE = "struct<image_index:int,path:string,width:int,height:int,extension:string>"
 TABLE = "struct<table_index:int,rows:array<array<string>>>"
@@ -132,15 +133,14 @@ def dense_ids(df: DataFrame, order: list[str], name: str, page: str, width: int
     """One dense sequence over the whole table in the order of ``order``.
 
     ``order`` starts with a grouping column and ``page``; null groups and pages
-    come first and keep their rows.  Counts per range of
-    ``width`` pages are summed up in order (a table of ranges, not of rows), so
-    no window holds more than one range of rows.
+    come first and keep their rows.  The table is written once; counts per range of
+    ``width`` pages become starts by prefix sums over ranges of these ranges, so no
+    window holds more than one range of rows or of counts.
     """
     group = order[0]
-    df = df.withColumn("_b", F.floor(F.col(page) / width))
-    sums = df.groupBy(group, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy(group, "_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(F.col(group).alias("_g"), F.col("_b").alias("_bb"), F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_start"))
+    rows = written(df.withColumn("_b", F.floor(F.col(page) / width)), "rows")
+    counts = rows.groupBy(group, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    starts = prefix_sums(counts, [group, "_b"], "_n", "_first").select(F.col(group).alias("_g"), F.col("_b").alias("_bb"), "_first")
     inside = Window.partitionBy(group, "_b").orderBy(*order[1:])
-    met = df.join(starts, df[group].eqNullSafe(starts["_g"]) & df["_b"].eqNullSafe(starts["_bb"]))
-    return met.withColumn(name, F.col("_start") + F.row_number().over(inside) - 1).drop("_b", "_bb", "_g", "_start")
+    met = rows.join(starts, rows[group].eqNullSafe(starts["_g"]) & rows["_b"].eqNullSafe(starts["_bb"]))
+    return met.withColumn(name, F.col("_first") + F.row_number().over(inside) - 1).drop("_b", "_bb", "_g", "_first", "_n")
