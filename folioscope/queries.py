@@ -22,6 +22,7 @@ from .functions import routing, text
 from .operators import chunking, embedding, evaluation, evidence, memory, ocr, retrieval, visual
 from .operators.inverted import InvertedIndex
 from .operators.vector_index import VectorIndex
+from .plans import evaluate
 from .sources import pages as src
 from .sources.store import new_folder
 from .streaming import memory as stream
@@ -921,3 +922,45 @@ def eval_summary(spark, d):
 def eval_by_category(spark, d):
     results = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", F.col("lang").alias("category")), "doc_id").select("category", (F.col("quality") == 1).alias("passed"))
     return evaluation.eval_by_category(results).withColumn("accuracy", F.round(F.col("accuracy").cast("double"), 6))
+
+
+def _case_turns(spark, d):
+    """(conv_id, turn, question): each text of the benchmark, then what the conversation of that number first asks."""
+    first = _asked(spark, d).select(F.col("q_id").alias("conv_id"), F.lit(1).alias("turn"), "question")
+    said = table(spark, d, "conversations").filter("role = 'user' AND trim(text) <> ''").groupBy("conv_id").agg(F.min_by("text", "turn").alias("question"))
+    return first.unionByName(said.join(first.select("conv_id"), "conv_id", "left_semi").withColumn("turn", F.lit(2)))
+
+
+def _best_page(spark, d):
+    """Answers with the beginning of the best page for the question in the light of memory."""
+    index, pages = _index(spark, d), _doc_chunks(spark, d, dealt=False).select("chunk_id", F.left("text", F.lit(200)).alias("answer"))
+
+    def answer(asked, turns):
+        query = memory.contextual_query(asked, memory.memory_context(turns)).select(F.col("conv_id").alias("q_id"), F.col("query").alias("question"))
+        best = retrieval.bm25_top(pages, query, 1, index).select(F.col("q_id").alias("conv_id"), "chunk_id")
+        return pages.join(F.broadcast(best), "chunk_id").select("conv_id", "answer", F.col("answer").alias("spoken"))  # a row a question
+
+    return answer
+
+
+def s_best(questions: str) -> str:
+    """(q_id, answer) of the best page for each question."""
+    return f"(SELECT q_id, left(text, 200) AS answer FROM (SELECT q_id, chunk_id, row_number() OVER (PARTITION BY q_id ORDER BY round(bm25, 6) DESC, chunk_id) AS r FROM {s_bm25(questions)}) JOIN documents ON doc_id = chunk_id WHERE r = 1)"
+
+
+_FIRST_Q = "(SELECT item_id AS q_id, text AS question FROM benchmark)"
+_FIRST_SAID = f"(SELECT q_id, question, answer FROM {_FIRST_Q} JOIN {s_best(_FIRST_Q)} USING (q_id))"
+_FOLLOWED = f"""(SELECT u.q_id, u.question AS asked, b.text AS first, CASE WHEN coalesce(answer, '') = '' THEN u.question ELSE 'Earlier in this conversation:' || chr(10) || left('User: ' || f.question || chr(10) || 'Assistant: ' || left(answer, 1000), 3500) || chr(10) || chr(10) || 'Question now:' || chr(10) || u.question || chr(10) || chr(10) || 'Earlier turns only say what it, this, that, the model or the result stands for.' END AS question
+    FROM (SELECT conv_id AS q_id, arg_min(text, turn) AS question FROM conversations WHERE role = 'user' AND trim(text) <> '' GROUP BY conv_id) u JOIN benchmark b ON b.item_id = u.q_id LEFT JOIN {_FIRST_SAID} f ON f.q_id = u.q_id)"""
+_EVAL_ROWS = f"(SELECT q_id, coalesce(answer, '') AS answer, list_concat(list_concat(w[1:1], w[3:3]), ['absent']) AS expected_terms FROM (SELECT f.q_id, s.answer, {derived.S_WORDS.replace('coalesce(text', 'coalesce(f.first')} AS w FROM {_FOLLOWED} f LEFT JOIN {s_best(_FOLLOWED)} s ON s.q_id = f.q_id))"
+
+
+@query(f"SELECT q_id AS conv_id, answer, round(CAST(len({_HIT}) AS DOUBLE) / len(expected_terms), 6) AS score, CAST(len({_HIT}) AS DOUBLE) / len(expected_terms) >= 0.7 AS passed, array_to_string({_MISS}, ',') AS missing FROM {_EVAL_ROWS}")
+def eval_conversations(spark, d):
+    """Two rounds over all cases: the second question is asked in the light of the first answer, and scored."""
+    turns = _case_turns(spark, d)
+    said = evaluate.converse(turns, _best_page(spark, d))
+    first = turns.filter("turn = 1").select("conv_id", text.words(F.col("question")).alias("w"))
+    terms = F.concat(F.slice("w", 1, 1), F.slice("w", 3, 1), F.array(F.lit("absent")))
+    expected = turns.filter("turn = 2").join(first, "conv_id").select("conv_id", F.lit(2).cast("long").alias("turn"), terms.alias("expected_terms"))
+    return evaluate.scored(said, expected).select("conv_id", "answer", F.round("score", 6).alias("score"), "passed", F.array_join("missing", ",").alias("missing"))
