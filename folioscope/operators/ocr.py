@@ -132,6 +132,44 @@ def page_stats(lines: DataFrame) -> DataFrame:
     )
 
 
+LINE = "struct<line_id:bigint,engine:string,language:string,text:string,confidence:double,quality:double>"
+COUNTS = ("raw_detection_count", "usable_detection_count", "merged_line_count")
+PAGE_RESULT = (
+    f"source string, text string, lines array<{LINE}>, raw_detection_count long, usable_detection_count long, merged_line_count long, ocr_line_count long, accepted_line_count long, "
+    "paddle_selected long, tesseract_selected long, uncertain_line_count long, average_confidence double, average_quality double"
+)
+
+
+def detection_counts(pages: DataFrame) -> DataFrame:
+    """(page, raw, usable and merged counts) of the boxes of pages: found, large enough, and lines made of them."""
+    raw = pages.select("page", F.coalesce(F.array_size("boxes"), F.lit(0)).cast("long").alias(COUNTS[0]))
+    usable = clean_boxes(pages)
+    kept = usable.groupBy("page").agg(F.count(F.lit(1)).alias(COUNTS[1]))
+    merged = group_lines(usable).groupBy("page").agg(F.count_distinct("line").alias(COUNTS[2]))
+    met = raw.join(kept, "page", "left").join(merged, "page", "left")
+    return met.select("page", *[F.coalesce(c, F.lit(0)).alias(c) for c in COUNTS])
+
+
+def page_results(lines: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """A row for each page (source) of selected lines: its text, its lines in order, how many were
+    accepted, by which engine, and means over the accepted ones (0 if none).
+
+    ``counts`` (source and the three detection counts) is joined where it is known.
+    """
+    ok = F.col("engine") != "uncertain"
+    fields = [f.split(":")[0] for f in LINE[7:-1].split(",")]
+    ordered = F.sort_array(F.collect_list(F.struct(*fields)))
+    mean = lambda c: F.coalesce(F.avg(F.when(ok, F.col(c))), F.lit(0.0))
+    rows = lines.groupBy("source").agg(
+        ordered.alias("lines"), F.count(F.lit(1)).alias("ocr_line_count"), F.count_if(ok).alias("accepted_line_count"), F.count_if(F.col("engine") == "paddle").alias("paddle_selected"),
+        F.count_if(F.col("engine") == "tesseract").alias("tesseract_selected"), F.count_if(~ok).alias("uncertain_line_count"), mean("confidence").alias("average_confidence"), mean("quality").alias("average_quality"),
+    )
+    text = F.array_join(F.transform(F.filter("lines", lambda x: x["text"] != ""), lambda x: x["text"]), "\n")
+    rows = rows.withColumn("text", text)
+    rows = rows.join(counts, "source", "left") if counts is not None else rows.withColumns({c: F.lit(None).cast("long") for c in COUNTS})
+    return rows.select(*[f.split()[0] for f in PAGE_RESULT.replace(LINE, "x").split(", ")])
+
+
 def crop_box(boxes: DataFrame, pad: int = 12) -> DataFrame:
     """Boxes padded and clamped to (width, height) of their page."""
     return boxes.select("*", F.greatest(F.lit(0), F.col("x1") - pad).alias("cx1"), F.greatest(F.lit(0), F.col("y1") - pad).alias("cy1"), F.least(F.col("width"), F.col("x2") + pad).alias("cx2"), F.least(F.col("height"), F.col("y2") + pad).alias("cy2"))

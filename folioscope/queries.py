@@ -294,6 +294,18 @@ def ocr_page_stats(spark, d):
     return stats.withColumn("mean_confidence", F.round(F.col("mean_confidence") + 1e-9, 6)).withColumn("mean_quality", F.round(F.col("mean_quality") + 1e-9, 6))
 
 
+@query(
+    f"""SELECT 'p' || line_id // 100000 || '.png' AS source, coalesce(string_agg(CASE WHEN q >= 0.42 THEN text END, chr(10) ORDER BY line_id) FILTER (q >= 0.42 AND text <> ''), '') AS text, count(*) AS ocr_line_count, count(*) FILTER (q >= 0.42) AS accepted_line_count,
+    count(*) FILTER (q >= 0.42 AND engine = 'paddle') AS paddle_selected, count(*) FILTER (q >= 0.42 AND engine = 'tesseract') AS tesseract_selected, count(*) FILTER (q < 0.42) AS uncertain_line_count,
+    array_to_string(list(CASE WHEN q < 0.42 THEN 'uncertain' ELSE engine END ORDER BY line_id), ',') AS engines FROM {_LINE_BEST} GROUP BY line_id // 100000"""
+)
+def ocr_page_results(spark, d):
+    page = F.concat(F.lit("p"), F.expr("line_id div 100000").cast("string"), F.lit(".png"))
+    rows = ocr.page_results(ocr.select_lines(_lines(spark, d)).withColumn("source", page))
+    engines = F.array_join(F.transform("lines", lambda x: x["engine"]), ",").alias("engines")
+    return rows.select("source", "text", "ocr_line_count", "accepted_line_count", "paddle_selected", "tesseract_selected", "uncertain_line_count", engines)
+
+
 _BOXES = f"(SELECT page, CAST(i - 1 AS INTEGER) AS id, boxes[i].x1 AS x1, boxes[i].y1 AS y1, boxes[i].x2 AS x2, boxes[i].y2 AS y2 FROM (SELECT page, boxes, unnest(range(1, len(boxes) + 1)) AS i FROM (SELECT * FROM {fx.BOXES.sql(['page', 'boxes'])} UNION ALL SELECT * FROM {derived.BOXES})))"
 
 

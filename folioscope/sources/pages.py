@@ -124,6 +124,15 @@ def _as_fields(schema: str) -> str:
     return ",".join(":".join(p.split(" ", 1)) for p in parts)
 
 
+def write_page_results(results: DataFrame, path: str) -> None:
+    """Results of recognised pages as JSON, each page in a folder named after its file with ``_hybrid``."""
+    results.withColumn("file", F.concat(file_stem(F.col("source")), F.lit("_hybrid"))).write.mode("overwrite").partitionBy("file").json(path)
+
+
+def read_page_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(path).drop("file")
+
+
 def write_table(df: DataFrame, path: str) -> None:
     """Every stage replaces its output."""
     df.write.mode("overwrite").parquet(path)
