@@ -134,18 +134,19 @@ def sign_codes(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding")
     return df.filter(F.coalesce(sound, F.lit(False))).select(F.col(id_col).alias("id"), words.alias("code"), F.size(vector).alias("width"))
 
 
-def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, block: int = 16_384, chunk: int = 16_384, least_chunks: int = 8) -> DataFrame:
+def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, block: int = 16_384, chunk: int = 16_384, least_tasks: int = 8) -> DataFrame:
     """query_id, rank, id, distance: the k nearest codes of every query, exactly.
 
-    A task searches some ``block`` codes for at most some ``chunk`` queries;
-    queries make ``least_chunks`` chunks at least, so that few of them still
-    keep several tasks busy.  Codes travel once per chunk of queries.
+    A task indexes some ``block`` codes and searches them for at most some
+    ``chunk`` queries.  Codes travel, and are indexed, once per chunk of queries:
+    once, for any number of queries up to ``chunk``, but where there are so few
+    blocks that fewer than ``least_tasks`` tasks would work.
     """
     ship(codes.sparkSession)
     codes = materialize(codes.select("id", "code", "width"), "codes")
     queries = materialize(queries.select("id", "code", "width"), "queries")
     nb = max(1, -(-codes.count() // block))
-    nc = max(least_chunks, -(-queries.count() // chunk))
+    nc = max(-(-queries.count() // chunk), -(-least_tasks // nb))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     rows = codes.select("width", deal(nb).alias("b"), every(nc).alias("c"), "id", "code", F.lit(False).alias("is_query"))

@@ -382,7 +382,7 @@ def test_hamming_search_matches_brute_force(spark):
     bits = [(r[0], len(r[1]), np.array(r[1]) > 0) for r in rows if r[1] and all(x is not None and x == x for x in r[1])]
     for block, k in ((65_536, 10), (64, 3)):
         got = {}
-        for r in hamming_search.top_k(codes, codes.filter("id % 50 = 0"), k=k, block=block, chunk=4, least_chunks=2).collect():
+        for r in hamming_search.top_k(codes, codes.filter("id % 50 = 0"), k=k, block=block, chunk=4, least_tasks=2).collect():
             got.setdefault(r["query_id"], []).append((r["rank"], r["distance"], r["id"]))
         for q, width, b in bits:
             if q % 50 == 0:
