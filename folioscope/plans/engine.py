@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -45,14 +47,15 @@ class Engine:
         write_version(kept, self.path, self.encoder, vectors)
         self.reload()
 
-    def upload(self, elements_path: str) -> None:
+    def upload(self, elements_path: str, begin: Callable[[str], None] = lambda step: None) -> None:
         """A new version with more page elements; a document that comes again replaces the one
-        of its name.  Chunk ids follow the last one that this version knows."""
+        of its name.  Chunk ids follow the last one that this version knows; ``begin``
+        is told the steps."""
         first = self.chunks.agg(F.coalesce(F.max("chunk_id") + 1, F.lit(0))).first()[0]
         chunks = chunking.page_chunks(read_elements(self.spark, elements_path)).withColumn("chunk_id", F.col("chunk_id") + first)
         again = chunks.select("source").distinct().withColumnRenamed("source", "_again")
         kept = self.chunks.join(again, self.chunks["source"].eqNullSafe(again["_again"]), "left_anti")
-        write_version(kept.unionByName(chunks, allowMissingColumns=True), self.path, self.encoder, self.vectors)
+        write_version(kept.unionByName(chunks, allowMissingColumns=True), self.path, self.encoder, self.vectors, begin)
         self.reload()
 
     def search(self, questions: DataFrame, k: int = 5) -> DataFrame:

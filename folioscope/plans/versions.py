@@ -9,6 +9,7 @@ and whoever has opened that one goes on reading its folder.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -49,27 +50,38 @@ def open_latest(spark: SparkSession, path: str) -> Version:
     return Version(spark, path, known[-1]["version"], known[-1]["folder"])
 
 
-def write_version(chunks: DataFrame, path: str, encoder: embedding.Encoder, vectors: DataFrame | None = None) -> int:
+#: What a new version goes through, in this order.
+STEPS = ("chunks", "vectors", "checks", "postings", "cells", "manifest")
+
+
+def write_version(chunks: DataFrame, path: str, encoder: embedding.Encoder, vectors: DataFrame | None = None, begin: Callable[[str], None] = lambda step: None) -> int:
     """Write ``chunks`` with ``vectors``, and the vectors of those chunks that have none there, as the next version.
 
-    An unsound index raises and is not named by the manifest.
+    An unsound index raises and is not named by the manifest.  ``begin`` is told
+    each of ``STEPS`` as it begins.
     """
     spark = chunks.sparkSession
     number = max((r["version"] for r in manifest(spark, path)), default=0) + 1
     folder = f"version-{number:06d}-{uuid.uuid4().hex[:8]}"  # two writers never share one
     at = f"{path}/{folder}"
+    begin("chunks")
     write_table(chunks, f"{at}/chunks")
     chunks = spark.read.parquet(f"{at}/chunks")
     new = chunks if vectors is None else chunks.join(vectors.select("chunk_id"), "chunk_id", "left_anti")
+    begin("vectors")
     made = embedding.encode(new, encoder)
     write_table(made if vectors is None else vectors.join(chunks.select("chunk_id"), "chunk_id", "left_semi").unionByName(made), f"{at}/vectors")
     vectors = spark.read.parquet(f"{at}/vectors")
+    begin("checks")
     dims = vectors.select(F.size("vector").alias("n")).first()
     if dims is None:
         raise ValueError("no chunk could be embedded")
     embedding.assert_integrity(embedding.integrity_report(chunks, vectors, dims["n"]))
+    begin("postings")
     postings = InvertedIndex.build(chunks, f"{at}/postings")
+    begin("cells")
     cells = VectorIndex.build(vectors, f"{at}/cells")
+    begin("manifest")
     row = spark.createDataFrame([(number, folder, postings.n_chunks, cells.n_vectors)], MANIFEST)
     row.coalesce(1).write.mode("append").parquet(f"{path}/manifest")
     return number
