@@ -58,7 +58,7 @@ SCRIPTS = Fixture(
 QUESTIONS = Fixture(
     "q_id long, question string",
     [
-        (1, "What is shown in the image on page 1?"), (2, "See page 3 and p. 4"), (3, "p.7"), (4, "pg 9"), (5, "Page12"), (6, "table did show"), (7, "Table iv"), (8, "table 7 values"), (9, "Who wrote the paper?"), (10, "What is the main objective?"),
+        (1, "Say how the picture of page 1 looks"), (2, "See page 3 and p. 4"), (3, "p.7"), (4, "pg 9"), (5, "Page12"), (6, "table did show"), (7, "Table iv"), (8, "table 7 values"), (9, "Who wrote the paper?"), (10, "What is the main objective?"),
         (11, "Compare the documents"), (12, "Give the email of the department"), (13, "the sensors of the system"), (14, "hello there"), (15, "xgboost cross-validation 0.9593"), (16, "What does HAISAS do?"), (17, "picture of a cat"), (18, "columns of data"), (19, ""), (20, "growth claims"),
     ],
 )

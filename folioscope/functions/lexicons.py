@@ -1,7 +1,7 @@
 """Word lists of routing and ranking.
 
-Phrases that only make sense for one paper's subject form ``DOMAIN_PACK``; it
-can be swapped, or left out by passing an empty pack.
+Phrases that only make sense for one subject are no part of it: they form a
+``DomainPack``, which callers pass; without one there are none.
 """
 
 from __future__ import annotations

@@ -55,6 +55,7 @@ def expand(question: Column, pack: lex.DomainPack = lex.NO_PACK) -> Column:
     return F.concat(*parts)
 
 
+# How a question names a page or a table, here and below.
 def requested_page(question: Column) -> Column:
     found = [F.nullif(F.regexp_extract(question, p, 1), F.lit("")) for p in (r"(?i)\bpage\s*(\d+)\b", r"(?i)\bp\.\s*(\d+)\b", r"(?i)\bpg\.?\s*(\d+)\b")]
     return F.coalesce(*found).try_cast("int")

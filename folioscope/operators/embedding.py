@@ -14,6 +14,7 @@ from ..functions.text import strip
 from .retrieval import dot
 
 Encoder = Callable[[list[str]], np.ndarray]
+# Fixed value: the instruction that the public encoder was trained to see before a question.
 QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
 
 

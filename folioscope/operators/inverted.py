@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import tokens
+from ..sources.store import written
 
 #: Okapi BM25; terms in over half of the chunks weigh EPSILON times the mean weight.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -162,17 +163,20 @@ class InvertedIndex:
         if self.n_ranges <= probe:
             found = self.bm25(questions)
         else:
-            first, rest = self.opened(weighed, k, probe)
-            found = self._scores(weighed, first).unionByName(self._scores(weighed, rest))
+            _, scored, rest = self.opened(weighed, k, probe)
+            found = scored.unionByName(self._scores(weighed, rest))
         return ranked(found).select("q_id", "rank", "chunk_id", "bm25")
 
-    def opened(self, weighed: DataFrame, k: int, probe: int) -> tuple[DataFrame, DataFrame]:
-        """The ranges (q_id, range) that are scored first, and those that may hold one of the k best beside them."""
+    def opened(self, weighed: DataFrame, k: int, probe: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The ranges (q_id, range) that are scored first, their scores, and the ranges that
+        may hold one of the k best beside them.  Bounds and first scores are written, as
+        each is read twice."""
         by_bound = Window.partitionBy("q_id").orderBy(F.desc("bound"), "range")
-        bounds = self.bounds(weighed)
-        first = bounds.withColumn("_r", F.row_number().over(by_bound)).filter(F.col("_r") <= probe)
-        scored = self._scores(weighed, first)
+        bounds = written(self.bounds(weighed), "bounds")
+        first = bounds.withColumn("_r", F.row_number().over(by_bound)).filter(F.col("_r") <= probe).select("q_id", "range")
+        scored = written(self._scores(weighed, first), "scored")
         kth = scored.withColumn("_r", F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("bm25")))).filter(F.col("_r") == k)
-        others = bounds.join(first.select("q_id", "range"), ["q_id", "range"], "left_anti").join(kth.select("q_id", F.col("bm25").alias("_least")), "q_id", "left")
+        others = bounds.join(first, ["q_id", "range"], "left_anti").join(kth.select("q_id", F.col("bm25").alias("_least")), "q_id", "left")
         # Rounding may lift a score by half of the last decimal.
-        return first.select("q_id", "range"), others.filter(F.col("_least").isNull() | (F.col("bound") >= F.col("_least") - 2e-6)).select("q_id", "range")
+        rest = others.filter(F.col("_least").isNull() | (F.col("bound") >= F.col("_least") - 2e-6)).select("q_id", "range")
+        return first, scored, rest

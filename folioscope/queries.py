@@ -19,7 +19,7 @@ from . import fixtures as fx
 from .derived import table
 from .functions import lexicons as lex
 from .functions import routing, text
-from .operators import chunking, embedding, evaluation, evidence, memory, ocr, retrieval, visual
+from .operators import chunking, embedding, evaluation, evidence, memory, ocr, phrases, retrieval, visual
 from .operators.inverted import InvertedIndex
 from .operators.vector_index import VectorIndex
 from .plans import evaluate
@@ -691,6 +691,18 @@ def query_flags(spark, d):
     return all_questions(spark, d).select("q_id", routing.is_objective(q).alias("objective"), routing.is_table(q).alias("tabular"), routing.is_visual(q).alias("visual"), routing.is_fusion(q).alias("fusion"), routing.is_comparison(q).alias("comparison"))
 
 
+_TAGGED = " || ".join(f"CASE WHEN {s_any('lower(text)', v)} THEN '{k},' ELSE '' END" for k, v in sorted(_FLAGS.items()))
+
+
+@query(f"SELECT id, rtrim({_TAGGED}, ',') AS tags FROM (SELECT id, coalesce(text, '') AS text FROM (SELECT id, text FROM {ALL_TEXTS} UNION ALL SELECT 10000000 + q_id, question FROM {ALL_QUESTIONS}))")
+def phrase_tags(spark, d):
+    """The lists of the flags as one lexicon table, over whole documents and all questions."""
+    lexicon = spark.createDataFrame([(p, tag) for tag, found in _FLAGS.items() for p in found], "phrase string, tag string")
+    asked = all_questions(spark, d).select((F.col("q_id") + 10_000_000).alias("id"), F.col("question").alias("text"))
+    rows = phrases.with_tags(all_texts(spark, d).unionByName(asked), F.col("text"), lexicon)
+    return rows.select("id", F.array_join("tags", ",").alias("tags"))
+
+
 @query(f"SELECT q_id, {s_expand('question')} AS expanded FROM {ALL_QUESTIONS}")
 def query_expand(spark, d):
     return all_questions(spark, d).select("q_id", routing.expand(F.col("question"), fx.DOMAIN_PACK).alias("expanded"))

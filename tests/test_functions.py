@@ -44,7 +44,7 @@ def one(spark, column, **values):
         (routing.table_number, "table did show", "DID"),
         (routing.table_number, "Table iv", "IV"),
         (routing.table_number, "table 7", "7"),
-        (routing.route, "What is shown in the image on page 1?", "fusion"),
+        (routing.route, "Say what the picture of page 1 shows", "fusion"),
         (routing.route, "Compare the documents", "comparison"),
         (routing.route, "columns of data", "table"),
         (routing.route, "picture of a cat", "visual"),

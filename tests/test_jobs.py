@@ -9,7 +9,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from jobs import evidence_sheets, ingest_documents
+from jobs import evidence_sheets, ingest_documents, registry
 
 ROOT = Path(__file__).resolve().parent.parent
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -165,15 +165,13 @@ def test_command_line_of_sheets(spark, tmp_path):
 def test_registered_jobs_equal_their_sql(spark, name):
     import duckdb
 
-    import __spark_entry__ as entry
-
     d = "/root/testdata/sf0.001"
     changed = dict(spark.sparkContext.getConf().getAll())
-    df = entry.queries()[name](spark, d)
+    df = registry.QUERIES[name](spark, d)
     con = duckdb.connect()
     for t in ("documents", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
-    rel = con.sql(entry.oracle_sql()[name])
+    rel = con.sql(registry.ORACLES[name])
     columns = sorted(df.columns)
     assert sorted(rel.columns) == columns
     at = [rel.columns.index(c) for c in columns]
