@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import strip
+from ..sources.store import prefix_sums, written
 from . import models
 
 SOURCE_CHARS, CHUNK_CHARS, DOCUMENT_CHARS, VISUAL_CHARS = 1800, 1400, 4500, 1600
@@ -152,9 +153,38 @@ def doc_compare_context(chunks: DataFrame, visual: DataFrame | None = None) -> D
     texts = doc_evidence(chunks).groupBy("source").agg(F.left(_joined(F.struct("place", part.alias("part")), "\n\n"), F.lit(DOCUMENT_CHARS)).alias("text"))
     df = doc_sources(chunks).join(texts, "source", "left")
     df = df.join(visual, "source", "left") if visual is not None else df.withColumn("visual", F.lit(None).cast("string"))
-    number = F.row_number().over(Window.orderBy("first_chunk"))  # one row per document
+    df = prefix_sums(df.withColumn("_one", F.lit(1).cast("long")), ["first_chunk", "source"], "_one", "_before")
     return df.select(
-        number.alias("number"), "source",
+        (F.col("_before") + 1).cast("int").alias("number"), "source",
         F.coalesce("text", F.lit(NO_TEXT)).alias("text"),
         F.coalesce(F.left("visual", F.lit(VISUAL_CHARS)), F.lit(NO_IMAGE)).alias("visual"),
     )
+
+
+#: Documents, or answers about documents, that one prompt compares.
+MOST_COMPARED = 20
+
+
+def compare_documents(questions: DataFrame, documents: DataFrame, answerer: Answerer = first_sentence_answerer, most: int = MOST_COMPARED) -> DataFrame:
+    """(q_id, answer, spoken, error): all ``documents`` of :func:`doc_compare_context` compared for each question.
+
+    Up to ``most`` documents are one prompt.  More are compared in groups of ``most``,
+    then the answers about the groups likewise, until one is left, so prompts stay of
+    one size and no task holds all documents.  A group whose call failed takes part with
+    a note; ``error`` is that of the last call.  ``questions`` are a block.
+    """
+    block = F.concat(F.lit("[Document "), F.col("number").cast("string"), F.lit("]\nFile: "), "source", F.lit("\nEvidence:\n"), "text", F.lit("\nVisual evidence:\n"), "visual")
+    rows = documents.select(F.col("number").cast("long").alias("at"), block.alias("part"))
+    groups = rows.groupBy(F.expr(f"(at - 1) div {most}").alias("group")).agg(_joined(F.struct("at", "part"), "\n").alias("context"))
+    groups = written(groups, "compared")
+    left = groups.count()
+    asked = groups.crossJoin(F.broadcast(questions.select("q_id", "question")))  # every question is about all groups
+    while True:
+        said = models.ask(asked, ["question", "context"], answerer)
+        if left <= 1:
+            spoken = F.coalesce("answer", F.lit(""))
+            return said.select("q_id", F.when(F.col("error").isNull(), spoken).otherwise(FAILED).alias("answer"), spoken.alias("spoken"), "error")
+        said = written(said.select("q_id", "question", "group", F.coalesce("answer", F.lit(FAILED)).alias("answer")), "compared")
+        part = F.concat(F.lit("[Part "), (F.col("group") + 1).cast("string"), F.lit("]\nEvidence:\n"), "answer")
+        asked = said.select("q_id", "question", "group", part.alias("part")).groupBy("q_id", "question", F.expr(f"group div {most}").alias("next")).agg(_joined(F.struct("group", "part"), "\n").alias("context"))
+        asked, left = asked.withColumnRenamed("next", "group"), -(-left // most)

@@ -102,12 +102,11 @@ class Engine:
                 near = keep(found) if fusion else keep(found).filter("rank <= 2")
                 said = said.unionByName(evidence.answer_with_images(part, near, keep(seen), fusion, answerer))
         compared = routed.filter(F.col("route") == "comparison")
+        if compared.isEmpty():
+            return said.join(routed.select("q_id", "route"), "q_id")
         documents = evidence.doc_compare_context(self.chunks, self._looked_at(analyser) if analyser else None)
-        block = F.concat(F.lit("[Document "), F.col("number").cast("string"), F.lit("]\nFile: "), "source", F.lit("\nEvidence:\n"), "text", F.lit("\nVisual evidence:\n"), "visual")
-        whole = documents.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("number", block.alias("b")))), lambda r: r["b"]), "\n").alias("context"))
-        compared = models.ask(compared.crossJoin(F.broadcast(whole)), ["question", "context"], answerer)
-        spoken = F.coalesce("answer", F.lit(""))
-        compared = compared.select("q_id", F.when(F.col("error").isNull(), spoken).otherwise(evidence.FAILED).alias("answer"), empty.alias("cited"), empty.alias("cited_visual"), spoken.alias("spoken"), "error")
+        compared = retrieval.in_blocks(compared, lambda block: evidence.compare_documents(block, documents, answerer))
+        compared = compared.select("q_id", "answer", empty.alias("cited"), empty.alias("cited_visual"), "spoken", "error")
         said = said.unionByName(compared)
         return said.join(routed.select("q_id", "route"), "q_id")
 

@@ -357,7 +357,7 @@ def nonblank_pages(spark, d):
     return src.nonblank_pages(all_texts(spark, d)).select("id")
 
 
-@query("SELECT source, string_agg(chr(10) || '--- Page ' || doc_id || ' ---' || chr(10) || coalesce(text, ''), chr(10) ORDER BY doc_id) AS text FROM documents GROUP BY source")
+@query("SELECT source, doc_id // 1000 AS part, string_agg(chr(10) || '--- Page ' || doc_id || ' ---' || chr(10) || coalesce(text, ''), chr(10) ORDER BY doc_id) AS text FROM documents GROUP BY ALL")
 def doc_concat(spark, d):
     return src.document_text(src.pages_from_documents(table(spark, d, "documents")))
 

@@ -76,11 +76,15 @@ def nonblank_pages(pages: DataFrame) -> DataFrame:
     return pages.filter(strip(F.coalesce("text", F.lit(""))) != "")
 
 
-def document_text(pages: DataFrame) -> DataFrame:
-    """Pages of a source joined in order, each under a page marker."""
+def document_text(pages: DataFrame, width: int = 1_000) -> DataFrame:
+    """(source, part, text): pages of a source joined in order, each under a page marker.
+
+    A part holds the pages of ``width`` numbers, so no document becomes one string
+    however long it is; most have one part.
+    """
     part = F.concat(F.lit("\n--- Page "), F.col("page").cast("string"), F.lit(" ---\n"), F.coalesce("text", F.lit("")))
     rows = F.sort_array(F.collect_list(F.struct("page", part.alias("part"))))
-    return pages.groupBy("source").agg(F.array_join(F.transform(rows, lambda r: r["part"]), "\n").alias("text"))
+    return pages.groupBy("source", F.floor(F.col("page") / width).cast("long").alias("part")).agg(F.array_join(F.transform(rows, lambda r: r["part"]), "\n").alias("text"))
 
 
 def text_blocks(blocks: DataFrame) -> DataFrame:
