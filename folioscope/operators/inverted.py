@@ -20,8 +20,12 @@ an index in which nothing is found; terms that no chunk holds weigh nothing.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,12 +37,31 @@ from ..sources.store import written
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Chunk ids of a range, and files (or more) that hold the postings.
 WIDTH, SHELVES = 4_096, 16
+#: Chunks whose terms are counted together.
+CHUNKS_AT_ONCE = 500
+#: Terms of questions and ranges that may travel to the postings; more meet them by a shuffle.
+MOST_SENT = 1_000_000
 #: Ranges that share a task when postings are written.
 RANGES_A_TASK = 256
 
 FACTS = "n_chunks long, mean_length double, n_ranges long, width int, shelves int"
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, chunk_id, tf, len) of chunks as arrays of tokens: a chunk's terms are
+    counted where it is, so that its postings are shuffled once, to their shelf."""
+    for b in batches:
+        for at in range(0, b.num_rows, CHUNKS_AT_ONCE):
+            ids, lists = b.column(0).slice(at, CHUNKS_AT_ONCE).to_pylist(), b.column(1).slice(at, CHUNKS_AT_ONCE).to_pylist()
+            found = [Counter(t) for t in lists]
+            n = np.array([len(c) for c in found], np.int64)
+            columns = [
+                pa.array([t for c in found for t in c], pa.string()), pa.array(np.repeat(np.array(ids, np.int64), n)),
+                pa.array([k for c in found for k in c.values()], pa.int32()), pa.array(np.repeat(np.array([len(t) for t in lists], np.int32), n)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["term", "chunk_id", "tf", "len"])
+
+
 def asked_terms(questions: DataFrame) -> DataFrame:
     """(q_id, term, times) of (q_id, question)."""
     rows = questions.select("q_id", F.explode_outer(tokens(F.col("question"))).alias("term")).filter("term IS NOT NULL")
@@ -72,9 +95,7 @@ class InvertedIndex:
         spark, have = chunks.sparkSession, chunks.filter("chunk_id IS NOT NULL")
         shelf = F.pmod(F.xxhash64("term"), F.lit(shelves)).cast("int").alias("shelf")
         held = have.select(F.col("chunk_id").cast("long").alias("chunk_id"), tokens(F.col("text")).alias("t"))
-        held = held.select("chunk_id", F.size("t").alias("len"), F.explode_outer("t").alias("term")).filter("term IS NOT NULL")
-        rows = held.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("len").alias("len"))
-        rows = rows.select("term", F.expr(f"chunk_id div {width}").alias("range"), "chunk_id", "tf", "len", shelf)
+        rows = held.mapInArrow(_counted, "term string, chunk_id long, tf int, len int").select("term", F.expr(f"chunk_id div {width}").alias("range"), "chunk_id", "tf", "len", shelf)
         dealt = rows.repartition("shelf", F.expr(f"range div {RANGES_A_TASK}")).sortWithinPartitions("shelf", "term", "chunk_id")
         dealt.write.mode("overwrite").partitionBy("shelf").parquet(f"{path}/postings")
         made = cls(spark, path, have.count(), 0.0, 0, width, shelves)
@@ -145,6 +166,8 @@ class InvertedIndex:
     def _scores(self, weighed: DataFrame, ranges: DataFrame) -> DataFrame:
         """(q_id, chunk_id, bm25) within the ranges (q_id, range)."""
         wanted = weighed.join(ranges.select("q_id", "range"), "q_id")
+        if wanted.count() <= MOST_SENT:
+            wanted = F.broadcast(wanted)
         met = self.postings().join(wanted, ["shelf", "term", "range"])
         return met.groupBy("q_id", "chunk_id").agg(F.sum(F.col("weight") * self.factor()).alias("bm25"))
 
@@ -159,10 +182,10 @@ class InvertedIndex:
         w = Window.partitionBy("q_id")
         order = w.orderBy(F.desc("bm25"), "chunk_id")
         ranked = lambda df: df.withColumn("bm25", F.round("bm25", 6)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-        weighed = self.weighed(questions)
         if self.n_ranges <= probe:
             found = self.bm25(questions)
         else:
+            weighed = written(self.weighed(questions), "weighed")
             _, scored, rest = self.opened(weighed, k, probe)
             found = scored.unionByName(self._scores(weighed, rest))
         return ranked(found).select("q_id", "rank", "chunk_id", "bm25")

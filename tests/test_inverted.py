@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.operators import retrieval
+from folioscope.operators import inverted, retrieval
 from folioscope.operators.inverted import InvertedIndex
 
 TOKEN = re.compile(r"[a-zA-Z0-9]+(?:[.,][a-zA-Z0-9]+)*")
@@ -52,8 +52,10 @@ def frames(spark, chunks, questions):
 QUESTIONS = {1: "common s3x1 s3x2 s3x1", 2: "s9x0 s9x1 s9x2 word", 3: "nothing of it", 4: "", 5: "common word", 6: "S1X1 3.5 n17"}
 
 
-@pytest.mark.parametrize(("width", "shelves"), [(16, 3), (4_096, 16)])
-def test_scores_and_best_chunks(spark, tmp_path, width, shelves):
+@pytest.mark.parametrize(("width", "shelves", "sent"), [(16, 3, 1_000_000), (16, 3, 0), (4_096, 16, 0)])
+def test_scores_and_best_chunks(spark, tmp_path, monkeypatch, width, shelves, sent):
+    monkeypatch.setattr(inverted, "MOST_SENT", sent)
+    monkeypatch.setattr(inverted, "CHUNKS_AT_ONCE", 7)
     chunks = corpus()
     table, asked = frames(spark, chunks, QUESTIONS)
     InvertedIndex.build(table, str(tmp_path), width, shelves)
