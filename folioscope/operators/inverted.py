@@ -32,6 +32,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import tokens
 from ..sources.store import written
+from .topk import Best
 
 #: Okapi BM25; terms in over half of the chunks weigh EPSILON times the mean weight.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -39,7 +40,9 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 WIDTH, SHELVES = 4_096, 16
 #: Chunks whose terms are counted together.
 CHUNKS_AT_ONCE = 500
-#: Terms of questions and ranges that may travel to the postings; more meet them by a shuffle.
+#: Neighbouring chunks that are scored together.
+NEAR = 512
+#: Ranges that may travel to the postings; more meet them by a shuffle.
 MOST_SENT = 1_000_000
 #: Ranges that share a task when postings are written.
 RANGES_A_TASK = 256
@@ -163,43 +166,76 @@ class InvertedIndex:
         part = F.greatest(F.col("weight"), F.lit(0.0)) * F.col("most")
         return self.blocks().join(F.broadcast(weighed), ["shelf", "term"]).groupBy("q_id", "range").agg(F.sum(part).alias("bound"))
 
-    def _scores(self, weighed: DataFrame, ranges: DataFrame) -> DataFrame:
-        """(q_id, chunk_id, bm25) within the ranges (q_id, range)."""
-        wanted = weighed.join(ranges.select("q_id", "range"), "q_id")
-        if wanted.count() <= MOST_SENT:
-            wanted = F.broadcast(wanted)
-        met = self.postings().join(wanted, ["shelf", "term", "range"])
-        return met.groupBy("q_id", "chunk_id").agg(F.sum(F.col("weight") * self.factor()).alias("bm25"))
+    def _best_near(self, asked: list, k: int, ranges: DataFrame | None = None) -> DataFrame:
+        """(q_id, chunk_id, bm25): of every ``NEAR`` neighbouring chunks the k best for each question.
+
+        ``asked`` are the rows of :meth:`weighed`.  Postings of asked terms are shuffled
+        to their neighbourhood, where scores are one matrix product, so pairs of questions
+        and chunks never leave it.  With ``ranges`` only chunks of these are scored.
+        """
+        ids, terms = sorted({r["q_id"] for r in asked}), sorted({r["term"] for r in asked})
+        who, place = {q: i for i, q in enumerate(ids)}, {t: i for i, t in enumerate(terms)}
+        pairs = sorted((place[r["term"]], who[r["q_id"]], r["weight"]) for r in asked)  # one a question and term
+        of_term, of_question, weights = (np.array([p[k] for p in pairs], kind) for k, kind in enumerate((np.int64, np.int64, np.float64)))
+        q_ids, mean = np.array(ids, np.int64), self.mean_length or 1.0
+
+        def run(own: pa.Table) -> pa.Table:
+            chunks, row = np.unique(own["chunk_id"].to_numpy(), return_inverse=True)
+            there, column = np.unique(own["number"].to_numpy(), return_inverse=True)  # terms of this neighbourhood
+            at = np.searchsorted(there, of_term)
+            known = (at < len(there)) & (there[np.minimum(at, len(there) - 1)] == of_term)
+            weight, has = np.zeros((len(there), len(q_ids))), np.zeros((len(there), len(q_ids)))
+            weight[at[known], of_question[known]], has[at[known], of_question[known]] = weights[known], 1
+            tf, length = own["tf"].to_numpy().astype(np.float64), own["len"].to_numpy()
+            factor, seen = np.zeros((len(chunks), len(there))), np.zeros((len(chunks), len(there)))
+            factor[row, column], seen[row, column] = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean)), 1
+            score = np.where(seen @ has > 0, factor @ weight, -np.inf)
+            best, chunk = Best(k), np.broadcast_to(chunks[:, None], score.shape)
+            best.add([chunk, -np.round(score, 6)], [chunk, score])
+            chunk, score = best.columns()
+            met = score > -np.inf
+            return pa.table([np.broadcast_to(q_ids, score.shape)[met], chunk[met], score[met]], ["q_id", "chunk_id", "bm25"])
+
+        numbered = self.on_shelves(self.spark.createDataFrame(list(place.items()), "term string, number int"))
+        rows = self.postings().join(F.broadcast(numbered), ["shelf", "term"])  # terms of a block
+        if ranges is not None:
+            rows = rows.join(F.broadcast(ranges) if ranges.count() <= MOST_SENT else ranges, "range")
+        rows = rows.select(F.expr(f"chunk_id div {NEAR}").alias("near"), "chunk_id", "number", "tf", "len")
+        return rows.groupBy("near").applyInArrow(run, "q_id long, chunk_id long, bm25 double")
 
     def best(self, questions: DataFrame, k: int, probe: int = 4) -> DataFrame:
         """(q_id, rank, chunk_id, bm25): the k best chunks of every question, exactly.
 
         Scores are compared at six decimals, ties go to the smaller id.  The
-        ``probe`` ranges of the highest bounds are scored first; their k-th best
-        score is one that the k-th best of all reaches, so of the other ranges only
-        those whose bound reaches it are opened.
+        ``probe`` ranges of the highest bounds of each question are scored first; its
+        k-th best score there is one that the k-th best of all reaches, so of the other
+        ranges only those whose bound reaches it, for any question, are opened.
         """
-        w = Window.partitionBy("q_id")
-        order = w.orderBy(F.desc("bm25"), "chunk_id")
-        ranked = lambda df: df.withColumn("bm25", F.round("bm25", 6)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        order = Window.partitionBy("q_id").orderBy(F.desc("bm25"), "chunk_id")
+        asked = self.weighed(questions).collect()  # a block of questions: bounded
+        if not asked:
+            return self.spark.createDataFrame([], "q_id long, rank int, chunk_id long, bm25 double")
         if self.n_ranges <= probe:
-            found = self.bm25(questions)
+            found = self._best_near(asked, k)
         else:
-            weighed = written(self.weighed(questions), "weighed")
-            _, scored, rest = self.opened(weighed, k, probe)
-            found = scored.unionByName(self._scores(weighed, rest))
-        return ranked(found).select("q_id", "rank", "chunk_id", "bm25")
-
-    def opened(self, weighed: DataFrame, k: int, probe: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """The ranges (q_id, range) that are scored first, their scores, and the ranges that
-        may hold one of the k best beside them.  Bounds and first scores are written, as
-        each is read twice."""
+            _, scored, rest = self.opened(asked, k, probe)
+            found = scored.unionByName(self._best_near(asked, k, rest.select("range").distinct()))
+        ranked = found.withColumn("bm25", F.round("bm25", 6)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        return ranked.select("q_id", "rank", "chunk_id", "bm25")
+
+    def opened(self, asked: list, k: int, probe: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The ranges (q_id, range) that are scored first, the best scores there, and the ranges
+        that may hold one of the k best beside them.  Bounds and first scores are written,
+        as each is read twice."""
         by_bound = Window.partitionBy("q_id").orderBy(F.desc("bound"), "range")
+        weighed = self.spark.createDataFrame(asked, "q_id long, term string, shelf int, times long, weight double")
         bounds = written(self.bounds(weighed), "bounds")
         first = bounds.withColumn("_r", F.row_number().over(by_bound)).filter(F.col("_r") <= probe).select("q_id", "range")
-        scored = written(self._scores(weighed, first), "scored")
+        tried = written(first.select("range").distinct(), "tried")
+        scored = written(self._best_near(asked, k, tried), "scored")
         kth = scored.withColumn("_r", F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("bm25")))).filter(F.col("_r") == k)
-        others = bounds.join(first, ["q_id", "range"], "left_anti").join(kth.select("q_id", F.col("bm25").alias("_least")), "q_id", "left")
+        others = bounds.join(F.broadcast(tried), "range", "left_anti") if tried.count() <= MOST_SENT else bounds.join(tried, "range", "left_anti")
+        others = others.join(kth.select("q_id", F.col("bm25").alias("_least")), "q_id", "left")
         # Rounding may lift a score by half of the last decimal.
         rest = others.filter(F.col("_least").isNull() | (F.col("bound") >= F.col("_least") - 2e-6)).select("q_id", "range")
         return first, scored, rest
