@@ -45,7 +45,7 @@ NEAR = 512
 #: Ranges that may travel to the postings; more meet them by a shuffle.
 MOST_SENT = 1_000_000
 #: Ranges that share a task when postings are written.
-RANGES_A_TASK = 256
+RANGES_A_TASK = 64
 
 FACTS = "n_chunks long, mean_length double, n_ranges long, width int, shelves int"
 
