@@ -29,7 +29,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import dominant_script, script_counts, strip, word_count
+from folioscope.functions.text import dominant_script, strip, with_script_counts, word_count
 from folioscope.operators.chunking import with_packs
 from folioscope.sources.store import pattern
 
@@ -49,9 +49,8 @@ def judged(documents: DataFrame, ocr_below: int) -> DataFrame:
     """``documents`` with version, script and status."""
     bare = strip(F.coalesce("text", F.lit("")))
     status = F.when(F.col("doc_id").isNull(), "no_id").when(F.length(bare) == 0, "blank").when(F.length(bare) < ocr_below, "needs_ocr").otherwise("text")
-    counts = script_counts(F.col("text"))  # a column of their own, so that each is worked out once
-    counted = documents.withColumn("_n", F.struct(*[v.alias(k) for k, v in counts.items()]))
-    script = dominant_script(F.col("text"), {k: F.col("_n")[k] for k in counts})
+    counted, counts = with_script_counts(documents, F.col("text"))
+    script = dominant_script(F.col("text"), counts)
     return counted.withColumns({"version": F.xxhash64("text"), "script": script, "status": status}).drop("_n")
 
 
