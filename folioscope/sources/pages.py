@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -77,14 +77,19 @@ def nonblank_pages(pages: DataFrame) -> DataFrame:
 
 
 def document_text(pages: DataFrame, width: int = 1_000) -> DataFrame:
-    """(source, part, text): pages of a source joined in order, each under a page marker.
+    """(source, text): all pages of a source joined in order, each under a page marker.
 
-    A part holds the pages of ``width`` numbers, so no document becomes one string
-    however long it is; most have one part.
+    Pages of ``width`` numbers are joined first, wherever they are, and then these
+    parts; only the parts and the text of a source meet in one task.
     """
-    part = F.concat(F.lit("\n--- Page "), F.col("page").cast("string"), F.lit(" ---\n"), F.coalesce("text", F.lit("")))
-    rows = F.sort_array(F.collect_list(F.struct("page", part.alias("part"))))
-    return pages.groupBy("source", F.floor(F.col("page") / width).cast("long").alias("part")).agg(F.array_join(F.transform(rows, lambda r: r["part"]), "\n").alias("text"))
+    marked = F.concat(F.lit("\n--- Page "), F.col("page").cast("string"), F.lit(" ---\n"), F.coalesce("text", F.lit("")))
+
+    def joined(order: str, text: Column) -> Column:
+        rows = F.sort_array(F.collect_list(F.struct(order, text.alias("t"))))
+        return F.when(F.count(text) > 0, F.array_join(F.transform(rows, lambda r: r["t"]), "\n"))  # pages without a number have no marker
+
+    parts = pages.groupBy("source", F.floor(F.col("page") / width).cast("long").alias("part")).agg(joined("page", marked).alias("text"))
+    return parts.groupBy("source").agg(F.coalesce(joined("part", F.col("text")), F.lit("")).alias("text"))
 
 
 def text_blocks(blocks: DataFrame) -> DataFrame:
