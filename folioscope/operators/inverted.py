@@ -20,17 +20,18 @@ an index in which nothing is found; terms that no chunk holds weigh nothing.
 
 from __future__ import annotations
 
-from collections import Counter
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import tokens
+from ..functions.text import TOKEN, tokens
 from ..sources.store import written
 from .topk import Best
 
@@ -38,31 +39,55 @@ from .topk import Best
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Chunk ids of a range, and files (or more) that hold the postings.
 WIDTH, SHELVES = 4_096, 16
-#: Chunks whose terms are counted together.
-CHUNKS_AT_ONCE = 500
+#: Chunks whose terms are counted together, or fewer if they hold this many tokens; postings of an Arrow batch.
+CHUNKS_AT_ONCE, TOKENS_AT_ONCE, ROWS_OUT = 4_096, 500_000, 50_000
 #: Neighbouring chunks that are scored together.
 NEAR = 512
 #: Ranges that may travel to the postings; more meet them by a shuffle.
 MOST_SENT = 1_000_000
 #: Ranges that share a task when postings are written.
-RANGES_A_TASK = 64
+RANGES_A_TASK = 16
 
 FACTS = "n_chunks long, mean_length double, n_ranges long, width int, shelves int"
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, chunk_id, tf, len) of chunks as arrays of tokens: a chunk's terms are
-    counted where it is, so that its postings are shuffled once, to their shelf."""
+    """(term, chunk_id, tf, len) of chunks of lower-case text: a chunk's terms are
+    counted where it is, so that its postings are shuffled once, to their shelf.
+
+    Chunks are counted together up to some number of tokens, and their postings leave
+    in the order of terms: what is shuffled compresses well and is sorted in runs.
+    """
+    find = re.compile(TOKEN, re.ASCII).findall
+    ids, sizes, held = [], [], []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        terms = pa.array(held, pa.string()).dictionary_encode()
+        order = pc.array_sort_indices(terms.dictionary).to_numpy()
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        size = np.array(sizes, np.int64)
+        key = place[terms.indices.to_numpy()] * len(ids) + np.repeat(np.arange(len(ids)), size)
+        key, tf = np.unique(key, return_counts=True)
+        term, chunk = np.divmod(key, len(ids))
+        columns = [terms.dictionary.take(pa.array(order[term])), pa.array(np.array(ids, np.int64)[chunk]), pa.array(tf.astype(np.int32)), pa.array(size[chunk].astype(np.int32))]
+        out = pa.RecordBatch.from_arrays(columns, ["term", "chunk_id", "tf", "len"])
+        for at in range(0, out.num_rows, ROWS_OUT):
+            yield out.slice(at, ROWS_OUT)
+        for x in (ids, sizes, held):
+            x.clear()
+
     for b in batches:
-        for at in range(0, b.num_rows, CHUNKS_AT_ONCE):
-            ids, lists = b.column(0).slice(at, CHUNKS_AT_ONCE).to_pylist(), b.column(1).slice(at, CHUNKS_AT_ONCE).to_pylist()
-            found = [Counter(t) for t in lists]
-            n = np.array([len(c) for c in found], np.int64)
-            columns = [
-                pa.array([t for c in found for t in c], pa.string()), pa.array(np.repeat(np.array(ids, np.int64), n)),
-                pa.array([k for c in found for k in c.values()], pa.int32()), pa.array(np.repeat(np.array([len(t) for t in lists], np.int32), n)),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["term", "chunk_id", "tf", "len"])
+        for chunk, text in zip(b.column(0).to_pylist(), b.column(1)):
+            found = find(text.as_py())
+            if found:
+                ids.append(chunk)
+                sizes.append(len(found))
+                held.extend(found)
+            if len(ids) >= CHUNKS_AT_ONCE or len(held) >= TOKENS_AT_ONCE:
+                yield from flush()
+    if held:
+        yield from flush()
 
 
 def asked_terms(questions: DataFrame) -> DataFrame:
@@ -97,23 +122,28 @@ class InvertedIndex:
         """Write the index of (chunk_id, text); the facts come last, so an index without them is not whole."""
         spark, have = chunks.sparkSession, chunks.filter("chunk_id IS NOT NULL")
         shelf = F.pmod(F.xxhash64("term"), F.lit(shelves)).cast("int").alias("shelf")
-        held = have.select(F.col("chunk_id").cast("long").alias("chunk_id"), tokens(F.col("text")).alias("t"))
-        rows = held.mapInArrow(_counted, "term string, chunk_id long, tf int, len int").select("term", F.expr(f"chunk_id div {width}").alias("range"), "chunk_id", "tf", "len", shelf)
-        dealt = rows.repartition("shelf", F.expr(f"range div {RANGES_A_TASK}")).sortWithinPartitions("shelf", "term", "chunk_id")
-        dealt.write.mode("overwrite").partitionBy("shelf").parquet(f"{path}/postings")
         made = cls(spark, path, have.count(), 0.0, 0, width, shelves)
+        held = have.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.lower(F.coalesce("text", F.lit(""))).alias("t"))
+        rows = held.mapInArrow(_counted, "term string, chunk_id long, tf int, len int").select("term", F.expr(f"chunk_id div {width}").alias("range"), "chunk_id", "tf", "len", shelf)
+        made._write(rows, "postings", "term", "chunk_id")
         made.mean_length = (made.postings().agg(F.sum("tf")).first()[0] or 0) / max(1, made.n_chunks)
         blocks = made.postings().groupBy("shelf", "term", "range").agg(F.max(made.factor()).alias("most"), F.count(F.lit(1)).alias("n"))
-        made._write(blocks.repartition("shelf", F.expr(f"range div {RANGES_A_TASK}")), "blocks", "term", "range")
+        made._write(blocks, "blocks", "term", "range")
         made.n_ranges = made.blocks().select("range").distinct().count()
         df = made.blocks().groupBy("shelf", "term").agg(F.sum("n").alias("df"))
         raw = F.log(F.lit(made.n_chunks) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
         mean = df.agg(F.avg(raw)).first()[0] or 0.0
-        made._write(df.withColumn("idf", F.when(raw < 0, F.lit(EPSILON * mean)).otherwise(raw)), "terms", "term")
+        weights = df.withColumn("idf", F.when(raw < 0, F.lit(EPSILON * mean)).otherwise(raw))
+        made._write(weights, "terms", "term", dealt=False)
         spark.createDataFrame([(made.n_chunks, made.mean_length, made.n_ranges, width, shelves)], FACTS).write.mode("overwrite").parquet(f"{path}/facts")
         return made
 
-    def _write(self, df: DataFrame, name: str, *order: str) -> None:
+    def _write(self, df: DataFrame, name: str, *order: str, dealt: bool = True) -> None:
+        """Write a table by shelves; ``dealt`` gives each shelf and ``RANGES_A_TASK`` ranges a task of
+        their own, so a task holds no more however many chunks there are."""
+        if dealt:
+            groups = max(1, -(-self.n_chunks // (self.width * RANGES_A_TASK)))
+            df = df.repartitionById(self.shelves * groups, (F.col("shelf") * groups + F.pmod(F.expr(f"range div {RANGES_A_TASK}"), F.lit(groups))).cast("int"))
         df.sortWithinPartitions("shelf", *order).write.mode("overwrite").partitionBy("shelf").parquet(f"{self.path}/{name}")
 
     def postings(self) -> DataFrame:

@@ -112,3 +112,18 @@ def test_terms_in_most_chunks_weigh_a_part_of_the_mean(spark, tmp_path):
     terms = {r["term"]: r["idf"] for r in InvertedIndex.build(table, str(tmp_path)).terms().collect()}
     assert 0 < terms["common"] < min(v for t, v in terms.items() if t not in ("common", "word"))
     assert InvertedIndex.open(spark, str(tmp_path)).terms().agg(F.count_distinct("term")).first()[0] == len(terms)
+
+
+def test_a_task_of_postings_does_not_grow(spark, tmp_path, monkeypatch):
+    """Each file holds one shelf of some ranges, however many chunks there are, and terms lie in order in it."""
+    monkeypatch.setattr(inverted, "TOKENS_AT_ONCE", 50)
+    monkeypatch.setattr(inverted, "RANGES_A_TASK", 2)
+    chunks = {i: f"w{i % 7} w{i % 11} w{i % 7}, W{i} 3.5" for i in range(400)}
+    df = spark.createDataFrame(list(chunks.items()), "chunk_id long, text string").repartition(3)
+    index = InvertedIndex.build(df, str(tmp_path), width=20, shelves=3)
+    rows = index.postings().select("*", F.input_file_name().alias("file")).collect()
+    assert {(r["term"], r["chunk_id"], r["tf"], r["len"]) for r in rows} == {(t, c, n, len(tokens(x))) for c, x in chunks.items() for t, n in Counter(tokens(x)).items()}
+    of_file = {}
+    for r in rows:
+        of_file.setdefault(r["file"], set()).add((r["shelf"], r["range"] // 2))
+    assert all(len(x) == 1 for x in of_file.values()) and len(of_file) == 3 * 10
