@@ -182,12 +182,39 @@ class InvertedIndex:
         return met.groupBy("q_id", "chunk_id").agg(F.sum(F.col("weight") * self.factor()).alias("bm25"))
 
     def keyword(self, questions: DataFrame) -> DataFrame:
-        """(q_id, chunk_id, keyword) of all pairs that share a term: share of the question's distinct terms."""
-        asked = asked_terms(questions)
-        size = asked.groupBy("q_id").agg(F.count(F.lit(1)).alias("_n"))
-        asked = self.on_shelves(asked.join(size, "q_id"))
-        met = self.postings().join(F.broadcast(asked.select("q_id", "term", "shelf", "_n")), ["shelf", "term"])
-        return met.groupBy("q_id", "chunk_id").agg((F.count(F.lit(1)) / F.first("_n")).alias("keyword"))
+        """(q_id, chunk_id, keyword) of all pairs that share a term: share of the question's distinct terms.
+
+        Pairs are counted where the postings of neighbouring chunks meet, and never shuffled.
+        """
+        asked = asked_terms(questions.filter("q_id IS NOT NULL")).collect()  # a block of questions: bounded
+        if not asked:
+            return self.spark.createDataFrame([], "q_id long, chunk_id long, keyword double")
+        ids, terms = sorted({r["q_id"] for r in asked}), sorted({r["term"] for r in asked})
+        who, place = {q: i for i, q in enumerate(ids)}, {t: i for i, t in enumerate(terms)}
+        of_term, of_question = (np.array(x, np.int64) for x in zip(*sorted((place[r["term"]], who[r["q_id"]]) for r in asked)))
+        q_ids, size = np.array(ids, np.int64), np.bincount(of_question)
+
+        def run(own: pa.Table) -> pa.Table:
+            chunks, row = np.unique(own["chunk_id"].to_numpy(), return_inverse=True)
+            there, column = np.unique(own["number"].to_numpy(), return_inverse=True)  # terms of this neighbourhood
+            at = np.searchsorted(there, of_term)
+            known = (at < len(there)) & (there[np.minimum(at, len(there) - 1)] == of_term)
+            has, seen = np.zeros((len(there), len(q_ids))), np.zeros((len(chunks), len(there)))
+            has[at[known], of_question[known]], seen[row, column] = 1, 1
+            shared = seen @ has
+            chunk, q = np.nonzero(shared)
+            return pa.table([q_ids[q], chunks[chunk], shared[chunk, q] / size[q]], ["q_id", "chunk_id", "keyword"])
+
+        return self._near(terms).select("near", "chunk_id", "number").groupBy("near").applyInArrow(run, "q_id long, chunk_id long, keyword double")
+
+    def _near(self, terms: list[str], ranges: DataFrame | None = None) -> DataFrame:
+        """(near, chunk_id, number, tf, len): postings of ``terms``, by their places in the list, with
+        the neighbourhood of their chunk; with ``ranges`` those of chunks of these alone."""
+        numbered = self.on_shelves(self.spark.createDataFrame(list(zip(terms, range(len(terms)))), "term string, number int"))
+        rows = self.postings().join(F.broadcast(numbered), ["shelf", "term"])  # terms of a block
+        if ranges is not None:
+            rows = rows.join(F.broadcast(ranges) if ranges.count() <= MOST_SENT else ranges, "range")
+        return rows.select(F.expr(f"chunk_id div {NEAR}").alias("near"), "chunk_id", "number", "tf", "len")
 
     # ------------------------------------------------------------------ best chunks
 
@@ -226,12 +253,7 @@ class InvertedIndex:
             met = score > -np.inf
             return pa.table([np.broadcast_to(q_ids, score.shape)[met], chunk[met], score[met]], ["q_id", "chunk_id", "bm25"])
 
-        numbered = self.on_shelves(self.spark.createDataFrame(list(place.items()), "term string, number int"))
-        rows = self.postings().join(F.broadcast(numbered), ["shelf", "term"])  # terms of a block
-        if ranges is not None:
-            rows = rows.join(F.broadcast(ranges) if ranges.count() <= MOST_SENT else ranges, "range")
-        rows = rows.select(F.expr(f"chunk_id div {NEAR}").alias("near"), "chunk_id", "number", "tf", "len")
-        return rows.groupBy("near").applyInArrow(run, "q_id long, chunk_id long, bm25 double")
+        return self._near(terms, ranges).groupBy("near").applyInArrow(run, "q_id long, chunk_id long, bm25 double")
 
     def best(self, questions: DataFrame, k: int, probe: int = 4) -> DataFrame:
         """(q_id, rank, chunk_id, bm25): the k best chunks of every question, exactly.

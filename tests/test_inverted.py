@@ -127,3 +127,11 @@ def test_a_task_of_postings_does_not_grow(spark, tmp_path, monkeypatch):
     for r in rows:
         of_file.setdefault(r["file"], set()).add((r["shelf"], r["range"] // 2))
     assert all(len(x) == 1 for x in of_file.values()) and len(of_file) == 3 * 10
+
+
+def test_keyword_pairs_are_not_shuffled(spark, tmp_path):
+    table, asked = frames(spark, corpus(), QUESTIONS)
+    index = InvertedIndex.build(table, str(tmp_path))
+    plan = index.keyword(asked)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(near" in plan and "hashpartitioning(q_id" not in plan
+    assert index.keyword(asked.filter("question = ''")).collect() == []
