@@ -29,7 +29,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import dominant_script, strip, with_script_counts, word_count
+from folioscope.functions.text import dominant_script, once, strip, with_script_counts, word_count
 from folioscope.operators.chunking import with_packs
 from folioscope.sources.store import pattern
 
@@ -47,11 +47,11 @@ def read_config(path: str | Path = CONFIG) -> dict:
 
 def judged(documents: DataFrame, ocr_below: int) -> DataFrame:
     """``documents`` with version, script and status."""
-    bare = strip(F.coalesce("text", F.lit("")))
-    status = F.when(F.col("doc_id").isNull(), "no_id").when(F.length(bare) == 0, "blank").when(F.length(bare) < ocr_below, "needs_ocr").otherwise("text")
     counted, counts = with_script_counts(documents, F.col("text"))
+    counted = once(counted, F.length(strip(F.coalesce("text", F.lit("")))), "_bare")
+    status = F.when(F.col("doc_id").isNull(), "no_id").when(F.col("_bare") == 0, "blank").when(F.col("_bare") < ocr_below, "needs_ocr").otherwise("text")
     script = dominant_script(F.col("text"), counts)
-    return counted.withColumns({"version": F.xxhash64("text"), "script": script, "status": status}).drop("_n")
+    return counted.withColumns({"version": F.xxhash64("text"), "script": script, "status": status}).drop("_n", "_bare")
 
 
 def page_rows(documents: DataFrame) -> DataFrame:
